@@ -11,15 +11,38 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orthant.llm import mixing
+
+    return mixing.query(_table(spark, sf_dir, "documents"))
+
+
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orthant.llm.chunk_dedup import exact_duplicates
+
+    return exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orthant.llm.near_dup import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+_OP3 = r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       coalesce(doc_id = min(doc_id) OVER g, (min(doc_id) OVER g) IS NULL) AS kept, sha256(t) AS text_sha256
+FROM d WINDOW g AS (PARTITION BY t)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_near_dup,)}
+    """One query for each operator, by the function's name."""
+    return {f.__name__: f for f in (op1_mix, op3_exact_dedup, op4_near_dup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from orthant.llm import mixing
+
+    return {"op1_mix": mixing.ORACLE, "op3_exact_dedup": _OP3}
