@@ -161,7 +161,7 @@ def _confirmed(rep: np.ndarray, block: np.ndarray, texts: pa.Array, width: int,
 
 
 def near_duplicates(
-    docs: DataFrame, *, width: int = 5, percent: int = 85, rows: int = 6, bands: int = 24, block_shingles: int = 250_000
+    docs: DataFrame, *, width: int = 5, percent: int = 85, rows: int = 6, bands: int = 24, block_shingles: int = 120_000
 ) -> DataFrame:
     """Group the rows of ``docs`` (``doc_id``, ``text``) whose shingle sets are alike.
 
@@ -201,7 +201,8 @@ def near_duplicates(
     before = F.coalesce(F.sum("n_shingles").over(inside), F.lit(0))
     blocked = materialize(members.withColumn("block", F.floor(before / block_shingles)), "blocks")
     last = blocked.groupBy("cluster").agg(F.max("block").alias("last"))
-    placed = blocked.join(last, "cluster").join(docs.withColumnRenamed("doc_id", "rep"), "rep")
+    # A sort-merge join at every size: the texts move once, evenly, however few members there are.
+    placed = docs.withColumnRenamed("doc_id", "rep").join(blocked.join(last, "cluster").hint("merge"), "rep")
     pairs = placed.select(
         "cluster", "rep", "block", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("other")
     ).select("cluster", "rep", "block", "text", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
