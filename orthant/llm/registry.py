@@ -17,6 +17,12 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.query(_table(spark, sf_dir, "documents"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orthant.llm import licenses
+
+    return licenses.query(_table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orthant.llm.chunk_dedup import exact_duplicates
 
@@ -39,10 +45,10 @@ FROM d WINDOW g AS (PARTITION BY t)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query for each operator, by the function's name."""
-    return {f.__name__: f for f in (op1_mix, op3_exact_dedup, op4_near_dup)}
+    return {f.__name__: f for f in (op1_mix, op2_licenses, op3_exact_dedup, op4_near_dup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from orthant.llm import mixing
+    from orthant.llm import licenses, mixing
 
-    return {"op1_mix": mixing.ORACLE, "op3_exact_dedup": _OP3}
+    return {"op1_mix": mixing.ORACLE, "op2_licenses": licenses.oracle(), "op3_exact_dedup": _OP3}
