@@ -43,9 +43,15 @@ FROM d WINDOW g AS (PARTITION BY t)
 """
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orthant.llm import pieces
+
+    return pieces.query(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query for each operator, by the function's name."""
-    return {f.__name__: f for f in (op1_mix, op2_licenses, op3_exact_dedup, op4_near_dup)}
+    return {f.__name__: f for f in (op1_mix, op2_licenses, op3_exact_dedup, op4_near_dup, op7_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
