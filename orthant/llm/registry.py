@@ -49,9 +49,15 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.query(_table(spark, sf_dir, "documents"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orthant.llm import langid
+
+    return langid.query(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query for each operator, by the function's name."""
-    return {f.__name__: f for f in (op1_mix, op2_licenses, op3_exact_dedup, op4_near_dup, op7_pieces)}
+    return {f.__name__: f for f in (op1_mix, op2_licenses, op3_exact_dedup, op4_near_dup, op7_pieces, op9_language)}
 
 
 def oracle_sql() -> dict[str, str]:
