@@ -55,9 +55,15 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.query(_table(spark, sf_dir, "documents"))
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orthant.llm import ann
+
+    return ann.query(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query for each operator, by the function's name."""
-    return {f.__name__: f for f in (op1_mix, op2_licenses, op3_exact_dedup, op4_near_dup, op7_pieces, op9_language)}
+    return {f.__name__: f for f in (op1_mix, op2_licenses, op3_exact_dedup, op4_near_dup, op7_pieces, op9_language, op10_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
