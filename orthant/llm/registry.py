@@ -43,6 +43,12 @@ FROM d WINDOW g AS (PARTITION BY t)
 """
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orthant.llm import secrets
+
+    return secrets.query(_table(spark, sf_dir, "documents"))
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orthant.llm import pieces
 
@@ -63,10 +69,10 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query for each operator, by the function's name."""
-    return {f.__name__: f for f in (op1_mix, op2_licenses, op3_exact_dedup, op4_near_dup, op7_pieces, op9_language, op10_neighbours)}
+    return {f.__name__: f for f in (op1_mix, op2_licenses, op3_exact_dedup, op4_near_dup, op5_secrets, op7_pieces, op9_language, op10_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from orthant.llm import licenses, mixing
+    from orthant.llm import licenses, mixing, secrets
 
-    return {"op1_mix": mixing.ORACLE, "op2_licenses": licenses.oracle(), "op3_exact_dedup": _OP3}
+    return {"op1_mix": mixing.ORACLE, "op2_licenses": licenses.oracle(), "op3_exact_dedup": _OP3, "op5_secrets": secrets.oracle()}
