@@ -55,6 +55,12 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.query(_table(spark, sf_dir, "documents"))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orthant.llm import chat
+
+    return chat.query(_table(spark, sf_dir, "conversations"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orthant.llm import langid
 
@@ -69,7 +75,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query for each operator, by the function's name."""
-    return {f.__name__: f for f in (op1_mix, op2_licenses, op3_exact_dedup, op4_near_dup, op5_secrets, op7_pieces, op9_language, op10_neighbours)}
+    return {f.__name__: f for f in (op1_mix, op2_licenses, op3_exact_dedup, op4_near_dup, op5_secrets, op7_pieces, op8_chat, op9_language, op10_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
