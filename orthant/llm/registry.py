@@ -49,6 +49,12 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.query(_table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orthant.llm import quality
+
+    return quality.query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orthant.llm import pieces
 
@@ -75,7 +81,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query for each operator, by the function's name."""
-    return {f.__name__: f for f in (op1_mix, op2_licenses, op3_exact_dedup, op4_near_dup, op5_secrets, op7_pieces, op8_chat, op9_language, op10_neighbours)}
+    return {f.__name__: f for f in (op1_mix, op2_licenses, op3_exact_dedup, op4_near_dup, op5_secrets, op6_quality, op7_pieces, op8_chat, op9_language, op10_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
