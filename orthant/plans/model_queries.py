@@ -1 +1,85 @@
-"""Queries of the fit, the mesh and the export; filled in by the modules below."""
+"""Queries of normals, meshes, fits and textures."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from orthant.operators import mesh, normals
+from orthant.plans.registry import r9, register
+from orthant.sources import views
+
+_EYE = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]]
+
+
+def _plane(spark):
+    return views.sheet(spark, 24)
+
+
+@register("normals", "SELECT 576::BIGINT AS n, 576::BIGINT AS valid, 576::BIGINT AS upright")
+def _(spark, d):
+    """All normals of a plane are valid and stand on it."""
+    places, edges = normals.neighbourhoods(_plane(spark))
+    found = normals.local_geometry(places, edges)
+    return found.agg(F.count("*").alias("n"), F.count(F.when(F.col("valid"), 1)).alias("valid"), F.count(F.when(F.abs(F.col("normal")[2]) > 1 - 1e-9, 1)).alias("upright"))
+
+
+@register("cloud_normals")
+def _(spark, d):
+    places, edges = normals.neighbourhoods(views.embedding_cloud(spark, d))
+    return normals.local_geometry(places, edges).select("id", "valid", r9(F.col("eigenvalues")[0]).alias("e0"), r9(F.col("eigenvalues")[2]).alias("e2"))
+
+
+@register("edge_scores")
+def _(spark, d):
+    places, edges = normals.neighbourhoods(views.shell(spark, 11))
+    scores = normals.edge_scores(normals.local_geometry(places, edges), edges)
+    return scores.select("id", r9("score").alias("score"))
+
+
+@register("regions", "SELECT region::INT AS region, 144::BIGINT AS n FROM range(2) AS t(region)")
+def _(spark, d):
+    """Two parallel sheets are two regions."""
+    low = views.sheet(spark, 12)
+    high = views.sheet(spark, 12, offset=0.5).withColumn("id", F.col("id") + 1000)
+    places, edges = normals.neighbourhoods(low.unionByName(high), 24)
+    regions = normals.segment_surfaces(places, normals.local_geometry(places, edges), edges)
+    return regions.groupBy("region").agg(F.count("*").alias("n"))
+
+
+def _pair(spark, shift):
+    return mesh.boxes_table(spark, [{"center": (0, 0, 0), "dimensions": (1, 1, 1), "rotation": _EYE}, {"center": (shift, 0, 0), "dimensions": (1, 1, 1), "rotation": _EYE}])
+
+
+@register("surface_area", "SELECT * FROM (VALUES (0e0, 6e0), (0.5e0, 8e0), (1e0, 10e0)) AS t(shift, area)")
+def _(spark, d):
+    """Exposed area of two unit cubes: equal, half apart, face to face."""
+    out = None
+    for shift in (0.0, 0.5, 1.0):
+        row = mesh.exposed_polygons(_pair(spark, shift)).agg(F.lit(shift).alias("shift"), r9(F.sum("area")).alias("area"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@register("render_polygons", "SELECT 24e0 AS area, 1::BIGINT AS boxes")
+def _(spark, d):
+    """Of two equal boxes of side 2 the first one is drawn."""
+    twice = [{"center": (0, 0, 0), "dimensions": (2, 2, 2), "rotation": _EYE}] * 2
+    drawn = mesh.exposed_polygons(mesh.boxes_table(spark, twice), earlier_only=True)
+    return drawn.agg(r9(F.sum("area")).alias("area"), F.countDistinct("box_id").alias("boxes"))
+
+
+@register("surface_samples", "SELECT 6e0 AS area, true AS near")
+def _(spark, d):
+    tri = mesh.triangles(mesh.exposed_polygons(mesh.boxes_table(spark, [{"center": (0, 0, 0), "dimensions": (1, 1, 1), "rotation": _EYE}])))
+    points = mesh.surface_samples(tri, 0.1)
+    return points.agg(r9(F.sum("area")).alias("area"), F.max(F.abs(F.greatest(*[F.abs(a) for a in "xyz"]) - 0.5) < 1e-9).alias("near"))
+
+
+@register("support_bounds", "SELECT true AS below, true AS above, true AS narrow")
+def _(spark, d):
+    """The supported share of a triangle around a corner is pi / 32."""
+    tri = spark.createDataFrame([([0.0, 0.0, 0.0], [2.0, 0.0, 0.0], [0.0, 2.0, 0.0], 2.0)], "a array<double>, b array<double>, c array<double>, area double")
+    at = spark.createDataFrame([(0, 0.0, 0.0, 0.0)], "id long, x double, y double, z double")
+    found = mesh.support_bounds(tri, at, 0.5, gap=0.02, depth=7)
+    true = 3.141592653589793 / 32
+    return spark.createDataFrame([(found["lower"] <= true, found["upper"] >= true, found["upper"] - found["lower"] < 0.1)], "below boolean, above boolean, narrow boolean")
