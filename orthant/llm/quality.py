@@ -76,8 +76,10 @@ class OrdinalModel:
         return _sigmoid(score[:, None] - self.thresholds)
 
 
-def fit(row: np.ndarray, bucket: np.ndarray, grade: np.ndarray, grades: int, *, least_rows: int = 8, epochs: int = 60, batch: int = 2048, rate: float = 0.05, decay: float = 1e-4, seed: int = 5) -> OrdinalModel:
-    """Maximum likelihood with L2 decay by Adam; grades weigh the same in total.
+def fit(row: np.ndarray, bucket: np.ndarray, grade: np.ndarray, grades: int, *, least_rows: int = 8, steps: int = 400, batch: int = 2048, rate: float = 0.05, prior: float = 1.0, seed: int = 5) -> OrdinalModel:
+    """Maximum a posteriori fit, normal weights of precision ``prior``, by about ``steps`` steps of Adam.
+
+    Grades weigh the same in total.
 
     Features of fewer than ``least_rows`` rows get no weight.
     """
@@ -95,24 +97,26 @@ def fit(row: np.ndarray, bucket: np.ndarray, grade: np.ndarray, grades: int, *,
     # Thresholds are the first one and the logs of the steps to the next, so they stay in order.
     p = [np.zeros(len(used)), np.concatenate(([-1.0], np.zeros(grades - 2)))]
     first, second = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
-    step, total = 0, epochs * -(-len(grade) // batch)
+    batches = max(1, -(-len(grade) // batch))
+    epochs = -(-steps // batches)
+    step, total = 0, epochs * batches
     for _ in range(epochs if len(grade) else 0):
-        for own in np.array_split(rng.permutation(len(grade)), -(-len(grade) // batch)):
+        for own in np.array_split(rng.permutation(len(grade)), batches):
             cols = np.concatenate([col[ptr[i] : ptr[i + 1]] for i in own])
             rows = np.repeat(np.arange(len(own)), ptr[own + 1] - ptr[own])
             score = np.bincount(rows, p[0][cols], minlength=len(own))
-            steps = np.exp(p[1][1:])
-            edges = np.concatenate(([-np.inf], p[1][0] + np.concatenate(([0.0], np.cumsum(steps))), [np.inf]))
+            gaps = np.exp(p[1][1:])
+            edges = np.concatenate(([-np.inf], p[1][0] + np.concatenate(([0.0], np.cumsum(gaps))), [np.inf]))
             y = grade[own]
             high, low = _sigmoid(edges[y + 1] - score), _sigmoid(edges[y] - score)
             mass = np.maximum(high - low, 1e-12)
             d_high, d_low = high * (1 - high) / mass, low * (1 - low) / mass
             weigh = balance[own] / len(own)
             d_score = (d_high - d_low) * weigh  # of the negative log likelihood
-            grad = np.bincount(cols, d_score[rows], minlength=len(used)) + decay * p[0]
+            grad = np.bincount(cols, d_score[rows], minlength=len(used)) + prior / len(grade) * p[0]
             d_edge = np.bincount(y + 1, -d_high * weigh, minlength=grades + 1) + np.bincount(y, d_low * weigh, minlength=grades + 1)
             inner = d_edge[1:-1]
-            d_theta = np.concatenate(([inner.sum()], steps * (inner[::-1].cumsum()[::-1][1:])))
+            d_theta = np.concatenate(([inner.sum()], gaps * (inner[::-1].cumsum()[::-1][1:])))
             pace = rate * (1 - 0.9 * step / total)
             step += 1
             for x, g, m, v in zip(p, (grad, d_theta), first, second):
