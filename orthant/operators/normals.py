@@ -178,4 +178,4 @@ def edge_lines(candidates: DataFrame, spacing: float, settings=None, seed: int =
             alive[run] = False
         return pd.DataFrame(out, columns=["seg_id", "a", "b", "support"])
 
-    return top.select("id", "x", "y", "z", "score").groupBy(F.lit(0)).applyInPandas(lambda f: search(f), "seg_id int, a array<double>, b array<double>, support array<long>")
+    return top.select("id", "x", "y", "z", "score", F.lit(0).alias("all")).groupBy("all").applyInPandas(search, "seg_id int, a array<double>, b array<double>, support array<long>")

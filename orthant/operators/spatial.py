@@ -59,7 +59,8 @@ def nearest_neighbors(queries: DataFrame, points: DataFrame, k: int, *, exclude_
         return points.sparkSession.createDataFrame([], schema)
     extent = max(bounds[f"h{a}"] - bounds[f"l{a}"] for a in "xyz")
     whole = 4 * extent + 1e-300
-    width = width or (extent * (2.0 * k / count) ** (1 / 3) if extent else 1.0)
+    # Enough for points on a surface; a cloud that fills space needs one more round.
+    width = width or (extent * min(0.5, 1.5 * (k / count) ** 0.5) if extent else 1.0)
     done, open_queries = None, queries
     for _ in range(rounds):
         last = width >= whole or not extent

@@ -83,3 +83,69 @@ def _(spark, d):
     found = mesh.support_bounds(tri, at, 0.5, gap=0.02, depth=7)
     true = 3.141592653589793 / 32
     return spark.createDataFrame([(found["lower"] <= true, found["upper"] >= true, found["upper"] - found["lower"] < 0.1)], "below boolean, above boolean, narrow boolean")
+
+
+@register("edge_lines", "SELECT 12::BIGINT AS lines, true AS straight")
+def _(spark, d):
+    """The twelve edges of a cube come out as lines."""
+    cube = views.shell(spark, 13)
+    on = [F.when(F.abs(F.col(a)) > 0.5 - 1e-9, 1).otherwise(0) for a in "xyz"]
+    edge = cube.where(on[0] + on[1] + on[2] >= 2).withColumn("score", F.lit(90.0))
+    lines = normals.edge_lines(edge, 1 / 12)
+    length = F.sqrt(sum((F.pow(F.col("a")[i] - F.col("b")[i], F.lit(2)) for i in range(1, 3)), F.pow(F.col("a")[0] - F.col("b")[0], F.lit(2))))
+    return lines.agg(F.count("*").alias("lines"), F.min(F.abs(length - 1) < 0.35).alias("straight"))
+
+
+@register("region_frames", "SELECT 2::BIGINT AS frames, true AS proper")
+def _(spark, d):
+    low, high = views.sheet(spark, 12), views.sheet(spark, 12, offset=0.5).withColumn("id", F.col("id") + 1000)
+    both = low.unionByName(high)
+    regions = both.select("id", (F.col("id") >= 1000).cast("int").alias("region"))
+    frames = normals.region_frames(both, regions)
+    a = F.col("axes")
+    det = sum((a[0][i] * (a[1][(i + 1) % 3] * a[2][(i + 2) % 3] - a[1][(i + 2) % 3] * a[2][(i + 1) % 3]) for i in range(1, 3)), a[0][0] * (a[1][1] * a[2][2] - a[1][2] * a[2][1]))
+    return frames.agg(F.count("*").alias("frames"), F.min(F.abs(det - 1) < 1e-9).alias("proper"))
+
+
+@register("greedy_cover")
+def _(spark, d):
+    """Boxes of a fit of two layers: one panel each."""
+    from orthant.functions.config import FitSettings
+    from orthant.plans.fit import fit_cuboids
+
+    cloud = views.sheet(spark, 12).unionByName(views.sheet(spark, 12, offset=0.5).withColumn("id", F.col("id") + 1000))
+    fit = fit_cuboids(cloud, FitSettings(resolution=16, max_cuboids=4))
+    return mesh.boxes_table(spark, fit.boxes).select("box_id", *[r9(F.col("dimensions")[i]).alias(f"d{i}") for i in range(3)])
+
+
+@register("bake_face")
+def _(spark, d):
+    """Texels of a plane's front face, each of the colour that the points have."""
+    from orthant.operators import texture
+
+    points = _plane(spark).select("id", "x", "y", "z", F.lit(0.8).alias("r"), F.lit(0.4).alias("g"), F.lit(0.2).alias("b"), F.lit(1.0).alias("opacity"), F.lit(1 / 23).alias("spacing"))
+    boxes = mesh.boxes_table(spark, [{"center": (0.5, 0.5, 0.0), "dimensions": (1, 1, 0.02), "rotation": _EYE}])
+    rects = spark.createDataFrame([(0, 5, 0, 16, 16)], "box_id int, side int, face int, tw int, th int")
+    return texture.bake(points, boxes, rects, 0.05).select("face", "px", "py", *[r9(c).alias(c) for c in "rgb"])
+
+
+@register("atlas_packing", "SELECT 5::BIGINT AS faces, false AS overlap, true AS inside")
+def _(spark, d):
+    from orthant.operators.texture import pack_atlas
+
+    rects = [(i, *r) for i, r in enumerate(pack_atlas([(1.0, 0.5), (2.0, 1.0), (0.3, 0.3), (1.0, 1.0), (0.1, 0.1)], 256))]
+    table = spark.createDataFrame(rects, "face int, x int, y int, w int, h int")
+    other = table.select(*[F.col(c).alias("o" + c) for c in table.columns])
+    hit = table.join(other, (F.col("face") < F.col("oface")) & (F.col("x") < F.col("ox") + F.col("ow")) & (F.col("ox") < F.col("x") + F.col("w")) & (F.col("y") < F.col("oy") + F.col("oh")) & (F.col("oy") < F.col("y") + F.col("h")))
+    return table.agg(F.count("*").alias("faces"), F.lit(hit.count() > 0).alias("overlap"), F.min((F.col("x") >= 0) & (F.col("x") + F.col("w") <= 256) & (F.col("y") + F.col("h") <= 256)).alias("inside"))
+
+
+@register("streaming_sessions", """WITH e AS (SELECT user_id, ts::TIMESTAMP AS t FROM events), s AS (SELECT *, coalesce(t - lag(t) OVER o >= INTERVAL 12 HOUR, false)::INT AS step FROM e WINDOW o AS (PARTITION BY user_id ORDER BY t)),
+r AS (SELECT *, sum(step) OVER (PARTITION BY user_id ORDER BY t) AS run FROM s) SELECT user_id, epoch_us(min(t)) AS first, epoch_us(max(t)) AS last, count(*) AS n FROM r GROUP BY user_id, run""")
+def _(spark, d):
+    """The batch runs of ``gap_runs``, found by a streaming query with session windows."""
+    from orthant.streaming import live
+
+    events = live.read_stream(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("t"))
+    out = live.drain(live.gap_sessions(events, "t", ["user_id"], "12 hours"))
+    return out.select("user_id", F.unix_micros("first").alias("first"), F.unix_micros("last").alias("last"), "n")
