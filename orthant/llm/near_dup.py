@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orthant.llm.kernels import U64, mix, shingles, slices, span_hashes, text_buffers, word_spans
@@ -194,17 +194,18 @@ def near_duplicates(
     ties = cells.join(low, ["band", "key"]).where("rep > low").select(F.col("rep").alias("src"), F.col("low").alias("dst")).distinct()
     clusters = materialize(connected_components(materialize(ties, "ties")), "clusters")
 
-    # Blocks of about block_shingles within a cluster, by a two-step running sum.
+    # Members fall into blocks of about block_shingles by hash; a cluster's number of blocks comes
+    # from its total, so no task sees a whole cluster.
     sizes = reps.groupBy("rep").agg(F.max("n_shingles").alias("n_shingles"))
     members = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(sizes, "rep")
-    inside = Window.partitionBy("cluster").orderBy("rep").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("n_shingles").over(inside), F.lit(0))
-    blocked = materialize(members.withColumn("block", F.floor(before / block_shingles)), "blocks")
-    last = blocked.groupBy("cluster").agg(F.max("block").alias("last"))
+    members = materialize(members, "members")
+    blocks = F.ceil(F.sum("n_shingles") / block_shingles).cast("long")
+    totals = materialize(members.groupBy("cluster").agg(blocks.alias("blocks")), "totals")
+    blocked = members.join(totals.hint("merge"), "cluster").withColumn("block", F.expr("pmod(xxhash64(rep), blocks)"))
     # A sort-merge join at every size: the texts move once, evenly, however few members there are.
-    placed = docs.withColumnRenamed("doc_id", "rep").join(blocked.join(last, "cluster").hint("merge"), "rep")
+    placed = docs.withColumnRenamed("doc_id", "rep").join(blocked.hint("merge"), "rep")
     pairs = placed.select(
-        "cluster", "rep", "block", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("other")
+        "cluster", "rep", "block", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
     ).select("cluster", "rep", "block", "text", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
 
     def confirm(frame: pd.DataFrame) -> pd.DataFrame:
