@@ -149,4 +149,4 @@ def composite_layers(donors: DataFrame, keys: Sequence[str], stop: float = 1e-4)
         shown = F.when(opaque > 0, opaque)
         return F.struct(*[(done[c] / shown).alias(c) for c in "rgb"], opaque.alias("alpha"), a["depth"].alias("depth"))
 
-    return sorted_rows.select(*keys, F.aggregate("d", start, step, finish).alias("t")).select(*keys, "t.*")
+    return sorted_rows.select(*keys, F.aggregate("d", start, step, finish).alias("shown_")).select(*keys, "shown_.*")
