@@ -88,10 +88,10 @@ def _(spark, d):
 @register("edge_lines", "SELECT 12::BIGINT AS lines, true AS straight")
 def _(spark, d):
     """The twelve edges of a cube come out as lines."""
-    cube = views.shell(spark, 13)
+    cube = views.shell(spark, 21)
     on = [F.when(F.abs(F.col(a)) > 0.5 - 1e-9, 1).otherwise(0) for a in "xyz"]
     edge = cube.where(on[0] + on[1] + on[2] >= 2).withColumn("score", F.lit(90.0))
-    lines = normals.edge_lines(edge, 1 / 12)
+    lines = normals.edge_lines(edge, 1 / 20)
     length = F.sqrt(sum((F.pow(F.col("a")[i] - F.col("b")[i], F.lit(2)) for i in range(1, 3)), F.pow(F.col("a")[0] - F.col("b")[0], F.lit(2))))
     return lines.agg(F.count("*").alias("lines"), F.min(F.abs(length - 1) < 0.35).alias("straight"))
 
