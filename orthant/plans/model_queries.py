@@ -149,3 +149,102 @@ def _(spark, d):
     events = live.read_stream(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("t"))
     out = live.drain(live.gap_sessions(events, "t", ["user_id"], "12 hours"))
     return out.select("user_id", F.unix_micros("first").alias("first"), F.unix_micros("last").alias("last"), "n")
+
+
+from orthant.functions import scalar as S  # noqa: E402
+from orthant.operators import cells, objective, voxel  # noqa: E402
+from orthant.plans import registry as R  # noqa: E402
+
+_FIELD = f"f AS (SELECT id, x, y, z, abs(x) AS w, {R._SIGNED} AS old FROM v_emb, (SELECT * FROM b WHERE box_id = 0) AS o)"
+_CAP = lambda s: f"least(abs({s}) / 0.2e0, 1e0)"
+
+
+@register(
+    "trial_scores",
+    f"""WITH {R._B}, {_FIELD}, n AS (SELECT f.*, box_id, dx * dy * dz AS v, least(old, {R._SIGNED}) AS new FROM f, (SELECT * FROM b WHERE box_id > 0) AS t),
+    g AS (SELECT box_id, any_value(v) AS v, sum(w * (greatest(old, 0e0) > 0.2e0 AND greatest(new, 0e0) <= 0.2e0)::INT) / sum(w) AS a, sum(w * ({_CAP('old')} - {_CAP('new')})) / sum(w) AS s,
+    sum(w * ((abs(new) <= 0.2e0)::INT - (abs(old) <= 0.2e0)::INT)) / sum(w) AS c FROM n GROUP BY box_id)
+    SELECT box_id, {R.s9('a')} AS volume_gain, {R.s9('s')} AS source_gain, {R.s9('c')} AS coverage_gain, {R.s9('greatest(a + s + c + 0.25e0 * 0.1e0, 0e0) / (1e0 + 2e0 * 0.5e0 * v / 1e0)')} AS score FROM g""",
+    "v_emb",
+)
+def _(spark, d):
+    boxes = R.fixed_boxes(spark)
+    points = views.embedding_cloud(spark, d).withColumn("weight", F.abs("x"))
+    trials = boxes.where("box_id > 0").withColumn("exterior", F.lit(0.5)).withColumn("reverse_gain", F.lit(0.1))
+    out = objective.trial_scores(points, boxes.where("box_id = 0"), trials, 0.2, reference_volume=1.0)
+    return out.select("box_id", *[r9(c).alias(c) for c in ("volume_gain", "source_gain", "coverage_gain", "score")])
+
+
+@register("union_field", f"WITH {R._B} SELECT id, {R.s9(f'min({R._SIGNED})')} AS field FROM v_emb, b GROUP BY id", "v_emb")
+def _(spark, d):
+    return objective.union_field(views.embedding_cloud(spark, d).select("id", "x", "y", "z"), R.fixed_boxes(spark)).select("id", r9("field").alias("field"))
+
+
+@register("buried_points", "SELECT id FROM v_emb WHERE greatest(abs(x), abs(y), abs(z)) < 0.05e0", "v_emb")
+def _(spark, d):
+    """Deeper than 0.15 in a cube of half side 0.2."""
+    cube = mesh.boxes_table(spark, [{"center": (0, 0, 0), "dimensions": (0.4, 0.4, 0.4), "rotation": _EYE}])
+    return objective.buried(views.embedding_cloud(spark, d).select("id", "x", "y", "z"), cube, 0.15).select("id")
+
+
+@register("distance_metrics", f"WITH {R._B}, p AS (SELECT id, any_value(abs(x)) AS w, min({R._DIST}) AS d FROM v_emb, b GROUP BY id) SELECT count(*) AS n, {R.s9('avg(d)')} AS mean, {R.s9('sqrt(avg(d * d))')} AS rms, {R.s9('sum(w * d) / sum(w)')} AS weighted_mean, {R.s9('sqrt(sum(w * d * d) / sum(w))')} AS weighted_rms, {R.s9('quantile_cont(d, 0.5)')} AS q50, {R.s9('quantile_cont(d, 0.9)')} AS q90, {R.s9('quantile_cont(d, 0.95)')} AS q95, {R.s9('quantile_cont(d, 0.99)')} AS q99, {R.s9('max(d)')} AS q100 FROM p", "v_emb")
+def _(spark, d):
+    points = views.embedding_cloud(spark, d).select("id", "x", "y", "z").withColumn("weight", F.abs("x"))
+    out = objective.distance_metrics(objective.union_field(points, R.fixed_boxes(spark)), F.col("far"))
+    return out.select("n", *[r9(c).alias(c) for c in out.columns[1:]])
+
+
+@register("reverse_error", f"WITH s AS (SELECT id, x, y, z FROM v_emb WHERE label = 0), p AS (SELECT s.id, min(sqrt((s.x - v.x) * (s.x - v.x) + (s.y - v.y) * (s.y - v.y) + (s.z - v.z) * (s.z - v.z))) AS d FROM s, v_emb v WHERE v.label > 4 GROUP BY s.id), i AS (SELECT sum(0.01e0 * least(d / 0.05e0, 4e0)) AS v FROM p) SELECT {R.s9('v / (0.5e0 + v)')} AS reverse_error FROM i", "v_emb")
+def _(spark, d):
+    cloud = views.embedding_cloud(spark, d)
+    samples = cloud.where("label = 0").withColumn("area", F.lit(0.01))
+    return objective.reverse_error(samples, cloud.where("label > 4"), 0.05, 0.5).select(r9("reverse_error").alias("reverse_error"))
+
+
+@register("transfer_normals", "SELECT 49::BIGINT AS n, true AS upright")
+def _(spark, d):
+    plane = _plane(spark).withColumn("normal", F.array(F.lit(0.0), F.lit(0.0), F.when(F.col("id") % 2 == 0, 1.0).otherwise(-1.0))).withColumn("spacing", F.lit(1 / 23))
+    points = views.sheet(spark, 7, offset=0.01)
+    found = objective.transfer_normals(points, plane)
+    return found.agg(F.count("*").alias("n"), F.min(F.abs(F.col("normal")[2]) > 1 - 1e-9).alias("upright"))
+
+
+@register("normal_votes", "SELECT 3::BIGINT AS directions, true AS even")
+def _(spark, d):
+    """The faces of a cube vote for three directions of a third each."""
+    faces = S.box_faces(R.fixed_boxes(spark).where("box_id = 2"))
+    votes = objective.normal_votes(faces.select("normal", "area"))
+    table = spark.createDataFrame([(share,) for _, share in votes], "share double")
+    return table.agg(F.count("*").alias("directions"), F.min(F.abs(F.col("share") - 1 / 3) < 1e-9).alias("even"))
+
+
+@register("weighted_voxel_mass", f"SELECT floor(x / 0.1e0)::BIGINT AS i, floor(y / 0.1e0)::BIGINT AS j, floor(z / 0.1e0)::BIGINT AS k, {R.s9('sum(abs(x))')} AS mass, {R.s9('min(x)')} AS mx FROM v_emb GROUP BY ALL", "v_emb")
+def _(spark, d):
+    from orthant.plans.fit import voxel_mass
+
+    points = views.embedding_cloud(spark, d).withColumn("weight", F.abs("x"))
+    return voxel_mass(points, 0.1).select(*voxel.IJK, r9("mass").alias("mass"), r9("mx").alias("mx"))
+
+
+@register("representatives_within", "SELECT true AS few, true AS many")
+def _(spark, d):
+    """As many representatives as a budget of 100 allows, and no more."""
+    n = cells.representatives_within(views.embedding_cloud(spark, d), 100).count()
+    return spark.createDataFrame([(n <= 100, n >= 80)], "few boolean, many boolean")
+
+
+@register("panel_layers")
+def _(spark, d):
+    """Layers of a planar cloud along its normal."""
+    cloud = views.part_cloud(spark, d)
+    return cloud.groupBy(F.floor(F.col("y") / 0.5).alias("bin")).agg(F.count("*").alias("n"), r9(F.sum("x")).alias("mass"))
+
+
+@register("analytic_clouds", "SELECT * FROM (VALUES ('cube', 602::BIGINT), ('close_layers', 242::BIGINT)) AS t(name, n)")
+def _(spark, d):
+    """Distinct points of sampled analytic surfaces."""
+    out = None
+    for name in ("cube", "close_layers"):
+        row = views.case_cloud(spark, name, 0.1).agg(F.lit(name).alias("name"), F.count("*").alias("n"))
+        out = row if out is None else out.unionByName(row)
+    return out
