@@ -15,10 +15,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orthant.llm.kernels import LOWER, U64, span_hashes, text_buffers, word_spans
+from orthant.llm.kernels import LOWER, span_hashes, text_buffers, word_spans
+from orthant.llm.sampling import hash_sample
 
 WINDOW = 24
 UNDETERMINED = "und"
@@ -213,13 +214,12 @@ def train(docs: DataFrame, *, per_language: int = 400, per_document: int = 64, h
 
     The sample is the first ``per_language`` rows of each language in the
     order of a hash of doc_id, and of each row the ``per_document`` segments
-    of smallest hash, wherever they stand in the text. Rows with a null lang,
-    doc_id or text do not train; without any row the model knows no language.
+    of smallest hash, wherever they stand in the text. Rows with a null lang
+    or doc_id, or no letter in the text, do not train; without any row the model knows no language.
     """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    known = known.where("lang is not null and doc_id is not null and text is not null").where(~held_out(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language)
+    known = known.where("lang is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
+    chosen = hash_sample(known.select("doc_id", "lang"), "doc_id", "lang", per_language)
     chosen = F.broadcast(chosen.select("doc_id").distinct())  # at most per_language rows of each language
     found = known.join(chosen, "doc_id", "left_semi").mapInArrow(
         lambda batches: _samples(batches, per_document), "doc_id long, lang string, bytes binary"

@@ -14,10 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orthant.llm.kernels import SPACE, U64, mix, span_hashes, text_buffers, word_spans
+from orthant.llm.sampling import hash_sample
 
 BUCKETS = 1 << 18
 
@@ -137,9 +138,7 @@ def train(docs: DataFrame, grades: DataFrame, *, levels: int = 3, per_grade: int
     """
     rated = grades.where(F.col("grade").between(0, levels - 1) & F.col("doc_id").isNotNull())
     rated = rated.groupBy(F.col("doc_id").cast("long").alias("rated_id")).agg(F.min("grade").cast("int").alias("grade"))
-    order = Window.partitionBy("grade").orderBy(F.xxhash64("rated_id"), "rated_id")
-    chosen = rated.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_grade).drop("place")
-    chosen = F.broadcast(chosen)  # at most levels * per_grade rows
+    chosen = F.broadcast(hash_sample(rated, "rated_id", "grade", per_grade))  # at most levels * per_grade rows
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
