@@ -174,3 +174,19 @@ def query(rows: DataFrame) -> DataFrame:
         F.sha2(text("loss"), 256).alias("loss_sha256"),
         "formatted_chars",
     )
+
+
+def oracle() -> str:
+    """The same digests in DuckDB SQL, with the template's overhead and escapes counted."""
+    tail = _TAIL.replace("'", "''")
+    count = lambda c: rf"len(regexp_extract_all({c}, '([<\[])(\\*)({tail})'))"
+    extra = len("<|turn|><|body|><|end|>") + 1
+    return f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
+           UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')))
+SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn NULLS LAST, r, x)) AS turns_sha256,
+       coalesce(sum(length(x)) FILTER (r = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(x, '' ORDER BY turn NULLS LAST, r, x) FILTER (r = 'assistant'), '')) AS loss_sha256,
+       ({len('<|begin|>')} + sum({extra} + length(r) + length(x) + {count('r')} + {count('x')}))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""

@@ -85,6 +85,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from orthant.llm import licenses, mixing, secrets
+    from orthant.llm import chat, licenses, mixing, secrets
 
-    return {"op1_mix": mixing.ORACLE, "op2_licenses": licenses.oracle(), "op3_exact_dedup": _OP3, "op5_secrets": secrets.oracle()}
+    return {"op1_mix": mixing.ORACLE, "op2_licenses": licenses.oracle(), "op3_exact_dedup": _OP3, "op5_secrets": secrets.oracle(), "op8_chat": chat.oracle()}
