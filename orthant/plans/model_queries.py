@@ -233,7 +233,7 @@ def _(spark, d):
     return spark.createDataFrame([(n <= 100, n >= 80)], "few boolean, many boolean")
 
 
-@register("panel_layers")
+@register("panel_layers", f"SELECT floor(y / 0.5e0)::BIGINT AS bin, count(*) AS n, {R.s9('sum(x)')} AS mass FROM v_part GROUP BY bin", "v_part")
 def _(spark, d):
     """Layers of a planar cloud along its normal."""
     cloud = views.part_cloud(spark, d)

@@ -594,7 +594,7 @@ def _(spark, d):
     return voxel.clearance(voxel.dilate(_voxels(spark, d), 2))
 
 
-@register("reconstruct_interior")
+@register("reconstruct_interior", "SELECT a AS i, b AS j, c AS k FROM range(1, 20) AS p(a), range(1, 20) AS q(b), range(1, 20) AS r(c)")
 def _(spark, d):
     return voxel.reconstruct(voxel.occupancy(views.shell(spark, 21), 0.05, (-0.5, -0.5, -0.5)), 1)
 
