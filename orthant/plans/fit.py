@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from orthant.functions.config import FitSettings, check_grid, reconstruction_layers
 from orthant.functions.scalar import Box, evaluation_tolerance
 from orthant.operators import cells, mesh, normals, voxel
+from orthant.operators.objective import normal_votes
 from orthant.operators.spatial import nearest_spacing
 from orthant.storage import materialize
 
@@ -187,6 +188,24 @@ def find_frames(points: DataFrame, regions: DataFrame | None = None, most: int =
     return found[:most]
 
 
+def normal_frames(p: Prepared, most: int = 4, sample: int = 4096) -> list[np.ndarray]:
+    """Frames of pairs of main surface directions that stand square, from normals at spread representatives."""
+    chosen = cells.representatives_within(p.points, sample)
+    points = p.points.join(chosen, "id", "left_semi").select("id", "x", "y", "z")
+    places, edges = normals.neighbourhoods(points, 20)
+    valid = normals.local_geometry(places, edges).where("valid").select("normal", F.lit(1.0).alias("area"))
+    ways = [np.array(v) for v, _ in normal_votes(materialize(valid, "normals"), rounds=8)][:most]
+    found = []
+    for i, a in enumerate(ways):
+        for b in ways[i + 1 :]:
+            if abs(a @ b) < np.sin(np.radians(10)):
+                b = b - (a @ b) * a
+                frame = np.stack((a, b / np.linalg.norm(b), np.cross(a, b / np.linalg.norm(b))), axis=1)
+                if all((np.abs(f.T @ frame).max(axis=0) < np.cos(np.radians(0.5))).any() for f in [*p.frames, *found]):
+                    found.append(frame)
+    return found
+
+
 def frame_table(points: DataFrame, frames: Sequence[np.ndarray]) -> DataFrame:
     """Each point once per frame (``f``) with its coordinates along the frame's axes, ``u0 u1 u2``."""
     rows = F.array(*[F.struct(F.lit(i).alias("f"), *[F.lit(float(r[a, j])).alias(f"r{a}{j}") for a in range(3) for j in range(3)]) for i, r in enumerate(frames)])
@@ -318,10 +337,16 @@ def select_boxes(p: Prepared, settings: FitSettings, *, committed: Sequence[dict
     reason = "target_reached"
     if boxes:
         open_points, covered = _uncovered(p, open_points, boxes)
-    elif pool:  # one box may do; then nothing else is searched
-        enough = [b for b, m in zip(pool, _measure(p, p.points, pool)) if m["rows"] >= need]
-        if enough:
-            pool = [min(enough, key=volume)]
+    else:  # one box may do; then nothing else is searched
+        for widen in (False, True):
+            if widen:
+                p.frames += normal_frames(p)
+                add(bounding_boxes(p))
+            measured = _measure(p, p.points, pool) if pool else []
+            enough = [b for b, m in zip(pool, measured) if m["rows"] >= need]
+            if enough:
+                pool = [min(enough, key=volume)]
+                break
     if not enough:
         add(panel_boxes(open_points, p))
         add(grown_boxes(p))

@@ -31,3 +31,13 @@ def test_budget_and_frozen_prefix(spark):
     both = fit.fit_cuboids(far, FitSettings(resolution=16, max_cuboids=3), committed=found.boxes)
     assert both.reason == "target_reached" and len(both.boxes) == 2
     assert np.allclose(both.boxes[0]["center"], found.boxes[0]["center"]) and np.allclose(both.boxes[0]["dimensions"], found.boxes[0]["dimensions"])
+
+
+def test_a_turned_cube_is_one_box(spark):
+    a, b = np.radians(25), np.radians(40)
+    turn = np.array([[np.cos(a), -np.sin(a), 0], [np.sin(a), np.cos(a), 0], [0, 0, 1]]) @ np.array([[1, 0, 0], [0, np.cos(b), -np.sin(b)], [0, np.sin(b), np.cos(b)]])
+    shell = views.shell(spark, 9)
+    at = [sum((float(turn[i, j]) * F.col(c) for j, c in enumerate("yz", 1)), float(turn[i, 0]) * F.col("x")).alias(n) for i, n in enumerate("xyz")]
+    found = fit.fit_cuboids(shell.select("id", *at), FitSettings(resolution=24, max_cuboids=4))
+    assert found.reason == "target_reached" and len(found.boxes) == 1
+    assert np.allclose(sorted(found.boxes[0]["dimensions"]), 1, atol=0.05)
