@@ -8,12 +8,38 @@ that folder, so a table survives the loss of any of them.
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _roots: dict[str, str] = {}
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable for Python workers, once per application.
+
+    Nothing is done where PYTHONPATH names its folder, as executors then have
+    it; otherwise a zip of the package is added to the application.
+    """
+    package = os.path.dirname(os.path.abspath(__file__))
+    root, app = os.path.dirname(package), spark.sparkContext.applicationId
+    if app in _shipped or root in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    target = os.path.join(tempfile.mkdtemp(prefix="orthant-"), "orthant.zip")
+    atexit.register(shutil.rmtree, os.path.dirname(target), True)
+    with zipfile.ZipFile(target, "w") as archive:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.relpath(path, root))
+    spark.sparkContext.addPyFile(target)
+    _shipped.add(app)
 
 
 def shared_root(spark: SparkSession) -> str:
