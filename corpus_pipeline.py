@@ -14,11 +14,12 @@ from orthant.llm.langid import UNDETERMINED, predictor, train
 from orthant.llm.mixing import mixed_documents
 from orthant.llm.near_dup import near_duplicates
 from orthant.llm.pieces import encode_documents
-from orthant.storage import materialize
+from orthant.storage import materialize, ship
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a determinable language (null text, or no letter in it)."""
+    ship(spark)
     named = docs.withColumn("pipeline_language", predictor(train(docs))("text"))
     return named.where(F.col("pipeline_language.lang") != UNDETERMINED).select(*docs.columns)
 
@@ -32,21 +33,25 @@ def _keep(docs: DataFrame, decided: DataFrame) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal up to white space the row with the smallest doc_id stays."""
+    ship(spark)
     return _keep(docs, exact_duplicates(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates one document stays."""
+    ship(spark)
     return _keep(docs, near_duplicates(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bring sources to their target shares: rows repeat or leave, one row per source is cut."""
+    ship(spark)
     return mixed_documents(docs)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row, with the text they decode to."""
+    ship(spark)
     return encode_documents(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
