@@ -18,10 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orthant.llm.kernels import LOWER, span_hashes, text_buffers, word_spans
+from orthant.llm.kernels import LOWER, slices, span_hashes, text_buffers, word_spans
 from orthant.llm.sampling import hash_sample
 
 WINDOW = 24
+SLICE = 2_500_000  # bytes of text read at a time; bounds a worker's memory
 UNDETERMINED = "und"
 
 #: Bytes between segments: all of ASCII but letters.
@@ -196,7 +197,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _samples(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, "text", SLICE)):
         raw, at = text_buffers(batch.column("text"))
         begin, length, ptr = segments(raw, at)
         hashes = span_hashes(raw, begin, begin + length)
@@ -251,7 +252,7 @@ def predictor(model: ByteGru):
             _, at = text_buffers(array)
             first = 0
             while first < len(array):
-                last = max(first + 1, int(np.searchsorted(at, at[first] + 6_000_000, "right")) - 1)
+                last = max(first + 1, int(np.searchsorted(at, at[first] + SLICE, "right")) - 1)
                 got = model.documents(array.slice(first, last - first))
                 names += got[0]
                 scores.append(got[1])

@@ -17,10 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orthant.llm.kernels import SPACE, U64, mix, span_hashes, text_buffers, word_spans
+from orthant.llm.kernels import SPACE, U64, mix, slices, span_hashes, text_buffers, word_spans
 from orthant.llm.sampling import hash_sample
 
 BUCKETS = 1 << 18
+SLICE = 2_500_000  # bytes of text read at a time; bounds a worker's memory
 
 _BREAK = np.ones(256, bool)
 _BREAK[65:91] = _BREAK[97:123] = _BREAK[128:] = False
@@ -141,7 +142,7 @@ def train(docs: DataFrame, grades: DataFrame, *, levels: int = 3, per_grade: int
     chosen = F.broadcast(hash_sample(rated, "rated_id", "grade", per_grade))  # at most levels * per_grade rows
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text", SLICE)):
             row, bucket = features(batch.column("text"))
             cuts = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(bucket.astype(np.int32)))
@@ -167,7 +168,7 @@ def scorer(model: OrdinalModel):
             _, at = text_buffers(array)
             parts, first = [np.zeros((0, len(model.thresholds)))], 0
             while first < len(array):
-                last = max(first + 1, int(np.searchsorted(at, at[first] + 6_000_000, "right")) - 1)
+                last = max(first + 1, int(np.searchsorted(at, at[first] + SLICE, "right")) - 1)
                 parts.append(model.tails(array.slice(first, last - first)))
                 first = last
             tails = np.concatenate(parts)
