@@ -149,7 +149,8 @@ def nearest(
 
     # One row per distinct vector with its k + 1 smallest ids: more of them cannot be among the k best.
     copies = Window.partitionBy("key", "vector").orderBy("vec_id")
-    few = vectors.select("vec_id", "key", "vector").withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1)
+    single = vectors.select("vec_id", "key", "vector").distinct()  # else repeated rows would fill the places
+    few = single.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1)
     distinct = few.groupBy("key", "vector").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
     distinct = materialize(distinct.withColumn("id", F.col("ids")[0]), "distinct")
     count = distinct.count()

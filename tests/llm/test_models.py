@@ -162,6 +162,17 @@ def test_neighbours(spark):
     assert ann.query(table.limit(0)).collect() == [] and ann.query(table.where("vec_id >= 3000 and vec_id < 3250")).collect() == []
 
 
+def test_neighbours_of_a_hot_vector_with_repeated_rows(spark):
+    from orthant.llm import ann
+
+    hot = [(i, [1.0, 2.0], 0) for i in range(20) for _ in range(7 if i == 0 else 2)]
+    table = spark.createDataFrame(hot + [(i, [1.0, -i / 10], 0) for i in range(20, 40)], "vec_id long, embedding array<float>, key int")
+    got = {}
+    for r in ann.nearest(table, F.col("vec_id").isin(0, 3, 10)).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == {0: [1, 2, 3, 4, 5], 3: [0, 1, 2, 4, 5], 10: [0, 1, 2, 3, 4]}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from orthant.llm.chunk_dedup import exact_duplicates
