@@ -7,8 +7,9 @@ template that rewrites history. Within a turn the text's place is found by
 rendering two probe texts instead of it: what all have in common before and
 after is the template's.
 
-A conversation is rendered in blocks of turns, so prefixes stay short and a
-very long conversation is spread over tasks.
+A conversation is spread over tasks in blocks of turns. Each block is rendered
+behind all turns before it, so that the template always sees the conversation
+from its start; the work for one conversation grows with its square.
 """
 
 from __future__ import annotations
@@ -61,11 +62,17 @@ class Rendered:
     rewrites: bool  # the template changed what it had written
 
 
-def render_turns(turns: Sequence[Turn], render: Callable[[Sequence[Turn], bool], str], start: bool = True) -> Rendered:
-    """Render ``turns`` and locate each of them and its text by comparing prefixes."""
-    before, spans, bodies, rewrites = render([], start), [], [], False
+def render_turns(turns: Sequence[Turn], render: Callable[[Sequence[Turn], bool], str], start: bool = True, done: int = 0) -> Rendered:
+    """Render ``turns`` and locate each of them and its text by comparing prefixes.
+
+    The first ``done`` turns are rendered but not returned: text and places
+    begin where they end, or at the first change to what they had written.
+    """
+    before, spans, bodies, rewrites = render(turns[:done], start), [], [], False
+    base = len(before) if done else 0
     frames: dict[tuple[str, bool], tuple[str, str]] = {}
-    for k, (role, text) in enumerate(turns):
+    for k in range(done, len(turns)):
+        role = turns[k][0]
         after = render(turns[: k + 1], start)
         if not after.startswith(before):
             rewrites = True
@@ -80,22 +87,26 @@ def render_turns(turns: Sequence[Turn], render: Callable[[Sequence[Turn], bool],
         spans.append((at, len(after)))
         bodies.append((at + len(head), len(after) - len(tail)))
         before = after
-    return Rendered(before, spans, bodies, rewrites)
+    base = min([base, *[a for a, _ in spans]])
+    if base:
+        spans, bodies = ([(a - base, b - base) for a, b in places] for places in (spans, bodies))
+    return Rendered(before[base:], spans, bodies, rewrites)
 
 
-def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, list[Turn]]]:
-    """Runs of rows of one conversation and block, across the frames' borders."""
-    key, turns = None, []
+def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, list[Turn], int]]:
+    """Turns up to the end of one conversation's block, across the frames' borders, and how many precede it."""
+    key, turns, done = None, [], 0
     for frame in frames:
-        for conv, block, first, role, text in zip(frame["conv_id"], frame["block"], frame["first"], frame["role"], frame["text"]):
-            own = tuple(None if pd.isna(x) else x for x in (conv, block)) + (bool(first),)
-            if own != key:
+        for conv, block, own, role, text in zip(frame["conv_id"], frame["block"], frame["own"], frame["role"], frame["text"]):
+            at = tuple(None if pd.isna(x) else x for x in (conv, block))
+            if at != key:
                 if turns:
-                    yield key, turns
-                key, turns = own, []
+                    yield key, turns, done
+                key, turns, done = at, [], 0
             turns.append((role, text))
+            done += not own
     if turns:
-        yield key, turns
+        yield key, turns, done
 
 
 def format_conversations(rows: DataFrame, render: Callable[[Sequence[Turn], bool], str] = default_template, *, block_turns: int = 128, learn: Sequence[str] = ("assistant",)) -> DataFrame:
@@ -103,17 +114,20 @@ def format_conversations(rows: DataFrame, render: Callable[[Sequence[Turn], bool
 
     Turns go by ``turn`` (null last), then role and text; null role and text
     count as empty, and rows without a conv_id are one conversation. A block
-    holds the turns with equal ``turn // block_turns``. Returns ``conv_id``,
-    ``block``, ``formatted``, ``spans`` (role, start, end, text_start,
-    text_end, loss) and ``rewrites``. Other columns are ignored.
+    holds the turns with equal ``turn // block_turns`` and is rendered behind
+    all turns before it. Returns ``conv_id``, ``block``, ``formatted`` (what
+    the block adds to the conversation), ``spans`` in it (role, start, end,
+    text_start, text_end, loss) and ``rewrites``: a turn of this block changed
+    what stood before; its text then begins at the first change. Other columns
+    are ignored.
     """
     learned = set(learn)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
-        for (conv, block, first), turns in _blocks(frames):
-            done = render_turns(turns, render, first)
-            spans = [(role, a, b, c, d, role in learned) for (role, _), (a, b), (c, d) in zip(turns, done.spans, done.bodies)]
+        for (conv, block), turns, before in _blocks(frames):
+            done = render_turns(turns, render, done=before)
+            spans = [(role, a, b, c, d, role in learned) for (role, _), (a, b), (c, d) in zip(turns[before:], done.spans, done.bodies)]
             out.append((conv, block, done.text, spans, done.rewrites))
             if len(out) >= 500:
                 yield _frame(out)
@@ -128,13 +142,16 @@ def format_conversations(rows: DataFrame, render: Callable[[Sequence[Turn], bool
         F.coalesce("role", empty).alias("role"),
         F.coalesce("text", empty).alias("text"),
     )
-    opening = table.groupBy("conv_id").agg(F.min(F.floor(F.col("turn") / block_turns)).alias("opening"))
-    table = table.withColumn("block", F.floor(F.col("turn") / block_turns))
-    opening = opening.withColumnRenamed("conv_id", "o_id")
-    table = table.join(opening, table["conv_id"].eqNullSafe(opening["o_id"])).drop("o_id")
-    table = table.withColumn("first", F.coalesce(F.col("block") == F.col("opening"), F.col("opening").isNull()))
+    table = table.withColumn("home", F.floor(F.col("turn") / block_turns))
+    # A turn goes to its own block and to each later one; the block without turn numbers is the last.
+    blocks = table.groupBy("conv_id").agg(F.collect_set("home").alias("homes"), F.max(F.col("home").isNull()).alias("late")).withColumnRenamed("conv_id", "o_id")
+    table = table.join(blocks, table["conv_id"].eqNullSafe(blocks["o_id"]))
+    later = F.filter("homes", lambda b: b >= F.col("home"))
+    targets = F.concat(F.coalesce(later, F.array().cast("array<long>")), F.when(F.col("late"), F.array(F.lit(None).cast("long"))).otherwise(F.array().cast("array<long>")))
+    table = table.select("conv_id", "turn", "role", "text", "home", F.explode(targets).alias("block"))
+    table = table.withColumn("own", F.col("home").eqNullSafe(F.col("block")))
     table = table.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", F.col("turn").asc_nulls_last(), "role", "text")
-    return table.select("conv_id", "block", "first", "role", "text").mapInPandas(
+    return table.select("conv_id", "block", "own", "role", "text").mapInPandas(
         run,
         "conv_id long, block long, formatted string, "
         "spans array<struct<role: string, start: int, end: int, text_start: int, text_end: int, loss: boolean>>, rewrites boolean",

@@ -132,6 +132,29 @@ def test_chat_detects_rewriting():
         assert chat.read_back(chat.default_template([("r", text), (text, "t")], True)) == [("r", text), (text, "t")]
 
 
+def test_chat_templates_see_the_whole_conversation(spark):
+    from orthant.llm import chat
+
+    def numbered(turns, start):
+        head = turns[0][0] if turns else ""
+        return "".join(f"[{k} {head}/{role}]{text}\n" for k, (role, text) in enumerate(turns))
+
+    def forgets(turns, start):  # the turn 4 blanks the first one, in an earlier block
+        return "".join("-" if k == 0 and len(turns) > 4 else text for k, (_, text) in enumerate(turns))
+
+    rows = [(1, t, "assistant" if t % 2 else "user", f"text {t}") for t in range(7)] + [(1, None, "user", "last"), (2, 9, "user", "a"), (None, 0, "user", "b"), (None, 4, "user", "c")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for conv in (1, 2, None):
+        own = [r for r in rows if r[0] == conv]
+        parts = [r for r in chat.format_conversations(table, numbered, block_turns=2).collect() if r["conv_id"] == conv]
+        parts.sort(key=lambda r: (r["block"] is None, r["block"]))
+        assert "".join(r["formatted"] for r in parts) == numbered([r[2:] for r in own], True)
+        assert [r["formatted"][s["text_start"] : s["text_end"]] for r in parts for s in r["spans"]] == [r[3] for r in own]
+        assert not any(r["rewrites"] for r in parts)
+    found = chat.format_conversations(table.where("conv_id = 1"), forgets, block_turns=2).collect()
+    assert [r["block"] for r in found if r["rewrites"]] == [2]
+
+
 def brute_neighbours(vectors, k=5):
     ok = {i: np.array(v, float) for i, v in vectors.items() if v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     out = {}
