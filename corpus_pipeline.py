@@ -6,6 +6,8 @@ kept; all but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,9 @@ from orthant.llm.langid import UNDETERMINED, predictor, train
 from orthant.llm.mixing import mixed_documents
 from orthant.llm.near_dup import near_duplicates
 from orthant.llm.pieces import encode_documents
-from orthant.storage import materialize, ship
+from orthant.storage import materialize, release, ship
+
+ROW = "pipeline_row"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,23 +28,50 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return named.where(F.col("pipeline_language.lang") != UNDETERMINED).select(*docs.columns)
 
 
-def _keep(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is marked kept; rows without a doc_id stay."""
-    kept = decided.where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
-    joined = docs.join(kept.hint("merge"), docs["doc_id"].cast("long") == kept["kept_id"], "left_semi")
-    return joined.unionByName(docs.where("doc_id is null"))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of the row in ``ROW``, the same each time it is read.
+
+    A plain table has it in its files: number of the file and place in it.
+    Anything else is written once and then read as such.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation" or any(not f.endswith(".parquet") for f in docs.inputFiles()):
+        docs = materialize(docs, "rows")
+    file = F.col("_metadata.file_path")
+    names = sorted(r[0] for r in docs.select(file.alias("file")).distinct().collect())
+    table = docs.sparkSession.createDataFrame(list(enumerate(names)), "pipeline_file long, pipeline_path string")
+    placed = docs.select("*", file.alias("pipeline_name"), F.col("_metadata.row_index").alias("pipeline_at"))
+    placed = placed.join(F.broadcast(table), F.col("pipeline_name") == F.col("pipeline_path"))
+    return placed.select(*docs.columns, (F.col("pipeline_file") * (1 << 40) + F.col("pipeline_at")).alias(ROW))
+
+
+def _one_of_each(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame], group: str) -> DataFrame:
+    """One row of each ``group`` that ``grouped`` finds among rows of ``doc_id`` and ``text``.
+
+    The operator sees a key of the row as doc_id, so rows that repeat a doc_id
+    or have none are told apart. The row with the smallest doc_id stays (null
+    last), and of rows equal in it the first by key.
+    """
+    keyed = _keyed(docs)
+    decided = grouped(keyed.select(F.col(ROW).alias("doc_id"), "text"))
+    found = decided.select(F.col("doc_id").alias("row"), F.col(group).alias("group"))
+    own = keyed.select(F.col(ROW).alias("own_row"), F.col("doc_id").cast("long").alias("own_id"))
+    place = F.struct(F.col("own_id").isNull().alias("none"), "own_id", "row")
+    kept = found.join(own.hint("merge"), F.col("row") == F.col("own_row")).groupBy("group").agg(F.min(place)["row"].alias("kept_row"))
+    kept = materialize(kept.select("kept_row"), "kept")
+    release(decided)
+    return keyed.join(kept.hint("merge"), F.col(ROW) == F.col("kept_row"), "left_semi").drop(ROW)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts equal up to white space the row with the smallest doc_id stays."""
+    """Of texts equal up to white space one row stays, with the smallest doc_id."""
     ship(spark)
-    return _keep(docs, exact_duplicates(docs))
+    return _one_of_each(docs, exact_duplicates, "keep_id")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates one document stays."""
+    """Of each group of near-duplicates one row stays, with the smallest doc_id."""
     ship(spark)
-    return _keep(docs, near_duplicates(docs))
+    return _one_of_each(docs, near_duplicates, "component_id")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

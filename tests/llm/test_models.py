@@ -218,6 +218,24 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0
 
 
+def test_dedup_stages_keep_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    words = [f"word{i}" for i in range(60)]
+    near = [" ".join(words), " ".join(words[:-1])]
+    rows = [(7, "same text"), (7, "same text"), (None, "same  text"), (None, "null one"), (None, "null one"), (5, "other"), (5, "same text"), (9, "alone"), (9, "null one")]
+    more = [(20, near[0]), (20, near[1]), (None, near[0]), (20, "nothing like it"), (None, near[1])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows + more], "doc_id long, text string, lang string, source string, n_chars long")
+    first = corpus_pipeline.exact_dedup(spark, docs, DATA)
+    assert first.columns == docs.columns
+    kept = sorted((r["doc_id"], r["text"]) for r in first.collect())
+    assert kept == sorted([(5, "same text"), (9, "null one"), (5, "other"), (9, "alone"), (20, near[0]), (20, near[1]), (20, "nothing like it")])
+    for table, left in ((first, (20,)), (docs.where("doc_id is null"), (None,))):
+        second = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, table, DATA).collect()]
+        assert [i for i, t in second if t in near] == list(left)
+        assert len(second) == len({t.replace("  ", " ") for _, t in second})
+
+
 @pytest.mark.parametrize("stage", range(5))
 def test_stages_take_an_empty_table(spark, stage):
     import corpus_pipeline
