@@ -21,11 +21,24 @@ from orthant.storage import materialize, release, ship
 ROW = "pipeline_row"
 
 
+def least_score(languages: int) -> float:
+    """Score below which a language counts as undetermined: a twentieth of the way from an even spread to certainty."""
+    return 1 / languages + 0.05 * (1 - 1 / languages)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a determinable language (null text, or no letter in it)."""
+    """Drop documents without a determinable language: null text, no letter in it, or a score below ``least_score``.
+
+    No language is rejected as such. Where no row can train, there is no score
+    and every text with a letter stays.
+    """
     ship(spark)
-    named = docs.withColumn("pipeline_language", predictor(train(docs))("text"))
-    return named.where(F.col("pipeline_language.lang") != UNDETERMINED).select(*docs.columns)
+    model = train(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    named = docs.withColumn("pipeline_language", predictor(model)("text"))
+    known = (F.col("pipeline_language.lang") != UNDETERMINED) & (F.col("pipeline_language.score") >= least_score(len(model.languages)))
+    return named.where(known).select(*docs.columns)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:

@@ -218,6 +218,21 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0
 
 
+def test_language_stage_without_labels_and_without_evidence(spark, monkeypatch):
+    import corpus_pipeline
+    from orthant.llm.langid import ByteGru
+
+    rows = [(1, "plain words", None), (2, "\u00e9", None), (3, "12 !", None), (4, "", None), (5, None, None), (6, "\u65e5\u672c", None)]
+    docs = spark.createDataFrame([(i, t, x, "s", 0) for i, t, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, DATA).collect()) == [1, 2, 6]
+    for names, left in (("abcd", []), ("a", [1, 2, 6])):
+        flat = ByteGru.fresh(list(names), 4, 1)
+        for part in flat.parameters():
+            part[:] = 0  # every language is as likely as any other
+        monkeypatch.setattr(corpus_pipeline, "train", lambda _, flat=flat: flat)
+        assert sorted(r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, DATA).collect()) == left
+
+
 def test_dedup_stages_keep_one_row_of_each_group(spark):
     import corpus_pipeline
 
