@@ -606,6 +606,13 @@ def _(spark, d):
     return voxel.rasterize_ellipsoids(splats, 0.05)
 
 
+@register("ellipsoid_raster_whole")
+def _(spark, d):
+    """As ``ellipsoid_raster``, with every vector of the table as a splat."""
+    turn = {"qw": 0.6, "qx": 0.0, "qy": 0.0, "qz": 0.8, "sx": 0.03, "sy": 0.02, "sz": 0.04}
+    return voxel.rasterize_ellipsoids(_emb(spark, d).select("x", "y", "z", *[F.lit(v).alias(c) for c, v in turn.items()]), 0.05)
+
+
 @register("composite_layers")
 def _(spark, d):
     donors = views.event_cloud(spark, d).select(

@@ -1,6 +1,7 @@
 """Every registered query against its SQL in DuckDB, on the smallest tables."""
 
 import duckdb
+import numpy as np
 import pytest
 
 from orthant.plans import registry
@@ -40,3 +41,22 @@ def test_query(spark, duck, name):
     own = sorted(tuple(plain(r[c]) for c in order) for r in rows)
     at = [found.columns.index(c) for c in order]
     assert own == sorted(tuple(plain(r[i]) for i in at) for r in found.fetchall())
+
+
+def embeddings(spark, folder, points):
+    rows = [(i, [float(v) for v in p], i % 10) for i, p in enumerate(points)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    return str(folder)
+
+
+def test_every_splat_is_rasterised(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    points = np.float32(rng.uniform(-1, 1, (90, 3))).astype(float)
+    got = {tuple(r) for r in QUERIES["ellipsoid_raster_whole"](spark, embeddings(spark, tmp_path, points)).select("i", "j", "k").collect()}
+    # Turned about z by 2 atan2(0.8, 0.6): cosine -0.28, sine 0.96.
+    axes, scales, want = np.array([[-0.28, 0.96, 0], [-0.96, -0.28, 0], [0, 0, 1]]), np.array([0.03, 0.02, 0.04]), set()
+    for p in points:
+        near = np.floor(p / 0.05).astype(int) + np.array(np.meshgrid(*[range(-4, 5)] * 3)).reshape(3, -1).T
+        inside = ((((near + 0.5) * 0.05 - p) @ axes.T / scales) ** 2).sum(axis=1) <= 9
+        want |= {tuple(map(int, c)) for c in near[inside]}
+    assert got == want
