@@ -542,6 +542,33 @@ def _(spark, d):
     return voxel.box_sums(voxel.integral_image(_shifted(spark, d), _SHAPE), boxes)
 
 
+def _whole(spark, d):
+    """All occupied voxels with indices from the cloud's lower corner, and the shape of their bounds."""
+    voxels = _voxels(spark, d)
+    low = voxels.agg(*[F.min(c).alias(c) for c in "ijk"], *[(F.max(c) - F.min(c) + 1).alias("n" + c) for c in "ijk"]).first()
+    if low["i"] is None:
+        return voxels, (0, 0, 0)
+    return voxels.select(*[(F.col(c) - low[c]).alias(c) for c in "ijk"]), tuple(low["n" + c] for c in "ijk")
+
+
+_WHOLE = "l AS (SELECT min(i) li, min(j) lj, min(k) lk, max(i) - min(i) + 1 ni, max(j) - min(j) + 1 nj, max(k) - min(k) + 1 nk FROM v), s AS (SELECT i - li AS i, j - lj AS j, k - lk AS k FROM v, l)"
+
+
+@register("integral_image_whole", f"WITH {_VOX}, {_WHOLE}, gi AS (SELECT unnest(generate_series(0, ni)) AS i FROM l), gj AS (SELECT unnest(generate_series(0, nj)) AS j FROM l), gk AS (SELECT unnest(generate_series(0, nk)) AS k FROM l), g AS (SELECT i, j, k FROM gi, gj, gk) SELECT g.i, g.j, g.k, count(s.i) AS total FROM g LEFT JOIN s ON s.i < g.i AND s.j < g.j AND s.k < g.k GROUP BY g.i, g.j, g.k", "v_emb")
+def _(spark, d):
+    """As ``integral_image``, over the bounds of the cloud."""
+    return voxel.integral_image(*_whole(spark, d))
+
+
+@register("box_sums_whole", f"WITH {_VOX}, {_WHOLE}, x AS (SELECT 0 AS box_id, 0 AS i0, 0 AS j0, 0 AS k0, ni AS i1, nj AS j1, nk AS k1 FROM l UNION ALL SELECT 1, 0, 0, 0, ni // 2, nj // 2, nk // 2 FROM l UNION ALL SELECT 2, ni // 2, nj // 2, nk // 2, ni, nj, nk FROM l) SELECT box_id, count(s.i) AS n FROM x LEFT JOIN s ON i >= i0 AND i < i1 AND j >= j0 AND j < j1 AND k >= k0 AND k < k1 GROUP BY box_id", "v_emb")
+def _(spark, d):
+    """Occupied voxels in the bounds of the cloud, and in their lowest and highest eighth."""
+    voxels, shape = _whole(spark, d)
+    half, none = [n // 2 for n in shape], [0, 0, 0]
+    boxes = spark.createDataFrame([(0, *none, *shape), (1, *none, *half), (2, *half, *shape)], "box_id int, i0 int, j0 int, k0 int, i1 int, j1 int, k1 int")
+    return voxel.box_sums(voxel.integral_image(voxels, shape), boxes)
+
+
 _SPACE_BOXES = [(0, -0.2, -0.2, -0.2, 0.2, 0.2, 0.2), (1, -0.13, 0.01, -0.17, 0.11, 0.19, 0.05)]
 
 
@@ -589,6 +616,12 @@ def _(spark, d):
     return voxel.fill_holes(ring)
 
 
+@register("fill_holes_whole", f"RECURSIVE WITH {_VOX}, u AS (SELECT i, j, k FROM v), m AS (SELECT min(i) - 1 li, max(i) + 1 hi, min(j) - 1 lj, max(j) + 1 hj, min(k) - 1 lk, max(k) + 1 hk FROM u), gi AS (SELECT unnest(generate_series(li, hi)) AS i FROM m), gj AS (SELECT unnest(generate_series(lj, hj)) AS j FROM m), gk AS (SELECT unnest(generate_series(lk, hk)) AS k FROM m), g AS (SELECT i, j, k FROM (SELECT i, j, k FROM gi, gj, gk) AS w ANTI JOIN u USING (i, j, k)), o(i, j, k) AS (SELECT li, lj, lk FROM m UNION SELECT g.i, g.j, g.k FROM o JOIN g ON abs(o.i - g.i) <= 1 AND abs(o.j - g.j) <= 1 AND abs(o.k - g.k) <= 1) SELECT i, j, k FROM u UNION SELECT i, j, k FROM (SELECT * FROM g ANTI JOIN o USING (i, j, k)) AS y", "v_emb")
+def _(spark, d):
+    """As ``fill_holes``, on the whole occupancy as it is."""
+    return voxel.fill_holes(_voxels(spark, d))
+
+
 @register("clearance")
 def _(spark, d):
     return voxel.clearance(voxel.dilate(_voxels(spark, d), 2))
