@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orthant.functions.config import SurfaceSettings
+from orthant.functions.config import LineSettings, SurfaceSettings
 from orthant.functions.scalar import normal_angle
 from orthant.operators.cells import distinct_positions
 from orthant.operators.graph import connected_components
@@ -125,57 +126,143 @@ def region_frames(places: DataFrame, regions: DataFrame, most: int = 32) -> Data
     return shape.select("region", "n", F.array(a[0], a[1], cross).alias("axes"))
 
 
+def _longest(p: np.ndarray, w: np.ndarray, alive: np.ndarray, base: np.ndarray, way: np.ndarray, reach: float, gap: float) -> tuple[np.ndarray, float]:
+    """The best run of positions along a line, and its score."""
+    d = p - base
+    along = d @ way
+    near = np.flatnonzero(alive & (np.linalg.norm(d - along[:, None] * way, axis=1) <= reach))
+    near = near[np.argsort(along[near], kind="stable")]
+    runs = np.split(near, np.flatnonzero(np.diff(along[near]) > gap) + 1)
+    scored = [(w[r].sum() * np.sqrt(along[r[-1]] - along[r[0]]) if len(r) > 1 else 0.0, i) for i, r in enumerate(runs)]
+    best = max(scored, default=(0.0, 0))
+    return (runs[best[1]] if len(runs) else near), best[0]
+
+
+def _line_search(p: np.ndarray, w: np.ndarray, s: LineSettings, spacing: float, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
+    """Lines of positions held in memory, one after the other: base, way, support and score."""
+    rng, alive, n = np.random.default_rng(seed), np.ones(len(p), bool), 0
+    reach, gap = s.distance_factor * spacing, s.gap_factor * spacing
+    while n < s.maximum_lines and alive.sum() >= s.minimum_support:
+        own, best = np.flatnonzero(alive), (0.0, None)
+        for _ in range(s.trials):
+            i, j = rng.choice(own, 2, replace=False)
+            way = p[j] - p[i]
+            length = np.linalg.norm(way)
+            if length > reach:
+                run, score = _longest(p, w, alive, p[i], way / length, reach, gap)
+                if score > best[0] and len(run) >= s.minimum_support:
+                    best = (score, run)
+        if best[1] is None:
+            break
+        run = best[1]
+        for _ in range(3):
+            base = np.average(p[run], axis=0, weights=w[run])
+            way = np.linalg.svd((p[run] - base) * np.sqrt(w[run])[:, None], full_matrices=False)[2][0]
+            again, _score = _longest(p, w, alive, base, way, reach, gap)
+            if len(again) < s.minimum_support:
+                break
+            run = again
+        yield base, way, run, best[0]
+        alive[run] = False
+        n += 1
+
+
 def edge_lines(candidates: DataFrame, spacing: float, settings=None, seed: int = 0, sample: int = 20_000) -> DataFrame:
     """Straight edge segments among edge positions (``id x y z score``): ``seg_id, a, b, support``.
 
-    A sequential search (best line of many random pairs, refitted by weighted
-    total least squares, cut at gaps, its support removed) over at most
-    ``sample`` positions of the highest score, in one task.
+    A sequential search: best line of many random pairs, refitted by weighted
+    total least squares, cut at gaps, its support removed. Up to ``sample``
+    positions are searched in one task. More of them are dealt into ranges of
+    about ``sample``, which only propose lines; refits, runs, extents and
+    support come from all positions that are still open, until ranges along
+    none of the three axes propose a line with support.
     """
-    from orthant.functions.config import LineSettings
-
     s = settings or LineSettings()
-    top = candidates.orderBy(F.desc("score"), "id").limit(sample)
+    schema = "seg_id int, a array<double>, b array<double>, support array<long>"
+    candidates = candidates.select("id", "x", "y", "z", "score")
+    if candidates.limit(sample + 1).count() > sample:
+        return _edge_lines_of_many(candidates, spacing, s, seed, sample, schema)
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id")
-        p, w = frame[["x", "y", "z"]].to_numpy(), 0.25 + 0.75 * frame["score"].rank(pct=True).to_numpy()
-        rng, alive, out = np.random.default_rng(seed), np.ones(len(p), bool), []
-        reach, gap = s.distance_factor * spacing, s.gap_factor * spacing
-
-        def longest(base: np.ndarray, way: np.ndarray) -> tuple[np.ndarray, float]:
-            d = p - base
-            along = d @ way
-            near = np.flatnonzero(alive & (np.linalg.norm(d - along[:, None] * way, axis=1) <= reach))
-            near = near[np.argsort(along[near], kind="stable")]
-            runs = np.split(near, np.flatnonzero(np.diff(along[near]) > gap) + 1)
-            scored = [(w[r].sum() * np.sqrt(along[r[-1]] - along[r[0]]) if len(r) > 1 else 0.0, i) for i, r in enumerate(runs)]
-            best = max(scored, default=(0.0, 0))
-            return (runs[best[1]] if len(runs) else near), best[0]
-
-        while len(out) < s.maximum_lines and alive.sum() >= s.minimum_support:
-            own, best = np.flatnonzero(alive), (0.0, None)
-            for _ in range(s.trials):
-                i, j = rng.choice(own, 2, replace=False)
-                way = p[j] - p[i]
-                length = np.linalg.norm(way)
-                if length > reach:
-                    run, score = longest(p[i], way / length)
-                    if score > best[0] and len(run) >= s.minimum_support:
-                        best = (score, run)
-            if best[1] is None:
-                break
-            run = best[1]
-            for _ in range(3):
-                base = np.average(p[run], axis=0, weights=w[run])
-                way = np.linalg.svd((p[run] - base) * np.sqrt(w[run])[:, None], full_matrices=False)[2][0]
-                again, _score = longest(base, way)
-                if len(again) < s.minimum_support:
-                    break
-                run = again
+        p, w, out = frame[["x", "y", "z"]].to_numpy(), 0.25 + 0.75 * frame["score"].rank(pct=True).to_numpy(), []
+        for base, way, run, _ in _line_search(p, w, s, spacing, seed):
             along = (p[run] - base) @ way
             out.append((len(out), list(base + along.min() * way), list(base + along.max() * way), [int(i) for i in frame["id"].to_numpy()[run]]))
-            alive[run] = False
         return pd.DataFrame(out, columns=["seg_id", "a", "b", "support"])
 
-    return top.select("id", "x", "y", "z", "score", F.lit(0).alias("all")).groupBy("all").applyInPandas(search, "seg_id int, a array<double>, b array<double>, support array<long>")
+    return candidates.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(search, schema)
+
+
+def _line_runs(places: DataFrame, lines: list[tuple[np.ndarray, np.ndarray]], reach: float, gap: float, minimum: int) -> DataFrame:
+    """``line, id, along, x y z w`` of the best run of each line; a position near several is of the first."""
+    rows = [(n, *map(float, base), *map(float, way)) for n, (base, way) in enumerate(lines)]
+    table = places.sparkSession.createDataFrame(rows, "line int, bx double, by double, bz double, wx double, wy double, wz double")
+    near = places.join(F.broadcast(table))  # maximum_lines rows at most
+    d = [F.col(a) - F.col("b" + a) for a in "xyz"]
+    near = near.withColumn("along", d[0] * F.col("wx") + d[1] * F.col("wy") + d[2] * F.col("wz"))
+    off = sum((F.pow(v - F.col("along") * F.col("w" + a), F.lit(2)) for v, a in zip(d[1:], "yz")), F.pow(d[0] - F.col("along") * F.col("wx"), F.lit(2)))
+    near = near.where(off <= reach * reach).select("id", F.struct("line", "along", "x", "y", "z", "w").alias("at"))
+    near = near.groupBy("id").agg(F.min("at").alias("at")).select("id", "at.*")
+    order = Window.partitionBy("line").orderBy("along", "id")
+    opens = F.coalesce(F.col("along") - F.lag("along").over(order) > gap, F.lit(True)).cast("long")
+    near = materialize(near.withColumn("opens", opens).withColumn("run", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0))), "runs")
+    runs = near.groupBy("line", "run").agg(F.count("*").alias("n"), (F.sum("w") * F.sqrt(F.max("along") - F.min("along"))).alias("value")).where(F.col("n") >= minimum)
+    best = runs.groupBy("line").agg(F.max_by("run", F.struct("value", -F.col("run"))).alias("run"))
+    return near.join(F.broadcast(best), ["line", "run"]).select("line", "id", "along", "x", "y", "z", "w")
+
+
+def _edge_lines_of_many(candidates: DataFrame, spacing: float, s: LineSettings, seed: int, sample: int, schema: str) -> DataFrame:
+    spark, reach, gap = candidates.sparkSession, s.distance_factor * spacing, s.gap_factor * spacing
+    # Weights by rank of the score, in hundredths.
+    cuts = sorted(set(candidates.approxQuantile("score", [i / 100 for i in range(1, 100)], 0.001)))
+    rank = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= F.col("score"))) / max(1, len(cuts))
+    still = materialize(candidates.withColumn("w", 0.25 + 0.75 * F.coalesce(rank, F.lit(0.0))).drop("score"), "open")
+    out, supports, quiet, turn = [], [], 0, 0
+
+    def propose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame = pd.concat([pd.DataFrame({c: pd.Series(dtype="float64") for c in ("id", "x", "y", "z", "w")}), *frames])
+        frame = frame.sort_values("id")
+        found = _line_search(frame[["x", "y", "z"]].to_numpy(np.float64), frame["w"].to_numpy(np.float64), s, spacing, seed)
+        yield pd.DataFrame([(list(base), list(way), float(score)) for base, way, _, score in found], columns=["base", "way", "score"])
+
+    while quiet < 3 and len(out) < s.maximum_lines:
+        count = still.count()
+        if count < s.minimum_support:
+            break
+        # Ranges along another axis each time: a line cut in one of them is whole along its own axis.
+        axes = [*"xyz"[turn % 3 :], *"xyz"[: turn % 3]]
+        turn += 1
+        dealt = still.repartitionByRange(-(-count // sample), *axes, "id")
+        proposed = dealt.mapInPandas(propose, "base array<double>, way array<double>, score double")
+        proposed = proposed.orderBy(F.desc("score"), "base").limit(s.maximum_lines - len(out)).collect()
+        lines = [(np.array(r["base"]), np.array(r["way"])) for r in proposed]
+        for _ in range(3 if lines else 0):
+            runs = _line_runs(still, lines, reach, gap, s.minimum_support)
+            base = [F.sum(F.col("w") * F.col(a)) / F.sum("w") for a in "xyz"]
+            centre = runs.groupBy("line").agg(*[v.alias("c" + a) for v, a in zip(base, "xyz")])
+            own = runs.join(F.broadcast(centre), "line").withColumns({"d" + a: F.col(a) - F.col("c" + a) for a in "xyz"})
+            sums = own.groupBy("line", "cx", "cy", "cz").agg(*[F.sum(F.col("w") * F.col("d" + "xyz"[i]) * F.col("d" + "xyz"[j])).alias(f"c{i}{j}") for i, j in _PAIRS])
+            for r in sums.collect():
+                m = np.zeros((3, 3))
+                for i, j in _PAIRS:
+                    m[i, j] = m[j, i] = r[f"c{i}{j}"]
+                lines[r["line"]] = (np.array([r["cx"], r["cy"], r["cz"]]), np.linalg.eigh(m)[1][:, 2])
+        taken = materialize(_line_runs(still, lines, reach, gap, s.minimum_support), "support") if lines else None
+        ends = taken.groupBy("line").agg(F.min("along").alias("low"), F.max("along").alias("high")).orderBy("line").collect() if lines else []
+        if not ends:
+            quiet += 1
+            continue
+        quiet = 0
+        named = {}
+        for r in ends:
+            base, way = lines[r["line"]]
+            named[r["line"]] = len(out)
+            out.append((len(out), [float(v) for v in base + r["low"] * way], [float(v) for v in base + r["high"] * way]))
+        names = spark.createDataFrame(list(named.items()), "line int, seg_id int")
+        supports.append(taken.join(F.broadcast(names), "line").select("seg_id", "id"))
+        still = materialize(still.join(taken.select("id"), "id", "left_anti"), "open")
+    if not out:
+        return spark.createDataFrame([], schema)
+    support = reduce(DataFrame.unionByName, supports).groupBy("seg_id").agg(F.sort_array(F.collect_list(F.col("id").cast("long"))).alias("support"))
+    return spark.createDataFrame(out, "seg_id int, a array<double>, b array<double>").join(support, "seg_id").select("seg_id", "a", "b", "support")

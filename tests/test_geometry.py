@@ -151,3 +151,13 @@ def test_scalars(spark):
     ).first()
     assert tuple(row)[:5] == ("reached", "not_reached", "inconclusive", 0.65, 1.0)
     assert row["f"] == pytest.approx(0.37) and row["g"] == [0.61, 0.64, 0.68]
+
+
+def test_edge_lines_reach_beyond_the_sample(spark):
+    """Three edges of 100 positions, the last of low score, proposed from ranges of 90."""
+    rows = [(100 * n + i, *(float(i) / 10 if a == n else 5.0 * (a == (n + 1) % 3) for a in range(3)), 90.0 if n < 2 else 10.0) for n in range(3) for i in range(100)]
+    edge = spark.createDataFrame(rows, "id long, x double, y double, z double, score double")
+    found = normals.edge_lines(edge, 0.1, sample=90).collect()
+    assert sorted(sorted(r["support"]) for r in found) == [list(range(100 * n, 100 * n + 100)) for n in range(3)]
+    for r in found:
+        assert math.dist(r["a"], r["b"]) == pytest.approx(9.9)
