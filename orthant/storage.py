@@ -74,6 +74,13 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def as_table(df: DataFrame, name: str = "rows") -> DataFrame:
+    """``df`` itself if it is a plain Parquet table, whose rows keep their places however often they are read; else written as one."""
+    plan = df._jdf.queryExecution().analyzed().getClass().getSimpleName()
+    files = df.inputFiles() if plan == "LogicalRelation" else []
+    return df if files and all(f.endswith(".parquet") for f in files) else materialize(df, name)
+
+
 def release(df: DataFrame) -> None:
     """Delete a table that ``materialize`` made and nothing reads any more."""
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
