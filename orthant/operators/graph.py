@@ -2,7 +2,8 @@
 
 Kiveris et al., "Connected Components in MapReduce and Beyond" (2014). Every
 round is two hash aggregations and two equi-joins on the edge table; no
-neighbourhood is collected, so a hub of any degree stays a stream of rows.
+neighbourhood is collected and hubs meet their least neighbour by a broadcast,
+so a hub of any degree stays a stream of rows over many tasks.
 """
 
 from __future__ import annotations
@@ -12,6 +13,12 @@ from pyspark.sql import functions as F
 
 from orthant.storage import materialize, release
 
+#: Up to so many edges are joined plainly.
+PLAIN = 20_000
+#: Least degree of a hub, and the most hubs that are broadcast.
+HUB = 256
+MOST_HUBS = 100_000
+
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -21,17 +28,37 @@ def _least_neighbour(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.min("dst").alias("low"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = _both_ways(edges)
-    low = _least_neighbour(both).withColumn("low", F.least("src", "low"))
-    return both.join(low, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).distinct()
-
+def _with_low(edges: DataFrame, held: int) -> DataFrame:
+    """``edges`` with ``low``, the least neighbour of ``src``.
 
-def _small_star(edges: DataFrame) -> DataFrame:
+    Sources of over ``HUB`` edges, of which there are at most ``held / HUB``,
+    take it from a broadcast table and are not shuffled, so a hub of any degree
+    is spread as its edges are. ``held`` is the number of edges.
+    """
     low = _least_neighbour(edges)
-    joined = edges.join(low, "src")
+    if held <= PLAIN:
+        return edges.join(low, "src")
+    least = max(HUB, held // MOST_HUBS)
+    low = materialize(edges.groupBy("src").agg(F.min("dst").alias("low"), F.count("*").alias("degree")), "low")
+    hubs = low.where(F.col("degree") > least)
+    if hubs.isEmpty():
+        return edges.join(low.drop("degree"), "src")
+    few = F.broadcast(hubs.select(F.col("src").alias("hub"), F.col("low").alias("hub_low")))  # at most MOST_HUBS rows
+    marked = edges.join(few, F.col("src") == F.col("hub"), "left")
+    hot = marked.where("hub is not null").select("src", "dst", F.col("hub_low").alias("low"))
+    cold = marked.where("hub is null").select("src", "dst").join(low.where(F.col("degree") <= least).drop("degree"), "src")
+    return hot.unionByName(cold.select("src", "dst", "low"))
+
+
+def _large_star(edges: DataFrame, held: int) -> DataFrame:
+    joined = _with_low(_both_ways(edges), 2 * held).withColumn("low", F.least("src", "low"))
+    return joined.where("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).distinct()
+
+
+def _small_star(edges: DataFrame, held: int) -> DataFrame:
+    joined = _with_low(edges, held)
     moved = joined.where("dst > low").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
-    return moved.unionByName(low.select("src", F.col("low").alias("dst"))).distinct()
+    return moved.unionByName(joined.select("src", F.col("low").alias("dst"))).distinct()
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -54,8 +81,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        after = materialize(_small_star(_large_star(state)), "edges")
+        large = materialize(_large_star(state, seen[0]), "edges")
+        after = materialize(_small_star(large, seen[0]), "edges")
         now = _fingerprint(after)
+        release(large)
         release(state)
         state = after
         if now == seen:
