@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orthant.llm.kernels import SPACE, U64, mix, slices, span_hashes, text_buffers, word_spans
-from orthant.llm.sampling import hash_sample
+from orthant.llm.sampling import row_hash, row_sample
+from orthant.storage import materialize
 
 BUCKETS = 1 << 18
 SLICE = 2_500_000  # bytes of text read at a time; bounds a worker's memory
@@ -130,32 +131,55 @@ def fit(row: np.ndarray, bucket: np.ndarray, grade: np.ndarray, grades: int, *,
     return OrdinalModel(weights, p[1][0] + np.concatenate(([0.0], np.cumsum(np.exp(p[1][1:])))))
 
 
-def train(docs: DataFrame, grades: DataFrame, *, levels: int = 3, per_grade: int = 4000, **options) -> OrdinalModel:
+def train(docs: DataFrame, grades: DataFrame, *, levels: int = 3, per_grade: int = 4000, least_rows: int = 8, **options) -> OrdinalModel:
     """Fit on ``docs`` (``doc_id``, ``text``) that ``grades`` (``doc_id``, ``grade`` from 0) rates.
 
-    At most ``per_grade`` rows of each grade train, the first in the order of
-    a hash of doc_id, each with its whole text. Null grades, ids and ids that
-    ``docs`` lacks do not count; a doc_id rated twice counts with its lowest grade.
+    At most ``per_grade`` rows of each grade train, by a hash of doc_id and
+    text, each with its whole text; rows that repeat both count once. Null
+    grades, ids and ids that ``docs`` lacks do not count; a doc_id rated twice
+    counts with its lowest grade. Features of fewer than ``least_rows`` of
+    these rows get no weight and stay on the executors. What the driver holds
+    is bounded by ``levels * per_grade`` rows of ``BUCKETS`` features each,
+    however long the texts are.
     """
     rated = grades.where(F.col("grade").between(0, levels - 1) & F.col("doc_id").isNotNull())
     rated = rated.groupBy(F.col("doc_id").cast("long").alias("rated_id")).agg(F.min("grade").cast("int").alias("grade"))
-    chosen = F.broadcast(hash_sample(rated, "rated_id", "grade", per_grade))  # at most levels * per_grade rows
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    slim = known.select("doc_id", row_hash(["doc_id", "text"]).alias("text_hash"))
+    slim = materialize(slim.join(rated, F.col("doc_id") == F.col("rated_id")).select("doc_id", "text_hash", "grade"), "rated")
+    chosen = row_sample(slim, "grade", ["doc_id", "text_hash"], per_grade).withColumnsRenamed({"grade": "its", "row_hash": "its_hash"})
+    chosen = slim.join(chosen, (F.col("grade") == F.col("its")) & (row_hash(["doc_id", "text_hash"]) == F.col("its_hash")))
+    chosen = materialize(chosen.select(F.col("doc_id").alias("rated_id"), F.col("text_hash").alias("rated_hash"), "grade").distinct(), "chosen")
+    same = (F.col("doc_id") == F.col("rated_id")) & (row_hash(["doc_id", "text"]) == F.col("rated_hash"))
+    found = known.join(chosen.hint("broadcast"), same)  # at most levels * per_grade rows
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, "text", SLICE)):
             row, bucket = features(batch.column("text"))
             cuts = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(bucket.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("rated_id"), batch.column("grade"), lists], ["rated_id", "grade", "buckets"])
-
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = known.join(chosen, known["doc_id"] == chosen["rated_id"]).select("rated_id", "grade", "text")
-    table = found.mapInArrow(extract, "rated_id long, grade int, buckets array<int>").toArrow().sort_by("rated_id").combine_chunks()
-    lists = table.column("buckets").combine_chunks() if table.num_rows else None
-    if lists is None:
+            yield pa.RecordBatch.from_arrays([batch.column("rated_id"), batch.column("rated_hash"), batch.column("grade"), lists], ["id", "hash", "grade", "buckets"])
+
+    lists = found.select("rated_id", "rated_hash", "grade", "text").mapInArrow(extract, "id long, hash long, grade int, buckets array<int>")
+    lists = materialize(lists.groupBy("id", "hash", "grade").agg(F.min("buckets").alias("buckets")), "features")  # repeated rows once
+    one = lists.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") >= least_rows)
+    often = np.zeros(BUCKETS, bool)
+    often[[r[0] for r in one.select("bucket").collect()]] = True  # at most BUCKETS rows
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("buckets")
+            row, bucket = np.repeat(np.arange(batch.num_rows), np.diff(column.offsets.to_numpy())), column.flatten().to_numpy()
+            keep = often[bucket]
+            cuts = np.searchsorted(row[keep], np.arange(batch.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("hash"), batch.column("grade"), pa.ListArray.from_arrays(pa.array(cuts), pa.array(bucket[keep]))], ["id", "hash", "grade", "buckets"])
+
+    table = lists.mapInArrow(prune, lists.schema).toArrow().sort_by([("id", "ascending"), ("hash", "ascending")])
+    if not table.num_rows:
         return OrdinalModel(np.zeros(BUCKETS), np.arange(levels - 1) - 1.0)
-    sizes = np.diff(lists.offsets.to_numpy())
-    return fit(np.repeat(np.arange(table.num_rows), sizes), lists.flatten().to_numpy().astype(np.int64), table.column("grade").to_numpy(), levels, **options)
+    column = table.column("buckets").combine_chunks()
+    sizes = np.diff(column.offsets.to_numpy())
+    return fit(np.repeat(np.arange(table.num_rows), sizes), column.flatten().to_numpy().astype(np.int64), table.column("grade").to_numpy(), levels, least_rows=least_rows, **options)
 
 
 def scorer(model: OrdinalModel):
@@ -187,8 +211,8 @@ def grade_documents(docs: DataFrame, model: OrdinalModel, least_tail: float = 0.
     """``doc_id``, ``expected_grade``, ``tails`` and ``kept`` of every row of ``docs`` (``doc_id``, ``text``).
 
     ``kept`` where the probability of the highest grade is ``least_tail`` or
-    more. Null counts as the empty text, which holds no words. Equal texts get
-    equal answers; other columns are ignored.
+    more. Null counts as the empty text, which holds no words. A text of any
+    length is read whole. Equal texts get equal answers; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), scorer(model)("text").alias("tails"))
     expected = F.aggregate("tails", F.lit(0.0), lambda a, p: a + p)
@@ -196,6 +220,7 @@ def grade_documents(docs: DataFrame, model: OrdinalModel, least_tail: float = 0.
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Every document graded; the scale joins the two flags of ``labels`` (``grade_of``), as the tables hold no graded rating."""
     model = train(docs, labels.select("doc_id", grade_of(F.col("quality"), F.col("toxic")).alias("grade")))
     graded = grade_documents(docs, model)
     return graded.select("doc_id", "expected_grade", F.get("tails", F.lit(0)).alias("p_not_toxic"), F.get("tails", F.lit(1)).alias("p_good"), "kept")
