@@ -1,10 +1,13 @@
 """Mixing sources to target weights by distributed prefix sums over hash-random keys.
 
-Every row gets a random but reproducible key, the MD5 of its doc_id. Within a
-source rows are taken in key order until the source's budget is met. The order
-is dealt out by (source, leading digits of the key): a source of any size is
-thousands of even ranges, whose totals are a small table with its own running
-sums, so no task holds a source and no row is compared across ranges.
+Every row gets a random but reproducible key, the MD5 of its doc_id and text
+followed by its place in the input. Within a source rows are taken in key order
+until the source's budget is met. The order is dealt out by (source, leading
+digits of the key): the totals of these ranges are a small table with its own
+running sums, and only the one range in which a source's budget ends is looked
+into, by more digits where it is large and row by row where it is small. All
+other rows are taken whole or not at all by comparing their key with the cut,
+so no text is shuffled and no task holds a source or a group of equal rows.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orthant.storage import materialize
+from orthant.storage import as_table, materialize
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -29,6 +32,7 @@ def _targets(sizes: DataFrame, weights: Sequence[int], cap: int) -> DataFrame:
     Sources in code-point order, null last, weigh ``weights`` in turn. Sorted
     by cap per weight, the capped sources are a prefix: source i is capped
     when the share left to it and all later ones by weight exceeds its cap.
+    The windows span a table of one row a source.
     """
     turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     table = sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (turn % len(weights) + 1).cast("int")))
@@ -45,64 +49,124 @@ def _targets(sizes: DataFrame, weights: Sequence[int], cap: int) -> DataFrame:
     return table.select("source", "source_size", share.alias("target"))
 
 
-def mix_sources(rows: DataFrame, *, weights: Sequence[int] = (1, 2, 3), cap: int = 3, digits: int = 3) -> DataFrame:
+#: Digits of the key by which ranges are formed, one after another: MD5 in steps, the whole of it, partition, place.
+_DIGITS = (3, 6, 32, 40, 43, 46, 49)
+_ADDED = ("source_size", "target", "taken")
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """MD5 of a row's id and text, then its partition and place, which tell equal rows apart."""
+    place = F.monotonically_increasing_id()
+    part = F.concat(F.lpad(F.hex(F.shiftright(place, 33)), 8, "0"), F.lpad(F.hex(place.bitwiseAND(F.lit((1 << 33) - 1))), 9, "0"))
+    content = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("\n"), F.coalesce(text, F.lit("")))
+    return F.concat(F.md5(content), part)
+
+
+def _cuts(slim: DataFrame, budget: DataFrame, range_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Where each source's budget ends: ``of, prefix`` of the range that holds the end, and its rows with the words ahead of them.
+
+    ``slim``: ``of, n, key``; ``budget``: ``of, rest``, the words to take in key order.
+    """
+    ends = budget.select(F.col("of").alias("b"), F.lit("").alias("prefix"), F.lit(0).cast("long").alias("before"), "rest").where("rest > 0")
+    settled = None
+    for digits in _DIGITS:
+        inside = slim.join(ends, F.col("of").eqNullSafe(F.col("b")) & F.startswith("key", "prefix"))
+        parts = inside.groupBy("b", "before", "rest", F.substring("key", 1, digits).alias("part")).agg(F.sum("n").alias("words"), F.count("*").alias("held"))
+        running = Window.partitionBy("b").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = parts.withColumn("ahead", F.col("before") + F.coalesce(F.sum("words").over(running), F.lit(0)))
+        found = parts.where((F.col("ahead") < F.col("rest")) & (F.col("ahead") + F.col("words") >= F.col("rest")))
+        found = materialize(found.select("b", F.col("part").alias("prefix"), F.col("ahead").alias("before"), "rest", "held"), "cuts")
+        small = F.col("held") <= (range_rows if digits < _DIGITS[-1] else (1 << 62))
+        done = found.where(small).drop("held")
+        settled = done if settled is None else settled.unionByName(done)
+        ends = found.where(~small).drop("held")
+        if ends.isEmpty():
+            break
+    ends = materialize(settled, "ends")
+    last = slim.join(ends, F.col("of").eqNullSafe(F.col("b")) & F.startswith("key", "prefix"))
+    inside = Window.partitionBy("b").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)  # range_rows rows of a source
+    last = last.select("b", "key", (F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("ahead"))
+    return ends.select("b", "prefix"), materialize(last, "edge")
+
+
+def _budgets(slim: DataFrame, weights: Sequence[int], cap: int) -> DataFrame:
+    sizes = materialize(slim.groupBy(F.col("of").alias("source")).agg(F.sum("n").alias("source_size")), "sources")
+    budget = _targets(sizes, weights, cap).withColumn("whole", F.floor(F.col("target") + 0.5).cast("long"))
+    budget = budget.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("whole") / F.col("source_size"))).otherwise(0).cast("long"))
+    budget = budget.withColumn("rest", F.col("whole") - F.col("passes") * F.col("source_size"))
+    return materialize(budget.select(F.col("source").alias("of"), "source_size", "target", "passes", "rest"), "budget")
+
+
+def _decide(work: DataFrame, slim: DataFrame, weights: Sequence[int], cap: int, range_rows: int) -> DataFrame:
+    """``work`` (``of, n, key``, more) with ``source_size``, ``target`` and ``taken``: one pass beside three small tables."""
+    budget = _budgets(slim, weights, cap)
+    ends, edge = _cuts(slim, budget.select("of", "rest"), range_rows)
+    table = materialize(budget.join(ends, F.col("of").eqNullSafe(F.col("b")), "left").drop("b").withColumnRenamed("of", "its"), "decisions")
+    edge = edge.withColumnsRenamed({"b": "e", "key": "e_key"})
+    joined = work.join(table, F.col("of").eqNullSafe(F.col("its"))).join(edge, F.col("of").eqNullSafe(F.col("e")) & (F.col("key") == F.col("e_key")), "left")
+    # Keys that begin with the cut's own digits are in the edge table; those before it are whole, those behind it are not taken.
+    early = F.col("prefix").isNotNull() & (F.col("key") < F.col("prefix"))
+    part = F.when(F.col("ahead").isNotNull(), F.greatest(F.lit(0), F.least("n", F.col("rest") - F.col("ahead")))).otherwise(F.when(early, F.col("n")).otherwise(0))
+    return joined.withColumn("taken", (F.col("passes") * F.col("n") + part).cast("long")).drop("its", "passes", "rest", "prefix", "e", "e_key", "ahead")
+
+
+def mix_sources(rows: DataFrame, *, key: Column | None = None, weights: Sequence[int] = (1, 2, 3), cap: int = 3, range_rows: int = 4096) -> DataFrame:
     """Words that a mix takes of each row of ``rows`` (``doc_id``, ``source``, ``size``, and others).
 
     The mix has as many words as the input. Source number i in code-point order
     (null last) gets a share by ``weights`` in turn, at most ``cap`` times its
     own size; what is above goes to the others by weight. Whole passes over the
-    source are taken while they fit its budget, then rows in key order, and of
-    the last row the words still missing. Adds ``source_size``, ``target`` and
-    ``taken``. Rows of size 0 take 0; an empty table gives an empty table.
-    Rows that repeat a doc_id stand next to each other in key order.
+    source are taken while they fit its budget, then rows in the order of
+    ``key`` (by default of doc_id), and of the last row the words still
+    missing. Adds ``source_size``, ``target`` and ``taken``, in the place of
+    input columns of these names; any other column may have any name. Rows of
+    size 0 take 0; an empty table gives an empty table. Of rows with equal
+    keys those earlier in the input are taken first. The tables of sources and
+    of their cuts have one row a source.
     """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = rows.withColumn("mix_key", key).withColumn("mix_part", F.substring("mix_key", 1, digits))
-    parts = materialize(rows.groupBy("source", "mix_part").agg(F.sum("size").alias("words")), "mix")
-    budget = _targets(parts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, cap)
-    budget = budget.withColumn("whole", F.floor(F.col("target") + 0.5).cast("long"))
-    budget = budget.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("whole") / F.col("source_size"))).otherwise(0).cast("long"))
-    budget = budget.withColumn("rest", F.col("whole") - F.col("passes") * F.col("source_size"))
-    running = Window.partitionBy("source").orderBy("mix_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("before", F.coalesce(F.sum("words").over(running), F.lit(0))).withColumnsRenamed({"source": "s", "mix_part": "p"})
-    budget = budget.withColumnRenamed("source", "b")
-    parts = parts.join(budget, F.col("s").eqNullSafe(F.col("b"))).select("s", "p", "before", "source_size", "target", "passes", "rest")
-    joined = rows.join(parts, F.col("source").eqNullSafe(F.col("s")) & (F.col("mix_part") == F.col("p")))
-    inside = Window.partitionBy("source", "mix_part").orderBy("mix_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    taken = F.col("passes") * F.col("size") + F.greatest(F.lit(0), F.least("size", F.col("rest") - ahead))
-    return joined.withColumn("taken", taken).drop("mix_key", "mix_part", "s", "p", "before", "passes", "rest")
+    kept = [c for c in rows.columns if c not in _ADDED]
+    if key is None:  # it holds a row's place, so the rows must keep theirs
+        rows, key = as_table(rows), row_key(F.col("doc_id"), F.lit(""))
+    work = rows.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col("source").alias("of"), F.col("size").cast("long").alias("n"), key.alias("key"))
+    out = _decide(work, work.select("of", "n", "key"), weights, cap, range_rows)
+    return out.select("row.*", *_ADDED)
 
 
 def document_sizes(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``source`` and ``size`` (words) of each row, written once."""
-    return materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size")), "sizes")
+    """``doc_id``, ``source``, ``size`` (words of the whole text, null: 0) and ``mix_key`` of each row, written once."""
+    key = row_key(F.col("doc_id").cast("long"), F.col("text"))
+    return materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), key.alias("mix_key")), "sizes")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, *, weights: Sequence[int] = (1, 2, 3), cap: int = 3, range_rows: int = 4096) -> DataFrame:
     """The mix itself: each row once per time it is taken, the last time cut to the words taken.
 
     Columns and their order are those of ``docs``, which needs ``doc_id``,
-    ``source`` and ``text``; ``n_chars``, where present, follows a cut text.
+    ``source`` and ``text``; ``n_chars``, where present, follows a cut text. A
+    null text has no words and is not taken; a text of any length is counted
+    whole and moves to no other task. ``docs`` is read twice, and rows equal in
+    doc_id and text are told apart by their place in it, so what is not a
+    Parquet table is written as one first.
     """
-    packed = docs.select(F.struct("*").alias("doc"))
-    rows = packed.select("doc", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.source").alias("source"), word_count(F.col("doc.text")).alias("size"))
-    times = mix_sources(rows, **options).where("taken > 0")
-    turns = times.withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size")))))
-    need = F.least("size", F.col("taken") - (F.col("turn") - 1) * F.col("size"))
+    docs = as_table(docs)
+    slim = document_sizes(docs).select(F.col("source").alias("of"), F.col("size").alias("n"), F.col("mix_key").alias("key"))
+    work = docs.select(F.struct("*").alias("doc"), F.col("source").alias("of"), word_count(F.col("text")).alias("n"), row_key(F.col("doc_id").cast("long"), F.col("text")).alias("key"))
+    times = _decide(work, slim, weights, cap, range_rows).where("taken > 0")
+    turns = times.withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("n")))))
+    need = F.least("n", F.col("taken") - (F.col("turn") - 1) * F.col("n"))
     words = F.regexp_extract_all(F.col("doc.text"), F.lit(WORD), F.lit(0))
-    turns = turns.withColumn("cut", F.when(need < F.col("size"), F.array_join(F.slice(words, F.lit(1), need.cast("int")), " ")))
+    turns = turns.withColumn("cut", F.when(need < F.col("n"), F.array_join(F.slice(words, F.lit(1), need.cast("int")), " ")))
     fresh = {"text": F.coalesce("cut", F.col("doc.text")), "n_chars": F.coalesce(F.length("cut").cast(dict(docs.dtypes).get("n_chars", "long")), F.col("doc.n_chars")) if "n_chars" in docs.columns else None}
     return turns.select(*[(fresh[c] if fresh.get(c) is not None else F.col("doc")[c]).alias(c) for c in docs.columns])
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return mix_sources(document_sizes(docs)).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(document_sizes(docs), key=F.col("mix_key")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-                  md5(coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+                  md5(coalesce(doc_id::BIGINT::VARCHAR, '') || chr(10) || coalesce(text, '')) AS k FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size,
              1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM d GROUP BY source),
 w AS (SELECT *, 3 * source_size AS most, sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER o, 0) AS words_left,
