@@ -2,11 +2,12 @@
 
 1. From each rule's regular expression a Boolean trigram query is derived: an
    OR of ANDs of trigrams that every match must hold, letters folded.
-2. The index holds a posting (trigram, text) for each of these trigrams.
+2. Every text is cut into its trigrams once; those that some clause names
+   become postings (trigram, text) of the index.
 3. Postings are intersected: a text is a candidate of a rule when it has all
    trigrams of one of the rule's clauses.
 4. Candidates are verified by the expression itself. Rules without mandatory
-   trigrams have no clause and scan every text.
+   trigrams have no clause and scan every text, where it is read.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orthant.storage import materialize
+from orthant.storage import materialize, release
 
 
 @dataclass(frozen=True)
@@ -104,12 +105,18 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
-def build_index(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Postings (``trigram``, ``doc_id``, ``text_key``) of the trigrams that the rules ask for."""
+def build_index(docs: DataFrame, rules: Sequence[Rule], piece: int = 4096) -> DataFrame:
+    """Postings (``trigram``, ``doc_id``, ``text_key``) of the trigrams that the rules ask for.
+
+    A text is cut in pieces of ``piece`` characters, each with two more of the
+    next one, and a piece into the trigrams that begin at each of its places,
+    so a text of any length takes the memory of one piece.
+    """
     grams = sorted({g for rule in rules for clause in trigram_query(rule.pattern) for g in clause})
-    found = F.filter(F.array(*[F.when(F.contains("low", F.lit(g)), g) for g in grams]), lambda g: g.isNotNull())
     low = _texts(docs).select("doc_id", "text_key", F.lower("text").alias("low"))
-    return low.select("doc_id", "text_key", F.explode_outer(found).alias("trigram")).where("trigram is not null")
+    pieces = low.select("doc_id", "text_key", F.explode(F.regexp_extract_all("low", F.lit(r"(?s)(?=(.{1,%d})).{1,%d}" % (piece + 2, piece)), F.lit(1))).alias("piece"))
+    cut = F.regexp_extract_all("piece", F.lit("(?s)(?=(...))"), F.lit(1))
+    return pieces.select("doc_id", "text_key", F.explode(F.array_distinct(F.filter(cut, lambda g: g.isin(grams)))).alias("trigram"))
 
 
 def candidates(index: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -137,32 +144,45 @@ def _matches(text: Column, rule: Rule) -> Column:
     whole = F.regexp_extract_all(text, F.lit(p), F.lit(0))
     groups = F.regexp_extract_all(text, F.lit(p), F.lit(rule.group))
     gaps = F.split(text, p, -1)  # the text before each match and after the last
-    empty = F.array().cast("array<struct<s:int,n:int,g:int>>")
     parts = F.zip_with(F.slice(gaps, 1, F.size(whole)), F.arrays_zip(whole.alias("w"), groups.alias("g")), lambda gap, m: F.struct(F.length(gap).alias("a"), F.length(m["w"]).alias("n"), F.length(m["g"]).alias("g")))
-    start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
+    empty = F.array().cast("array<struct<s:int,n:int,g:int>>")
 
     def step(acc: Column, m: Column) -> Column:
         begin = acc["at"] + m["a"]
         hit = F.array(F.struct(begin.alias("s"), m["n"].alias("n"), m["g"].alias("g")))
         return F.struct((begin + m["n"]).alias("at"), F.concat(acc["found"], F.when(m["g"] >= rule.least, hit).otherwise(empty)).alias("found"))
 
-    spans = F.aggregate(parts, start, step, lambda acc: acc["found"])
+    def shifted(acc: Column, block: Column) -> Column:
+        own = F.transform(block["found"], lambda m: F.struct((m["s"] + acc["at"]).alias("s"), m["n"].alias("n"), m["g"].alias("g")))
+        return F.struct((acc["at"] + block["at"]).alias("at"), F.concat(acc["lists"], F.array(own)).alias("lists"))
+
+    # Running offsets within blocks of about the root of the number of matches, then over the blocks.
+    size = F.greatest(F.size(parts), F.lit(1))
+    stride = F.ceil(F.sqrt(size)).cast("int")
+    blocks = F.transform(F.sequence(F.lit(1), size, stride), lambda at: F.slice(parts, at, stride))
+    folded = F.transform(blocks, lambda b: F.aggregate(b, F.struct(F.lit(0).alias("at"), empty.alias("found")), step))
+    none = F.array().cast("array<array<struct<s:int,n:int,g:int>>>")
+    spans = F.aggregate(folded, F.struct(F.lit(0).alias("at"), none.alias("lists")), shifted, lambda acc: F.flatten(acc["lists"]))
     return F.transform(spans, lambda m: F.struct(m["s"].alias("start"), F.lit(number).alias("number"), F.lit(rule.kind).alias("kind"), (m["s"] + m["n"]).alias("end")))
 
 
-def secret_spans(docs: DataFrame, rules: Sequence[Rule] = (*BASE, *MORE)) -> DataFrame:
+def secret_spans(docs: DataFrame, rules: Sequence[Rule] = (*BASE, *MORE), few: int = 100_000) -> DataFrame:
     """``doc_id``, ``text`` and ``spans`` of every row of ``docs`` (``doc_id``, ``text``).
 
     ``spans`` holds (start, number, kind, end) of each rule's accepted matches,
     leftmost and without overlap within a rule, in order of start, then of the
-    rules. Null counts as empty. Rows that repeat a doc_id and a text get
-    equal rows back; other columns are ignored.
+    rules. Null counts as empty; a text of any length is searched whole. Rows
+    that repeat a doc_id and a text get equal rows back; other columns are
+    ignored. Up to ``few`` candidates, counted first, go to the texts by a
+    broadcast and no text moves; more meet them in a sort-merge join.
     """
     index = materialize(build_index(docs, rules), "postings")
-    found = candidates(index, rules).withColumnsRenamed({"doc_id": "c_id", "text_key": "c_key"})
+    found = materialize(candidates(index, rules).withColumnsRenamed({"doc_id": "c_id", "text_key": "c_key"}), "candidates")
+    release(index)
     texts = _texts(docs)
     same = texts["doc_id"].eqNullSafe(found["c_id"]) & (texts["text_key"] == found["c_key"])
-    rows = texts.join(found.hint("merge"), same, "left").select("doc_id", "text", F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"))
+    found = F.broadcast(found) if found.count() <= few else found.hint("merge")
+    rows = texts.join(found, same, "left").select("doc_id", "text", F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"))
     none = F.array().cast("array<struct<start:int,number:int,kind:string,end:int>>")
     lists = []
     for i, rule in enumerate(rules):
