@@ -23,7 +23,7 @@ PHRASES = (
     ("mit license", "mit"),
 )
 
-# Openings of well-known license notices, at most 60 words each.
+# Openings of well-known license notices, then whole texts of short licenses.
 NOTICES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
     ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind"),
@@ -33,6 +33,11 @@ NOTICES = (
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution 3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions 1 the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required 2 altered source versions must be plainly marked as such and must not be misrepresented as being the original software 3 this notice may not be removed or altered from any source distribution"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law"),
 )
 
 _END = -7046029254386353131  # stands for the end of a text, where every text gets one row
@@ -45,8 +50,8 @@ def template_rows(phrase_k: int = 2, notice_k: int = 4) -> list[tuple]:
         for label, text in pairs:
             words = text.split()
             grams = len(words) - k + 1
-            if not 1 <= grams <= 63:
-                raise ValueError(f"a template has 1 to 63 {k}-grams: {text[:40]}")
+            if grams < 1:
+                raise ValueError(f"a template has at least {k} words: {text[:40]}")
             rows += [(number, label, k, i, " ".join(words[i : i + k]), grams, len(words)) for i in range(grams)]
             number += 1
     return rows
@@ -63,7 +68,7 @@ def _templates(spark: SparkSession, phrase_k: int, notice_k: int) -> DataFrame:
     part = [F.get(F.split("gram", " "), F.lit(i)) for i in range(max(phrase_k, notice_k))]
     table = table.withColumn("h", F.xxhash64("k", *part))
     end = spark.sql(f"SELECT -1 template, '' label, 0 k, 0 tpos, '' gram, 0 grams, 0 length, {_END}L h")
-    return F.broadcast(table.unionByName(end))  # a constant table of a few hundred rows
+    return F.broadcast(table.unionByName(end))  # a constant table: a row for each word of the templates
 
 
 def license_spans(docs: DataFrame, *, phrase_k: int = 2, notice_k: int = 4, gap: int = 4, least: float = 0.5, stretch: float = 2.0) -> DataFrame:
@@ -72,8 +77,9 @@ def license_spans(docs: DataFrame, *, phrase_k: int = 2, notice_k: int = 4, gap:
     A-Z count as a-z and words are runs of other characters than ASCII
     punctuation, space and control. Returns ``doc_id``, ``n_words`` and
     ``spans``: an array of (first, last, label, base, share), words from 0 and
-    last exclusive, in order. Null counts as empty and has no words. Rows that
-    repeat a doc_id and a text get equal rows back. Other columns are ignored.
+    last exclusive, in order. Null counts as empty and has no words; a text of
+    any length is read whole. Rows that repeat a doc_id and a text are counted
+    before they meet and get equal rows back. Other columns are ignored.
     """
     # lower() folds all letters; two of them would become ASCII ones and are taken out first.
     fold = F.lower(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("K"), F.lit("ⓩ")), F.lit("İ"), F.lit("ⓩ")))
@@ -93,16 +99,15 @@ def license_spans(docs: DataFrame, *, phrase_k: int = 2, notice_k: int = 4, gap:
     hits = hits.where((F.col("template") < 0) | same)
     hits = hits.select("doc_id", "text_key", "n_words", "template", "label", "k", "grams", "length", "pos", "tpos", (F.col("pos") - F.col("tpos")).alias("diagonal"))
     row = ["doc_id", "text_key"]
-    hits = hits.repartition(*row)  # all that follows keeps to this partitioning
-
+    # Positions seen and repeated rows are combined before the first shuffle; what follows is a row per diagonal.
     votes = hits.groupBy(*row, "n_words", "template", "label", "k", "grams", "length", "diagonal").agg(
-        F.bit_or(F.expr("shiftleft(1L, tpos)")).alias("mask"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.count("*").alias("rows")
+        F.collect_set("tpos").alias("places"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.count("*").alias("rows")
     )
     along = Window.partitionBy(*row, "template").orderBy("diagonal")
     far = (F.col("diagonal") - F.lag("diagonal").over(along)) > F.when(F.col("k") == phrase_k, 0).otherwise(gap)
     votes = votes.withColumn("fresh", F.coalesce(far, F.lit(True)).cast("int")).withColumn("run", F.sum("fresh").over(along))
     runs = votes.groupBy(*row, "n_words", "template", "label", "k", "grams", "length", "run").agg(
-        F.bit_count(F.bit_or("mask")).alias("seen"), F.min("first").alias("first"), (F.max("last") + F.first("k")).alias("last"), F.max("rows").alias("rows")
+        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("seen"), F.min("first").alias("first"), (F.max("last") + F.first("k")).alias("last"), F.max("rows").alias("rows")
     )
     runs = runs.withColumn("share", F.col("seen") / F.greatest("grams", F.lit(1))).withColumn("base", F.col("k") == phrase_k)
     fits = F.when(F.col("base"), F.col("seen") == F.col("grams")).otherwise(
@@ -110,7 +115,8 @@ def license_spans(docs: DataFrame, *, phrase_k: int = 2, notice_k: int = 4, gap:
     )
     span = F.when((F.col("template") >= 0) & fits, F.struct("first", "last", "label", "base", "share"))
     out = runs.groupBy(*row, "n_words").agg(F.sort_array(F.collect_list(span)).alias("spans"), F.max(F.when(F.col("template") < 0, F.col("rows"))).alias("rows"))
-    return out.withColumn("copy", F.explode(F.expr("sequence(1L, rows)"))).select("doc_id", "n_words", "spans")
+    out = out.withColumn("lot", F.explode(F.expr("sequence(0L, (rows - 1) div 10000)")))  # lots bound the array of copies
+    return out.withColumn("copy", F.explode(F.expr("sequence(1L, least(10000L, rows - 10000 * lot))"))).select("doc_id", "n_words", "spans")
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -146,12 +152,12 @@ g AS (SELECT rid, pos, w || ' ' || lead(w) OVER p AS g2,
       FROM w WINDOW p AS (PARTITION BY rid ORDER BY pos)),
 h AS (SELECT rid, pos, t.* FROM g JOIN t ON g.g2 = t.gram AND t.k = 2
       UNION ALL SELECT rid, pos, t.* FROM g JOIN t ON g.g4 = t.gram AND t.k = 4),
-v AS (SELECT rid, template, label, k, grams, length, pos - tpos AS diagonal, bit_or(1::BIGINT << tpos) AS mask,
+v AS (SELECT rid, template, label, k, grams, length, pos - tpos AS diagonal, list(DISTINCT tpos) AS places,
              min(pos) AS p0, max(pos) AS p1 FROM h GROUP BY ALL),
 f AS (SELECT *, coalesce(diagonal - lag(diagonal) OVER o > CASE WHEN k = 2 THEN 0 ELSE 4 END, true)::INT AS fresh
       FROM v WINDOW o AS (PARTITION BY rid, template ORDER BY diagonal)),
 r AS (SELECT *, sum(fresh) OVER (PARTITION BY rid, template ORDER BY diagonal) AS run FROM f),
-u AS (SELECT rid, template, label, k, grams, length, run, bit_count(bit_or(mask)) AS seen, min(p0) AS p0, max(p1) + k AS p1 FROM r
+u AS (SELECT rid, template, label, k, grams, length, run, len(list_distinct(flatten(list(places)))) AS seen, min(p0) AS p0, max(p1) + k AS p1 FROM r
       GROUP BY rid, template, label, k, grams, length, run),
 s AS (SELECT *, seen::DOUBLE / grams AS share FROM u
       WHERE CASE WHEN k = 2 THEN seen = grams ELSE seen::DOUBLE / grams >= 0.5e0 AND p1 - p0 <= 2 * length END),
