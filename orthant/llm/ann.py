@@ -124,7 +124,7 @@ def _rerank(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
 
 
 def nearest(
-    rows: DataFrame, asked, *, k: int = 5, trees: int = 4, depth: int = 8, leaf_sample: int = 64, sample: int = 20_000, recall: float = 0.97, block_rows: int = 20_000, seed: int = 11
+    rows: DataFrame, asked, *, k: int = 5, trees: int = 4, leaf_rows: int = 200, leaf_sample: int = 16, sample: int = 20_000, sample_values: int = 8_000_000, recall: float = 0.97, block_rows: int = 20_000, seed: int = 11
 ) -> DataFrame:
     """The ``k`` rows nearest by cosine to each row of ``rows`` (``vec_id``, ``embedding``) where ``asked`` holds.
 
@@ -132,8 +132,13 @@ def nearest(
     hold null or non-finite components take no part, nor do those of another
     length than the most frequent one. Returns ``query_id``, ``rank`` (from
     1), ``vec_id`` and ``score``, ties to the smaller vec_id; all candidates,
-    if there are fewer than k. Repeated rows count once. The index is fitted
-    on ``sample`` rows at most; all rows are indexed.
+    if there are fewer than k: a query whose leaves hold too few is searched
+    again in four times as many until it has them. Repeated rows count once.
+
+    All rows are indexed. The index is fitted on ``sample`` rows at most, and
+    no more than hold ``sample_values`` components. Trees grow with the table,
+    to leaves of about ``leaf_rows`` rows, until a leaf has ``leaf_sample``
+    rows of the sample.
     """
     spark = rows.sparkSession
     vectors = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"), asked.alias("asked"))
@@ -155,10 +160,10 @@ def nearest(
     distinct = materialize(distinct.withColumn("id", F.col("ids")[0]), "distinct")
     count = distinct.count()
 
-    most = max(leaf_sample, min(sample, 8_000_000 // lengths["n"]))
+    most = max(leaf_sample, min(sample, sample_values // lengths["n"]))
     drawn = distinct.orderBy(F.xxhash64("id"), "id").select("vector").limit(most).toPandas()
     unit = _unit(drawn["vector"])
-    depth = max(0, min(depth, int(np.log2(max(1, len(unit) // leaf_sample)))))
+    depth = int(max(0, min(np.round(np.log2(count / leaf_rows)), np.floor(np.log2(max(1, len(unit) / leaf_sample))))))
     forest = Forest.fit(unit, trees, depth, seed)
     forest.calibrate(unit, k, recall)
     blocks = max(1, -(-count // ((1 << depth) * block_rows)))
@@ -168,11 +173,11 @@ def nearest(
             leaves = forest.route(_unit(frame["vector"])) if len(frame) else np.zeros((0, trees), np.int64)
             yield pd.concat([pd.DataFrame({"tree": t, "leaf": leaves[:, t], "block": frame["id"] % blocks, "id": frame["id"], "vector": frame["vector"]}) for t in range(trees)])
 
-    def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def probe(frames: Iterator[pd.DataFrame], probes: int) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for i in range(0, len(frame), 512):
-                part = frame.iloc[i : i + 512]
-                visits = forest.search(_unit(part["vector"]))
+            for i in range(0, len(frame), 64):
+                part = frame.iloc[i : i + 64]
+                visits = forest.search(_unit(part["vector"]), probes)
                 back = np.repeat(np.arange(len(part)), [len(v) for v in visits])
                 flat = np.array([x for v in visits for x in v], np.int64).reshape(-1, 2)
                 for b in range(blocks):
@@ -184,22 +189,39 @@ def nearest(
     wanted = queries.groupBy("key", "vector").agg(F.min("vec_id").alias("id"))
     wanted = materialize(wanted, "queries")
     indexed = distinct.select("id", "vector").mapInPandas(home, shape)
-    visits = wanted.select("id", "vector").mapInPandas(probe, shape)
 
     def score(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(r):
             return pd.DataFrame({"query": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
         return _rerank(q, r, k + 1)
 
-    found = visits.groupBy(*cell).cogroup(indexed.groupBy(*cell)).applyInPandas(score, "query long, id long, score double")
-    found = found.groupBy("query", "id").agg(F.max("score").alias("score"))
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    found = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
-    answers = found.join(distinct.select("id", "ids"), "id").select("query", "score", F.explode("ids").alias("vec_id"))
-    first = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    answers = answers.withColumn("place", F.row_number().over(first)).where(F.col("place") <= k + 1)
-    lists = answers.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("near"))
-    lists = materialize(lists.join(wanted.select(F.col("id").alias("query"), "key", F.col("vector").alias("theirs")), "query").drop("query"), "answers")
+    def search(asked: DataFrame, probes: int) -> DataFrame:
+        """``query``, its vector and the list of its k + 1 nearest ids, its own among them."""
+        tasks = max(1, min(4096, -(-asked.count() // 64)))  # a walk through the trees costs more than a row's transfer
+        visits = asked.select("id", "vector").repartition(tasks, "id").mapInPandas(lambda frames: probe(frames, probes), shape)
+        found = visits.groupBy(*cell).cogroup(indexed.groupBy(*cell)).applyInPandas(score, "query long, id long, score double")
+        found = found.groupBy("query", "id").agg(F.max("score").alias("score"))
+        best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+        found = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
+        answers = found.join(distinct.select("id", "ids"), "id").select("query", "score", F.explode("ids").alias("vec_id"))
+        first = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+        answers = answers.withColumn("place", F.row_number().over(first)).where(F.col("place") <= k + 1)
+        lists = answers.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("near"))
+        return materialize(asked.join(lists, F.col("id") == F.col("query"), "left").select("id", "key", F.col("vector").alias("theirs"), "near"), "answers")
+
+    need = min(k + 1, single.select("vec_id").distinct().count())
+    probes, answers, lists = forest.probes, search(wanted, forest.probes), None
+    while True:
+        whole = F.coalesce(F.size("near") >= need, F.lit(False))
+        complete = probes >= trees << depth
+        done = answers if complete else answers.where(whole)
+        lists = done if lists is None else lists.unionByName(done)
+        short = answers.where(~whole)
+        if complete or short.isEmpty():
+            break
+        probes = min(4 * probes, trees << depth)
+        answers = search(short.select("id", "key", F.col("theirs").alias("vector")), probes)
+    lists = lists.select("key", "theirs", "near")
 
     each = queries.select("vec_id", "key", "vector").distinct().join(lists, "key").where("vector = theirs")
     near = F.slice(F.filter("near", lambda c: c["vec_id"] != F.col("vec_id")), 1, k)
