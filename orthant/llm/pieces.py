@@ -34,7 +34,7 @@ def default_model() -> str:
 class PieceCodec:
     """Encoder and decoder for one BPE model file with byte fallback and identity normalisation."""
 
-    def __init__(self, model_path: str, cache_size: int = 300_000):
+    def __init__(self, model_path: str, cache_bytes: int = 96_000_000, longest_cached: int = 256):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)
@@ -76,7 +76,7 @@ class PieceCodec:
         self.cut = re.compile(f"{SPACE}+[^{SPACE}{stop}]*|[^{SPACE}{stop}]+" + (f"|[{stop}]+" if stop else ""))
         self.names = [str(i) for i in range(n)]
         self.cache: dict[str, tuple[bytes, str, bytes]] = {}
-        self.cache_size = cache_size
+        self.cache_bytes, self.longest_cached, self.cached = cache_bytes, longest_cached, 0
 
     def _look_up(self, symbols: np.ndarray, word: np.ndarray, at: np.ndarray, rank: np.ndarray, to: np.ndarray) -> None:
         """Set rank and merged piece of the pairs that start at the places ``at``."""
@@ -153,19 +153,27 @@ class PieceCodec:
         return out
 
     def entries(self, texts: list[str]) -> Iterator[list[tuple[bytes, str, bytes]]]:
-        """For each text, its words' (ids as int32 bytes, ids as text, decoded bytes)."""
+        """For each text, its words' (ids as int32 bytes, ids as text, decoded bytes).
+
+        Words of up to ``longest_cached`` characters are remembered between
+        calls, in about ``cache_bytes``; then the memory starts anew.
+        """
         cut = [self.cut.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         here = set().union(*cut)
-        wanted = [w for w in here if w not in self.cache]
-        if len(self.cache) + len(wanted) > self.cache_size:
-            self.cache = {w: self.cache[w] for w in here if w in self.cache}
+        found = {w: self.cache[w] for w in here if w in self.cache}
+        wanted = [w for w in here if w not in found]
         if wanted:
             for w, ids in zip(wanted, self.encode_words(wanted)):
                 each = ids.tolist()
-                self.cache[w] = (ids.tobytes(), ",".join([self.names[i] for i in each]), b"".join([self.bytes[i] for i in each]))
-        entry = self.cache.__getitem__
+                found[w] = (ids.tobytes(), ",".join([self.names[i] for i in each]), b"".join([self.bytes[i] for i in each]))
+                if len(w) <= self.longest_cached:  # a longer word is as rare as it is large
+                    self.cached += 400 + 3 * len(w) + sum(map(len, found[w]))  # objects and characters
+                    self.cache[w] = found[w]
+        entry = found.__getitem__
         for words in cut:
             yield list(map(entry, words))
+        if self.cached > self.cache_bytes:
+            self.cache, self.cached = {}, 0
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join([self.bytes[i] for i in ids])
