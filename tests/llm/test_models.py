@@ -29,31 +29,108 @@ def test_language_by_held_out_accuracy(spark):
     assert langid.query(both.limit(0)).collect() == []
 
 
-def test_gru_gradients_are_those_of_the_loss():
-    from orthant.llm.langid import WINDOW, ByteGru
-
-    model = ByteGru.fresh(["a", "b", "c"], 4, 1)
+def _double(model):
     model.table, model.recur, model.out = ([x.astype(np.float64) for x in part] for part in (model.table, model.recur, model.out))
     model.bias = model.bias.astype(np.float64)
+    return model
+
+
+def _batch(rng, sizes):
+    from orthant.llm import langid
+
+    raw = rng.integers(97, 100, sum(sizes)).astype(np.uint8)
+    begin, length, ptr = langid.windows(np.concatenate(([0], np.cumsum(sizes))))
+    text = np.repeat(np.arange(len(sizes)), np.diff(ptr))
+    first, last = np.isin(np.arange(len(begin)), ptr[:-1]), np.isin(np.arange(len(begin)), ptr[1:] - 1)
+    order = np.argsort(-length, kind="stable")
+    return langid.batch_of(raw, begin[order], length[order], first[order], last[order]), text[order]
+
+
+def test_gru_gradients_are_those_of_the_loss():
+    from orthant.llm.langid import ByteGru
+
+    model = _double(ByteGru.fresh(["a", "b", "c"], 4, 1))
     rng = np.random.default_rng(0)
-    length = np.array([7, 4, 1])
-    rows = np.where(np.arange(WINDOW) < length[:, None], rng.integers(97, 100, (3, WINDOW)), 0).astype(np.uint8)
-    label = np.array([0, 2, 1])
+    batch, label = _batch(rng, [7, 4, 1])  # one window each, so no state comes from outside
+    length = batch.length
 
     def loss():
-        p = model.positions(rows, length)
-        inside = np.arange(WINDOW) < length[:, None]
-        return -np.log(p[np.arange(3), :, label])[inside].sum() / length.sum()
+        p = model.positions(batch)
+        inside = np.arange(p.shape[1])[:, None] < length
+        return -np.log(p[label, :, np.arange(len(length))].T)[inside].sum() / length.sum()
 
-    for value, grad in zip(model.parameters(), model.gradients(rows, length, label)):
-        for at in [tuple(rng.integers(0, n) if n != 256 else rng.integers(97, 100) for n in value.shape) for _ in range(4)]:
+    for value, grad in zip(model.parameters(), model.gradients(batch, label)):
+        for at in [tuple(rng.integers(0, n) if n != 256 else rng.integers(97, 100) for n in value.shape) for _ in range(6)]:
             old = value[at]
-            value[at] = old + 1e-3
+            value[at] = old + 1e-4
             up = loss()
-            value[at] = old - 1e-3
+            value[at] = old - 1e-4
             down = loss()
             value[at] = old
-            assert abs((up - down) / 2e-3 - grad[at]) < 2e-4
+            assert abs((up - down) / 2e-4 - grad[at]) < 2e-4
+
+
+def plain_language(model, text):
+    """The network in loops: every window read from the bytes before (behind) it that its context holds."""
+    from orthant.llm.langid import CONTEXT, CORE
+
+    data = [c + 32 if 65 <= c <= 90 else c for c in text.encode()]
+    n, parts, total = len(data), -(-len(data) // CORE), [0.0] * len(model.languages)
+    for w in range(parts):
+        low, high = w * n // parts, (w + 1) * n // parts
+        logits = {k: list(model.bias) for k in range(low, high)}
+        for way, order in ((0, range(low - (CONTEXT if w else 0), high)), (1, range(high - 1 + (CONTEXT if w + 1 < parts else 0), low - 1, -1))):
+            state = [0.0] * len(model.recur[way][0])
+            for k in order:
+                fed = [[sum(s * row[j] for s, row in zip(state, gate)) for j in range(len(state))] for gate in model.recur[way]]
+                z, r = ([min(1.0, max(0.0, 0.25 * (model.table[way][g][data[k]][j] + fed[g][j]) + 0.5)) for j in range(len(state))] for g in (0, 1))
+                new = [model.table[way][2][data[k]][j] + r[j] * fed[2][j] for j in range(len(state))]
+                state = [v / (1 + abs(v)) + q * (s - v / (1 + abs(v))) for v, q, s in zip(new, z, state)]
+                if k in logits:
+                    logits[k] = [x + sum(s * row[c] for s, row in zip(state, model.out[way])) for c, x in enumerate(logits[k])]
+        for row in logits.values():
+            weights = [np.exp(x - max(row)) for x in row]
+            total = [t + v / sum(weights) for t, v in zip(total, weights)]
+    best = max(range(len(total)), key=lambda c: total[c])
+    return model.languages[best], total[best] / n
+
+
+def test_language_network_against_plain_loops(spark):
+    from orthant.llm import langid
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("length(text) < 700").limit(40)
+    model = langid.train(docs, rounds=2)
+    texts = [(k, t, "x") for k, t in enumerate([r["text"] for r in docs.collect()] + ["日本語" * 50, "A", "b" * 129, "c" * 128])]
+    texts += texts[:3]  # repeated rows
+    rows = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    got = langid.identify_documents(rows, model).collect()
+    assert len(got) == len(texts)
+    wide = _double(model)
+    for r in got:
+        lang, score = plain_language(wide, texts[r["doc_id"]][1])
+        assert r["lang_pred"] == lang and abs(r["score"] - score) < 1e-4
+
+
+def test_language_of_a_very_long_text(spark):
+    from orthant.llm import langid
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    row = docs.where("lang = 'fr' and length(text) > 300").orderBy("doc_id").first()
+    long = spark.createDataFrame([(1, " ".join([row["text"]] * (4_000_000 // len(row["text"]))), "fr")], "doc_id long, text string, lang string")
+    model = langid.train(docs.unionByName(long, allowMissingColumns=True), rounds=3)
+    assert langid.identify_documents(long, model).first()["lang_pred"] == "fr"
+
+
+def test_row_sample_is_exact(spark):
+    from orthant.llm.sampling import row_sample
+
+    rows = [("same id", 1, f"t{k}") for k in range(3000)] + [("one row", 2, "t")] * 500 + [("few", k, "t") for k in range(7)] + [(None, 1, "t")]
+    table = spark.createDataFrame(rows, "lang string, doc_id long, text string").repartition(3)
+    for n in (1, 40, 2900):
+        got = row_sample(table, "lang", ["doc_id", "text"], n).collect()
+        assert len(set(got)) == len(got)
+        found = {name: sum(r["lang"] == name for r in got) for name in ("same id", "one row", "few")}
+        assert found == {"same id": n, "one row": 1, "few": min(n, 7)} and len(got) == sum(found.values())
 
 
 def test_quality_separates_grades(spark):
@@ -83,6 +160,67 @@ def test_quality_separates_grades(spark):
     assert quality.query(docs.select("doc_id", "text").limit(0), labels).collect() == []
 
 
+def plain_hash(word):
+    """The hash of a word, in integers."""
+    from orthant.llm import kernels
+
+    wrap = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & wrap
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & wrap
+        return x ^ (x >> 31)
+
+    data = [c + 32 if 65 <= c <= 90 else c for c in word]
+    total = sum(mix((c + 1) * 0x9E3779B97F4A7C15 & wrap) * pow(kernels._RADIX, k, 1 << 64) for k, c in enumerate(data))
+    return mix((total + len(data) * 0x9E3779B97F4A7C15) & wrap), mix
+
+
+def plain_tails(model, text):
+    from orthant.llm.quality import BUCKETS
+
+    raw = (text or "").encode()
+    letter = lambda c: 65 <= c <= 90 or 97 <= c <= 122 or c >= 128
+    sign = lambda c: not letter(c) and c not in b" \t\n\x0b\x0c\r" and not 48 <= c <= 57
+
+    def runs(test):
+        out, own = [], b""
+        for c in raw + b" ":
+            if c != 0x20 and test(c):
+                own += bytes([c])
+            elif own:
+                out, own = [*out, own], b""
+        return out
+
+    words, signs = runs(letter), runs(sign)
+    mix = plain_hash(b"")[1]
+    hashes = [plain_hash(w)[0] for w in words]
+    again = sum(a == b for a, b in zip(hashes, hashes[1:]))
+    shout = sum(len(w) > 2 and 65 <= w[-1] <= 90 for w in words)
+    n, size = max(1, len(words)), max(1, len(raw))
+    pairs = [(again, n), (shout, n), (len(signs), size), (n, n)]
+    levels = [int(np.log2(1 + c)) for c, _ in pairs] + [int(20 * c / whole) for c, whole in pairs[:3]]
+    found = {h % BUCKETS for h in hashes} | {mix((plain_hash(w)[0] + 1) & ((1 << 64) - 1)) % BUCKETS for w in signs}
+    found |= {mix(level + 1000 * (k + 1)) % BUCKETS for k, level in enumerate(levels)}
+    score = sum(model.weights[b] for b in found)
+    return [1 / (1 + np.exp(t - score)) for t in model.thresholds]
+
+
+def test_quality_against_plain_loops(spark):
+    from orthant.llm import quality
+
+    docs, labels = (spark.read.parquet(f"{DATA}/{name}.parquet") for name in ("documents", "labels"))
+    model = quality.train(docs, labels.select("doc_id", quality.grade_of(F.col("quality"), F.col("toxic")).alias("grade")))
+    assert (model.weights != 0).sum() > 100
+    odd = [(10**6, None), (10**6 + 1, ""), (10**6 + 2, "WORD word !! ## 42\n" * 20_000)]
+    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    got = {r["doc_id"]: r for r in quality.grade_documents(table, model).collect()}
+    for i, text in [tuple(r) for r in docs.select("doc_id", "text").collect()][:120] + odd[:2]:
+        assert np.allclose(got[i]["tails"], plain_tails(model, text), atol=1e-9)
+        assert abs(got[i]["expected_grade"] - sum(got[i]["tails"])) < 1e-12
+    assert len(got) == table.count()
+
+
 def test_ordinal_fit_lowers_the_loss():
     from orthant.llm.quality import fit
 
@@ -132,6 +270,30 @@ def test_chat_detects_rewriting():
         assert chat.read_back(chat.default_template([("r", text), (text, "t")], True)) == [("r", text), (text, "t")]
 
 
+def test_chat_finds_bodies_behind_changing_frames():
+    from orthant.llm import chat
+
+    def growing(turns, start):  # a frame that begins with the one before it
+        return "".join("#" * (k // 2 + 1) + text + "~" * (k // 2) + "\n" for k, (_, text) in enumerate(turns))
+
+    texts = ["a", "0", "", "#x#", "00", "10", "~", "01"]
+    found = chat.render_turns([("user", t) for t in texts], growing)
+    assert [found.text[a:b] for a, b in found.bodies] == texts and not found.rewrites
+
+
+def test_chat_splits_turns_without_numbers(spark):
+    from orthant.llm import chat
+
+    rows = [(1, None, "user", f"{k:03d}") for k in range(300)] + [(2, 5, "assistant", f"{k:03d}") for k in range(300)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    parts = chat.format_conversations(table).collect()
+    assert sorted((r["conv_id"], r["block"], len(r["spans"])) for r in parts) == [(c, b, n) for c in (1, 2) for b, n in ((0, 128), (1, 128), (2, 44))]
+    got = {r["conv_id"]: tuple(r)[1:5] for r in chat.query(table).collect()}
+    assert got == brute_chat(rows + [(-1, t, r, "</s>[INST] ok [/INST]") for t, r in enumerate(("user", "assistant"))])
+    long = spark.createDataFrame([(1, 0, "assistant", "<s>x" * 500_000)], "conv_id long, turn long, role string, text string")
+    assert {r["conv_id"]: r["loss_chars"] for r in chat.query(long).collect()}[1] == 2_000_000
+
+
 def test_chat_templates_see_the_whole_conversation(spark):
     from orthant.llm import chat
 
@@ -185,6 +347,23 @@ def test_neighbours(spark):
     assert ann.query(table.limit(0)).collect() == [] and ann.query(table.where("vec_id >= 3000 and vec_id < 3250")).collect() == []
 
 
+def test_neighbours_without_structure(spark):
+    from orthant.llm import ann
+
+    rng = np.random.default_rng(4)
+    vectors = {i: [float(np.float32(x)) for x in rng.standard_normal(24)] for i in range(2000)}
+    table = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.query(table).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    want = brute_neighbours(vectors)
+    assert {q: len(x) for q, x in got.items()} == {q: 5 for q in want}
+    assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.9 * sum(map(len, want.values()))
+    # Leaves with too few rows: the search goes on until it has k.
+    few = ann.nearest(table, F.col("vec_id") % 50 == 0, k=40, leaf_rows=8, leaf_sample=4, recall=0.01)
+    assert few.count() == 40 * 40
+
+
 def test_neighbours_of_a_hot_vector_with_repeated_rows(spark):
     from orthant.llm import ann
 
