@@ -16,7 +16,7 @@ from orthant.llm.langid import UNDETERMINED, predictor, train
 from orthant.llm.mixing import mixed_documents
 from orthant.llm.near_dup import near_duplicates
 from orthant.llm.pieces import encode_documents
-from orthant.storage import materialize, release, ship
+from orthant.storage import as_table, materialize, release, ship
 
 ROW = "pipeline_row"
 
@@ -47,8 +47,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     A plain table has it in its files: number of the file and place in it.
     Anything else is written once and then read as such.
     """
-    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation" or any(not f.endswith(".parquet") for f in docs.inputFiles()):
-        docs = materialize(docs, "rows")
+    docs = as_table(docs)
     file = F.col("_metadata.file_path")
     names = sorted(r[0] for r in docs.select(file.alias("file")).distinct().collect())
     table = docs.sparkSession.createDataFrame(list(enumerate(names)), "pipeline_file long, pipeline_path string")
