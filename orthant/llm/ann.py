@@ -7,7 +7,8 @@ the whole forest. How many is calibrated on the sample against brute force, so
 clustered data takes few leaves and data without structure takes many. Leaf
 rows are reranked exactly.
 
-Equal vectors are one row with their smallest ids, and a leaf of more than
+Equal vectors are one row with their smallest ids. Neighbouring leaves of a tree
+form a cell that one task reranks leaf by leaf, and a cell of more than
 ``block_rows`` rows is cut into blocks, so neither a hot vector nor a hot leaf
 meets in one task.
 """
@@ -112,15 +113,33 @@ def _unit(vectors: pd.Series) -> np.ndarray:
 
 
 def _rerank(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best rows for each query; scores are sums over the original components alone."""
+    """The k best rows for each query in the leaves that it visits; scores are sums over the original components alone."""
     q, r = np.stack(queries["vector"].to_numpy()).astype(np.float64), np.stack(rows["vector"].to_numpy()).astype(np.float64)
     q_norm, r_norm = np.sqrt((q * q).sum(axis=1)), np.sqrt((r * r).sum(axis=1))
-    score = (q @ r.T) / q_norm[:, None] / r_norm
-    take = min(k + 2, len(r))  # two to spare for the rounding of the matrix product
-    best = np.argpartition(-score, take - 1, axis=1)[:, :take]
-    left, right = np.repeat(np.arange(len(q)), take), best.reshape(-1)
-    exact = (q[left] * r[right]).sum(axis=1) / (q_norm[left] * r_norm[right])
-    return pd.DataFrame({"query": queries["id"].to_numpy()[left], "id": rows["id"].to_numpy()[right], "score": np.clip(exact, -1.0, 1.0)})
+    visits = queries["leaves"].to_numpy()
+    asker, asked = np.repeat(np.arange(len(q)), [len(v) for v in visits]), np.concatenate(visits)
+    leaf = rows["leaf"].to_numpy()
+    order, by_leaf = np.argsort(leaf, kind="stable"), np.argsort(asked, kind="stable")
+    found = []
+    for name in np.unique(leaf):
+        own = order[np.searchsorted(leaf[order], name) : np.searchsorted(leaf[order], name, "right")]
+        who = asker[by_leaf[np.searchsorted(asked[by_leaf], name) : np.searchsorted(asked[by_leaf], name, "right")]]
+        for i in range(0, len(who), 2048):
+            part = who[i : i + 2048]
+            score = (q[part] @ r[own].T) / q_norm[part][:, None] / r_norm[own]
+            take = min(k + 2, len(own))  # two to spare for the rounding of the matrix product
+            best = own[np.argpartition(-score, take - 1, axis=1)[:, :take]].reshape(-1)
+            left = np.repeat(part, take)
+            exact = (q[left] * r[best]).sum(axis=1) / (q_norm[left] * r_norm[best])
+            found.append((left, best, np.clip(exact, -1.0, 1.0)))
+    if not found:
+        return pd.DataFrame({"query": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
+    left, best, score = (np.concatenate(x) for x in zip(*found))
+    ids = rows["id"].to_numpy()[best]
+    order = np.lexsort((ids, -score, left))
+    left, ids, score = left[order], ids[order], score[order]
+    place = np.arange(len(left)) - np.searchsorted(left, left)
+    return pd.DataFrame({"query": queries["id"].to_numpy()[left], "id": ids, "score": score})[place < k]
 
 
 def nearest(
@@ -166,29 +185,33 @@ def nearest(
     depth = int(max(0, min(np.round(np.log2(count / leaf_rows)), np.floor(np.log2(max(1, len(unit) / leaf_sample))))))
     forest = Forest.fit(unit, trees, depth, seed)
     forest.calibrate(unit, k, recall)
-    blocks = max(1, -(-count // ((1 << depth) * block_rows)))
+    # Leaves that lie together are one cell, so that a query goes to few tasks; a cell is cut into blocks.
+    bits = min(depth, max(6, int(np.ceil(np.log2(max(1, count / block_rows))))))
+    shift, blocks = depth - bits, max(1, -(-count // ((1 << bits) * block_rows)))
 
     def home(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             leaves = forest.route(_unit(frame["vector"])) if len(frame) else np.zeros((0, trees), np.int64)
-            yield pd.concat([pd.DataFrame({"tree": t, "leaf": leaves[:, t], "block": frame["id"] % blocks, "id": frame["id"], "vector": frame["vector"]}) for t in range(trees)])
+            yield pd.concat([pd.DataFrame({"tree": t, "cell": leaves[:, t] >> shift, "block": frame["id"] % blocks, "id": frame["id"], "vector": frame["vector"], "leaf": leaves[:, t]}) for t in range(trees)])
 
     def probe(frames: Iterator[pd.DataFrame], probes: int) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for i in range(0, len(frame), 64):
                 part = frame.iloc[i : i + 64]
-                visits = forest.search(_unit(part["vector"]), probes)
-                back = np.repeat(np.arange(len(part)), [len(v) for v in visits])
-                flat = np.array([x for v in visits for x in v], np.int64).reshape(-1, 2)
-                for b in range(blocks):
-                    yield pd.DataFrame({"tree": flat[:, 0], "leaf": flat[:, 1], "block": b, "id": part["id"].to_numpy()[back], "vector": part["vector"].to_numpy()[back]})
-
-    shape = "tree long, leaf long, block long, id long, vector array<double>"
-    cell = ["tree", "leaf", "block"]
+                out = []
+                for i, v, leaves in zip(part["id"], part["vector"], forest.search(_unit(part["vector"]), probes)):
+                    cells: dict[tuple[int, int], list[int]] = {}
+                    for t, leaf in leaves:
+                        cells.setdefault((t, leaf >> shift), []).append(leaf)
+                    out += [(t, cell, b, i, v, own) for (t, cell), own in cells.items() for b in range(blocks)]
+                yield pd.DataFrame(out, columns=["tree", "cell", "block", "id", "vector", "leaves"])
+
+    shape = "tree long, cell long, block long, id long, vector array<double>"
+    cell = ["tree", "cell", "block"]
     queries = vectors.where("asked").select("vec_id", "key", "vector")
     wanted = queries.groupBy("key", "vector").agg(F.min("vec_id").alias("id"))
     wanted = materialize(wanted, "queries")
-    indexed = distinct.select("id", "vector").mapInPandas(home, shape)
+    indexed = distinct.select("id", "vector").mapInPandas(home, shape + ", leaf long")
 
     def score(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(r):
@@ -198,7 +221,7 @@ def nearest(
     def search(asked: DataFrame, probes: int) -> DataFrame:
         """``query``, its vector and the list of its k + 1 nearest ids, its own among them."""
         tasks = max(1, min(4096, -(-asked.count() // 64)))  # a walk through the trees costs more than a row's transfer
-        visits = asked.select("id", "vector").repartition(tasks, "id").mapInPandas(lambda frames: probe(frames, probes), shape)
+        visits = asked.select("id", "vector").repartition(tasks, "id").mapInPandas(lambda frames: probe(frames, probes), shape + ", leaves array<long>")
         found = visits.groupBy(*cell).cogroup(indexed.groupBy(*cell)).applyInPandas(score, "query long, id long, score double")
         found = found.groupBy("query", "id").agg(F.max("score").alias("score"))
         best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
