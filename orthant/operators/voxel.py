@@ -48,19 +48,22 @@ def erode(voxels: DataFrame, layers: int) -> DataFrame:
     return out
 
 
-def clearance(voxels: DataFrame, most: int = 64) -> DataFrame:
-    """Chessboard depth of each cell: how many layers of erosion it survives, plus one."""
-    level, rest, out = 0, voxels.select(*IJK).distinct(), None
-    from orthant.storage import materialize
+def clearance(voxels: DataFrame) -> DataFrame:
+    """Chessboard depth of each cell: how many layers of erosion it survives, plus one.
 
-    rest = materialize(rest, "clearance")
-    while level < most and not rest.isEmpty():
+    One round a layer until nothing is left; each round's cells are written, so
+    the plan of a deep solid does not grow.
+    """
+    from orthant.storage import materialize, release
+
+    level, rest, done = 0, materialize(voxels.select(*IJK).distinct(), "clearance"), []
+    while not rest.isEmpty():
         level += 1
         inner = materialize(erode(rest, 1), "clearance")
-        gone = rest.join(inner, list(IJK), "left_anti").withColumn("clearance", F.lit(level))
-        out = gone if out is None else out.unionByName(gone)
+        done.append(materialize(rest.join(inner, list(IJK), "left_anti").withColumn("clearance", F.lit(level).cast("long")), "layer"))
+        release(rest)
         rest = inner
-    return out if out is not None else voxels.select(*IJK).withColumn("clearance", F.lit(0))
+    return reduce(DataFrame.unionByName, done) if done else rest.withColumn("clearance", F.lit(0).cast("long"))
 
 
 def euclidean_band(voxels: DataFrame, radius: float, width: float = 1.0) -> DataFrame:
