@@ -21,26 +21,19 @@ def _planes(box: dict) -> tuple[np.ndarray, np.ndarray]:
     return n, n @ np.asarray(box["center"], float) + np.repeat(half, 2)
 
 
-def _clip(polygon: np.ndarray, n: np.ndarray, c: float, eps: float) -> tuple[np.ndarray | None, np.ndarray | None]:
-    """Parts of a convex polygon inside and outside the half-space n . x <= c."""
-    d = polygon @ n - c
-    if (d <= eps).all():
-        return polygon, None
-    if (d >= -eps).all():
-        return None, polygon
-    inside, outside = [], []
-    for i in range(len(polygon)):
-        j = (i + 1) % len(polygon)
-        if d[i] <= eps:
-            inside.append(polygon[i])
-        if d[i] >= -eps:
-            outside.append(polygon[i])
-        if (d[i] < -eps and d[j] > eps) or (d[i] > eps and d[j] < -eps):
-            cut = polygon[i] + (polygon[j] - polygon[i]) * (d[i] / (d[i] - d[j]))
-            inside.append(cut)
-            outside.append(cut)
-    keep = lambda p: np.array(p) if len(p) >= 3 else None
-    return keep(inside), keep(outside)
+def _split(polygon: np.ndarray, height: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """The parts of a convex polygon below and above height 0, given at its corners; a part without area is empty.
+
+    Corners within ``eps`` of 0 are on the line; the points at which edges
+    cross it are put in between, and then each part is a mere selection.
+    """
+    height = np.where(np.abs(height) <= eps, 0.0, height)
+    ahead = np.roll(height, -1)
+    cross = np.flatnonzero(height * ahead < 0)
+    share = (height[cross] / (height[cross] - ahead[cross]))[:, None]
+    points = polygon[cross] * (1 - share) + np.roll(polygon, -1, axis=0)[cross] * share
+    polygon, height = np.insert(polygon, cross + 1, points, axis=0), np.insert(height, cross + 1, 0.0)
+    return tuple(polygon[side] if (side & (height != 0)).any() else polygon[:0] for side in (height <= 0, height >= 0))
 
 
 def corners(box: dict) -> np.ndarray:
@@ -57,21 +50,18 @@ def face_remains(face: np.ndarray, normal: np.ndarray, owner: int, others: Seque
     parts = [face]
     for number, box in others:
         n, c = _planes(box)
-        same = (n @ normal > 1 - 1e-9) & (np.abs(face @ n.T - c).max(axis=0) <= eps)
-        if same.any() and number > owner:
+        flush = np.abs(face @ n.T - c).max(axis=0) <= eps  # sides of the other box in the face's plane
+        if number > owner and (flush & (n @ normal > 1 - 1e-9)).any():
             continue
-        rest = []
+        cuts, left = np.flatnonzero(~flush), []
         for part in parts:
-            inner = part
-            for k in range(6):
-                if inner is None:
+            for k in cuts:  # what lies beyond a side is outside the box; the rest meets the next side
+                part, beyond = _split(part, part @ n[k] - c[k], eps)
+                if len(beyond) >= 3 and polygon_area(beyond) > eps * eps:
+                    left.append(beyond)
+                if len(part) < 3:
                     break
-                if np.abs(inner @ n[k] - c[k]).max() <= eps:
-                    continue  # lies in this side, so is not outside of it
-                inner, out = _clip(inner, n[k], c[k], eps)
-                if out is not None and polygon_area(out) > eps * eps:
-                    rest.append(out)
-        parts = rest
+        parts = left
     return parts
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
-from itertools import permutations
+from itertools import product
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -61,28 +61,27 @@ class Solid:
         return total
 
     def certify(self, box: dict, strict: bool = True) -> bool:
-        """The box lies within safe cells: a full bounding box is enough, else every unsafe cell is tested by separating axes."""
+        """No unsafe cell overlaps the box.
+
+        A cell overlaps where its centre lies inside the sum of box and cell, a
+        body spanned by their six edges; its sides are the planes of two edges.
+        """
         # A flat box that lies on a border of cells is in the cells of both sides, not in none.
-        size = np.maximum(box["dimensions"], 1e-6 * self.width)
-        half = np.abs(box["rotation"]) @ size / 2
+        edges = np.concatenate((box["rotation"].T * np.maximum(box["dimensions"], 1e-6 * self.width)[:, None], np.eye(3) * self.width)) / 2
+        reach = np.abs(edges[:3]).sum(axis=0)
         slack = 0.0 if strict else 1e-9
-        low = np.floor((box["center"] - half - self.origin) / self.width + slack).astype(int)
-        high = np.maximum(low + 1, np.ceil((box["center"] + half - self.origin) / self.width - slack).astype(int))
+        low = np.floor((box["center"] - reach - self.origin) / self.width + slack).astype(int)
+        high = np.maximum(low + 1, np.ceil((box["center"] + reach - self.origin) / self.width - slack).astype(int))
         if (low < 0).any() or (high > self.safe.shape).any():
             return False
-        if self.count(low, high) == np.prod(high - low):
-            return True
-        at = np.argwhere(~self.safe[low[0] : high[0], low[1] : high[1], low[2] : high[2]]) + low
-        d = self.origin + (at + 0.5) * self.width - box["center"]
-        r, side, h = box["rotation"], size / 2, self.width / 2
-        axes = [*np.eye(3), *r.T, *(np.cross(e, a) for e in np.eye(3) for a in r.T)]
-        apart = np.zeros(len(d), bool)
-        for axis in axes:
-            length = np.linalg.norm(axis)
-            if length > 1e-12:
-                reach = h * np.abs(axis).sum() + side @ np.abs(axis @ r) - (0.0 if strict else 1e-8 * self.width * length)
-                apart |= np.abs(d @ axis) >= reach
-        return bool(apart.all())
+        unsafe = np.argwhere(~self.safe[tuple(map(slice, low, high))])
+        offset = (unsafe + low + 0.5) * self.width + self.origin - box["center"]
+        one, two = np.triu_indices(6, 1)
+        sides = np.cross(edges[one], edges[two])
+        size = np.linalg.norm(sides, axis=1)
+        sides = sides[size > 1e-9 * size.max()] / size[size > 1e-9 * size.max(), None]
+        span = np.abs(sides @ edges.T).sum(axis=1) - (0.0 if strict else 1e-8 * self.width)
+        return not (np.abs(offset @ sides.T) < span).all(axis=1).any()
 
     def exterior(self, box: dict, n: int = 10) -> float:
         """Share of the box outside safe cells, on a fixed grid of strata."""
@@ -93,32 +92,41 @@ class Solid:
         at = np.clip(at, 0, np.array(self.safe.shape) - 1)
         return float(1 - (inside & self.safe[at[:, 0], at[:, 1], at[:, 2]]).mean())
 
-    def grow(self, seed: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Index boxes around a safe cell, one for each order of the axes, each side pushed out as far as it goes."""
-        found = {}
-        for order in permutations(range(3)):
-            low, high = seed.copy(), seed + 1
-            for _ in range(2):
-                for a in order:
-                    for way in (-1, 1):
-                        near, far = 0, int(low[a] if way < 0 else self.safe.shape[a] - high[a])
-                        while near < far:
-                            step = (near + far + 1) // 2
-                            l, u = low.copy(), high.copy()
-                            if way < 0:
-                                l[a] -= step
-                            else:
-                                u[a] += step
-                            if self.count(l, u) == np.prod(u - l):
-                                near = step
-                            else:
-                                far = step - 1
-                        if way < 0:
-                            low[a] -= near
-                        else:
-                            high[a] += near
-            found[(*low, *high)] = (low, high)
-        return list(found.values())
+    def grow(self, seed: np.ndarray, keep: int = 2) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The largest index boxes of safe cells around a seed, ``keep`` for each choice of the height axis.
+
+        Every column over the seed's level has a height up and one down from
+        it, and a box is as high as its footprint's least ones. Outward from
+        the seed these minima fall in a few steps, and only footprints that end
+        just before a step can be largest: along the first axis on the seed's
+        own line, along the second on what the chosen rows leave.
+        """
+        found: dict[tuple, int] = {}
+        for axis in range(3):
+            safe = np.moveaxis(self.safe, axis, 0)
+            level, (x, y) = int(seed[axis]), (int(v) for v in np.delete(seed, axis))
+            up = np.logical_and.accumulate(safe[level:], axis=0).sum(axis=0)
+            down = np.logical_and.accumulate(safe[level::-1], axis=0).sum(axis=0) - 1
+            own = []
+            for a, b in product(_reaches(up[x::-1, y], down[x::-1, y]), _reaches(up[x:, y], down[x:, y])):
+                rows = slice(x - a, x + b + 1)
+                over, under = up[rows].min(axis=0), down[rows].min(axis=0)
+                for c, d in product(_reaches(over[y::-1], under[y::-1]), _reaches(over[y:], under[y:])):
+                    cols = slice(y - c, y + d + 1)
+                    top, bottom = int(over[cols].min()), int(under[cols].min())
+                    own.append(((a + b + 1) * (c + d + 1) * (top + bottom), x - a, y - c, level - bottom, x + b + 1, y + d + 1, level + top))
+            for size, *ends in sorted(own, reverse=True)[:keep]:
+                low, high = (np.insert(np.array(part[:2]), axis, part[2]) for part in (ends[:3], ends[3:]))
+                found[(*low.tolist(), *high.tolist())] = size
+        return [(np.array(k[:3]), np.array(k[3:])) for k in found]
+
+
+def _reaches(up: np.ndarray, down: np.ndarray) -> list[int]:
+    """Places, outward from the first, behind which the least height up or down falls."""
+    over, under = np.minimum.accumulate(up), np.minimum.accumulate(np.where(up > 0, down, -1))
+    open_cells = int(np.argmin(over > 0)) if (over == 0).any() else len(over)
+    steps = np.flatnonzero((np.diff(over[:open_cells]) != 0) | (np.diff(under[:open_cells]) != 0))
+    return [*steps.tolist(), open_cells - 1]
 
 
 @dataclass
@@ -438,7 +446,7 @@ def gates(fit: Fit, settings: FitSettings) -> dict:
     ok = total["raw"] >= settings.target_coverage and total["spatial"] >= settings.target_coverage - 1e-12 and least >= settings.target_component_coverage
     if settings.target_surface_support > 0:
         skin = mesh.triangles(mesh.exposed_polygons(unit))
-        bounds = mesh.support_bounds(skin, p.points.select("id", "x", "y", "z"), p.tolerance, target=settings.target_surface_support, depth=6)
+        bounds = mesh.support_bounds(skin, p.points.select("id", "x", "y", "z"), p.tolerance, target=settings.target_surface_support)
         out |= {"surface_support_lower": bounds["lower"], "surface_support_upper": bounds["upper"], "exposed_area": bounds["area"] * p.scale**2}
         ok = ok and bounds["lower"] >= settings.target_surface_support
     return out | {"target_reached": bool(ok)}

@@ -41,3 +41,58 @@ def test_a_turned_cube_is_one_box(spark):
     found = fit.fit_cuboids(shell.select("id", *at), FitSettings(resolution=24, max_cuboids=4))
     assert found.reason == "target_reached" and len(found.boxes) == 1
     assert np.allclose(sorted(found.boxes[0]["dimensions"]), 1, atol=0.05)
+
+
+def test_grown_boxes_are_the_largest_around_a_seed():
+    from itertools import product
+
+    from orthant.plans.fit import Solid
+
+    rng = np.random.default_rng(2)
+    for _ in range(12):
+        solid = Solid(rng.random((5, 6, 5)) < 0.85, np.zeros(3), 1.0)
+        seed = np.argwhere(solid.safe)[rng.integers(solid.safe.sum())]
+        boxes = solid.grow(seed)
+        assert all((low <= seed).all() and (seed < high).all() and solid.count(low, high) == np.prod(high - low) for low, high in boxes)
+        ranges = [[(a, b) for a in range(s + 1) for b in range(s + 1, n + 1)] for s, n in zip(seed.tolist(), solid.safe.shape)]
+        best = 0
+        for (a, b), (c, d), (e, f) in product(*ranges):
+            if (b - a) * (d - c) * (f - e) > best and solid.safe[a:b, c:d, e:f].all():
+                best = (b - a) * (d - c) * (f - e)
+        own = max(np.prod(high - low) for low, high in boxes)
+        assert own >= 0.5 * best  # footprints follow the seed's own line
+
+
+def test_certificates_against_points_of_the_box():
+    from orthant.plans.fit import Solid, make_box
+
+    rng = np.random.default_rng(3)
+    solid = Solid(rng.random((8, 8, 8)) < 0.93, np.zeros(3), 0.125)
+    seen = set()
+    for _ in range(150):
+        rotation = np.linalg.qr(rng.standard_normal((3, 3)))[0]
+        box = make_box(rng.uniform(0.3, 0.7, 3), rng.uniform(0.02, 0.3, 3), rotation, "x")
+        local = rng.uniform(-0.5, 0.5, (4000, 3)) * box["dimensions"]
+        at = np.floor((box["center"] + local @ rotation.T) / 0.125).astype(int)
+        inside = ((at >= 0) & (at < 8)).all()
+        bad = not inside or not solid.safe[tuple(at.T)].all()
+        if solid.certify(box):
+            assert not bad
+        seen.add((solid.certify(box), bad))
+    assert (True, False) in seen and (False, True) in seen
+
+
+def test_atlas_rectangles_keep_their_distance():
+    from orthant.operators.texture import pack_atlas
+
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 7, 40):
+        sizes = [tuple(x) for x in rng.uniform(0.05, 3, (n, 2))]
+        rects = pack_atlas(sizes, 512, 3)
+        used = np.zeros((512, 512), int)
+        for (x, y, w, h), (a, b) in zip(rects, sizes):
+            assert x >= 3 and y >= 3 and x + w + 3 <= 512 and y + h + 3 <= 512
+            used[y - 3 : y + h + 3, x - 3 : x + w + 3] += 1
+        assert used.max() == 1 and (n > 7 or used.mean() > 0.3)
+        density = max(w / a for (_, _, w, _), (a, _) in zip(rects, sizes))
+        assert all(abs(w - a * density) <= 1 + 0.1 * a * density for (_, _, w, _), (a, _) in zip(rects, sizes))
