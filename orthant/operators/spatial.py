@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +41,25 @@ def radius_join(queries: DataFrame, points: DataFrame, radius: float) -> DataFra
     return found.where(F.col("d") <= radius).select("id", "other_id", "d")
 
 
+#: So many queries at most are compared with every point.
+FEW_QUERIES = 64
+
+
+def _first_width(points: DataFrame, count: int, extent: float, k: int, sample: int = 20_000) -> float:
+    """Largest cell width at which a point shares its cell with about ``k`` others at most, judged by a sample of bounded size."""
+    share = min(1.0, 0.9 * sample / count)
+    part = points if share == 1.0 else points.where(F.xxhash64("id", "x", "y", "z").bitwiseAND(F.lit((1 << 30) - 1)) < int(share * (1 << 30)))
+    xyz = part.select("x", "y", "z").limit(2 * sample).toPandas().to_numpy()  # the limit is far above what the share lets through
+    width = extent / 2
+    while len(xyz) > 1 and width > extent * 1e-12:
+        cells = np.floor((xyz - xyz.min(axis=0)) / width).astype(np.int64)
+        held = np.unique(cells, axis=0, return_counts=True)[1]
+        if (held * (held - 1)).sum() / len(xyz) / share <= 0.6 * (k + 1):
+            break
+        width /= 2**0.5
+    return width
+
+
 def nearest_neighbors(queries: DataFrame, points: DataFrame, k: int, *, exclude_self: bool = False, width: float | None = None, rounds: int = 60) -> DataFrame:
     """The exact ``k`` nearest points of each query: ``id``, ``rank`` (from 1), ``other_id``, ``d``.
 
@@ -59,8 +79,7 @@ def nearest_neighbors(queries: DataFrame, points: DataFrame, k: int, *, exclude_
         return points.sparkSession.createDataFrame([], schema)
     extent = max(bounds[f"h{a}"] - bounds[f"l{a}"] for a in "xyz")
     whole = 4 * extent + 1e-300
-    # Enough for points on a surface; a cloud that fills space needs one more round.
-    width = width or (extent * min(0.5, 1.5 * (k / count) ** 0.5) if extent else 1.0)
+    width = width or (_first_width(points, count, extent, k) if extent else 1.0)
     done, open_queries = None, queries
     for _ in range(rounds):
         last = width >= whole or not extent
@@ -80,9 +99,18 @@ def nearest_neighbors(queries: DataFrame, points: DataFrame, k: int, *, exclude_
         if last:
             break
         rest = materialize(open_queries.join(full, "id", "left_anti"), "open")
-        if rest.isEmpty():
+        left = rest.count()
+        if not left:
             break
         open_queries, width = rest, width * 2
+        if left <= FEW_QUERIES:  # lonely ones would need a round for each doubling; one pass over the points settles them
+            named = F.broadcast(open_queries.select("id", *[F.col(a).alias("q" + a) for a in "xyz"]))
+            pairs = points.withColumnRenamed("id", "other_id").join(named).withColumn("d", distance("xyz", ("qx", "qy", "qz")))
+            if exclude_self:
+                pairs = pairs.where("id <> other_id")
+            best = pairs.select("id", "other_id", "d").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+            done = done.unionByName(materialize(best.select("id", "rank", "other_id", "d"), "nearest"))
+            break
     return done.select("id", "rank", F.col("other_id"), "d")
 
 
