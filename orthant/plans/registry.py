@@ -519,29 +519,6 @@ def _(spark, d):
     return voxel.euclidean_band(_voxels(spark, d), 0.25, 0.1)
 
 
-_SHAPE = (12, 12, 12)
-_SHIFT = "s AS (SELECT i + 6 AS i, j + 6 AS j, k + 6 AS k FROM v WHERE i BETWEEN -6 AND 5 AND j BETWEEN -6 AND 5 AND k BETWEEN -6 AND 5)"
-
-
-def _shifted(spark, d):
-    inside = " AND ".join(f"{c} BETWEEN -6 AND 5" for c in "ijk")
-    return _voxels(spark, d).where(inside).select(*[(F.col(c) + 6).alias(c) for c in "ijk"])
-
-
-@register("integral_image", f"WITH {_VOX}, {_SHIFT}, g AS (SELECT a AS i, b AS j, c AS k FROM range(13) AS p(a), range(13) AS q(b), range(13) AS r(c)) SELECT g.i, g.j, g.k, count(s.i) AS total FROM g LEFT JOIN s ON s.i < g.i AND s.j < g.j AND s.k < g.k GROUP BY g.i, g.j, g.k", "v_emb")
-def _(spark, d):
-    return voxel.integral_image(_shifted(spark, d), _SHAPE)
-
-
-_INDEX_BOXES = [(0, 0, 0, 0, 12, 12, 12), (1, 2, 3, 4, 8, 9, 7), (2, 5, 5, 5, 6, 6, 6)]
-
-
-@register("box_sums", f"WITH {_VOX}, {_SHIFT}, x(box_id, i0, j0, k0, i1, j1, k1) AS ({_values(_INDEX_BOXES, 7)}) SELECT box_id, count(s.i) AS n FROM x LEFT JOIN s ON i >= i0 AND i < i1 AND j >= j0 AND j < j1 AND k >= k0 AND k < k1 GROUP BY box_id", "v_emb")
-def _(spark, d):
-    boxes = spark.createDataFrame(_INDEX_BOXES, "box_id int, i0 int, j0 int, k0 int, i1 int, j1 int, k1 int")
-    return voxel.box_sums(voxel.integral_image(_shifted(spark, d), _SHAPE), boxes)
-
-
 def _whole(spark, d):
     """All occupied voxels with indices from the cloud's lower corner, and the shape of their bounds."""
     voxels = _voxels(spark, d)
@@ -554,13 +531,12 @@ def _whole(spark, d):
 _WHOLE = "l AS (SELECT min(i) li, min(j) lj, min(k) lk, max(i) - min(i) + 1 ni, max(j) - min(j) + 1 nj, max(k) - min(k) + 1 nk FROM v), s AS (SELECT i - li AS i, j - lj AS j, k - lk AS k FROM v, l)"
 
 
-@register("integral_image_whole", f"WITH {_VOX}, {_WHOLE}, gi AS (SELECT unnest(generate_series(0, ni)) AS i FROM l), gj AS (SELECT unnest(generate_series(0, nj)) AS j FROM l), gk AS (SELECT unnest(generate_series(0, nk)) AS k FROM l), g AS (SELECT i, j, k FROM gi, gj, gk) SELECT g.i, g.j, g.k, count(s.i) AS total FROM g LEFT JOIN s ON s.i < g.i AND s.j < g.j AND s.k < g.k GROUP BY g.i, g.j, g.k", "v_emb")
+@register("integral_image", f"WITH {_VOX}, {_WHOLE}, gi AS (SELECT unnest(generate_series(0, ni)) AS i FROM l), gj AS (SELECT unnest(generate_series(0, nj)) AS j FROM l), gk AS (SELECT unnest(generate_series(0, nk)) AS k FROM l), g AS (SELECT i, j, k FROM gi, gj, gk) SELECT g.i, g.j, g.k, count(s.i) AS total FROM g LEFT JOIN s ON s.i < g.i AND s.j < g.j AND s.k < g.k GROUP BY g.i, g.j, g.k", "v_emb")
 def _(spark, d):
-    """As ``integral_image``, over the bounds of the cloud."""
     return voxel.integral_image(*_whole(spark, d))
 
 
-@register("box_sums_whole", f"WITH {_VOX}, {_WHOLE}, x AS (SELECT 0 AS box_id, 0 AS i0, 0 AS j0, 0 AS k0, ni AS i1, nj AS j1, nk AS k1 FROM l UNION ALL SELECT 1, 0, 0, 0, ni // 2, nj // 2, nk // 2 FROM l UNION ALL SELECT 2, ni // 2, nj // 2, nk // 2, ni, nj, nk FROM l) SELECT box_id, count(s.i) AS n FROM x LEFT JOIN s ON i >= i0 AND i < i1 AND j >= j0 AND j < j1 AND k >= k0 AND k < k1 GROUP BY box_id", "v_emb")
+@register("box_sums", f"WITH {_VOX}, {_WHOLE}, x AS (SELECT 0 AS box_id, 0 AS i0, 0 AS j0, 0 AS k0, ni AS i1, nj AS j1, nk AS k1 FROM l UNION ALL SELECT 1, 0, 0, 0, ni // 2, nj // 2, nk // 2 FROM l UNION ALL SELECT 2, ni // 2, nj // 2, nk // 2, ni, nj, nk FROM l) SELECT box_id, count(s.i) AS n FROM x LEFT JOIN s ON i >= i0 AND i < i1 AND j >= j0 AND j < j1 AND k >= k0 AND k < k1 GROUP BY box_id", "v_emb")
 def _(spark, d):
     """Occupied voxels in the bounds of the cloud, and in their lowest and highest eighth."""
     voxels, shape = _whole(spark, d)
@@ -610,19 +586,12 @@ def _(spark, d):
     return voxel.label_components(_voxels(spark, d), minimum=4).select("i", "j", "k")
 
 
-@register("fill_holes", f"RECURSIVE WITH {_VOX}, u AS (SELECT DISTINCT i + a AS i, j + b AS j, k + c AS k FROM v, range(-1, 2) AS p(a), range(-1, 2) AS q(b), range(-1, 2) AS r(c) WHERE i * i + j * j + k * k > 4), m AS (SELECT min(i) - 1 li, max(i) + 1 hi, min(j) - 1 lj, max(j) + 1 hj, min(k) - 1 lk, max(k) + 1 hk FROM u), gi AS (SELECT unnest(generate_series(li, hi)) AS i FROM m), gj AS (SELECT unnest(generate_series(lj, hj)) AS j FROM m), gk AS (SELECT unnest(generate_series(lk, hk)) AS k FROM m), g AS (SELECT i, j, k FROM (SELECT i, j, k FROM gi, gj, gk) AS w ANTI JOIN u USING (i, j, k)), o(i, j, k) AS (SELECT li, lj, lk FROM m UNION SELECT g.i, g.j, g.k FROM o JOIN g ON abs(o.i - g.i) <= 1 AND abs(o.j - g.j) <= 1 AND abs(o.k - g.k) <= 1) SELECT i, j, k FROM u UNION SELECT i, j, k FROM (SELECT * FROM g ANTI JOIN o USING (i, j, k)) AS y", "v_emb")
-def _(spark, d):
-    ring = voxel.dilate(_voxels(spark, d).where("i * i + j * j + k * k > 4"), 1)
-    return voxel.fill_holes(ring)
-
-
-@register("fill_holes_whole", f"RECURSIVE WITH {_VOX}, u AS (SELECT i, j, k FROM v), m AS (SELECT min(i) - 1 li, max(i) + 1 hi, min(j) - 1 lj, max(j) + 1 hj, min(k) - 1 lk, max(k) + 1 hk FROM u), gi AS (SELECT unnest(generate_series(li, hi)) AS i FROM m), gj AS (SELECT unnest(generate_series(lj, hj)) AS j FROM m), gk AS (SELECT unnest(generate_series(lk, hk)) AS k FROM m), g AS (SELECT i, j, k FROM (SELECT i, j, k FROM gi, gj, gk) AS w ANTI JOIN u USING (i, j, k)), o(i, j, k) AS (SELECT li, lj, lk FROM m UNION SELECT g.i, g.j, g.k FROM o JOIN g ON abs(o.i - g.i) <= 1 AND abs(o.j - g.j) <= 1 AND abs(o.k - g.k) <= 1) SELECT i, j, k FROM u UNION SELECT i, j, k FROM (SELECT * FROM g ANTI JOIN o USING (i, j, k)) AS y", "v_emb")
+@register("fill_holes", f"RECURSIVE WITH {_VOX}, u AS (SELECT i, j, k FROM v), m AS (SELECT min(i) - 1 li, max(i) + 1 hi, min(j) - 1 lj, max(j) + 1 hj, min(k) - 1 lk, max(k) + 1 hk FROM u), gi AS (SELECT unnest(generate_series(li, hi)) AS i FROM m), gj AS (SELECT unnest(generate_series(lj, hj)) AS j FROM m), gk AS (SELECT unnest(generate_series(lk, hk)) AS k FROM m), g AS (SELECT i, j, k FROM (SELECT i, j, k FROM gi, gj, gk) AS w ANTI JOIN u USING (i, j, k)), o(i, j, k) AS (SELECT li, lj, lk FROM m UNION SELECT g.i, g.j, g.k FROM o JOIN g ON abs(o.i - g.i) <= 1 AND abs(o.j - g.j) <= 1 AND abs(o.k - g.k) <= 1) SELECT i, j, k FROM u UNION SELECT i, j, k FROM (SELECT * FROM g ANTI JOIN o USING (i, j, k)) AS y", "v_emb")
 def _(spark, d):
-    """As ``fill_holes``, on the whole occupancy as it is."""
     return voxel.fill_holes(_voxels(spark, d))
 
 
-@register("clearance")
+@register("clearance", f"WITH {_VOX}, u AS (SELECT DISTINCT i + a AS i, j + b AS j, k + c AS k FROM v, range(-2, 3) AS p(a), range(-2, 3) AS q(b), range(-2, 3) AS r(c)), m AS (SELECT min(i) - 1 li, max(i) + 1 hi, min(j) - 1 lj, max(j) + 1 hj, min(k) - 1 lk, max(k) + 1 hk FROM u), gi AS (SELECT unnest(generate_series(li, hi)) AS i FROM m), gj AS (SELECT unnest(generate_series(lj, hj)) AS j FROM m), gk AS (SELECT unnest(generate_series(lk, hk)) AS k FROM m), e AS (SELECT i, j, k FROM (SELECT i, j, k FROM gi, gj, gk) AS w ANTI JOIN u USING (i, j, k)) SELECT u.i, u.j, u.k, min(greatest(abs(u.i - e.i), abs(u.j - e.j), abs(u.k - e.k))) AS clearance FROM u, e GROUP BY u.i, u.j, u.k", "v_emb")
 def _(spark, d):
     return voxel.clearance(voxel.dilate(_voxels(spark, d), 2))
 
@@ -632,16 +601,9 @@ def _(spark, d):
     return voxel.reconstruct(voxel.occupancy(views.shell(spark, 21), 0.05, (-0.5, -0.5, -0.5)), 1)
 
 
-@register("ellipsoid_raster", f"WITH s AS (SELECT x, y, z, 0.6e0 AS c0, 0.8e0 AS c1 FROM v_emb WHERE id < 60), a AS (SELECT *, i, j, k FROM s, range(-20, 20) AS p(i), range(-20, 20) AS q(j), range(-20, 20) AS r(k) WHERE abs((i + 0.5e0) * 0.05e0 - x) <= 0.2e0 AND abs((j + 0.5e0) * 0.05e0 - y) <= 0.2e0 AND abs((k + 0.5e0) * 0.05e0 - z) <= 0.2e0) SELECT DISTINCT i, j, k FROM a WHERE pow((((i + 0.5e0) * 0.05e0 - x) * -0.28e0 + ((j + 0.5e0) * 0.05e0 - y) * 0.96e0) / 0.03e0, 2) + pow((((i + 0.5e0) * 0.05e0 - x) * -0.96e0 + ((j + 0.5e0) * 0.05e0 - y) * -0.28e0) / 0.02e0, 2) + pow(((k + 0.5e0) * 0.05e0 - z) / 0.04e0, 2) <= 9", "v_emb")
-def _(spark, d):
-    turn = {"qw": 0.6, "qx": 0.0, "qy": 0.0, "qz": 0.8, "sx": 0.03, "sy": 0.02, "sz": 0.04}
-    splats = _emb(spark, d).where("id < 60").select("x", "y", "z", *[F.lit(v).alias(c) for c, v in turn.items()])
-    return voxel.rasterize_ellipsoids(splats, 0.05)
-
-
-@register("ellipsoid_raster_whole")
+@register("ellipsoid_raster", "WITH s AS (SELECT x, y, z, floor(x / 0.05e0)::BIGINT AS ci, floor(y / 0.05e0)::BIGINT AS cj, floor(z / 0.05e0)::BIGINT AS ck FROM v_emb), a AS (SELECT x, y, z, ci + p AS i, cj + q AS j, ck + r AS k FROM s, range(-4, 5) AS u(p), range(-4, 5) AS v(q), range(-4, 5) AS w(r)) SELECT DISTINCT i, j, k FROM a WHERE pow((((i + 0.5e0) * 0.05e0 - x) * -0.28e0 + ((j + 0.5e0) * 0.05e0 - y) * 0.96e0) / 0.03e0, 2) + pow((((i + 0.5e0) * 0.05e0 - x) * -0.96e0 + ((j + 0.5e0) * 0.05e0 - y) * -0.28e0) / 0.02e0, 2) + pow(((k + 0.5e0) * 0.05e0 - z) / 0.04e0, 2) <= 9", "v_emb")
 def _(spark, d):
-    """As ``ellipsoid_raster``, with every vector of the table as a splat."""
+    """Every vector of the table as a splat, turned about z."""
     turn = {"qw": 0.6, "qx": 0.0, "qy": 0.0, "qz": 0.8, "sx": 0.03, "sy": 0.02, "sz": 0.04}
     return voxel.rasterize_ellipsoids(_emb(spark, d).select("x", "y", "z", *[F.lit(v).alias(c) for c, v in turn.items()]), 0.05)
 

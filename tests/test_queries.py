@@ -52,7 +52,7 @@ def embeddings(spark, folder, points):
 def test_every_splat_is_rasterised(spark, tmp_path):
     rng = np.random.default_rng(3)
     points = np.float32(rng.uniform(-1, 1, (90, 3))).astype(float)
-    got = {tuple(r) for r in QUERIES["ellipsoid_raster_whole"](spark, embeddings(spark, tmp_path, points)).select("i", "j", "k").collect()}
+    got = {tuple(r) for r in QUERIES["ellipsoid_raster"](spark, embeddings(spark, tmp_path, points)).select("i", "j", "k").collect()}
     # Turned about z by 2 atan2(0.8, 0.6): cosine -0.28, sine 0.96.
     axes, scales, want = np.array([[-0.28, 0.96, 0], [-0.96, -0.28, 0], [0, 0, 1]]), np.array([0.03, 0.02, 0.04]), set()
     for p in points:
@@ -66,12 +66,12 @@ def test_voxel_queries_keep_outlying_and_central_points(spark, tmp_path):
     grid = {(i, j, k) for i in range(-1, 2) for j in range(-1, 2) for k in range(-1, 2)}
     cells = (grid - {(0, 0, 0)}) | {(9, -8, 7), (-12, 0, 3)}  # a closed shell around the origin, and two outliers
     folder = embeddings(spark, tmp_path, [[(c + 0.5) * 0.1 for c in cell] for cell in sorted(cells)])
-    image = QUERIES["integral_image_whole"](spark, folder).collect()
+    image = QUERIES["integral_image"](spark, folder).collect()
     assert len(image) == 23 * 11 * 10 and max(r["total"] for r in image) == len(cells)
     low = (-12, -8, -1)
     for r in image[::97]:
         assert r["total"] == sum(all(c - o < r[a] for c, o, a in zip(cell, low, "ijk")) for cell in cells)
-    sums = {r["box_id"]: r["n"] for r in QUERIES["box_sums_whole"](spark, folder).collect()}
+    sums = {r["box_id"]: r["n"] for r in QUERIES["box_sums"](spark, folder).collect()}
     lower = lambda cell: [c - o < n // 2 for c, o, n in zip(cell, low, (22, 10, 9))]
     assert sums == {0: len(cells), 1: sum(all(lower(c)) for c in cells), 2: sum(not any(lower(c)) for c in cells)}
-    assert {tuple(r) for r in QUERIES["fill_holes_whole"](spark, folder).select("i", "j", "k").collect()} == cells | {(0, 0, 0)}
+    assert {tuple(r) for r in QUERIES["fill_holes"](spark, folder).select("i", "j", "k").collect()} == cells | {(0, 0, 0)}
