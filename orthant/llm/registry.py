@@ -79,12 +79,24 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.query(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orthant.llm import filter_audit
+
+    return filter_audit.query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orthant.llm import embed_dedup
+
+    return embed_dedup.query(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query for each operator, by the function's name."""
-    return {f.__name__: f for f in (op1_mix, op2_licenses, op3_exact_dedup, op4_near_dup, op5_secrets, op6_quality, op7_pieces, op8_chat, op9_language, op10_neighbours)}
+    return {f.__name__: f for f in (op1_mix, op2_licenses, op3_exact_dedup, op4_near_dup, op5_secrets, op6_quality, op7_pieces, op8_chat, op9_language, op10_neighbours, op11_audit, op12_embed_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from orthant.llm import chat, licenses, mixing, secrets
+    from orthant.llm import chat, filter_audit, licenses, mixing, secrets
 
-    return {"op1_mix": mixing.ORACLE, "op2_licenses": licenses.oracle(), "op3_exact_dedup": _OP3, "op5_secrets": secrets.oracle(), "op8_chat": chat.oracle()}
+    return {"op1_mix": mixing.ORACLE, "op2_licenses": licenses.oracle(), "op3_exact_dedup": _OP3, "op5_secrets": secrets.oracle(), "op8_chat": chat.oracle(), "op11_audit": filter_audit.ORACLE}
