@@ -42,18 +42,26 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def shared_root(spark: SparkSession) -> str:
-    """Folder of this application's scratch tables.
+def base_folder(spark: SparkSession) -> str:
+    """The shared folder that ``spark.checkpoint.dir`` names.
 
-    Uses ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary folder takes its place.
+    Only where that is unset and all of Spark runs in one process (tests) a
+    temporary folder takes its place; a cluster must name one.
     """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="orthant-")
+    return base.rstrip("/")
+
+
+def shared_root(spark: SparkSession) -> str:
+    """Folder of this application's scratch tables, in ``base_folder``."""
     app = spark.sparkContext.applicationId
     if app not in _roots:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="orthant-")
-        _roots[app] = f"{base.rstrip('/')}/orthant-{uuid.uuid4().hex}"
+        _roots[app] = f"{base_folder(spark)}/orthant-{uuid.uuid4().hex}"
         atexit.register(_remove, spark, _roots[app])
     return _roots[app]
 
@@ -82,7 +90,14 @@ def as_table(df: DataFrame, name: str = "rows") -> DataFrame:
 
 
 def release(df: DataFrame) -> None:
-    """Delete a table that ``materialize`` made and nothing reads any more."""
+    """Delete a table that ``materialize`` made in this application and nothing reads any more; any other stays."""
+    own = _roots.get(df.sparkSession.sparkContext.applicationId)
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/orthant-" in path:
+        if own and _plain(path).startswith(_plain(own) + "/"):
             _remove(df.sparkSession, path)
+
+
+def _plain(path: str) -> str:
+    """``path`` with one slash where a URI may have one or three."""
+    scheme, colon, rest = path.partition(":")
+    return f"{scheme}:/{rest.lstrip('/')}" if colon and "/" not in scheme else path
