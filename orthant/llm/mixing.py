@@ -1,7 +1,7 @@
 """Mixing sources to target weights by distributed prefix sums over hash-random keys.
 
 Every row gets a random but reproducible key, the MD5 of its doc_id and text
-followed by its place in the input. Within a source rows are taken in key order
+followed by its place in the input, a file and a row of it. Within a source rows are taken in key order
 until the source's budget is met. The order is dealt out by (source, leading
 digits of the key): the totals of these ranges are a small table with its own
 running sums, and only the one range in which a source's budget ends is looked
@@ -49,17 +49,20 @@ def _targets(sizes: DataFrame, weights: Sequence[int], cap: int) -> DataFrame:
     return table.select("source", "source_size", share.alias("target"))
 
 
-#: Digits of the key by which ranges are formed, one after another: MD5 in steps, the whole of it, partition, place.
-_DIGITS = (3, 6, 32, 40, 43, 46, 49)
+#: Digits of the key by which ranges are formed, one after another: MD5 in steps, the whole of it, file, row of the file.
+_DIGITS = (3, 6, 32, 40, 64, 74, 77, 80)
 _ADDED = ("source_size", "target", "taken")
 
 
-def row_key(doc_id: Column, text: Column) -> Column:
-    """MD5 of a row's id and text, then its partition and place, which tell equal rows apart."""
-    place = F.monotonically_increasing_id()
-    part = F.concat(F.lpad(F.hex(F.shiftright(place, 33)), 8, "0"), F.lpad(F.hex(place.bitwiseAND(F.lit((1 << 33) - 1))), 9, "0"))
+def row_key(table: DataFrame, doc_id: Column, text: Column) -> Column:
+    """MD5 of a row's id and text, then of its file, and its row in it, which tell equal rows of a Parquet table apart.
+
+    Unlike a number given while reading, the key is the same however the files
+    are split among tasks.
+    """
+    place = table.metadataColumn("_metadata")
     content = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("\n"), F.coalesce(text, F.lit("")))
-    return F.concat(F.md5(content), part)
+    return F.concat(F.md5(content), F.md5(place["file_path"]), F.lpad(F.hex(place["row_index"]), 16, "0"))
 
 
 def _cuts(slim: DataFrame, budget: DataFrame, range_rows: int) -> tuple[DataFrame, DataFrame]:
@@ -121,12 +124,14 @@ def mix_sources(rows: DataFrame, *, key: Column | None = None, weights: Sequence
     missing. Adds ``source_size``, ``target`` and ``taken``, in the place of
     input columns of these names; any other column may have any name. Rows of
     size 0 take 0; an empty table gives an empty table. Of rows with equal
-    keys those earlier in the input are taken first. The tables of sources and
+    doc_ids the first by file (in no order of its own) and row are taken first;
+    rows equal in a key that is given are taken in any order. The tables of sources and
     of their cuts have one row a source.
     """
     kept = [c for c in rows.columns if c not in _ADDED]
-    if key is None:  # it holds a row's place, so the rows must keep theirs
-        rows, key = as_table(rows), row_key(F.col("doc_id"), F.lit(""))
+    if key is None:
+        rows = as_table(rows)
+        key = row_key(rows, F.col("doc_id"), F.lit(""))
     work = rows.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col("source").alias("of"), F.col("size").cast("long").alias("n"), key.alias("key"))
     out = _decide(work, work.select("of", "n", "key"), weights, cap, range_rows)
     return out.select("row.*", *_ADDED)
@@ -134,7 +139,8 @@ def mix_sources(rows: DataFrame, *, key: Column | None = None, weights: Sequence
 
 def document_sizes(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``source``, ``size`` (words of the whole text, null: 0) and ``mix_key`` of each row, written once."""
-    key = row_key(F.col("doc_id").cast("long"), F.col("text"))
+    docs = as_table(docs)
+    key = row_key(docs, F.col("doc_id").cast("long"), F.col("text"))
     return materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), key.alias("mix_key")), "sizes")
 
 
@@ -145,12 +151,13 @@ def mixed_documents(docs: DataFrame, *, weights: Sequence[int] = (1, 2, 3), cap:
     ``source`` and ``text``; ``n_chars``, where present, follows a cut text. A
     null text has no words and is not taken; a text of any length is counted
     whole and moves to no other task. ``docs`` is read twice, and rows equal in
-    doc_id and text are told apart by their place in it, so what is not a
-    Parquet table is written as one first.
+    doc_id and text are told apart by their file and row, so what is not a
+    Parquet table is written as one first; which executors read it, and in
+    what splits, makes no difference.
     """
     docs = as_table(docs)
     slim = document_sizes(docs).select(F.col("source").alias("of"), F.col("size").alias("n"), F.col("mix_key").alias("key"))
-    work = docs.select(F.struct("*").alias("doc"), F.col("source").alias("of"), word_count(F.col("text")).alias("n"), row_key(F.col("doc_id").cast("long"), F.col("text")).alias("key"))
+    work = docs.select(F.struct("*").alias("doc"), F.col("source").alias("of"), word_count(F.col("text")).alias("n"), row_key(docs, F.col("doc_id").cast("long"), F.col("text")).alias("key"))
     times = _decide(work, slim, weights, cap, range_rows).where("taken > 0")
     turns = times.withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("n")))))
     need = F.least("n", F.col("taken") - (F.col("turn") - 1) * F.col("n"))

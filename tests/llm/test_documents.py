@@ -84,6 +84,29 @@ def test_mixed_documents_repeat_and_cut(docs, table, none):
     assert abs(words - sum(len(re.findall(WORD, r[1] or "")) for r in table)) <= 5
 
 
+def test_mixing_does_not_depend_on_the_splits(spark, tmp_path):
+    from orthant.llm.mixing import WORD, mix_sources, mixed_documents, word_count
+
+    rows = [(k % 40, "same few words" if k % 3 else f"w{k} " * (k % 11), "abc"[k % 7 % 3], 1) for k in range(3000)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, _metadata int").repartition(12).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    sized = docs.withColumn("size", word_count(F.col("text"))).select("doc_id", "source", "size")
+    sized.write.parquet(f"{tmp_path}/sized")
+    sized, wanted, split = spark.read.parquet(f"{tmp_path}/sized"), sum(len(re.findall(WORD, r[1])) for r in rows), "spark.sql.files.minPartitionNum"
+    try:
+        for before, after in (("12", "2"), ("1", "40"), ("12", "12")):
+            spark.conf.set(split, before)
+            mixed, taken = mixed_documents(docs), mix_sources(sized, range_rows=8)
+            spark.conf.set(split, after)  # as when executors come or go between the two reads
+            got = sorted(map(tuple, mixed.collect())), sorted(map(tuple, taken.collect()))
+            assert abs(sum(len(re.findall(WORD, r[1])) for r in got[0]) - wanted) <= 3
+            assert abs(sum(r[-1] for r in got[1]) - wanted) <= 3
+            assert (before, after) == ("12", "2") or got == first
+            first = got
+    finally:
+        spark.conf.unset(split)
+
+
 def test_mixing_splits_ranges_and_equal_rows(spark):
     from orthant.llm.mixing import document_sizes, mix_sources
 

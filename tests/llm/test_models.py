@@ -430,6 +430,27 @@ def test_dedup_stages_keep_one_row_of_each_group(spark):
         assert len(second) == len({t.replace("  ", " ") for _, t in second})
 
 
+def test_stages_keep_columns_of_any_name_and_very_long_texts(spark):
+    import corpus_pipeline
+
+    names = ["doc", "found", "row", "path", "file", "own_path", "at", "found_row", "own_id", "kept_row", "group", "_metadata", "key", "of", "n"]
+    prose = [r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").limit(40).collect()]
+    long = " ".join(prose * 40)
+    rows = [(i, t, "en" if i % 2 else None, "s", len(t)) for i, t in enumerate([*prose, long, long, long + " more"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in names:
+        docs = docs.withColumn(name, F.concat(F.lit(name), F.col("doc_id").cast("string")))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, DATA)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *names]
+        got = docs.collect()
+        assert got and all(r[name] == f"{name}{r['doc_id']}" for r in got for name in names)
+        assert all(r["lang"] for r in got)  # predicted where there was none
+        assert sum(r["text"].startswith(long) for r in got) in (1, 2, 3)
+    last = corpus_pipeline.sentencepiece(spark, docs, DATA).collect()
+    assert len(last) == len(got) and any(r["n_tokens"] > 5000 for r in last)
+
+
 @pytest.mark.parametrize("stage", range(5))
 def test_stages_take_an_empty_table(spark, stage):
     import corpus_pipeline
