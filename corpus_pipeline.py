@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orthant.llm.chunk_dedup import exact_duplicates
@@ -18,8 +18,6 @@ from orthant.llm.near_dup import near_duplicates
 from orthant.llm.pieces import encode_documents
 from orthant.storage import as_table, materialize, release, ship
 
-ROW = "pipeline_row"
-
 
 def least_score(languages: int) -> float:
     """Score below which a language counts as undetermined: a twentieth of the way from an even spread to certainty."""
@@ -29,31 +27,33 @@ def least_score(languages: int) -> float:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a determinable language: null text, no letter in it, or a score below ``least_score``.
 
-    No language is rejected as such. Where no row can train, there is no score
-    and every text with a letter stays.
+    No language is rejected as such; a row without ``lang`` gets the predicted
+    one. Where no row can train, there is no score and every text with a
+    letter stays as it is.
     """
     ship(spark)
     model = train(docs)
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    named = docs.withColumn("pipeline_language", predictor(model)("text"))
-    known = (F.col("pipeline_language.lang") != UNDETERMINED) & (F.col("pipeline_language.score") >= least_score(len(model.languages)))
-    return named.where(known).select(*docs.columns)
+    named = docs.select(F.struct("*").alias("doc"), predictor(model)("text").alias("found"))
+    known = (F.col("found.lang") != UNDETERMINED) & (F.col("found.score") >= least_score(len(model.languages)))
+    filled = {"lang": F.coalesce("doc.lang", "found.lang")}
+    return named.where(known).select(*[filled.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a key of the row in ``ROW``, the same each time it is read.
+    """``doc``, the rows of ``docs``, with a key in ``row``, the same each time it is read.
 
     A plain table has it in its files: number of the file and place in it.
-    Anything else is written once and then read as such.
+    Anything else is written once and then read as such. The table of files
+    has one row a file and is written, so no name passes through the driver.
     """
     docs = as_table(docs)
-    file = F.col("_metadata.file_path")
-    names = sorted(r[0] for r in docs.select(file.alias("file")).distinct().collect())
-    table = docs.sparkSession.createDataFrame(list(enumerate(names)), "pipeline_file long, pipeline_path string")
-    placed = docs.select("*", file.alias("pipeline_name"), F.col("_metadata.row_index").alias("pipeline_at"))
-    placed = placed.join(F.broadcast(table), F.col("pipeline_name") == F.col("pipeline_path"))
-    return placed.select(*docs.columns, (F.col("pipeline_file") * (1 << 40) + F.col("pipeline_at")).alias(ROW))
+    place = docs.metadataColumn("_metadata")
+    files = docs.select(place["file_path"].alias("path")).distinct()
+    files = materialize(files.select("path", (F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("file")), "files")
+    placed = docs.select(F.struct("*").alias("doc"), place["file_path"].alias("own_path"), place["row_index"].alias("at"))
+    return placed.join(files, F.col("own_path") == F.col("path")).select("doc", (F.col("file") * (1 << 40) + F.col("at")).alias("row"))
 
 
 def _one_of_each(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame], group: str) -> DataFrame:
@@ -64,14 +64,14 @@ def _one_of_each(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame], gro
     last), and of rows equal in it the first by key.
     """
     keyed = _keyed(docs)
-    decided = grouped(keyed.select(F.col(ROW).alias("doc_id"), "text"))
-    found = decided.select(F.col("doc_id").alias("row"), F.col(group).alias("group"))
-    own = keyed.select(F.col(ROW).alias("own_row"), F.col("doc_id").cast("long").alias("own_id"))
+    decided = grouped(keyed.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")))
+    found = decided.select(F.col("doc_id").alias("found_row"), F.col(group).alias("group"))
+    own = keyed.select("row", F.col("doc.doc_id").cast("long").alias("own_id"))
     place = F.struct(F.col("own_id").isNull().alias("none"), "own_id", "row")
-    kept = found.join(own.hint("merge"), F.col("row") == F.col("own_row")).groupBy("group").agg(F.min(place)["row"].alias("kept_row"))
+    kept = found.join(own.hint("merge"), F.col("found_row") == F.col("row")).groupBy("group").agg(F.min(place)["row"].alias("kept_row"))
     kept = materialize(kept.select("kept_row"), "kept")
     release(decided)
-    return keyed.join(kept.hint("merge"), F.col(ROW) == F.col("kept_row"), "left_semi").drop(ROW)
+    return keyed.join(kept.hint("merge"), F.col("row") == F.col("kept_row"), "left_semi").select("doc.*")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
