@@ -107,14 +107,20 @@ class Forest:
         self.probes = int(min(trees * leaves, np.quantile(needed, recall, method="higher") + 1))
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
+def _scaled(vectors: pd.Series) -> np.ndarray:
+    """Vectors with a largest component between a half and one: a power of two apart, so no bit of a cosine changes and no square overflows."""
     x = np.stack(vectors.to_numpy()).astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def _unit(vectors: pd.Series) -> np.ndarray:
+    x = _scaled(vectors)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _rerank(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k best rows for each query in the leaves that it visits; scores are sums over the original components alone."""
-    q, r = np.stack(queries["vector"].to_numpy()).astype(np.float64), np.stack(rows["vector"].to_numpy()).astype(np.float64)
+    q, r = _scaled(queries["vector"]), _scaled(rows["vector"])
     q_norm, r_norm = np.sqrt((q * q).sum(axis=1)), np.sqrt((r * r).sum(axis=1))
     visits = queries["leaves"].to_numpy()
     asker, asked = np.repeat(np.arange(len(q)), [len(v) for v in visits]), np.concatenate(visits)
@@ -149,7 +155,7 @@ def nearest(
 
     A row is no neighbour of its own vec_id. Vectors that are null, zero or
     hold null or non-finite components take no part, nor do those of another
-    length than the most frequent one. Returns ``query_id``, ``rank`` (from
+    length than the most frequent one; components of any finite size do. Returns ``query_id``, ``rank`` (from
     1), ``vec_id`` and ``score``, ties to the smaller vec_id; all candidates,
     if there are fewer than k: a query whose leaves hold too few is searched
     again in four times as many until it has them. Repeated rows count once.
@@ -192,7 +198,7 @@ def nearest(
     def home(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             leaves = forest.route(_unit(frame["vector"])) if len(frame) else np.zeros((0, trees), np.int64)
-            yield pd.concat([pd.DataFrame({"tree": t, "cell": leaves[:, t] >> shift, "block": frame["id"] % blocks, "id": frame["id"], "vector": frame["vector"], "leaf": leaves[:, t]}) for t in range(trees)])
+            yield pd.concat([pd.DataFrame({"tree": t, "cell": leaves[:, t] >> shift, "block": (frame["id"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % blocks, "id": frame["id"], "vector": frame["vector"], "leaf": leaves[:, t]}) for t in range(trees)])
 
     def probe(frames: Iterator[pd.DataFrame], probes: int) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -254,15 +254,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_rows(docs: DataFrame, per_language: int, parts: int) -> DataFrame:
-    """``lang`` and whole ``text`` of at most ``per_language`` rows of each language, dealt evenly to ``parts`` partitions."""
+def training_rows(docs: DataFrame, per_language: int) -> DataFrame:
+    """``lang``, whole ``text`` and ``row_hash`` of at most ``per_language`` rows of each language."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     known = known.where("lang is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).where(F.col("text").rlike(r"\p{L}"))
     chosen = row_sample(known, "lang", ["doc_id", "text"], per_language).withColumnRenamed("lang", "its")
     chosen = materialize(chosen, "chosen").hint("broadcast")  # at most per_language rows of each language
     same = (F.col("lang") == F.col("its")) & (row_hash(["doc_id", "text"]) == F.col("row_hash"))
     found = known.join(chosen, same).groupBy("lang", "row_hash").agg(F.min("text").alias("text"))  # repeated rows once
-    return materialize(found.repartition(parts, "row_hash").sortWithinPartitions("row_hash", "lang"), "sample")
+    return materialize(found, "sample")
 
 
 def train(docs: DataFrame, *, per_language: int = 100, hidden: int = 8, rounds: int = 6, parts: int = 4, batch: int = 128, steps: int = 12, rate: float = 0.03, seed: int = 7) -> ByteGru:
@@ -271,12 +271,15 @@ def train(docs: DataFrame, *, per_language: int = 100, hidden: int = 8, rounds:
     The sample is ``per_language`` rows of each language at most, by a hash of
     doc_id and text, each read whole; rows that repeat both count once. Rows
     with a null lang or doc_id, or no letter in the text, do not train; without
-    any row the model knows no language. In each round every one of ``parts``
+    any row the model knows no language. Rows are dealt to partitions by their
+    hash and sorted, so the weights do not depend on the number of executors or
+    on the files of the table. In each round every one of ``parts``
     partitions reads its rows once, or until it has done ``steps`` steps, from
     the same weights, and the mean of theirs, weighted by positions, starts the
     next: only weights reach the driver, however long the texts are.
     """
-    sample = training_rows(docs, per_language, parts)
+    sample = training_rows(docs, per_language)
+    dealt = sample.repartition(parts, "row_hash").sortWithinPartitions("row_hash", "lang").select("lang", "text")
     languages = sorted(r[0] for r in sample.select("lang").distinct().collect())
     model = ByteGru.fresh(languages, hidden, seed)
     if not languages:
@@ -296,7 +299,7 @@ def train(docs: DataFrame, *, per_language: int = 100, hidden: int = 8, rounds:
             flat = np.concatenate([p.reshape(-1) for p in local.parameters()]).astype(np.float32)
             yield pa.RecordBatch.from_arrays([pa.array([read]), pa.array([flat.tobytes()], pa.binary())], ["read", "weights"])
 
-        got = [r for r in sample.select("lang", "text").mapInArrow(epoch, "read long, weights binary").collect() if r["read"]]  # one row per partition
+        got = [r for r in dealt.mapInArrow(epoch, "read long, weights binary").collect() if r["read"]]  # one row per partition
         got.sort(key=lambda r: (r["read"], bytes(r["weights"])))
         mean = sum(np.frombuffer(r["weights"], np.float32).astype(np.float64) * r["read"] for r in got) / sum(r["read"] for r in got)
         cuts = np.cumsum([int(np.prod(s)) for s in shapes])[:-1]

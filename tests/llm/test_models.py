@@ -375,6 +375,36 @@ def test_neighbours_of_a_hot_vector_with_repeated_rows(spark):
     assert got == {0: [1, 2, 3, 4, 5], 3: [0, 1, 2, 4, 5], 10: [0, 1, 2, 3, 4]}
 
 
+def test_language_model_does_not_depend_on_the_splits(spark, tmp_path):
+    from orthant.llm import langid
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    docs.repartition(9).write.parquet(f"{tmp_path}/many")
+    weights = []
+    for table, least, shuffles in ((docs, "1", "3"), (spark.read.parquet(f"{tmp_path}/many"), "16", "7")):
+        spark.conf.set("spark.sql.files.minPartitionNum", least)
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+        try:
+            weights.append(langid.train(table, rounds=2, per_language=20))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+            spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert all(np.array_equal(a, b) for a, b in zip(weights[0].parameters(), weights[1].parameters()))
+
+
+def test_neighbours_of_huge_and_tiny_components(spark):
+    from orthant.llm import ann
+
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((120, 16))
+    plain, huge = ([(i, [float(x * size) for x in v]) for i, v in enumerate(base)] for size in (1.0, 2.0**700))
+    tiny = [(i, [float(x * 2.0**-700) for x in v]) for i, v in enumerate(base)]
+    shape = "vec_id long, embedding array<double>"
+    got = [sorted(map(tuple, ann.query(spark.createDataFrame(rows, shape)).collect())) for rows in (plain, huge, tiny)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 15 and all(r[3] is not None for r in got[0])
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from orthant.llm.chunk_dedup import exact_duplicates
