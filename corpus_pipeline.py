@@ -35,14 +35,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = train(docs)
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    named = docs.select(F.struct("*").alias("doc"), predictor(model)("text").alias("found"))
-    known = (F.col("found.lang") != UNDETERMINED) & (F.col("found.score") >= least_score(len(model.languages)))
-    filled = {"lang": F.coalesce("doc.lang", "found.lang")}
-    return named.where(known).select(*[filled.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])
+    (found,) = _fresh(docs, 1)
+    named = docs.withColumn(found, predictor(model)("text"))
+    known = (F.col(found)["lang"] != UNDETERMINED) & (F.col(found)["score"] >= least_score(len(model.languages)))
+    filled = {"lang": F.coalesce(F.col("lang"), F.col(found)["lang"]).alias("lang")}
+    return named.where(known).select(*[filled.get(c, F.col(f"`{c}`")) for c in docs.columns])
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``doc``, the rows of ``docs``, with a key in ``row``, the same each time it is read.
+def _fresh(docs: DataFrame, n: int) -> list[str]:
+    """``n`` names that no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    return [name for name in (f"pipeline_{k}" for k in range(len(taken) + n)) if name not in taken][:n]
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key of the row, the same each time it is read, and the name of its column.
 
     A plain table has it in its files: number of the file and place in it.
     Anything else is written once and then read as such. The table of files
@@ -50,10 +57,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
     """
     docs = as_table(docs)
     place = docs.metadataColumn("_metadata")
-    files = docs.select(place["file_path"].alias("path")).distinct()
-    files = materialize(files.select("path", (F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("file")), "files")
-    placed = docs.select(F.struct("*").alias("doc"), place["file_path"].alias("own_path"), place["row_index"].alias("at"))
-    return placed.join(files, F.col("own_path") == F.col("path")).select("doc", (F.col("file") * (1 << 40) + F.col("at")).alias("row"))
+    key, path, at, name, number = _fresh(docs, 5)
+    files = docs.select(place["file_path"].alias(name)).distinct()
+    files = materialize(files.select(name, (F.row_number().over(Window.orderBy(name)) - 1).cast("long").alias(number)), "files")
+    placed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], place["file_path"].alias(path), place["row_index"].alias(at))
+    placed = placed.join(files, F.col(path) == F.col(name))
+    return placed.withColumn(key, F.col(number) * (1 << 40) + F.col(at)).drop(path, at, name, number), key
 
 
 def _one_of_each(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame], group: str) -> DataFrame:
@@ -63,15 +72,16 @@ def _one_of_each(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame], gro
     or have none are told apart. The row with the smallest doc_id stays (null
     last), and of rows equal in it the first by key.
     """
-    keyed = _keyed(docs)
-    decided = grouped(keyed.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")))
-    found = decided.select(F.col("doc_id").alias("found_row"), F.col(group).alias("group"))
-    own = keyed.select("row", F.col("doc.doc_id").cast("long").alias("own_id"))
+    keyed, key = _keyed(docs)
+    decided = grouped(keyed.select(F.col(key).alias("doc_id"), "text"))
+    found = decided.select(F.col("doc_id").alias("row"), F.col(group).alias("group"))
+    own = keyed.select(F.col(key).alias("own_row"), F.col("doc_id").cast("long").alias("own_id"))
     place = F.struct(F.col("own_id").isNull().alias("none"), "own_id", "row")
-    kept = found.join(own.hint("merge"), F.col("found_row") == F.col("row")).groupBy("group").agg(F.min(place)["row"].alias("kept_row"))
-    kept = materialize(kept.select("kept_row"), "kept")
+    kept = found.join(own.hint("merge"), F.col("row") == F.col("own_row")).groupBy("group").agg(F.min(place)["row"].alias("kept_row"))
+    (kept_row,) = _fresh(keyed, 1)
+    kept = materialize(kept.select(F.col("kept_row").alias(kept_row)), "kept")
     release(decided)
-    return keyed.join(kept.hint("merge"), F.col("row") == F.col("kept_row"), "left_semi").select("doc.*")
+    return keyed.join(kept.hint("merge"), F.col(key) == F.col(kept_row), "left_semi").drop(key)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
