@@ -34,7 +34,7 @@ def default_model() -> str:
 class PieceCodec:
     """Encoder and decoder for one BPE model file with byte fallback and identity normalisation."""
 
-    def __init__(self, model_path: str, cache_bytes: int = 96_000_000, longest_cached: int = 256):
+    def __init__(self, model_path: str, cache_bytes: int = 48_000_000, longest_cached: int = 256):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)
@@ -201,7 +201,7 @@ def encode_documents(docs: DataFrame, model_path: str | None = None) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model_path)
         for batch in batches:
-            for part in slices(batch, "text", 2_000_000):
+            for part in slices(batch, "text", 1_000_000):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 ids = [np.frombuffer(b"".join([e[0] for e in words]), np.int32) for words in codec.entries(texts)]
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
@@ -219,7 +219,7 @@ def query(docs: DataFrame, model_path: str | None = None) -> DataFrame:
         codec = _codec(model_path)
         sha = lambda raw: hashlib.sha256(raw).hexdigest()
         for batch in batches:
-            for part in slices(batch, "text", 2_000_000):
+            for part in slices(batch, "text", 1_000_000):
                 counts, ids, decoded = [], [], []
                 for words in codec.entries([t or "" for t in part.column("text").to_pylist()]):
                     counts.append(sum([len(e[0]) for e in words]) // 4)
