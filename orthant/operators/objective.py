@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,23 +37,71 @@ def trial_scores(points: DataFrame, committed: DataFrame, trials: DataFrame, tol
     of exterior volume; never below 0. One join and one aggregate for all trials.
     """
     known = union_field(points.select("id", "x", "y", "z", "weight"), committed)
-    box = Box("t_")
-    signed = box.signed_distance()
     pairs = known.join(_named(trials, "t_"))
-    new, tau = F.least(F.col("field"), signed), F.lit(tolerance)
+    sums = pairs.groupBy("t_box_id").agg(*_gains(tolerance, F.sum("weight")), *_of_box())
+    return sums.select(F.col("t_box_id").alias("box_id"), "volume_gain", "source_gain", "coverage_gain", _score(reference_volume, penalty).alias("score"))
+
+
+def _gains(tolerance: float, total: Column) -> list[Column]:
+    """What a trial ``t_`` brings to points with ``field`` and ``weight``, as shares of ``total``."""
+    new, tau = F.least(F.col("field"), Box("t_").signed_distance()), F.lit(tolerance)
     cap = lambda s: F.least(F.abs(s) / tau, F.lit(1.0))
     near = lambda s: (F.abs(s) <= tau).cast("int")
-    w, total = F.col("weight"), F.sum("weight")
-    covered = ((F.col("far") > tau) & (F.greatest(new, F.lit(0.0)) <= tau)).cast("int")
-    sums = pairs.groupBy("t_box_id").agg(
+    w, covered = F.col("weight"), ((F.col("field") > tau) & (F.greatest(new, F.lit(0.0)) <= tau)).cast("int")
+    return [
         (F.sum(w * covered) / total).alias("volume_gain"),
         (F.sum(w * (cap(F.col("field")) - cap(new))) / total).alias("source_gain"),
         (F.sum(w * (near(new) - near(F.col("field")))) / total).alias("coverage_gain"),
-        F.first("t_exterior").alias("exterior"), F.first("t_reverse_gain").alias("reverse_gain"), F.first(box.volume()).alias("volume"),
-    )
+    ]
+
+
+def _of_box() -> list[Column]:
+    return [F.first("t_exterior").alias("exterior"), F.first("t_reverse_gain").alias("reverse_gain"), F.first(Box("t_").volume()).alias("volume")]
+
+
+def _score(reference_volume: float, penalty: float) -> Column:
     gain = F.col("volume_gain") + F.col("source_gain") + F.col("coverage_gain") + 0.25 * F.col("reverse_gain")
-    cost = exterior_cost(F.col("volume"), reference_volume, F.col("exterior"), penalty)
-    return sums.select(F.col("t_box_id").alias("box_id"), "volume_gain", "source_gain", "coverage_gain", (F.greatest(gain, F.lit(0.0)) / cost).alias("score"))
+    return F.greatest(gain, F.lit(0.0)) / exterior_cost(F.col("volume"), reference_volume, F.col("exterior"), penalty)
+
+
+def with_field(points: DataFrame, box: dict | None = None) -> DataFrame:
+    """``points`` with ``field``, the smallest signed distance to the boxes so far, after one more (``center``, ``dimensions``, ``rotation``).
+
+    The field of the boxes before is in the table already, so a commit is one
+    pass over the points without a join: what it costs does not depend on how
+    many boxes there are.
+    """
+    old = F.col("field") if "field" in points.columns else F.lit(float("inf"))
+    if box is None:
+        return points.withColumn("field", old)
+    literal = Box("")
+    numbers = {"c" + a: v for a, v in zip("xyz", box["center"])} | {"d" + a: v for a, v in zip("xyz", box["dimensions"])}
+    numbers |= {f"r{i}{j}": box["rotation"][i][j] for i in range(3) for j in range(3)}
+    literal.col = lambda name: F.lit(float(numbers[name]))  # type: ignore[method-assign]
+    return points.withColumn("field", F.least(old, literal.signed_distance()))
+
+
+def field_scores(points: DataFrame, trials: DataFrame, groups: DataFrame, tolerance: float, *, total: float, deep: float, reference_volume: float, penalty: float = 2.0, most_buried: float = float("inf")) -> DataFrame:
+    """``trial_scores`` of trials in groups, for points that carry their ``field`` (``with_field``).
+
+    ``trials`` (``box_id``, ``group``, geometry, ``exterior``,
+    ``reverse_gain``) differ little within a group; ``groups`` has the bounds
+    (``group``, ``lx .. hz``) of all of a group's trials. Points farther than
+    the tolerance from these bounds gain nothing, so a point meets the groups
+    first and their trials only where it may count. A box that buries more
+    than ``most_buried`` of the weight deeper than the tolerance scores 0;
+    ``deep`` is the weight that the boxes so far have buried, ``total`` all of it.
+    """
+    reach = tolerance * (1 + 1e-9)
+    inside = reduce(lambda s, t: s & t, [(F.col(a) >= F.col("l" + a) - reach) & (F.col(a) <= F.col("h" + a) + reach) for a in "xyz"])
+    near = points.join(F.broadcast(groups), inside)  # a few groups
+    named = F.broadcast(trials.select(*[F.col(c).alias("t_" + c) for c in trials.columns]))  # a few dozen boxes a group
+    pairs = near.join(named, F.col("group") == F.col("t_group"))
+    limit = -tolerance * (1 + 1e-10)
+    sunk = F.sum(F.when((F.col("field") >= limit) & (Box("t_").signed_distance() < limit), F.col("weight")).otherwise(0.0)) + deep
+    sums = pairs.groupBy("t_box_id").agg(*_gains(tolerance, F.lit(total)), *_of_box(), sunk.alias("buried"))
+    score = F.when(F.col("buried") <= most_buried + 1e-9 * total, _score(reference_volume, penalty)).otherwise(0.0)
+    return sums.select(F.col("t_box_id").alias("box_id"), "volume_gain", "source_gain", "coverage_gain", "buried", score.alias("score"))
 
 
 def buried(points: DataFrame, boxes: DataFrame, tolerance: float) -> DataFrame:
