@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orthant.functions.scalar import AXES, Box
+from orthant.functions.scalar import AXES
 from orthant.operators.voxel import IJK, box_voxels
 from orthant.storage import materialize, release
 
@@ -78,6 +78,35 @@ def _moved(boxes: DataFrame, distance: Column) -> DataFrame:
     return out.withColumns({f"d{a}": F.when(F.col("face") == j, F.col(f"d{a}") + F.col("moved")).otherwise(F.col(f"d{a}")) for j, a in enumerate(AXES)}).drop("moved")
 
 
+def _way(axis: Column, sign: Column | float) -> dict[str, Column]:
+    """Columns ``face``, ``v0``, ``v1`` and ``v2`` of the side along box axis ``axis`` that looks to ``sign``."""
+    pick = lambda i: reduce(lambda rest, j: F.when(axis == j, F.col(f"r{i}{j}")).otherwise(rest), (1, 2), F.col(f"r{i}0"))
+    return {"face": axis, **{f"v{i}": sign * pick(i) for i in range(3)}}
+
+
+def _reach(faced: DataFrame, voxels: DataFrame, width: float, farthest: float) -> DataFrame:
+    """``faced`` (boxes with a unique ``box_id`` and the columns of ``_way``) with ``way``, how far that face may move."""
+    step = farthest / STEPS
+    swept = box_voxels(_moved(faced, F.lit(float(farthest))).select("box_id", *GEOMETRY), width).select("box_id", *IJK)
+    blocked = swept.join(voxels, list(IJK), "left_anti")
+    own = faced.select("box_id", "cx", "cy", "cz", separating_axes(width).alias("axes"))
+    ends = blocked.join(own, "box_id").groupBy("box_id").agg(F.min(meeting_distance(width)).alias("way"))
+    way = F.least(F.coalesce(F.col("way"), F.lit(float(farthest))), F.lit(float(farthest)))
+    return faced.join(ends, "box_id", "left").withColumn("way", F.least(F.floor(way / step + 1e-9), F.lit(STEPS - 1)) * step)
+
+
+def extended(boxes: DataFrame, safe: DataFrame, width: float, farthest: float) -> DataFrame:
+    """Six boxes for each of ``boxes``: ``box_id``, ``face`` (axis), ``sign`` and the geometry with this one face moved as far as it may.
+
+    All faces of all boxes take one join and one aggregate.
+    """
+    faces = F.array(*[F.struct(F.lit(j).alias("axis"), F.lit(s).alias("sign")) for j in range(3) for s in (-1.0, 1.0)])
+    faced = boxes.select("box_id", *[F.col(c).cast("double").alias(c) for c in GEOMETRY], F.explode(faces).alias("at"))
+    faced = faced.withColumns({**_way(F.col("at.axis"), F.col("at.sign")), "of": F.col("box_id"), "box_id": F.struct("box_id", "at")})
+    found = _reach(materialize(faced, "faces"), safe.select(*IJK), width, farthest)
+    return _moved(found, F.col("way")).select(F.col("of").alias("box_id"), "face", F.col("at.sign").alias("sign"), *GEOMETRY)
+
+
 def grow_certified(boxes: DataFrame, safe: DataFrame, width: float, farthest: float, score: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``boxes`` (``box_id`` and geometry) with their six faces moved outward as far as they stay within ``safe`` (``i j k``).
 
@@ -89,20 +118,12 @@ def grow_certified(boxes: DataFrame, safe: DataFrame, width: float, farthest: fl
     ``box_id``, ``score``) a face takes the best of five shares of its way,
     the least of equal ones.
     """
-    step = farthest / STEPS
     by_length = F.array_sort(F.array(*[F.struct((-F.col(f"d{a}")).alias("size"), F.lit(j).alias("axis")) for j, a in enumerate(AXES)]))
     state = materialize(boxes.select("box_id", *[F.col(c).cast("double").alias(c) for c in GEOMETRY]).withColumn("order", by_length), "growth")
     voxels = safe.select(*IJK)
     for turn in range(6):
-        axis, sign = F.col("order")[turn // 2]["axis"], 1.0 if turn % 2 else -1.0
-        pick = lambda i: reduce(lambda rest, j: F.when(axis == j, F.col(f"r{i}{j}")).otherwise(rest), (1, 2), F.col(f"r{i}0"))  # noqa: B023, E731
-        faced = state.withColumns({"face": axis, **{f"v{i}": sign * pick(i) for i in range(3)}})
-        swept = box_voxels(_moved(faced, F.lit(float(farthest))).select("box_id", *GEOMETRY), width).select("box_id", *IJK)
-        blocked = swept.join(voxels, list(IJK), "left_anti")
-        own = faced.select("box_id", "cx", "cy", "cz", separating_axes(width).alias("axes"))
-        ends = blocked.join(own, "box_id").groupBy("box_id").agg(F.min(meeting_distance(width)).alias("way"))
-        way = F.least(F.coalesce(F.col("way"), F.lit(float(farthest))), F.lit(float(farthest)))
-        grown = faced.join(ends, "box_id", "left").withColumn("way", F.least(F.floor(way / step + 1e-9), F.lit(STEPS - 1)) * step)
+        faced = state.withColumns(_way(F.col("order")[turn // 2]["axis"], 1.0 if turn % 2 else -1.0))
+        grown = _reach(faced, voxels, width, farthest)
         if score is None:
             moved = _moved(grown, F.col("way"))
         else:
@@ -119,8 +140,3 @@ def grow_certified(boxes: DataFrame, safe: DataFrame, width: float, farthest: fl
         state = after
     return state.drop("order")
 
-
-def surface_of(boxes: DataFrame) -> DataFrame:
-    """Lower and upper ends of axis-aligned boxes, for reports."""
-    box = Box()
-    return boxes.select("box_id", *[e for i, a in enumerate(AXES) for e in ((F.col("c" + a) - box.half_extent(i)).alias(f"{a}0"), (F.col("c" + a) + box.half_extent(i)).alias(f"{a}1"))])

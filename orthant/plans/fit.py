@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 
 from orthant.functions.config import FitSettings, check_grid, reconstruction_layers
 from orthant.functions.scalar import Box, evaluation_tolerance
-from orthant.operators import cells, mesh, normals, voxel
-from orthant.operators.objective import normal_votes
-from orthant.operators.spatial import nearest_spacing
-from orthant.storage import materialize
+from orthant.operators import cells, growth, mesh, normals, refine, voxel
+from orthant.operators.objective import burial_feasible, normal_votes, with_field
+from orthant.operators.spatial import nearest_neighbors, nearest_spacing
+from orthant.storage import materialize, release
 
 GRID_BYTES = 1 << 30
 
@@ -141,6 +141,7 @@ class Prepared:
     tolerance: float
     solid: Solid
     frames: list[np.ndarray]
+    safe: DataFrame  # the solid's cells
 
 
 def prepare(cloud: DataFrame, settings: FitSettings, regions: DataFrame | None = None) -> Prepared:
@@ -164,7 +165,7 @@ def prepare(cloud: DataFrame, settings: FitSettings, regions: DataFrame | None =
     check_grid(shape, GRID_BYTES)
     observed = materialize(voxel.occupancy(unit, width), "observed")
     inner = voxel.reconstruct(observed, layers)
-    safe = voxel.safe_region(voxel.euclidean_band(observed, reach, width), inner)
+    safe = materialize(voxel.safe_region(voxel.euclidean_band(observed, reach, width), inner), "safe")
     grid = np.zeros(shape, bool)
     at = safe.toPandas()[list(voxel.IJK)].to_numpy() + pad  # at most the grid that was checked
     at = at[((at >= 0) & (at < shape)).all(axis=1)]
@@ -174,7 +175,7 @@ def prepare(cloud: DataFrame, settings: FitSettings, regions: DataFrame | None =
     weighted = cells.spatial_weights(unit, 2 * tolerance)
     parts = cells.cell_components(cells.with_cells(unit, 2 * tolerance))
     points = weighted.join(parts, list(cells.CELL)).select("id", "x", "y", "z", "weight", F.col("component").cast("string").alias("component"))
-    return Prepared(materialize(points, "points"), b["n"], low, extent, spacing, tolerance, solid, find_frames(unit, regions))
+    return Prepared(materialize(points, "points"), b["n"], low, extent, spacing, tolerance, solid, find_frames(unit, regions), safe)
 
 
 def find_frames(points: DataFrame, regions: DataFrame | None = None, most: int = 12) -> list[np.ndarray]:
@@ -320,11 +321,14 @@ class Fit:
 
 
 def select_boxes(p: Prepared, settings: FitSettings, *, committed: Sequence[dict] = (), propose: Callable[[DataFrame], list[dict]] | None = None, on_commit: Callable[[list[dict]], None] | None = None, progress: Callable[[str], None] | None = None) -> tuple[list[dict], list[dict], str]:
-    """Commit the box of the best gain per cost until the cloud is covered; committed boxes never change.
-
-    A round measures all candidates against the rows still open, tightens the
-    best few to their points, measures these again and commits one. Boxes that
-    are not certified within the solid, in unit coordinates, are not measured.
+    """Commit the box of the best score until all gates hold; committed boxes never change.
+
+    A round measures all candidates against the rows still open, scores the
+    first of them on the surface objective, grows and refines the best few and
+    commits the best that buries no more than the coverage target leaves open.
+    Points carry their distance to the boxes so far, so a commit is one pass.
+    Boxes that are not certified within the solid are not measured. Without a
+    surface target (``target_surface_support`` 0) burial is allowed.
     """
     boxes, curve = list(committed), []
     pool, seen, enough = [], set(), []
@@ -340,64 +344,221 @@ def select_boxes(p: Prepared, settings: FitSettings, *, committed: Sequence[dict
         return 1.0 + settings.exterior_penalty * p.solid.exterior(box) * volume(box)
 
     add(bounding_boxes(p))
-    open_points, covered = p.points, 0
-    need = math.ceil(settings.target_coverage * p.count)
-    reason = "target_reached"
-    if boxes:
-        open_points, covered = _uncovered(p, open_points, boxes)
-    else:  # one box may do; then nothing else is searched
+    state = with_field(p.points)
+    for box in boxes:
+        state = with_field(state, box)
+    state = materialize(state, "state")
+    need, reach, surface = math.ceil(settings.target_coverage * p.count), p.tolerance * (1 + 1e-12), settings.target_surface_support > 0
+    total = p.points.agg(F.sum("weight")).first()[0]
+    most_buried = (1 - settings.target_coverage) * total if surface else float("inf")
+    covered = state.where(F.col("field") <= reach).count() if boxes else 0
+    if not boxes:  # one box may do; then nothing else is searched
         for widen in (False, True):
             if widen:
                 p.frames += normal_frames(p)
                 add(bounding_boxes(p))
-            measured = _measure(p, p.points, pool) if pool else []
+            measured = _measure(p, state, pool) if pool else []
             enough = [b for b, m in zip(pool, measured) if m["rows"] >= need]
+            enough = [b for b, v in zip(enough, _scored(p, state, enough, settings, total, most_buried)) if v > 0]
             if enough:
                 pool = [min(enough, key=volume)]
                 break
     if not enough:
-        add(panel_boxes(open_points, p))
+        add(panel_boxes(state.where(F.col("field") > reach), p))
         add(grown_boxes(p))
-    while covered < need:
+    reason = ""
+    while not reason:
+        done = covered >= need
+        if done and gates(Fit([to_source(b, p) for b in boxes], curve, "", p.tolerance * p.scale, p), settings)["target_reached"]:
+            reason = "target_reached"
+            break
         if len(boxes) >= settings.max_cuboids:
             reason = "maximum_box_budget"
             break
+        # Once the rows are covered, those too deep in the boxes to count as surface are what is left to do.
+        open_points = state.where((F.abs("field") if done else F.col("field")) > reach)
         if boxes:
             add(panel_boxes(open_points, p))
+            add(residual_boxes(open_points, p))
             if propose is not None:
                 add(propose(open_points))
-        measured = _measure(p, open_points, pool) if pool else []
-        # A gain that falls short of a hundredth of the best is not looked at again this round.
-        order = sorted(range(len(pool)), key=lambda i: (-measured[i]["gain"] / cost(pool[i]), volume(pool[i]), i))[: settings.prescreen]
-        finalists = [i for i in order if measured[i]["gain"] > 1e-12][: settings.finalists]
-        if not finalists:
+        best = _best_trial(p, state, open_points, boxes, pool, settings, cost, total, most_buried)
+        if best is None:
             before = len(pool)
             add(_raw_cells(p, open_points))
             if len(pool) == before:
-                reason = "bounded_candidate_search_exhausted" if boxes or pool else "no_candidates"
-                break
+                reason = "surface_quality_not_reached" if done else "bounded_candidate_search_exhausted" if boxes or pool else "no_candidates"
             continue
-        trials = [pool[i] for i in finalists]
-        trials += [t for t in (_tightened(pool[i], measured[i]) for i in finalists) if t is not None and p.solid.certify(t)]
-        again = _measure(p, open_points, trials)
-        best = min(range(len(trials)), key=lambda i: (-again[i]["gain"] / cost(trials[i]), volume(trials[i]), i))
-        boxes.append(trials[best])
-        open_points, covered = _uncovered(p, open_points, [trials[best]])
-        curve.append({"cuboids": len(boxes), "covered_fraction": covered / p.count, "added_points": again[best]["rows"]})
+        boxes.append(best)
+        after = materialize(with_field(state, best), "state")
+        release(state)
+        state, before = after, covered
+        covered = state.where(F.col("field") <= reach).count()
+        curve.append({"cuboids": len(boxes), "covered_fraction": covered / p.count, "added_points": covered - before})
         if on_commit is not None:
             on_commit(boxes)
         if progress is not None:
             progress(f"{len(boxes)} cuboids, {covered / p.count:.4f} covered")
+    release(state)
     if reason == "no_candidates":
         raise CoverageNotReachedError(reason)
     return boxes, curve, reason
 
 
-def _uncovered(p: Prepared, open_points: DataFrame, boxes: Sequence[dict]) -> tuple[DataFrame, int]:
-    table = mesh.flat_boxes(mesh.boxes_table(p.points.sparkSession, boxes))
-    named = F.broadcast(table.select(*[F.col(c).alias("b_" + c) for c in table.columns]))  # at most max_cuboids rows
-    rest = materialize(open_points.join(named, Box("b_").distance() <= p.tolerance * (1 + 1e-12), "left_anti"), "open")
-    return rest, p.count - rest.count()
+def _scored(p: Prepared, state: DataFrame, boxes: Sequence[dict], settings: FitSettings, total: float, most_buried: float) -> list[float]:
+    if not boxes:
+        return []
+    return refine.scored(state, list(enumerate(boxes)), p.solid.exterior, p.tolerance, **_options(p, state, settings, total, most_buried))
+
+
+def _options(p: Prepared, state: DataFrame, settings: FitSettings, total: float, most_buried: float) -> dict:
+    deep = state.where(F.col("field") < -p.tolerance * (1 + 1e-10)).agg(F.sum("weight")).first()[0] or 0.0
+    return {"total": total, "deep": deep, "reference_volume": 1.0, "penalty": settings.exterior_penalty, "most_buried": most_buried}
+
+
+def _best_trial(p: Prepared, state: DataFrame, open_points: DataFrame, boxes: Sequence[dict], pool: list[dict], settings: FitSettings, cost: Callable[[dict], float], total: float, most_buried: float) -> dict | None:
+    """The box to commit next: of the ``prescreen`` best by gain the ``finalists`` best by score, faces moved out included, refined.
+
+    Candidates that score nothing leave the pool. The winner must also keep
+    what the union buries, faces between its boxes included, within bounds.
+    """
+    while pool:
+        measured = _measure(p, open_points, pool)
+        order = sorted(range(len(pool)), key=lambda i: (-measured[i]["gain"] / cost(pool[i]), volume(pool[i]), i))
+        order = [i for i in order if measured[i]["gain"] > 1e-12][: settings.prescreen]
+        if not order:
+            return None
+        first = [pool[i] for i in order]
+        first += [t for t in (_tightened(pool[i], measured[i]) for i in order) if t is not None and p.solid.certify(t)]
+        options = _options(p, state, settings, total, most_buried)
+        values = refine.scored(state, list(enumerate(first)), p.solid.exterior, p.tolerance, **options)
+        ranked = sorted((i for i, v in enumerate(values) if v > 0), key=lambda i: (-values[i], volume(first[i]), i))
+        if not ranked:
+            gone = {id(pool[i]) for i in order}
+            pool[:] = [b for b in pool if id(b) not in gone]
+            continue
+        finalists = [first[i] for i in ranked[: settings.finalists]]
+
+        def whole(found: Sequence[tuple[dict, float]]) -> list[tuple[dict, float]]:
+            """Boxes that score, with the reverse part where the surface counts, best first."""
+            found = [(box, value) for box, value in found if value > 0]
+            if most_buried < float("inf"):
+                gains = reverse_gains(p, boxes, [box for box, _ in found])
+                found = [(box, value + 0.25 * gain / cost(box)) for (box, value), gain in zip(found, gains)]
+            return sorted(found, key=lambda f: (-f[1], volume(f[0])))
+
+        certify = lambda trials: [p.solid.certify(b) for b in trials]
+        longer = [b for b in _extended(p, finalists) if p.solid.certify(b, strict=False)]
+        values = refine.scored(state, list(enumerate(longer)), p.solid.exterior, p.tolerance, **options) if longer else []
+        # An extended face lies beyond its points until it is refined, so these boxes do not compete with the tight ones yet.
+        chosen = finalists + [box for box, _ in whole(list(zip(longer, values)))[: settings.finalists]]
+        found = refine.refine_boxes(state, chosen, certify, p.solid.exterior, p.tolerance, least=1e-4 * p.solid.width, **options)
+        for box, _ in whole(found):
+            if not boxes or most_buried == float("inf"):
+                return box
+            if burial_feasible(p.points, mesh.boxes_table(p.points.sparkSession, [*boxes, box]), p.tolerance, settings.target_coverage):
+                return box
+        gone = {id(pool[i]) for i in order}
+        pool[:] = [b for b in pool if id(b) not in gone]
+    return None
+
+
+def _face_samples(box: dict, n: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Centres of n x n patches of each face, and the patches' areas."""
+    at, points, areas = (np.arange(n) + 0.5) / n - 0.5, [], []
+    for axis in range(3):
+        one, two = (a for a in range(3) if a != axis)
+        for side in (-0.5, 0.5):
+            local = np.full((n * n, 3), side)
+            local[:, one], local[:, two] = (m.ravel() for m in np.meshgrid(at, at))
+            points.append(box["center"] + local * box["dimensions"] @ box["rotation"].T)
+            areas.append(np.full(n * n, box["dimensions"][one] * box["dimensions"][two] / n**2))
+    return np.concatenate(points), np.concatenate(areas)
+
+
+def _outside(points: np.ndarray, boxes: Sequence[dict], eps: float) -> np.ndarray:
+    out = np.ones(len(points), bool)
+    for b in boxes:
+        out &= (np.abs((points - b["center"]) @ b["rotation"]) - b["dimensions"] / 2).max(axis=1) > -eps
+    return out
+
+
+def reverse_gains(p: Prepared, boxes: Sequence[dict], trials: Sequence[dict]) -> list[float]:
+    """By how much each trial lowers the share of outer surface that no point stands behind.
+
+    Patches of all boxes (384 each) meet the points in one nearest join; a
+    patch counts by its distance, at most four tolerances, while it is not
+    inside another box of the union.
+    """
+    if not trials:
+        return []
+    parts = [_face_samples(b) for b in (*boxes, *trials)]
+    at, area = np.concatenate([x for x, _ in parts]), np.concatenate([a for _, a in parts])
+    rows = [(i, *map(float, v)) for i, v in enumerate(at)]
+    samples = p.points.sparkSession.createDataFrame(rows, "id long, x double, y double, z double")
+    near = nearest_neighbors(samples, p.points.select("id", "x", "y", "z"), 1).select("id", "d").collect()  # the patches of a round
+    far = np.empty(len(at))
+    far[[r["id"] for r in near]] = [r["d"] for r in near]
+    loss, own = area * np.minimum(far / p.tolerance, 4.0), np.repeat(np.arange(len(parts)), [len(a) for _, a in parts])
+    every, eps = [*boxes, *trials], 1e-6 * p.solid.width
+    edges = np.ptp(_corners(p), axis=0)
+    reference = 2 * (edges[0] * edges[1] + edges[1] * edges[2] + edges[2] * edges[0]) or 1.0
+
+    def error(members: list[int]) -> float:
+        total = 0.0
+        for k in members:
+            mine = own == k
+            total += loss[mine][_outside(at[mine], [every[m] for m in members if m != k], eps)].sum()
+        return total / (reference + total)
+
+    before = list(range(len(boxes)))
+    now = error(before)
+    return [now - error([*before, len(boxes) + k]) for k in range(len(trials))]
+
+
+def _corners(p: Prepared) -> np.ndarray:
+    b = p.points.agg(*[F.min(a) for a in "xyz"], *[F.max(a) for a in "xyz"]).first()
+    return np.array(b, float).reshape(2, 3)
+
+
+def _extended(p: Prepared, boxes: Sequence[dict]) -> list[dict]:
+    """``boxes`` with one face each moved out as far as the solid's cells allow, where that is any way."""
+    spark, origin, least = p.points.sparkSession, p.solid.origin, 1e-6 * p.solid.width
+    moved = [b | {"center": b["center"] - origin, "dimensions": np.maximum(b["dimensions"], least)} for b in boxes]
+    cells_at = [F.round(F.col(c) - float(o) / p.solid.width).cast("long").alias(c) for c, o in zip(voxel.IJK, origin)]
+    farthest = p.solid.width * max(p.solid.safe.shape)
+    rows = growth.extended(mesh.flat_boxes(mesh.boxes_table(spark, moved)), p.safe.select(*cells_at), p.solid.width, farthest)
+    out = []
+    for r in rows.orderBy("box_id", "face", "sign").collect():  # six of each finalist
+        b, size = boxes[r["box_id"]], np.array([r["d" + a] for a in "xyz"])
+        if (size > b["dimensions"] + 0.5 * p.solid.width).any():
+            out.append(b | {"center": np.array([r["c" + a] for a in "xyz"]) + origin, "dimensions": size, "kind": "extended"})
+    return out
+
+
+def residual_boxes(open_points: DataFrame, p: Prepared, parts: int = 8, minimum: int = 4) -> list[dict]:
+    """Boxes around the heaviest connected groups of open points, along the group's own axes and the cloud's frames.
+
+    Groups are components of occupied cells, their axes come from moments;
+    both are aggregates, and a few rows for each of ``parts`` groups return.
+    """
+    celled = cells.with_cells(open_points.select("id", "x", "y", "z", "weight"), 2 * max(2 * p.tolerance, p.spacing), tuple(float(v) for v in p.solid.origin))
+    grouped = celled.join(cells.cell_components(celled), list(cells.CELL)).withColumn("part", F.col("component").cast("string"))
+    mass = grouped.groupBy("part").agg(F.sum("weight").alias("mass"), F.count("*").alias("n")).where(F.col("n") >= minimum)
+    heavy = mass.orderBy(F.desc("mass"), "part").limit(parts).select("part")
+    grouped = materialize(grouped.join(F.broadcast(heavy), "part").select("part", "x", "y", "z", "weight"), "residual")
+    own = {r["part"]: np.array(r["axes"]).T for r in normals.eigen(normals.moments(grouped, ["part"]), ["part"]).collect()}
+    out = []
+    for part, axes in sorted(own.items()):
+        u, _, v = np.linalg.svd(axes)
+        frame = u @ v
+        if np.linalg.det(frame) < 0:
+            frame[:, 2] = -frame[:, 2]
+        frames = [frame, *p.frames]
+        rows = frame_table(grouped.where(F.col("part") == part).select("x", "y", "z"), frames).groupBy("f").agg(*_ends()).orderBy("f").collect()  # one row a frame
+        out += _bounds_to_boxes(rows, frames, "residual")
+    release(grouped)
+    return out
 
 
 def _raw_cells(p: Prepared, open_points: DataFrame, most: int = 8) -> list[dict]:

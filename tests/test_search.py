@@ -150,3 +150,19 @@ def test_the_field_of_many_commits_is_the_union_field(spark):
         state = objective.with_field(state, box)
     whole = {r["id"]: r["field"] for r in objective.union_field(points, mesh.flat_boxes(mesh.boxes_table(spark, boxes))).collect()}
     assert all(r["field"] == pytest.approx(whole[r["id"]], abs=1e-12) for r in state.collect())
+
+
+def test_an_l_takes_three_boxes_at_most(spark):
+    from orthant.functions.config import FitSettings
+    from orthant.plans import fit
+    from orthant.sources import views
+
+    points = views.case_cloud(spark, "l_shape", 0.125).withColumn("id", F.monotonically_increasing_id())
+    found = fit.fit_cuboids(points.select("id", "x", "y", "z"), FitSettings(resolution=24, max_cuboids=4))
+    assert len(found.boxes) <= 3 and found.curve[-1]["covered_fraction"] >= 0.999
+    assert found.reason in ("target_reached", "surface_quality_not_reached")
+    # No point lies deep in a box: the whole bounding box, which would cover everything, was not taken.
+    state = found.prepared.points
+    for box in found.boxes:
+        state = objective.with_field(state, fit.to_unit(box, found.prepared))
+    assert state.where(F.col("field") < -found.prepared.tolerance * 1.001).count() == 0
