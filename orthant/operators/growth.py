@@ -22,6 +22,8 @@ from orthant.storage import materialize, release
 GEOMETRY = ("cx", "cy", "cz", "dx", "dy", "dz", *[f"r{i}{j}" for i in range(3) for j in range(3)])
 #: Growth is a multiple of the longest way divided by this, what twelve halvings would resolve.
 STEPS = 1 << 12
+#: Overlaps up to this share of a voxel are touching.
+TOUCH = 1e-8
 SHARES = (0.0, 0.25, 0.5, 0.75, 1.0)
 
 
@@ -33,7 +35,8 @@ def separating_axes(width: float) -> Column:
     """The 15 axes of a box against voxels, with what of them does not depend on the voxel.
 
     Of each axis ``n0 n1 n2``: ``p``, the part of the way ``v0 v1 v2`` along
-    it (turned so that it is not negative), and ``reach`` of box and voxel.
+    it (turned so that it is not negative), ``reach`` of box and voxel, and
+    ``hold``, by so much less that faces in one plane do not overlap for rounding.
     """
     half = [F.col("d" + a) / 2.0 for a in AXES]
     sides = [[F.col(f"r{i}{j}") for i in range(3)] for j in range(3)]  # axis j of the box
@@ -50,7 +53,7 @@ def separating_axes(width: float) -> Column:
         p = _dot(way, n)
         reach = width / 2.0 * reduce(lambda s, t: s + t, [F.abs(x) for x in n]) + _dot(half, [F.abs(_dot(side, n)) for side in sides])
         turn = F.when(p < 0, -1.0).otherwise(1.0)
-        out.append(F.struct(*[(turn * x).alias(f"n{i}") for i, x in enumerate(n)], F.abs(p).alias("p"), reach.alias("reach"), (_dot(n, n) > 1e-18).alias("there")))
+        out.append(F.struct(*[(turn * x).alias(f"n{i}") for i, x in enumerate(n)], F.abs(p).alias("p"), reach.alias("reach"), (reach - TOUCH * width * F.sqrt(_dot(n, n))).alias("hold"), (_dot(n, n) > 1e-18).alias("there")))
     return F.filter(F.array(*out), lambda n: n["there"])  # the product of parallel edges is no axis
 
 
@@ -64,8 +67,8 @@ def meeting_distance(width: float, axes: str = "axes", center: tuple[str, str, s
 
     def begin(n: Column) -> Column:
         g = gap[0] * n["n0"] + gap[1] * n["n1"] + gap[2] * n["n2"]
-        moving = F.when(g > -n["reach"], F.greatest(F.lit(0.0), (g - n["reach"]) / n["p"]))
-        return F.when(n["p"] > 1e-12, moving).otherwise(F.when(F.abs(g) < n["reach"], 0.0))
+        moving = F.when(g > -n["hold"], F.greatest(F.lit(0.0), (g - n["reach"]) / n["p"]))
+        return F.when(n["p"] > 1e-12, moving).otherwise(F.when(F.abs(g) < n["hold"], 0.0))
 
     begins = F.transform(axes, begin)
     return F.when(~F.exists(begins, lambda x: x.isNull()), F.array_max(begins))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orthant.operators import mesh, normals
-from orthant.plans.registry import r9, register
+from orthant.plans.registry import _exposed_sql, r9, register, s9
 from orthant.sources import views
 
 _EYE = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]]
@@ -46,33 +46,30 @@ def _(spark, d):
     return regions.groupBy("region").agg(F.count("*").alias("n"))
 
 
-def _pair(spark, shift):
-    return mesh.boxes_table(spark, [{"center": (0, 0, 0), "dimensions": (1, 1, 1), "rotation": _EYE}, {"center": (shift, 0, 0), "dimensions": (1, 1, 1), "rotation": _EYE}])
+def _label_boxes(spark, d):
+    """The bounds of each label's vectors as the mesh operators take boxes."""
+    ends = [(F.col(f"{a}0"), F.col(f"{a}1")) for a in "xyz"]
+    eye = F.array(*[F.array(*map(F.lit, row)) for row in _EYE])
+    return views.label_boxes(spark, d).select(F.col("box_id").cast("int").alias("box_id"), F.array(*[(a + b) / 2.0 for a, b in ends]).alias("center"), F.array(*[b - a for a, b in ends]).alias("dimensions"), eye.alias("rotation"))
 
 
-@register("surface_area", "SELECT * FROM (VALUES (0e0, 6e0), (0.5e0, 8e0), (1e0, 10e0)) AS t(shift, area)")
+@register("surface_area", f"WITH {_exposed_sql('o.box_id <> b.box_id')} SELECT box_id, side, {s9('area')} AS area FROM e WHERE area > 1e-9", "v_bounds")
 def _(spark, d):
-    """Exposed area of two unit cubes: equal, half apart, face to face."""
-    out = None
-    for shift in (0.0, 0.5, 1.0):
-        row = mesh.exposed_polygons(_pair(spark, shift)).agg(F.lit(shift).alias("shift"), r9(F.sum("area")).alias("area"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """What of each side of the labels' bounds lies on the surface of their union."""
+    return mesh.exposed_polygons(_label_boxes(spark, d)).groupBy("box_id", "side").agg(r9(F.sum("area")).alias("area"))
 
 
-@register("render_polygons", "SELECT 24e0 AS area, 1::BIGINT AS boxes")
+@register("render_polygons", f"WITH {_exposed_sql('o.box_id < b.box_id')} SELECT box_id, side, {s9('area')} AS area FROM e WHERE area > 1e-9", "v_bounds")
 def _(spark, d):
-    """Of two equal boxes of side 2 the first one is drawn."""
-    twice = [{"center": (0, 0, 0), "dimensions": (2, 2, 2), "rotation": _EYE}] * 2
-    drawn = mesh.exposed_polygons(mesh.boxes_table(spark, twice), earlier_only=True)
-    return drawn.agg(r9(F.sum("area")).alias("area"), F.countDistinct("box_id").alias("boxes"))
+    """What of each side is drawn where boxes come in order and the first one owns a place."""
+    return mesh.exposed_polygons(_label_boxes(spark, d), earlier_only=True).groupBy("box_id", "side").agg(r9(F.sum("area")).alias("area"))
 
 
-@register("surface_samples", "SELECT 6e0 AS area, true AS near")
+@register("surface_samples", f"WITH {_exposed_sql('o.box_id <> b.box_id')} SELECT {s9('sum(area)')} AS area FROM e", "v_bounds")
 def _(spark, d):
-    tri = mesh.triangles(mesh.exposed_polygons(mesh.boxes_table(spark, [{"center": (0, 0, 0), "dimensions": (1, 1, 1), "rotation": _EYE}])))
-    points = mesh.surface_samples(tri, 0.1)
-    return points.agg(r9(F.sum("area")).alias("area"), F.max(F.abs(F.greatest(*[F.abs(a) for a in "xyz"]) - 0.5) < 1e-9).alias("near"))
+    """Samples of the union's surface stand for all of its area."""
+    tri = mesh.triangles(mesh.exposed_polygons(_label_boxes(spark, d)))
+    return mesh.surface_samples(tri, 0.02).agg(r9(F.sum("area")).alias("area"))
 
 
 @register("support_bounds", "SELECT true AS below, true AS above, true AS narrow")
@@ -96,15 +93,14 @@ def _(spark, d):
     return lines.agg(F.count("*").alias("lines"), F.min(F.abs(length - 1) < 0.35).alias("straight"))
 
 
-@register("region_frames", "SELECT 2::BIGINT AS frames, true AS proper")
+@register("region_frames", "SELECT CASE WHEN x < 0.5e0 THEN 0 ELSE 1 END AS region, true AS proper, true AS upright FROM v_part GROUP BY region", "v_part")
 def _(spark, d):
-    low, high = views.sheet(spark, 12), views.sheet(spark, 12, offset=0.5).withColumn("id", F.col("id") + 1000)
-    both = low.unionByName(high)
-    regions = both.select("id", (F.col("id") >= 1000).cast("int").alias("region"))
-    frames = normals.region_frames(both, regions)
+    """Two halves of a planar cloud: each frame is a rotation, and one axis stands on the plane."""
+    cloud = views.part_cloud(spark, d)
+    frames = normals.region_frames(cloud, cloud.select("id", F.when(F.col("x") < 0.5, 0).otherwise(1).alias("region")))
     a = F.col("axes")
     det = sum((a[0][i] * (a[1][(i + 1) % 3] * a[2][(i + 2) % 3] - a[1][(i + 2) % 3] * a[2][(i + 1) % 3]) for i in range(1, 3)), a[0][0] * (a[1][1] * a[2][2] - a[1][2] * a[2][1]))
-    return frames.agg(F.count("*").alias("frames"), F.min(F.abs(det - 1) < 1e-9).alias("proper"))
+    return frames.select("region", (F.abs(det - 1) < 1e-9).alias("proper"), F.exists("axes", lambda v: F.abs(v[2]) > 1 - 1e-9).alias("upright"))
 
 
 @register("greedy_cover")
@@ -120,24 +116,29 @@ def _(spark, d):
 
 @register("bake_face")
 def _(spark, d):
-    """Texels of a plane's front face, each of the colour that the points have."""
+    """Texels of a planar cloud's front face, each of the colour that the points around it have."""
     from orthant.operators import texture
 
-    points = _plane(spark).select("id", "x", "y", "z", F.lit(0.8).alias("r"), F.lit(0.4).alias("g"), F.lit(0.2).alias("b"), F.lit(1.0).alias("opacity"), F.lit(1 / 23).alias("spacing"))
-    boxes = mesh.boxes_table(spark, [{"center": (0.5, 0.5, 0.0), "dimensions": (1, 1, 0.02), "rotation": _EYE}])
+    cloud = views.part_cloud(spark, d)
+    ends = cloud.agg(*[F.min(a) for a in "xy"], *[F.max(a) for a in "xy"]).first()
+    points = cloud.select("id", "x", "y", "z", F.col("x").alias("r"), F.lit(0.4).alias("g"), F.lit(0.2).alias("b"), F.lit(1.0).alias("opacity"), F.lit(0.03).alias("spacing"))
+    low, high = (float(ends[0]), float(ends[1])), (float(ends[2]), float(ends[3]))
+    boxes = mesh.boxes_table(spark, [{"center": ((low[0] + high[0]) / 2, (low[1] + high[1]) / 2, 0.0), "dimensions": (high[0] - low[0], high[1] - low[1], 0.02), "rotation": _EYE}])
     rects = spark.createDataFrame([(0, 5, 0, 16, 16)], "box_id int, side int, face int, tw int, th int")
     return texture.bake(points, boxes, rects, 0.05).select("face", "px", "py", *[r9(c).alias(c) for c in "rgb"])
 
 
-@register("atlas_packing", "SELECT 5::BIGINT AS faces, false AS overlap, true AS inside")
+@register("atlas_packing", "SELECT 6 * count(*) AS faces, false AS overlap, true AS inside FROM v_bounds", "v_bounds")
 def _(spark, d):
+    """Rectangles for all faces of the labels' bounds in one atlas."""
     from orthant.operators.texture import pack_atlas
 
-    rects = [(i, *r) for i, r in enumerate(pack_atlas([(1.0, 0.5), (2.0, 1.0), (0.3, 0.3), (1.0, 1.0), (0.1, 0.1)], 256))]
+    sides = S.box_faces(mesh.flat_boxes(_label_boxes(spark, d))).orderBy("box_id", "side").select("width", "height").collect()  # six a box
+    rects = [(i, *r) for i, r in enumerate(pack_atlas([(r["width"], r["height"]) for r in sides], 512))]
     table = spark.createDataFrame(rects, "face int, x int, y int, w int, h int")
     other = table.select(*[F.col(c).alias("o" + c) for c in table.columns])
     hit = table.join(other, (F.col("face") < F.col("oface")) & (F.col("x") < F.col("ox") + F.col("ow")) & (F.col("ox") < F.col("x") + F.col("w")) & (F.col("y") < F.col("oy") + F.col("oh")) & (F.col("oy") < F.col("y") + F.col("h")))
-    return table.agg(F.count("*").alias("faces"), F.lit(hit.count() > 0).alias("overlap"), F.min((F.col("x") >= 0) & (F.col("x") + F.col("w") <= 256) & (F.col("y") + F.col("h") <= 256)).alias("inside"))
+    return table.agg(F.count("*").alias("faces"), F.lit(hit.count() > 0).alias("overlap"), F.min((F.col("x") >= 0) & (F.col("x") + F.col("w") <= 512) & (F.col("y") + F.col("h") <= 512)).alias("inside"))
 
 
 @register("streaming_sessions", """WITH e AS (SELECT user_id, ts::TIMESTAMP AS t FROM events), s AS (SELECT *, coalesce(t - lag(t) OVER o >= INTERVAL 12 HOUR, false)::INT AS step FROM e WINDOW o AS (PARTITION BY user_id ORDER BY t)),
@@ -201,21 +202,26 @@ def _(spark, d):
     return objective.reverse_error(samples, cloud.where("label > 4"), 0.05, 0.5).select(r9("reverse_error").alias("reverse_error"))
 
 
-@register("transfer_normals", "SELECT 49::BIGINT AS n, true AS upright")
+@register("transfer_normals", "SELECT id, true AS upright FROM v_part", "v_part")
 def _(spark, d):
-    plane = _plane(spark).withColumn("normal", F.array(F.lit(0.0), F.lit(0.0), F.when(F.col("id") % 2 == 0, 1.0).otherwise(-1.0))).withColumn("spacing", F.lit(1 / 23))
-    points = views.sheet(spark, 7, offset=0.01)
-    found = objective.transfer_normals(points, plane)
-    return found.agg(F.count("*").alias("n"), F.min(F.abs(F.col("normal")[2]) > 1 - 1e-9).alias("upright"))
+    """Points just above a planar cloud take its normals, whatever their signs."""
+    cloud = views.part_cloud(spark, d)
+    sign = F.when(F.col("id") % 2 == 0, 1.0).otherwise(-1.0)
+    donors = cloud.withColumn("normal", F.array(F.lit(0.0), F.lit(0.0), sign)).withColumn("spacing", F.lit(0.02))
+    found = objective.transfer_normals(cloud.withColumn("z", F.lit(0.001)), donors)
+    return found.select("id", (F.abs(F.col("normal")[2]) > 1 - 1e-9).alias("upright"))
 
 
-@register("normal_votes", "SELECT 3::BIGINT AS directions, true AS even")
+@register(
+    "normal_votes",
+    f"""WITH f AS (SELECT unnest([('x' || r00, 2 * dy * dz), ('y' || r00, 2 * dx * dz), ('z', 2 * dx * dy)]) AS f FROM v_boxes), g AS (SELECT f[1] AS way, sum(f[2]) AS area FROM f GROUP BY way)
+    SELECT {s9('area / sum(area) OVER ()')} AS share FROM g""",
+    "v_boxes",
+)
 def _(spark, d):
-    """The faces of a cube vote for three directions of a third each."""
-    faces = S.box_faces(R.fixed_boxes(spark).where("box_id = 2"))
-    votes = objective.normal_votes(faces.select("normal", "area"))
-    table = spark.createDataFrame([(share,) for _, share in votes], "share double")
-    return table.agg(F.count("*").alias("directions"), F.min(F.abs(F.col("share") - 1 / 3) < 1e-9).alias("even"))
+    """Faces of two families of cuboids vote for five directions, with their shares of the area."""
+    votes = objective.normal_votes(S.box_faces(views.part_boxes(spark, d)).select("normal", "area"))
+    return spark.createDataFrame([(float(share),) for _, share in votes], "share double").select(r9("share").alias("share"))
 
 
 @register("weighted_voxel_mass", f"SELECT floor(x / 0.1e0)::BIGINT AS i, floor(y / 0.1e0)::BIGINT AS j, floor(z / 0.1e0)::BIGINT AS k, {R.s9('sum(abs(x))')} AS mass, {R.s9('min(x)')} AS mx FROM v_emb GROUP BY ALL", "v_emb")
@@ -248,3 +254,53 @@ def _(spark, d):
         row = views.case_cloud(spark, name, 0.1).agg(F.lit(name).alias("name"), F.count("*").alias("n"))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def _growth_sql() -> str:
+    """Six steps from the middles of occupied cells; at each, cells of the swept box that are not safe bound the way."""
+    w, far, steps = "0.1e0", "0.8e0", "4096e0"
+    safe = "v AS (SELECT DISTINCT floor(x / 0.1e0)::BIGINT AS i, floor(y / 0.1e0)::BIGINT AS j, floor(z / 0.1e0)::BIGINT AS k FROM v_emb), safe AS (SELECT DISTINCT i + a AS i, j + b AS j, k + c AS k FROM v, range(-1, 2) AS p(a), range(-1, 2) AS q(b), range(-1, 2) AS r(c))"
+    out = [safe, f"s0 AS (SELECT i AS bi, j AS bj, k AS bk, (i + 0.5e0) * {w} AS cx, (j + 0.5e0) * {w} AS cy, (k + 0.5e0) * {w} AS cz, 0.025e0 AS dx, 0.025e0 AS dy, 0.025e0 AS dz FROM v)"]
+    for turn in range(6):
+        a, sign, source = "xyz"[turn // 2], "+" if turn % 2 else "-", f"s{turn}"
+        ends = {c: (f"c{c} - d{c} / 2e0", f"c{c} + d{c} / 2e0") for c in "xyz"}
+        ends[a] = (ends[a][0], f"{ends[a][1]} + {far}") if sign == "+" else (f"{ends[a][0]} - {far}", ends[a][1])
+        cells_sql = source
+        for c, n in zip("xyz", "ijk"):
+            cells_sql = f"(SELECT *, unnest(generate_series(floor(({ends[c][0]}) / {w})::BIGINT, floor(({ends[c][1]}) / {w})::BIGINT)) AS {n} FROM {cells_sql})"
+        gap = {c: f"(({n} + 0.5e0) * {w} - c{c})" for c, n in zip("xyz", "ijk")}
+        reach = {c: f"(0.05e0 + d{c} / 2e0)" for c in "xyz"}
+        ahead = gap[a] if sign == "+" else f"(-{gap[a]})"
+        meets = " AND ".join([f"{ahead} > 1e-9 - {reach[a]}", *[f"abs({gap[c]}) < {reach[c]} - 1e-9" for c in "xyz" if c != a]])
+        out.append(f"m{turn} AS (SELECT bi, bj, bk, min(greatest(0e0, {ahead} - {reach[a]})) AS way FROM (SELECT u.* FROM {cells_sql} AS u ANTI JOIN safe ON u.i = safe.i AND u.j = safe.j AND u.k = safe.k) AS u WHERE {meets} GROUP BY bi, bj, bk)")
+        t = f"(least(floor(least(coalesce(way, {far}), {far}) / ({far} / {steps}) + 1e-9), 4095) * ({far} / {steps}))"
+        out.append(f"s{turn + 1} AS (SELECT bi, bj, bk, " + ", ".join(f"c{c} {sign} {t} / 2e0 AS c{c}" if c == a else f"c{c}" for c in "xyz") + ", " + ", ".join(f"d{c} + {t} AS d{c}" if c == a else f"d{c}" for c in "xyz") + f" FROM {source} LEFT JOIN m{turn} USING (bi, bj, bk))")
+    columns = ", ".join(f"{s9(c)} AS {c}" for c in ("cx", "cy", "cz", "dx", "dy", "dz"))
+    return f"WITH {', '.join(out)} SELECT bi, bj, bk, {columns} FROM s6"
+
+
+@register("certified_growth", _growth_sql(), "v_emb")
+def _(spark, d):
+    """A small box in every occupied cell grows as far as the cells around occupied ones allow."""
+    from orthant.operators import growth
+
+    occupied = voxel.occupancy(views.embedding_cloud(spark, d), 0.1)
+    at = [((F.col(c) + 0.5) * 0.1).alias("c" + a) for a, c in zip("xyz", voxel.IJK)]
+    boxes = occupied.select(F.struct(*[F.col(c).alias("b" + c) for c in voxel.IJK]).alias("box_id"), *at, *[F.lit(0.025).alias("d" + a) for a in "xyz"], *[F.lit(float(i == j)).alias(f"r{i}{j}") for i in range(3) for j in range(3)])
+    found = growth.grow_certified(boxes, voxel.dilate(occupied, 1), 0.1, 0.8)
+    return found.select("box_id.*", *[r9(c).alias(c) for c in ("cx", "cy", "cz", "dx", "dy", "dz")])
+
+
+@register("refined_boxes")
+def _(spark, d):
+    """The fixed cuboids refined to the lineitem cloud, all of it safe; tests hold refinement against plain loops."""
+    import numpy as np
+
+    from orthant.operators.refine import refine_boxes
+
+    points = objective.with_field(R._line(spark, d).select("x", "y", "z", (F.col("l_tax") + 0.01).alias("weight")))
+    total = points.agg(F.sum("weight")).first()[0]
+    boxes = [{"center": np.array(b[1:4]), "dimensions": np.array(b[4:7]), "rotation": np.array(b[7:]).reshape(3, 3), "kind": "fixed"} for b in R.BOXES]
+    found = refine_boxes(points, boxes, lambda trials: [True] * len(trials), lambda box: 0.5, 0.05, total=total, deep=0.0, reference_volume=1.0)
+    rows = [(i, *map(float, box["center"]), *map(float, box["dimensions"]), score) for i, (box, score) in enumerate(found)]
+    return spark.createDataFrame(rows, "box_id int, cx double, cy double, cz double, dx double, dy double, dz double, score double")

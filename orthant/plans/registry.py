@@ -155,17 +155,14 @@ def _(spark, d):
 _CORNER = lambda i, a: f"c{a} + " + " + ".join(f"r{i}{j} * d{b} * (CASE WHEN (corner >> {j}) & 1 = 1 THEN 0.5e0 ELSE -0.5e0 END)" for j, b in enumerate("xyz"))
 
 
-@register("box_corners", f"WITH {_B} SELECT box_id, corner::INT AS corner, {', '.join(s9(_CORNER(i, a)) + f' AS {a}' for i, a in enumerate('xyz'))} FROM b, range(8) AS t(corner)")
+@register("box_corners", f"SELECT box_id, corner::INT AS corner, {', '.join(s9(_CORNER(i, a)) + f' AS {a}' for i, a in enumerate('xyz'))} FROM v_boxes, range(8) AS t(corner)", "v_boxes")
 def _(spark, d):
-    return S.box_corners(fixed_boxes(spark)).select("box_id", "corner", *[r9(a).alias(a) for a in "xyz"])
+    return S.box_corners(views.part_boxes(spark, d)).select("box_id", "corner", *[r9(a).alias(a) for a in "xyz"])
 
 
-@register(
-    "face_areas",
-    f"WITH {_B} SELECT box_id, count(*) AS faces, {s9('2 * (dx * dy + dy * dz + dz * dx)')} AS area FROM b, range(6) GROUP BY box_id, dx, dy, dz",
-)
+@register("face_areas", f"SELECT box_id, side::INT AS side, {s9('CASE side // 2 WHEN 0 THEN dy * dz WHEN 1 THEN dx * dz ELSE dx * dy END')} AS area FROM v_boxes, range(6) AS t(side)", "v_boxes")
 def _(spark, d):
-    return S.box_faces(fixed_boxes(spark)).groupBy("box_id").agg(F.count("*").alias("faces"), r9(F.sum("area")).alias("area"))
+    return S.box_faces(views.part_boxes(spark, d)).select("box_id", "side", r9("area").alias("area"))
 
 
 _SEGMENTS = [(0, (0.0, 0.0, 0.0), (1.0, 0.0, 0.0)), (1, (0.2, 0.2, 0.2), (0.2, 0.2, 0.2)), (2, (0.0, 0.5, 0.1), (0.4, 0.1, 0.6))]
@@ -571,9 +568,20 @@ def _sat_sql(w: float, columns: str = "") -> str:
 _CANDIDATES = "a AS (SELECT b.*, i, j, k FROM b, range(-5, 16) AS p(i), range(-5, 16) AS q(j), range(-5, 16) AS r(k))"
 
 
-@register("sat_voxels", f"WITH {_B}, {_CANDIDATES} SELECT box_id, i, j, k FROM a WHERE {_sat_sql(0.11)}")
+def _box_cells_sql(boxes: str, width: str) -> str:
+    """CTEs that end in ``a``: each box with the cells of its axis-aligned bounds."""
+    reach = lambda i: " + ".join(f"abs(r{i}{j}) * d{b} / 2e0" for j, b in enumerate("xyz"))
+    out, source = [], boxes
+    for i, (a, c, name) in enumerate(zip("xyz", "ijk", ("a1", "a2", "a"))):
+        low, high = (f"floor((c{a} {sign} ({reach(i)})) / {width})::BIGINT" for sign in "-+")
+        out.append(f"{name} AS (SELECT *, unnest(generate_series({low}, {high})) AS {c} FROM {source})")
+        source = name
+    return ", ".join(out)
+
+
+@register("sat_voxels", f"WITH {_box_cells_sql('v_boxes', '0.1137e0')} SELECT box_id, i, j, k FROM a WHERE {_sat_sql(0.1137)}", "v_boxes")
 def _(spark, d):
-    return voxel.box_voxels(fixed_boxes(spark), 0.11).where(voxel.box_overlaps_voxel(0.11)).select("box_id", "i", "j", "k")
+    return voxel.box_voxels(views.part_boxes(spark, d), 0.1137).where(voxel.box_overlaps_voxel(0.1137)).select("box_id", "i", "j", "k")
 
 
 @register("certify_boxes", f"WITH {_B}, {_CANDIDATES}, v AS (SELECT DISTINCT floor(x / 0.11e0)::BIGINT AS i, floor(y / 0.11e0)::BIGINT AS j, floor(z / 0.11e0)::BIGINT AS k FROM v_line) SELECT box_id, NOT EXISTS (SELECT 1 FROM a WHERE a.box_id = b.box_id AND {_sat_sql(0.11)} AND NOT EXISTS (SELECT 1 FROM v WHERE v.i = a.i AND v.j = a.j AND v.k = a.k)) AS certified FROM b", "v_line")
@@ -622,11 +630,29 @@ def _(spark, d):
     return t.groupBy("px", "py").agg(r9(F.sum("w")).alias("w"), r9(F.sum(F.col("w") * F.col("z"))).alias("wz"), r9(F.max("z")).alias("top"))
 
 
-@register("union_area", "SELECT 10e0 AS area")
-def _(spark, d):
-    """Exposed area of two unit cubes that share a face: a 2 x 1 x 1 block."""
-    boxes = spark.createDataFrame([(0, 0.0, 0.0, 0.0, 1.0, 1.0, 1.0), (1, 1.0, 0.0, 0.0, 2.0, 1.0, 1.0)], "box_id int, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double")
-    rects = views.union_rectangles(boxes)
+def _exposed_sql(order: str) -> str:
+    """CTEs that end in ``e``: area of each side of the boxes ``v_bounds`` outside those others that satisfy ``order``."""
+    parts = []
+    for side in range(6):
+        axis, (u, v) = "xyz"[side // 2], [c for c in "xyz" if c != "xyz"[side // 2]]
+        plane = f"b.{axis}{side % 2}"
+        cut = lambda c: (
+            f"SELECT b.box_id, p AS {c}a, lead(p) OVER (PARTITION BY b.box_id ORDER BY p) AS {c}b FROM "
+            f"(SELECT DISTINCT b.box_id, greatest(b.{c}0, least(b.{c}1, p)) AS p FROM v_bounds b, (SELECT {c}0 AS p FROM v_bounds UNION SELECT {c}1 FROM v_bounds) AS q) AS b"
+        )
+        hidden = " AND ".join([f"{plane} >= o.{axis}0", f"{plane} <= o.{axis}1", *[f"(s.{c}a + s.{c}b) / 2 >= o.{c}0 AND (s.{c}a + s.{c}b) / 2 <= o.{c}1" for c in (u, v)]])
+        parts.append(
+            f"SELECT b.box_id, {side} AS side, sum((s.{u}b - s.{u}a) * (s.{v}b - s.{v}a)) AS area FROM v_bounds b JOIN "
+            f"(SELECT f.box_id, {u}a, {u}b, {v}a, {v}b FROM ({cut(u)}) AS f JOIN ({cut(v)}) AS g ON f.box_id = g.box_id WHERE {u}b > {u}a AND {v}b > {v}a) AS s ON s.box_id = b.box_id "
+            f"WHERE NOT EXISTS (SELECT 1 FROM v_bounds o WHERE {order} AND {hidden}) GROUP BY b.box_id"
+        )
+    return f"e AS ({' UNION ALL '.join(parts)})"
+
+
+@register("union_area", f"WITH {_exposed_sql('o.box_id <> b.box_id')} SELECT {s9('sum(area)')} AS area FROM e", "v_bounds")
+def _(spark, d):
+    """Exposed area of the union of all labels' bounds, from its rectangles."""
+    rects = views.union_rectangles(views.label_boxes(spark, d))
     edges = [F.col(f"{a}1") - F.col(f"{a}0") for a in "xyz"]
     area = edges[0] * edges[1] + edges[1] * edges[2] + edges[2] * edges[0]
     return rects.agg(r9(F.sum(area)).alias("area"))

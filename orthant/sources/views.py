@@ -37,11 +37,32 @@ def event_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("event_id").alias("id"), "user_id", day.alias("x"), (F.col("value") / 100.0).alias("y"), (F.col("user_id") / 150.0).alias("z"))
 
 
+def part_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cuboid for each part, every other one turned about z (by the angle of 3, 4, 5)."""
+    rows = table(spark, sf_dir, "part")
+    key = F.col("p_partkey")
+    center = {"cx": F.col("p_size") / 50.0, "cy": (F.col("p_retailprice") - 900.0) / 100.0, "cz": (key % 7) / 7.0}
+    extent = {"dx": (1 + key % 3) / 10.0, "dy": (1 + key % 5) / 20.0, "dz": (1 + F.col("p_size") % 4) / 15.0}
+    turn = [[0.6, -0.8, 0.0], [0.8, 0.6, 0.0], [0.0, 0.0, 1.0]]
+    frame = {f"r{i}{j}": F.when(key % 2 == 0, float(i == j)).otherwise(turn[i][j]) for i in range(3) for j in range(3)}
+    return rows.select(key.alias("box_id"), *[c.alias(n) for n, c in (center | extent | frame).items()])
+
+
+def label_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bounds of each label's vectors in ``embedding_cloud``: ``box_id``, ``x0 .. z1``."""
+    ends = [e for a in "xyz" for e in (F.min(a).alias(f"{a}0"), F.max(a).alias(f"{a}1"))]
+    return embedding_cloud(spark, sf_dir).groupBy(F.col("label").alias("box_id")).agg(*ends)
+
+
 #: The same clouds as DuckDB CTEs.
 SQL = {
     "v_emb": "v_emb AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, label FROM embeddings)",
     "v_line": "v_line AS (SELECT l_quantity / 50e0 AS x, l_extendedprice / 105000e0 AS y, l_discount * 10e0 AS z, l_returnflag, l_tax FROM lineitem)",
     "v_part": "v_part AS (SELECT p_partkey AS id, p_size / 50e0 AS x, (p_retailprice - 900e0) / 100e0 AS y, 0e0 AS z FROM part)",
+    "v_boxes": "v_boxes AS (SELECT p_partkey AS box_id, p_size / 50e0 AS cx, (p_retailprice - 900e0) / 100e0 AS cy, (p_partkey % 7) / 7e0 AS cz, (1 + p_partkey % 3) / 10e0 AS dx, (1 + p_partkey % 5) / 20e0 AS dy, (1 + p_size % 4) / 15e0 AS dz, "
+    + ", ".join(f"CASE WHEN p_partkey % 2 = 0 THEN {float(i == j)}e0 ELSE {turn}e0 END AS r{i}{j}" for i, row in enumerate(((0.6, -0.8, 0.0), (0.8, 0.6, 0.0), (0.0, 0.0, 1.0))) for j, turn in enumerate(row))
+    + " FROM part)",
+    "v_bounds": "v_bounds AS (SELECT label AS box_id, min(embedding[1])::DOUBLE AS x0, max(embedding[1])::DOUBLE AS x1, min(embedding[2])::DOUBLE AS y0, max(embedding[2])::DOUBLE AS y1, min(embedding[3])::DOUBLE AS z0, max(embedding[3])::DOUBLE AS z1 FROM embeddings GROUP BY label)",
     "v_event": "v_event AS (SELECT event_id AS id, user_id, epoch_us(ts) / 86400e6 AS x, value / 100e0 AS y, user_id / 150e0 AS z FROM events)",
 }
 
