@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orthant.functions.scalar import Box
-from orthant.storage import materialize
+from orthant.storage import materialize, release
 
 _NEAR = ("gi", "gj", "gk")
 
@@ -50,6 +50,7 @@ def _first_width(points: DataFrame, count: int, extent: float, k: int, sample: i
     share = min(1.0, 0.9 * sample / count)
     part = points if share == 1.0 else points.where(F.xxhash64("id", "x", "y", "z").bitwiseAND(F.lit((1 << 30) - 1)) < int(share * (1 << 30)))
     xyz = part.select("x", "y", "z").limit(2 * sample).toPandas().to_numpy()  # the limit is far above what the share lets through
+    xyz = np.unique(xyz + 0.0, axis=0)  # copies share a cell of any width
     width = extent / 2
     while len(xyz) > 1 and width > extent * 1e-12:
         cells = np.floor((xyz - xyz.min(axis=0)) / width).astype(np.int64)
@@ -68,7 +69,8 @@ def nearest_neighbors(queries: DataFrame, points: DataFrame, k: int, *, exclude_
     query whose k-th distance is at most that is finished, the others go on
     with cells of twice the width. Dense places finish in small cells and
     sparse ones in large cells, so no single width has to serve both.
-    Fewer than ``k`` rows come back only where there are fewer points.
+    Fewer than ``k`` rows come back only where there are fewer points; where
+    ``rounds`` do not suffice for a given ``width``, that is an error.
     """
     points = points.select("id", "x", "y", "z")
     queries = queries.select("id", "x", "y", "z")
@@ -80,7 +82,7 @@ def nearest_neighbors(queries: DataFrame, points: DataFrame, k: int, *, exclude_
     extent = max(bounds[f"h{a}"] - bounds[f"l{a}"] for a in "xyz")
     whole = 4 * extent + 1e-300
     width = width or (_first_width(points, count, extent, k) if extent else 1.0)
-    done, open_queries = None, queries
+    done, open_queries, waiting = None, queries, None
     for _ in range(rounds):
         last = width >= whole or not extent
         right = _with_grid(points, width).withColumnsRenamed({"id": "other_id", "x": "ox", "y": "oy", "z": "oz"})
@@ -98,8 +100,10 @@ def nearest_neighbors(queries: DataFrame, points: DataFrame, k: int, *, exclude_
         done = settled if done is None else done.unionByName(settled)
         if last:
             break
-        rest = materialize(open_queries.join(full, "id", "left_anti"), "open")
-        left = rest.count()
+        rest, before = materialize(open_queries.join(full, "id", "left_anti"), "open"), waiting
+        left, waiting = rest.count(), rest
+        if before is not None:
+            release(before)
         if not left:
             break
         open_queries, width = rest, width * 2
@@ -111,6 +115,8 @@ def nearest_neighbors(queries: DataFrame, points: DataFrame, k: int, *, exclude_
             best = pairs.select("id", "other_id", "d").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             done = done.unionByName(materialize(best.select("id", "rank", "other_id", "d"), "nearest"))
             break
+    else:
+        raise RuntimeError(f"{left} queries have not found their neighbours within {rounds} rounds from this width")
     return done.select("id", "rank", F.col("other_id"), "d")
 
 

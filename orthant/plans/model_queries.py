@@ -304,3 +304,133 @@ def _(spark, d):
     found = refine_boxes(points, boxes, lambda trials: [True] * len(trials), lambda box: 0.5, 0.05, total=total, deep=0.0, reference_volume=1.0)
     rows = [(i, *map(float, box["center"]), *map(float, box["dimensions"]), score) for i, (box, score) in enumerate(found)]
     return spark.createDataFrame(rows, "box_id int, cx double, cy double, cz double, dx double, dy double, dz double, score double")
+
+
+_PART_U, _PART_V = "p_size / 50e0", "(p_retailprice - 900e0) / 100e0"
+_DIAMOND = [(f"{_PART_U} + 0.0613e0", _PART_V), (_PART_U, f"{_PART_V} + 0.0437e0"), (f"{_PART_U} - 0.0821e0", _PART_V), (_PART_U, f"{_PART_V} - 0.0719e0")]
+_INSIDE = " AND ".join(
+    f"(({b[0]}) - ({a[0]})) * (y - ({a[1]})) - (({b[1]}) - ({a[1]})) * (x - ({a[0]})) >= -1e-10" for a, b in zip(_DIAMOND, _DIAMOND[1:] + _DIAMOND[:1])
+)
+
+
+@register(
+    "texel_mask",
+    f"""WITH t AS (SELECT px::INT AS px, py::INT AS py, (px + 0.5e0) * 1.01e0 / 48e0 AS x, 1.2e0 - (py + 0.5e0) * 1.2e0 / 40e0 AS y FROM range(48) AS a(px), range(40) AS b(py))
+    SELECT DISTINCT (p_partkey % 5)::INT AS face, px, py FROM part, t WHERE {_INSIDE}""",
+)
+def _(spark, d):
+    """Texels of five faces under a diamond for each part."""
+    from orthant.operators import texture
+
+    u, v = F.col("p_size") / 50.0, (F.col("p_retailprice") - 900.0) / 100.0
+    corner = lambda a, b: F.struct(a.alias("u"), b.alias("v"))
+    uv = F.array(corner(u + 0.0613, v), corner(u, v + 0.0437), corner(u - 0.0821, v), corner(u, v - 0.0719))
+    polygons = views.table(spark, d, "part").select((F.col("p_partkey") % 5).cast("int").alias("face"), uv.alias("uv"))
+    rects = spark.range(5).select(F.col("id").cast("int").alias("face"), F.lit(1.01).alias("width"), F.lit(1.2).alias("height"), F.lit(48).alias("tw"), F.lit(40).alias("th"))
+    return texture.texel_mask(polygons, rects)
+
+
+_SPHERE = "s AS (SELECT id, x / r AS x, y / r AS y, z / r AS z FROM (SELECT *, sqrt(x * x + y * y + z * z) AS r FROM v_emb) AS q WHERE r > 0)"
+
+
+@register(
+    "sampling_steps",
+    f"""WITH {_SPHERE}, p AS (SELECT a.id, b.id AS other_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d, a.x AS nx, a.y AS ny, a.z AS nz, b.x AS mx, b.y AS my, b.z AS mz FROM s a JOIN s b ON a.id <> b.id),
+    k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, other_id) AS rank FROM p), e AS (SELECT *, min(d) OVER (PARTITION BY id) AS scale FROM k WHERE rank <= 16), c AS (SELECT id, scale AS other_scale FROM e WHERE rank = 1),
+    f AS (SELECT e.*, (mx - nx) * nx + (my - ny) * ny + (mz - nz) * nz AS off FROM e JOIN c ON e.other_id = c.id WHERE abs((mx - nx) * nx + (my - ny) * ny + (mz - nz) * nz) <= 0.5e0 * least(scale, other_scale)),
+    g AS (SELECT *, mx - nx - off * nx AS tx, my - ny - off * ny AS ty, mz - nz - off * nz AS tz FROM f WHERE d > 0 AND d <= 6e0 * scale * (1 + 1e-10) AND abs(nx * mx + ny * my + nz * mz) >= 0.9063077870366499e0),
+    h AS (SELECT id, arg_min(tx, rank) AS wx, arg_min(ty, rank) AS wy, arg_min(tz, rank) AS wz FROM g GROUP BY id),
+    i AS (SELECT g.*, (ny * wz - nz * wy) / l AS ax, (nz * wx - nx * wz) / l AS ay, (nx * wy - ny * wx) / l AS az FROM g JOIN (SELECT *, sqrt(wx * wx + wy * wy + wz * wz) AS l FROM h) AS h USING (id)),
+    j AS (SELECT id, min(abs(tx * ax + ty * ay + tz * az)) AS step FROM i WHERE abs(tx * ax + ty * ay + tz * az) >= 0.5e0 * sqrt(tx * tx + ty * ty + tz * tz) GROUP BY id)
+    SELECT c.id, {R.s9('step')} AS step, {R.s9('CASE WHEN step > 1.5e0 * other_scale THEN 0.36e0 * (step * step - other_scale * other_scale) ELSE 0 END')} AS amount FROM c LEFT JOIN j USING (id)""",
+    "v_emb",
+)
+def _(spark, d):
+    """The vectors on the unit sphere, each its own normal: how far the next ones stand across the nearest direction."""
+    from orthant.operators import texture
+    from orthant.operators.spatial import nearest_neighbors
+
+    length = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
+    cloud = views.embedding_cloud(spark, d).withColumn("length", length).where("length > 0").select("id", *[(F.col(a) / F.col("length")).alias(a) for a in "xyz"])
+    edges = nearest_neighbors(cloud, cloud, 16, exclude_self=True)
+    scale = edges.where("rank = 1").select("id", F.col("d").alias("scale"))
+    places = cloud.join(scale, "id").withColumn("normal", F.array("x", "y", "z"))
+    found = texture.sampling_steps(places, edges)
+    return found.select("id", r9("step").alias("step"), r9("amount").alias("amount"))
+
+
+@register(
+    "hidden_faces",
+    """WITH c AS (SELECT b.box_id, side, CASE WHEN side // 2 = 0 THEN CASE side % 2 WHEN 0 THEN x0 ELSE x1 END ELSE CASE WHEN (k & 1) = 0 THEN x0 ELSE x1 END END AS x,
+    CASE WHEN side // 2 = 1 THEN CASE side % 2 WHEN 0 THEN y0 ELSE y1 END ELSE CASE WHEN (CASE WHEN side // 2 = 0 THEN k & 1 ELSE k >> 1 END) = 0 THEN y0 ELSE y1 END END AS y,
+    CASE WHEN side // 2 = 2 THEN CASE side % 2 WHEN 0 THEN z0 ELSE z1 END ELSE CASE WHEN (k >> 1) = 0 THEN z0 ELSE z1 END END AS z FROM v_bounds b, range(6) AS s(side), range(4) AS q(k))
+    SELECT DISTINCT box_id, side FROM (SELECT c.box_id, c.side::INT AS side, o.box_id AS other FROM c JOIN v_bounds o ON o.box_id < c.box_id AND c.x > o.x0 AND c.x < o.x1 AND c.y > o.y0 AND c.y < o.y1 AND c.z > o.z0 AND c.z < o.z1) AS h GROUP BY box_id, side, other HAVING count(*) = 4""",
+    "v_bounds",
+)
+def _(spark, d):
+    """Sides of the labels' bounds that lie within the bounds of a smaller label."""
+    from orthant.operators import texture
+
+    return texture.hidden_faces(mesh.flat_boxes(_label_boxes(spark, d)))
+
+
+@register("outward_slabs", "SELECT box_id, side::INT AS side, CASE side // 2 WHEN 0 THEN dx <= 0.25e0 * least(dy, dz) WHEN 1 THEN dy <= 0.25e0 * least(dx, dz) ELSE dz <= 0.25e0 * least(dx, dy) END AS outward FROM v_boxes, range(6) AS t(side)", "v_boxes")
+def _(spark, d):
+    from orthant.operators import texture
+
+    boxes = views.part_boxes(spark, d)
+    return texture.outward_slab(S.box_faces(boxes), boxes)
+
+
+def _edges_sql() -> str:
+    """Every texel of a box side against every seed of the same side and of the four around it, unfolded."""
+    size = {"x": "1.3e0", "y": "0.9e0", "z": "0.7e0"}
+    parts = []
+    for side in range(6):
+        axis = "xyz"[side // 2]
+        others = [c for c in "xyz" if c != axis]
+        for source in range(6):
+            b = "xyz"[source // 2]
+            if source != side and b == axis:
+                continue
+            sa, sb = (1 if side % 2 else -1), (1 if source % 2 else -1)
+            away = f"({size[axis]} / 2 - {sa} * s.{axis})"
+            at = {c: f"s.{c}" for c in "xyz"}
+            if source != side:
+                at[b] = f"({sb} * ({size[b]} / 2 + {away}))"
+            one, two = others
+            keep = "true" if source == side else f"{away} <= 0.07e0 * (1 + 1e-12)"
+            parts.append(f"SELECT t.box_id, t.side, t.px, t.py, sqrt((t.{one} - {at[one]}) * (t.{one} - {at[one]}) + (t.{two} - {at[two]}) * (t.{two} - {at[two]})) AS d FROM t JOIN s ON t.box_id = s.box_id AND t.side = {side} AND s.side = {source} WHERE {keep}")
+    # u runs along the longer edge of a side, v along the other one; both from the corner with the least coordinates.
+    long = {0: ("y", "z"), 1: ("x", "z"), 2: ("x", "y")}
+    at = {c: [] for c in "xyz"}
+    for side in range(6):
+        u, v = long[side // 2]
+        at["xyz"[side // 2]].append(f"WHEN {side} THEN {'' if side % 2 else '-'}{size['xyz'[side // 2]]} / 2")
+        at[u].append(f"WHEN {side} THEN (px + 0.5e0) * {size[u]} / 30e0 - {size[u]} / 2")
+        at[v].append(f"WHEN {side} THEN (py + 0.5e0) * {size[v]} / 20e0 - {size[v]} / 2")
+    place = ", ".join(f"CASE side {' '.join(w)} END AS {c}" for c, w in at.items())
+    edge = "CASE side // 2 " + " ".join(f"WHEN {k} THEN least((px + 0.5e0) * {size[u]} / 30e0, {size[u]} - (px + 0.5e0) * {size[u]} / 30e0, (py + 0.5e0) * {size[v]} / 20e0, {size[v]} - (py + 0.5e0) * {size[v]} / 20e0)" for k, (u, v) in long.items()) + " END"
+    return f"""WITH c AS (SELECT DISTINCT l_linenumber AS box_id, (l_suppkey % 6)::INT AS side, (l_partkey % 30)::INT AS px, (l_orderkey % 20)::INT AS py FROM lineitem WHERE l_quantity <= 3),
+    g AS (SELECT DISTINCT box_id, side::INT AS side, px::INT AS px, py::INT AS py FROM (SELECT DISTINCT l_linenumber AS box_id FROM lineitem), range(6) AS a(side), range(30) AS b(px), range(20) AS c(py)),
+    s AS (SELECT box_id, side, px, py, {place} FROM c), t AS (SELECT box_id, side, px, py, {place} FROM (SELECT * FROM g ANTI JOIN c USING (box_id, side, px, py)) AS o WHERE {edge} <= 0.07e0),
+    m AS ({' UNION ALL '.join(parts)})
+    SELECT box_id, side, px, py, {s9('min(d)')} AS distance FROM m WHERE d <= 0.07e0 * (1 + 1e-12) GROUP BY box_id, side, px, py"""
+
+
+@register("complete_edges", _edges_sql())
+def _(spark, d):
+    """Texels that lineitem rows colour on the sides of a box for each line number give their colour to those near the edges."""
+    from orthant.operators import texture
+
+    rows = views.table(spark, d, "lineitem")
+    numbers = rows.select(F.col("l_linenumber").alias("box_id")).distinct()
+    size, frame = {"dx": 1.3, "dy": 0.9, "dz": 0.7}, {f"r{i}{j}": float(i == j) for i in range(3) for j in range(3)}
+    boxes = numbers.select("box_id", *[F.lit(0.0).alias("c" + a) for a in "xyz"], *[F.lit(v).alias(n) for n, v in (size | frame).items()])
+    seeds = rows.where("l_quantity <= 3").select(F.col("l_linenumber").alias("box_id"), *[(F.col(c) % n).cast("int").alias(t) for c, n, t in (("l_suppkey", 6, "side"), ("l_partkey", 30, "px"), ("l_orderkey", 20, "py"))]).distinct()
+    grid = numbers.select("box_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("side"))
+    rects = grid.select("box_id", "side", F.lit(30).alias("tw"), F.lit(20).alias("th"))
+    every = grid.select("*", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("px")).select("*", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("py"))
+    open_texels = every.join(seeds, ["box_id", "side", "px", "py"], "left_anti")
+    found = texture.complete_edges(open_texels, seeds, boxes, rects, 0.07)
+    return found.select("box_id", "side", "px", "py", r9("distance").alias("distance"))

@@ -161,3 +161,18 @@ def test_edge_lines_reach_beyond_the_sample(spark):
     assert sorted(sorted(r["support"]) for r in found) == [list(range(100 * n, 100 * n + 100)) for n in range(3)]
     for r in found:
         assert math.dist(r["a"], r["b"]) == pytest.approx(9.9)
+
+
+def test_neighbours_where_points_coincide(spark):
+    from orthant.operators.spatial import nearest_neighbors
+
+    rng = np.random.default_rng(2)
+    at = np.concatenate((rng.uniform(0, 1, (300, 3)), np.repeat([[0.5, 0.5, 0.5]], 80, axis=0)))
+    points = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(at)], "id long, x double, y double, z double")
+    got = {(r["id"], r["rank"]): (r["other_id"], r["d"]) for r in nearest_neighbors(points, points, 3, exclude_self=True).collect()}
+    far = np.sqrt(((at[:, None] - at[None]) ** 2).sum(axis=2))
+    for i in range(len(at)):
+        near = sorted((far[i, j], j) for j in range(len(at)) if j != i)[:3]
+        assert [got[i, k + 1][0] for k in range(3)] == [j for _, j in near]
+    with pytest.raises(RuntimeError, match="rounds"):
+        nearest_neighbors(points, points, 3, exclude_self=True, width=1e-9, rounds=2)
