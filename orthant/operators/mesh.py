@@ -86,11 +86,11 @@ def exposed_polygons(boxes: DataFrame, *, earlier_only: bool = False) -> DataFra
     touch = F.lit(True)
     for i in range(3):
         touch = touch & (F.col(f"l{i}") <= F.col(f"o_h{i}") + eps) & (F.col(f"o_l{i}") <= F.col(f"h{i}") + eps)
-    order = (F.col("o_box_id") < F.col("box_id")) if earlier_only else (F.col("o_box_id") != F.col("box_id"))
-    near = bounds.join(other, touch & order, "left")  # at most a few hundred boxes
+    order = (F.col("o_box_id") <= F.col("box_id")) if earlier_only else F.lit(True)
+    near = bounds.join(other, touch & order)  # at most a few hundred boxes; each meets itself, so no list is empty
     struct = F.struct(F.col("o_box_id").alias("id"), F.col("o_center").alias("center"), F.col("o_dimensions").alias("dimensions"), F.col("o_rotation").alias("rotation"))
     groups = near.groupBy("box_id").agg(
-        F.first("center").alias("center"), F.first("dimensions").alias("dimensions"), F.first("rotation").alias("rotation"), F.sort_array(F.collect_list(F.when(F.col("o_box_id").isNotNull(), struct))).alias("near")
+        F.first("center").alias("center"), F.first("dimensions").alias("dimensions"), F.first("rotation").alias("rotation"), F.sort_array(F.collect_list(struct)).alias("near")
     )
     faces = groups.withColumn("side", F.explode(F.sequence(F.lit(0), F.lit(5))))
 
@@ -104,7 +104,7 @@ def exposed_polygons(boxes: DataFrame, *, earlier_only: bool = False) -> DataFra
                 quad, normal = corners(box)[list(FACE_CORNERS[side])], rotation[:, side // 2] * (1 if side % 2 else -1)
                 if polygon_area(quad) <= eps * eps:
                     continue
-                others = [(o["id"], {"center": o["center"], "dimensions": o["dimensions"], "rotation": np.stack([np.asarray(r) for r in o["rotation"]])}) for o in row["near"]]
+                others = [(o["id"], {"center": o["center"], "dimensions": o["dimensions"], "rotation": np.stack([np.asarray(r) for r in o["rotation"]])}) for o in row["near"] if o["id"] != row["box_id"]]
                 for k, part in enumerate(face_remains(quad, normal, row["box_id"], others, eps)):
                     out.append((row["box_id"], side, k, [list(map(float, v)) for v in part], polygon_area(part), list(map(float, normal))))
             yield pd.DataFrame(out, columns=["box_id", "side", "part", "polygon", "area", "normal"])
