@@ -34,7 +34,7 @@ def default_model() -> str:
 class PieceCodec:
     """Encoder and decoder for one BPE model file with byte fallback and identity normalisation."""
 
-    def __init__(self, model_path: str, cache_bytes: int = 48_000_000, longest_cached: int = 256):
+    def __init__(self, model_path: str, cache_bytes: int = 96_000_000, longest_cached: int = 256):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)
@@ -184,10 +184,11 @@ class PieceCodec:
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
-def _codec(model_path: str | None, _made: dict = {}) -> PieceCodec:
+def _codec(model_path: str | None, cache_bytes: int, _made: dict = {}) -> PieceCodec:
     path = model_path or default_model()
     if path not in _made:
         _made[path] = PieceCodec(path)
+    _made[path].cache_bytes = cache_bytes
     return _made[path]
 
 
@@ -199,7 +200,7 @@ def encode_documents(docs: DataFrame, model_path: str | None = None) -> DataFram
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(model_path)
+        codec = _codec(model_path, 48_000_000)  # beside the ids and texts that a batch returns
         for batch in batches:
             for part in slices(batch, "text", 1_000_000):
                 texts = [t or "" for t in part.column("text").to_pylist()]
@@ -216,10 +217,10 @@ def query(docs: DataFrame, model_path: str | None = None) -> DataFrame:
     """Token count and digests of each row; the digests are taken beside the encoding, so no ids move."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(model_path)
+        codec = _codec(model_path, 96_000_000)
         sha = lambda raw: hashlib.sha256(raw).hexdigest()
         for batch in batches:
-            for part in slices(batch, "text", 1_000_000):
+            for part in slices(batch, "text", 2_000_000):
                 counts, ids, decoded = [], [], []
                 for words in codec.entries([t or "" for t in part.column("text").to_pylist()]):
                     counts.append(sum([len(e[0]) for e in words]) // 4)
