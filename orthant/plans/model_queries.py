@@ -31,7 +31,9 @@ def _(spark, d):
 
 @register("edge_scores")
 def _(spark, d):
-    places, edges = normals.neighbourhoods(views.shell(spark, 11))
+    length = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
+    cloud = views.embedding_cloud(spark, d).withColumn("length", length).where("length > 0")
+    places, edges = normals.neighbourhoods(cloud.select("id", *[(F.col(a) / F.col("length")).alias(a) for a in "xyz"]))  # the unit sphere
     scores = normals.edge_scores(normals.local_geometry(places, edges), edges)
     return scores.select("id", r9("score").alias("score"))
 
