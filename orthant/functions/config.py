@@ -50,10 +50,17 @@ class LineSettings:
     minimum_support: int = 10
     trials: int = 200
     maximum_lines: int = 64
+    tangent_factor: float = 6.0
+    tangent_neighbors: int = 24
+    minimum_linearity: float = 0.6
+    quiet_rounds: int = 3
+    merge_degrees: float = 5.0
 
     def __post_init__(self) -> None:
-        _need(self.distance_factor > 0 and self.gap_factor > 0, "factors must be positive")
+        _need(self.distance_factor > 0 and self.gap_factor > 0 and self.tangent_factor > 0, "factors must be positive")
         _need(self.minimum_support >= 2 and self.trials >= 1 and self.maximum_lines >= 0, "counts are too small")
+        _need(self.tangent_neighbors >= 5 and self.quiet_rounds >= 1, "counts are too small")
+        _need(0 <= self.minimum_linearity <= 1 and 0 <= self.merge_degrees < 90, "linearity is a share, merge_degrees below 90")
 
 
 @dataclass(frozen=True)

@@ -19,6 +19,7 @@ from orthant.operators.windows import relabel_by_size
 from orthant.storage import materialize
 
 _PAIRS = [(i, j) for i in range(3) for j in range(i, 3)]
+_SEGMENTS = "seg_id int, a array<double>, b array<double>, n long, rmse double, gap double, score double"
 
 
 def moments(rows: DataFrame, keys: list[str], values: tuple[str, str, str] = ("x", "y", "z")) -> DataFrame:
@@ -126,143 +127,185 @@ def region_frames(places: DataFrame, regions: DataFrame, most: int = 32) -> Data
     return shape.select("region", "n", F.array(a[0], a[1], cross).alias("axes"))
 
 
-def _longest(p: np.ndarray, w: np.ndarray, alive: np.ndarray, base: np.ndarray, way: np.ndarray, reach: float, gap: float) -> tuple[np.ndarray, float]:
-    """The best run of positions along a line, and its score."""
-    d = p - base
-    along = d @ way
-    near = np.flatnonzero(alive & (np.linalg.norm(d - along[:, None] * way, axis=1) <= reach))
-    near = near[np.argsort(along[near], kind="stable")]
-    runs = np.split(near, np.flatnonzero(np.diff(along[near]) > gap) + 1)
-    scored = [(w[r].sum() * np.sqrt(along[r[-1]] - along[r[0]]) if len(r) > 1 else 0.0, i) for i, r in enumerate(runs)]
-    best = max(scored, default=(0.0, 0))
-    return (runs[best[1]] if len(runs) else near), best[0]
-
-
-def _line_search(p: np.ndarray, w: np.ndarray, s: LineSettings, spacing: float, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
-    """Lines of positions held in memory, one after the other: base, way, support and score."""
-    rng, alive, n = np.random.default_rng(seed), np.ones(len(p), bool), 0
-    reach, gap = s.distance_factor * spacing, s.gap_factor * spacing
-    while n < s.maximum_lines and alive.sum() >= s.minimum_support:
-        own, best = np.flatnonzero(alive), (0.0, None)
-        for _ in range(s.trials):
-            i, j = rng.choice(own, 2, replace=False)
-            way = p[j] - p[i]
-            length = np.linalg.norm(way)
-            if length > reach:
-                run, score = _longest(p, w, alive, p[i], way / length, reach, gap)
-                if score > best[0] and len(run) >= s.minimum_support:
-                    best = (score, run)
-        if best[1] is None:
-            break
-        run = best[1]
-        for _ in range(3):
-            base = np.average(p[run], axis=0, weights=w[run])
-            way = np.linalg.svd((p[run] - base) * np.sqrt(w[run])[:, None], full_matrices=False)[2][0]
-            again, _score = _longest(p, w, alive, base, way, reach, gap)
-            if len(again) < s.minimum_support:
-                break
-            run = again
-        yield base, way, run, best[0]
-        alive[run] = False
-        n += 1
-
+def tangents(places: DataFrame, radius: float, *, k: int = 24, minimum: int = 5) -> DataFrame:
+    """``id, tangent, linearity`` of edge positions, from those of the ``k`` nearest that lie within ``radius``.
 
-def edge_lines(candidates: DataFrame, spacing: float, settings=None, seed: int = 0, sample: int = 20_000) -> DataFrame:
-    """Straight edge segments among edge positions (``id x y z score``): ``seg_id, a, b, support``.
-
-    A sequential search: best line of many random pairs, refitted by weighted
-    total least squares, cut at gaps, its support removed. Up to ``sample``
-    positions are searched in one task. More of them are dealt into ranges of
-    about ``sample``, which only propose lines; refits, runs, extents and
-    support come from all positions that are still open, until ranges along
-    none of the three axes propose a line with support.
+    The tangent is the principal axis, without a sign; linearity is the share
+    of the largest eigenvalue that the middle one leaves, 0 with fewer than
+    ``minimum`` positions (the position itself counts).
     """
-    s = settings or LineSettings()
-    schema = "seg_id int, a array<double>, b array<double>, support array<long>"
-    candidates = candidates.select("id", "x", "y", "z", "score")
-    if candidates.limit(sample + 1).count() > sample:
-        return _edge_lines_of_many(candidates, spacing, s, seed, sample, schema)
-
-    def search(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("id")
-        p, w, out = frame[["x", "y", "z"]].to_numpy(), 0.25 + 0.75 * frame["score"].rank(pct=True).to_numpy(), []
-        for base, way, run, _ in _line_search(p, w, s, spacing, seed):
-            along = (p[run] - base) @ way
-            out.append((len(out), list(base + along.min() * way), list(base + along.max() * way), [int(i) for i in frame["id"].to_numpy()[run]]))
-        return pd.DataFrame(out, columns=["seg_id", "a", "b", "support"])
-
-    return candidates.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(search, schema)
+    near = nearest_neighbors(places, places, k).where(F.col("d") <= radius)
+    there = places.select(F.col("id").alias("other_id"), "x", "y", "z")
+    here = places.select("id", *[F.col(a).alias("o" + a) for a in "xyz"])
+    spread = near.join(there, "other_id").join(here, "id").select("id", *[(F.col(a) - F.col("o" + a)).alias(a) for a in "xyz"])
+    e = F.col("eigenvalues")
+    linearity = F.when((F.col("n") >= minimum) & (e[2] > 1e-20), (e[2] - e[1]) / e[2]).otherwise(0.0)
+    return eigen(moments(spread, ["id"]), ["id"]).select("id", F.col("axes")[2].alias("tangent"), linearity.alias("linearity"))
 
 
-def _line_runs(places: DataFrame, lines: list[tuple[np.ndarray, np.ndarray]], reach: float, gap: float, minimum: int) -> DataFrame:
-    """``line, id, along, x y z w`` of the best run of each line; a position near several is of the first."""
+def _near_lines(places: DataFrame, lines: list[tuple[np.ndarray, np.ndarray]], reach: float) -> DataFrame:
+    """``id, line, along, x y z w`` of every position within ``reach`` of a line."""
     rows = [(n, *map(float, base), *map(float, way)) for n, (base, way) in enumerate(lines)]
     table = places.sparkSession.createDataFrame(rows, "line int, bx double, by double, bz double, wx double, wy double, wz double")
-    near = places.join(F.broadcast(table))  # maximum_lines rows at most
+    near = places.join(F.broadcast(table))  # as many rows as a round has trials
     d = [F.col(a) - F.col("b" + a) for a in "xyz"]
     near = near.withColumn("along", d[0] * F.col("wx") + d[1] * F.col("wy") + d[2] * F.col("wz"))
     off = sum((F.pow(v - F.col("along") * F.col("w" + a), F.lit(2)) for v, a in zip(d[1:], "yz")), F.pow(d[0] - F.col("along") * F.col("wx"), F.lit(2)))
-    near = near.where(off <= reach * reach).select("id", F.struct("line", "along", "x", "y", "z", "w").alias("at"))
-    near = near.groupBy("id").agg(F.min("at").alias("at")).select("id", "at.*")
+    return near.where(off <= reach * reach).select("id", "line", "along", "x", "y", "z", "w")
+
+
+def _longest_runs(near: DataFrame, gap: float, minimum: int) -> tuple[DataFrame, DataFrame]:
+    """Each line's positions in its best run (``line, id, along, x y z w``), and the run's ``value``: weight times the root of its length."""
     order = Window.partitionBy("line").orderBy("along", "id")
     opens = F.coalesce(F.col("along") - F.lag("along").over(order) > gap, F.lit(True)).cast("long")
     near = materialize(near.withColumn("opens", opens).withColumn("run", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0))), "runs")
-    runs = near.groupBy("line", "run").agg(F.count("*").alias("n"), (F.sum("w") * F.sqrt(F.max("along") - F.min("along"))).alias("value")).where(F.col("n") >= minimum)
-    best = runs.groupBy("line").agg(F.max_by("run", F.struct("value", -F.col("run"))).alias("run"))
-    return near.join(F.broadcast(best), ["line", "run"]).select("line", "id", "along", "x", "y", "z", "w")
+    length = F.max("along") - F.min("along")
+    runs = near.groupBy("line", "run").agg(F.count("*").alias("n"), (F.sum("w") * F.sqrt(length)).alias("value"), length.alias("length"))
+    runs = runs.where((F.col("n") >= minimum) & (F.col("length") > 0))
+    best = runs.groupBy("line").agg(F.max_by("run", F.struct("value", -F.col("run"))).alias("run"), F.max("value").alias("value"))
+    return near.join(F.broadcast(best.select("line", "run")), ["line", "run"]).select("line", "id", "along", "x", "y", "z", "w"), best
+
+
+def _first_line(near: DataFrame) -> DataFrame:
+    """A position near several lines belongs to the first of them."""
+    at = F.struct("line", "along", "x", "y", "z", "w")
+    return near.groupBy("id").agg(F.min(at).alias("at")).select("id", "at.*")
+
+
+def _fitted(rows: DataFrame, key: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The line of weighted total least squares through each group's positions: base and way."""
+    centre = rows.groupBy(key).agg(*[(F.sum(F.col("w") * F.col(a)) / F.sum("w")).alias("c" + a) for a in "xyz"])
+    own = rows.join(F.broadcast(centre), key).withColumns({"d" + a: F.col(a) - F.col("c" + a) for a in "xyz"})
+    sums = own.groupBy(key, "cx", "cy", "cz").agg(*[F.sum(F.col("w") * F.col("d" + "xyz"[i]) * F.col("d" + "xyz"[j])).alias(f"c{i}{j}") for i, j in _PAIRS])
+    found = {}
+    for r in sums.collect():  # one row a line
+        m = np.zeros((3, 3))
+        for i, j in _PAIRS:
+            m[i, j] = m[j, i] = r[f"c{i}{j}"]
+        found[r[key]] = (np.array([r["cx"], r["cy"], r["cz"]]), np.linalg.eigh(m)[1][:, 2])
+    return found
+
+
+def _measured(rows: DataFrame, lines: dict[int, tuple[np.ndarray, np.ndarray]], key: str) -> list:
+    """Number, ends, widest gap, farthest and root mean square distance and mean score of each line's positions (``key, id, x y z score``)."""
+    table = rows.sparkSession.createDataFrame([(n, *map(float, b), *map(float, v)) for n, (b, v) in lines.items()], f"{key} int, bx double, by double, bz double, wx double, wy double, wz double")
+    d = [F.col(a) - F.col("b" + a) for a in "xyz"]
+    at = rows.join(F.broadcast(table), key).withColumn("along", d[0] * F.col("wx") + d[1] * F.col("wy") + d[2] * F.col("wz"))
+    off = sum((F.pow(v - F.col("along") * F.col("w" + a), F.lit(2)) for v, a in zip(d[1:], "yz")), F.pow(d[0] - F.col("along") * F.col("wx"), F.lit(2)))
+    step = F.col("along") - F.lag("along").over(Window.partitionBy(key).orderBy("along", "id"))
+    at = at.select(key, "along", "score", off.alias("off"), step.alias("step"))
+    return at.groupBy(key).agg(
+        F.count("*").alias("n"), F.min("along").alias("low"), F.max("along").alias("high"), F.coalesce(F.max("step"), F.lit(0.0)).alias("gap"),
+        F.sqrt(F.max("off")).alias("far"), F.sqrt(F.avg("off")).alias("rmse"), F.avg("score").alias("score"),
+    ).collect()  # one row a line
+
 
+def _merged(held: DataFrame, ends: dict[int, tuple[np.ndarray, np.ndarray]], reach: float, gap: float, angle: float) -> dict[int, int]:
+    """Segment to merge into, for every segment: nearly collinear neighbours whose joint support is one straight run.
 
-def _edge_lines_of_many(candidates: DataFrame, spacing: float, s: LineSettings, seed: int, sample: int, schema: str) -> DataFrame:
+    Segments are paired off, nearest ends first, and all pairs of a round are
+    fitted and measured at once.
+    """
+    into, refused = {n: n for n in ends}, set()
+    ends = dict(ends)
+    while angle > 0:
+        ways = {n: (b - a) / np.linalg.norm(b - a) for n, (a, b) in ends.items()}
+        near = []
+        for i in ends:
+            for j in ends:
+                if i < j and (i, j) not in refused and abs(ways[i] @ ways[j]) >= np.cos(np.radians(angle)):
+                    away = min(np.linalg.norm(p - q) for p in ends[i] for q in ends[j])
+                    if away <= gap + 2 * reach:
+                        near.append((away, i, j))
+        pairs, used = [], set()
+        for _, i, j in sorted(near):
+            if not {i, j} & used:
+                used |= {i, j}
+                pairs.append((i, j))
+        if not pairs:
+            break
+        number = {n: k for k, pair in enumerate(pairs) for n in pair}
+        names = held.sparkSession.createDataFrame([(n, number[root]) for n, root in into.items() if root in number], "seg_id int, pair int")
+        joint = held.join(F.broadcast(names), "seg_id")
+        lines = _fitted(joint, "pair")
+        for r in _measured(joint, lines, "pair"):
+            i, j = pairs[r["pair"]]
+            if r["far"] > reach or r["gap"] > gap:
+                refused.add((i, j))
+                continue
+            base, way = lines[r["pair"]]
+            ends[i] = (base + r["low"] * way, base + r["high"] * way)
+            del ends[j]
+            into = {n: i if root == j else root for n, root in into.items()}
+            refused = {p for p in refused if i not in p}
+    return into
+
+
+def edge_lines(candidates: DataFrame, spacing: float, settings: LineSettings | None = None) -> tuple[DataFrame, DataFrame]:
+    """Straight edge segments among edge positions (``id x y z score``), and the positions behind them.
+
+    Returns ``seg_id, a, b, n, rmse, gap, score`` and ``seg_id, id``. Positions
+    whose surroundings are linear propose lines along their tangents, the best
+    of each coarse cell first, ``trials`` of them a round. All open positions
+    then choose: lines are ranked by their best run, refitted by weighted total
+    least squares and cut at gaps, and a position belongs to the first line it
+    is near. Supports leave the table, until ``quiet_rounds`` rounds bring no
+    line. At last collinear neighbours are merged where their joint support
+    holds as one. Weights follow the rank of the score, in hundredths.
+    """
+    s = settings or LineSettings()
     spark, reach, gap = candidates.sparkSession, s.distance_factor * spacing, s.gap_factor * spacing
-    # Weights by rank of the score, in hundredths.
+    candidates = materialize(candidates.select("id", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "z", "score")]), "candidates")
     cuts = sorted(set(candidates.approxQuantile("score", [i / 100 for i in range(1, 100)], 0.001)))
     rank = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= F.col("score"))) / max(1, len(cuts))
-    still = materialize(candidates.withColumn("w", 0.25 + 0.75 * F.coalesce(rank, F.lit(0.0))).drop("score"), "open")
-    out, supports, quiet, turn = [], [], 0, 0
-
-    def propose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frame = pd.concat([pd.DataFrame({c: pd.Series(dtype="float64") for c in ("id", "x", "y", "z", "w")}), *frames])
-        frame = frame.sort_values("id")
-        found = _line_search(frame[["x", "y", "z"]].to_numpy(np.float64), frame["w"].to_numpy(np.float64), s, spacing, seed)
-        yield pd.DataFrame([(list(base), list(way), float(score)) for base, way, _, score in found], columns=["base", "way", "score"])
-
-    while quiet < 3 and len(out) < s.maximum_lines:
-        count = still.count()
-        if count < s.minimum_support:
+    places = candidates.select("id", "x", "y", "z", (0.25 + 0.75 * F.coalesce(rank, F.lit(0.0))).alias("w"))
+    seeds = tangents(candidates, s.tangent_factor * spacing, k=s.tangent_neighbors).where(F.col("linearity") >= s.minimum_linearity)
+    seeds = seeds.join(places, "id").withColumn("promise", F.col("linearity") * F.col("w"))
+    still, seeds = materialize(places, "open"), materialize(seeds, "seeds")
+    found, supports, quiet = {}, [], 0
+    while quiet < s.quiet_rounds and len(found) < s.maximum_lines:
+        coarse = [F.floor(F.col(a) / (4 * gap)) for a in "xyz"]
+        best = seeds.groupBy(*coarse).agg(F.max_by(F.struct("id", "x", "y", "z", "tangent", "promise"), F.struct("promise", "id")).alias("s")).select("s.*")
+        best = best.orderBy(F.desc("promise"), "id").limit(s.trials).collect()
+        if not best:
             break
-        # Ranges along another axis each time: a line cut in one of them is whole along its own axis.
-        axes = [*"xyz"[turn % 3 :], *"xyz"[: turn % 3]]
-        turn += 1
-        dealt = still.repartitionByRange(-(-count // sample), *axes, "id")
-        proposed = dealt.mapInPandas(propose, "base array<double>, way array<double>, score double")
-        proposed = proposed.orderBy(F.desc("score"), "base").limit(s.maximum_lines - len(out)).collect()
-        lines = [(np.array(r["base"]), np.array(r["way"])) for r in proposed]
-        for _ in range(3 if lines else 0):
-            runs = _line_runs(still, lines, reach, gap, s.minimum_support)
-            base = [F.sum(F.col("w") * F.col(a)) / F.sum("w") for a in "xyz"]
-            centre = runs.groupBy("line").agg(*[v.alias("c" + a) for v, a in zip(base, "xyz")])
-            own = runs.join(F.broadcast(centre), "line").withColumns({"d" + a: F.col(a) - F.col("c" + a) for a in "xyz"})
-            sums = own.groupBy("line", "cx", "cy", "cz").agg(*[F.sum(F.col("w") * F.col("d" + "xyz"[i]) * F.col("d" + "xyz"[j])).alias(f"c{i}{j}") for i, j in _PAIRS])
-            for r in sums.collect():
-                m = np.zeros((3, 3))
-                for i, j in _PAIRS:
-                    m[i, j] = m[j, i] = r[f"c{i}{j}"]
-                lines[r["line"]] = (np.array([r["cx"], r["cy"], r["cz"]]), np.linalg.eigh(m)[1][:, 2])
-        taken = materialize(_line_runs(still, lines, reach, gap, s.minimum_support), "support") if lines else None
-        ends = taken.groupBy("line").agg(F.min("along").alias("low"), F.max("along").alias("high")).orderBy("line").collect() if lines else []
-        if not ends:
-            quiet += 1
-            continue
-        quiet = 0
-        named = {}
-        for r in ends:
-            base, way = lines[r["line"]]
-            named[r["line"]] = len(out)
-            out.append((len(out), [float(v) for v in base + r["low"] * way], [float(v) for v in base + r["high"] * way]))
-        names = spark.createDataFrame(list(named.items()), "line int, seg_id int")
-        supports.append(taken.join(F.broadcast(names), "line").select("seg_id", "id"))
-        still = materialize(still.join(taken.select("id"), "id", "left_anti"), "open")
-    if not out:
-        return spark.createDataFrame([], schema)
-    support = reduce(DataFrame.unionByName, supports).groupBy("seg_id").agg(F.sort_array(F.collect_list(F.col("id").cast("long"))).alias("support"))
-    return spark.createDataFrame(out, "seg_id int, a array<double>, b array<double>").join(support, "seg_id").select("seg_id", "a", "b", "support")
+        lines = [(np.array([r["x"], r["y"], r["z"]]), np.array(r["tangent"])) for r in best]
+        _, values = _longest_runs(_near_lines(still, lines, reach), gap, s.minimum_support)
+        order = [r["line"] for r in values.orderBy(F.desc("value"), "line").collect()]  # at most a row a trial
+        lines, taken = [lines[n] for n in order], None
+        for step in range(4 if lines else 0):
+            taken, _ = _longest_runs(_first_line(_near_lines(still, lines, reach)), gap, s.minimum_support)
+            if step < 3:
+                fitted = _fitted(taken, "line")
+                lines = [fitted[n] for n in sorted(fitted)]
+            if not lines:
+                break
+        kept = {}
+        if lines:
+            taken = materialize(taken, "support")
+            ends = taken.groupBy("line").agg(F.min("along").alias("low"), F.max("along").alias("high")).orderBy("line").collect()
+            for r in ends[: s.maximum_lines - len(found)]:
+                base, way = lines[r["line"]]
+                kept[r["line"]] = len(found)
+                found[len(found)] = (base + r["low"] * way, base + r["high"] * way)
+        quiet = 0 if kept else quiet + 1
+        gone = spark.createDataFrame([(r["id"],) for r in best], seeds.select("id").schema)  # seeds that had their turn
+        if kept:
+            names = spark.createDataFrame(list(kept.items()), "line int, seg_id int")
+            own = taken.join(F.broadcast(names), "line").select("seg_id", "id")
+            supports.append(own)
+            still = materialize(still.join(own.select("id"), "id", "left_anti"), "open")
+            gone = gone.unionByName(own.select("id"))
+        seeds = materialize(seeds.join(gone, "id", "left_anti"), "seeds")
+    if not found:
+        return spark.createDataFrame([], _SEGMENTS), spark.createDataFrame([], candidates.select(F.lit(0).alias("seg_id"), "id").schema)
+    held = materialize(reduce(DataFrame.unionByName, supports).join(places, "id").join(candidates.select("id", "score"), "id"), "held")
+    into = _merged(held, found, reach, gap, s.merge_degrees)
+    number = {root: n for n, root in enumerate(sorted(set(into.values())))}
+    names = spark.createDataFrame([(n, number[root]) for n, root in into.items()], "old int, seg_id int")
+    held = materialize(held.withColumnRenamed("seg_id", "old").join(F.broadcast(names), "old").drop("old"), "held")
+    lines, out = _fitted(held, "seg_id"), []
+    for r in _measured(held, lines, "seg_id"):
+        base, way = lines[r["seg_id"]]
+        out.append((r["seg_id"], [float(v) for v in base + r["low"] * way], [float(v) for v in base + r["high"] * way], r["n"], r["rmse"], r["gap"], r["score"]))
+    return spark.createDataFrame(sorted(out), _SEGMENTS), held.select("seg_id", "id")

@@ -153,14 +153,56 @@ def test_scalars(spark):
     assert row["f"] == pytest.approx(0.37) and row["g"] == [0.61, 0.64, 0.68]
 
 
-def test_edge_lines_reach_beyond_the_sample(spark):
-    """Three edges of 100 positions, the last of low score, proposed from ranges of 90."""
+def _segments(found):
+    lines, support = found
+    ids = {}
+    for r in support.collect():
+        ids.setdefault(r["seg_id"], []).append(r["id"])
+    return [(r, sorted(ids[r["seg_id"]])) for r in lines.collect()]
+
+
+def test_edge_lines_of_three_axes(spark):
+    """Three edges of 100 positions, the last of low score."""
     rows = [(100 * n + i, *(float(i) / 10 if a == n else 5.0 * (a == (n + 1) % 3) for a in range(3)), 90.0 if n < 2 else 10.0) for n in range(3) for i in range(100)]
     edge = spark.createDataFrame(rows, "id long, x double, y double, z double, score double")
-    found = normals.edge_lines(edge, 0.1, sample=90).collect()
-    assert sorted(sorted(r["support"]) for r in found) == [list(range(100 * n, 100 * n + 100)) for n in range(3)]
-    for r in found:
-        assert math.dist(r["a"], r["b"]) == pytest.approx(9.9)
+    found = _segments(normals.edge_lines(edge, 0.1))
+    assert sorted(ids for _, ids in found) == [list(range(100 * n, 100 * n + 100)) for n in range(3)]
+    for r, ids in found:
+        assert math.dist(r["a"], r["b"]) == pytest.approx(9.9) and r["n"] == 100 and r["gap"] == pytest.approx(0.1) and r["rmse"] < 1e-9
+    assert sorted(r["score"] for r, _ in found) == [10, 90, 90]
+    assert normals.edge_lines(edge.limit(0), 0.1)[0].count() == 0
+
+
+def test_edges_of_a_cube(spark):
+    cube = views.shell(spark, 21)
+    on = [F.when(F.abs(F.col(a)) > 0.5 - 1e-9, 1).otherwise(0) for a in "xyz"]
+    found = _segments(normals.edge_lines(cube.where(on[0] + on[1] + on[2] >= 2).withColumn("score", F.lit(90.0)), 1 / 20))
+    assert len(found) == 12
+    for r, _ in found:
+        step = np.abs(np.array(r["a"]) - np.array(r["b"]))
+        assert abs(step.max() - 1) < 0.35 and np.sort(step)[1] < 0.05
+
+
+def test_tangents_follow_lines(spark):
+    rng = np.random.default_rng(4)
+    line = np.linspace(0, 1, 60)[:, None] * [0.6, 0.8, 0] + [1, 2, 3]
+    blob = rng.uniform(0, 0.2, (80, 3)) - 5
+    found = {r["id"]: r for r in normals.tangents(cloud(spark, [*line, *blob, (50, 50, 50)]), 0.1).collect()}
+    for i in range(60):
+        assert abs(abs(np.dot(found[i]["tangent"], [0.6, 0.8, 0])) - 1) < 1e-9 and found[i]["linearity"] > 1 - 1e-9
+    assert np.mean([found[i]["linearity"] for i in range(60, 140)]) < 0.6
+    assert found[140]["linearity"] == 0
+
+
+def test_collinear_segments_merge_and_others_do_not(spark):
+    """Two halves of one line, one across and one beyond a gap."""
+    at = [(0, (i / 10, 0.0, 0.0)) for i in range(20)] + [(1, (2 + i / 10, 0.0, 0.0)) for i in range(20)]
+    at += [(2, (2.0, 0.1 + i / 10, 0.0)) for i in range(20)] + [(3, (4.5 + i / 10, 0.0, 0.0)) for i in range(20)]
+    held = spark.createDataFrame([(n, i, *p, 1.0, 1.0) for i, (n, p) in enumerate(at)], "seg_id int, id long, x double, y double, z double, w double, score double")
+    ends = {n: tuple(np.array([p for m, p in at if m == n])[[0, -1]]) for n in range(4)}
+    assert normals._merged(held, ends, 0.15, 0.4, 5.0) == {0: 0, 1: 0, 2: 2, 3: 3}
+    assert normals._merged(held, ends, 0.15, 0.7, 5.0) == {0: 0, 1: 0, 2: 2, 3: 0}
+    assert normals._merged(held, ends, 0.15, 0.7, 0.0) == {n: n for n in range(4)}
 
 
 def test_neighbours_where_points_coincide(spark):
