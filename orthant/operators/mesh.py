@@ -127,10 +127,15 @@ def triangle_area():
     return F.sqrt(n[0] * n[0] + n[1] * n[1] + n[2] * n[2]) / 2.0
 
 
-def surface_samples(mesh: DataFrame, spacing: float, most_per_triangle: int = 4096) -> DataFrame:
-    """Equal-area low-discrepancy points of each triangle: ``tri_id, k, x, y, z, area`` (of the sample)."""
-    n = F.least(F.greatest(F.ceil(F.col("area") / (spacing * spacing)), F.lit(1)), F.lit(most_per_triangle)).cast("int")
-    rows = mesh.where("area > 0").withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+def surface_samples(mesh: DataFrame, spacing: float, block: int = 4096) -> DataFrame:
+    """Equal-area low-discrepancy points of each triangle: ``tri_id, k, x, y, z, area`` (of the sample).
+
+    As many as the spacing asks for; they are made ``block`` at a time, so a
+    large triangle is no long array.
+    """
+    n = F.greatest(F.ceil(F.col("area") / (spacing * spacing)), F.lit(1)).cast("long")
+    rows = mesh.where("area > 0").withColumn("n", n).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(block).cast("long"))))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + block, F.col("n")) - 1)))
     u = F.sqrt((F.col("k") + 0.5) / F.col("n"))
     v = (F.col("k") * 0.618033988749895 + 0.5) % 1.0
     at = [F.col("a")[i] * (1 - u) + u * ((1 - v) * F.col("b")[i] + v * F.col("c")[i]) for i in range(3)]

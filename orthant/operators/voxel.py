@@ -99,15 +99,29 @@ def label_components(voxels: DataFrame, *, faces_only: bool = True, minimum: int
     return out.select(*IJK, "component")
 
 
+def _empty_runs(voxels: DataFrame) -> DataFrame:
+    """Runs ``i j low high`` of empty cells along k, within the bounds and one cell around them.
+
+    They are the gaps between a line's occupied cells and its two ends, so
+    their number follows the lines and the occupied cells, not the volume.
+    """
+    own = voxels.select(*IJK).distinct()
+    ends = own.agg(*[F.min(c).alias(f"l{c}") for c in IJK], *[F.max(c).alias(f"h{c}") for c in IJK]).where("li is not null")
+    lines = ends.withColumn("i", F.explode(F.sequence(F.col("li") - 1, F.col("hi") + 1))).repartition("i")
+    lines = lines.withColumn("j", F.explode(F.sequence(F.col("lj") - 1, F.col("hj") + 1)))
+    border = lines.select("i", "j", F.explode(F.array(F.col("lk") - 2, F.col("hk") + 2)).alias("k"))
+    before = F.lag("k").over(Window.partitionBy("i", "j").orderBy("k"))
+    gaps = own.unionByName(border).select("i", "j", (before + 1).alias("low"), (F.col("k") - 1).alias("high"))
+    return gaps.where("low <= high")
+
+
 def fill_holes(voxels: DataFrame) -> DataFrame:
     """Add the empty cells that the outside cannot reach through touching empty cells.
 
     Empty cells are followed as runs along k, not one by one: two runs in
     neighbouring lines touch where they overlap or meet at a corner.
     """
-    padded = complement(voxels, 1)
-    line = F.col("k") - F.row_number().over(Window.partitionBy("i", "j").orderBy("k"))
-    runs = padded.withColumn("run", line).groupBy("i", "j", "run").agg(F.min("k").alias("low"), F.max("k").alias("high"))
+    runs = _empty_runs(voxels)
     runs = runs.withColumn("node", F.struct("i", "j", "low"))
     steps = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1))])
     left = runs.select(F.col("node").alias("src"), "low", "high", "i", "j", F.explode(steps).alias("s"))
@@ -135,6 +149,41 @@ def safe_region(observed: DataFrame, interior: DataFrame) -> DataFrame:
     return observed.select(*IJK).unionByName(interior.select(*IJK)).distinct()
 
 
+def voxel_counts(**layers: DataFrame) -> DataFrame:
+    """One row with the number of distinct cells of each named layer, and of the cells that all of them share (``shared``)."""
+    names = list(layers)
+    marked = reduce(DataFrame.unionByName, [v.select(*IJK, *[F.lit(int(n == m)).alias(m) for m in names]) for n, v in layers.items()])
+    own = marked.groupBy(*IJK).agg(*[F.max(n).alias(n) for n in names])
+    both = F.least(*names) if len(names) > 1 else F.col(names[0])
+    return own.agg(*[F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(n) for n in names], F.coalesce(F.sum(both), F.lit(0)).cast("long").alias("shared"))
+
+
+def turned_cells(safe: DataFrame, frame: Sequence[Sequence[float]]) -> DataFrame:
+    """Cells ``i j k`` of the lattice along the columns of ``frame`` whose world bounds hold safe cells only.
+
+    Both lattices have cells of the same width and their origin in common. Safe
+    cells propose the turned cells in which their centres fall and those
+    around; a turned cell meets the cells of its world bounds in one equi-join
+    and stays where it finds them all.
+    """
+    turn = [[float(v) for v in row] for row in frame]
+    along = lambda v, w: v[0] * w[0] + v[1] * w[1] + v[2] * w[2]
+    centre = [F.col(c) + 0.5 for c in IJK]
+    own = safe.select(*IJK).distinct()
+    proposed = own.select(*[F.floor(along(centre, [turn[a][j] for a in range(3)])).cast("long").alias(c) for j, c in enumerate(IJK)]).distinct()
+    proposed = dilate(proposed, 1)
+    half = [sum(abs(v) for v in row) / 2 for row in turn]
+    world = [along(centre, row) for row in turn]
+    need, out = F.lit(1).cast("long"), proposed.select(F.struct(*IJK).alias("cell"), *[F.floor(w - h + 1e-9).cast("long").alias("l" + c) for w, h, c in zip(world, half, IJK)], *[F.ceil(w + h - 1e-9).cast("long").alias("h" + c) for w, h, c in zip(world, half, IJK)])
+    for c in IJK:
+        need = need * (F.col("h" + c) - F.col("l" + c))
+    out = out.withColumn("need", need)
+    for c in IJK:
+        out = out.withColumn(c, F.explode(F.sequence(F.col("l" + c), F.col("h" + c) - 1)))
+    full = out.join(own, list(IJK)).groupBy("cell", "need").agg(F.count("*").alias("n")).where("n = need")
+    return full.select("cell.*")
+
+
 def integral_image(voxels: DataFrame, shape: Sequence[int]) -> DataFrame:
     """``i j k`` from 0 to the shape with ``total``, the occupied cells below the corner on all axes.
 

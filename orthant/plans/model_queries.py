@@ -4,23 +4,50 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from orthant.operators import mesh, normals
+from orthant.functions import scalar as S
+from orthant.operators import cells, mesh, normals, objective, voxel
 from orthant.plans.registry import _exposed_sql, r9, register, s9
 from orthant.sources import views
 
 _EYE = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]]
 
 
-def _plane(spark):
-    return views.sheet(spark, 24)
+def _part_neighbours(k: int, own: bool = False) -> str:
+    """CTEs that end in ``e``: the nearest of the distinct part positions to each, with their offsets."""
+    return f"""q AS (SELECT x, y, min(id) AS id FROM v_part GROUP BY x, y),
+    p AS (SELECT a.id, b.id AS other_id, b.x - a.x AS dx, b.y - a.y AS dy, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM q a JOIN q b ON {'true' if own else 'a.id <> b.id'}),
+    e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, other_id) AS rank FROM p) AS r WHERE rank <= {k})"""
 
 
-@register("normals", "SELECT 576::BIGINT AS n, 576::BIGINT AS valid, 576::BIGINT AS upright")
+def _part_geometry(k: int) -> str:
+    """CTEs that end in ``g``: spacing, the two eigenvalues within the plane and whether the normal is valid."""
+    return f"""{_part_neighbours(k)}, s AS (SELECT id, quantile_cont(d, 0.5) AS spacing FROM e WHERE rank <= 3 GROUP BY id),
+    m AS (SELECT id, count(*) AS n, avg(dx * dx) - avg(dx) * avg(dx) AS xx, avg(dx * dy) - avg(dx) * avg(dy) AS xy, avg(dy * dy) - avg(dy) * avg(dy) AS yy FROM e JOIN s USING (id) WHERE d > 0 AND d <= 6e0 * spacing * (1 + 1e-10) GROUP BY id),
+    l AS (SELECT id, n, (xx + yy - sqrt((xx - yy) * (xx - yy) + 4 * xy * xy)) / 2 AS e1, (xx + yy + sqrt((xx - yy) * (xx - yy) + 4 * xy * xy)) / 2 AS e2 FROM m),
+    g AS (SELECT q.id, spacing, e1, e2, coalesce(n >= 8 AND e1 > 1e-5 * (e1 + e2), false) AS valid FROM q LEFT JOIN s USING (id) LEFT JOIN l USING (id))"""
+
+
+@register("normals", f"WITH {_part_geometry(30)} SELECT id, valid, CASE WHEN valid THEN true END AS upright, {s9('CASE WHEN valid THEN e1 END')} AS e1, {s9('CASE WHEN valid THEN e2 END')} AS e2 FROM g", "v_part")
 def _(spark, d):
-    """All normals of a plane are valid and stand on it."""
-    places, edges = normals.neighbourhoods(_plane(spark))
+    """Normals of the planar part cloud: which are valid, that these stand on the plane, and the spread within it."""
+    places, edges = normals.neighbourhoods(views.part_cloud(spark, d))
     found = normals.local_geometry(places, edges)
-    return found.agg(F.count("*").alias("n"), F.count(F.when(F.col("valid"), 1)).alias("valid"), F.count(F.when(F.abs(F.col("normal")[2]) > 1 - 1e-9, 1)).alias("upright"))
+    valid = lambda c: F.when(F.col("valid"), c)
+    e = F.col("eigenvalues")
+    return found.select("id", "valid", valid(F.abs(F.col("normal")[2]) > 1 - 1e-9).alias("upright"), r9(valid(e[1])).alias("e1"), r9(valid(e[2])).alias("e2"))
+
+
+@register(
+    "edge_tangents",
+    f"""WITH {_part_neighbours(24, own=True)}, m AS (SELECT id, count(*) AS n, avg(dx * dx) - avg(dx) * avg(dx) AS xx, avg(dx * dy) - avg(dx) * avg(dy) AS xy, avg(dy * dy) - avg(dy) * avg(dy) AS yy FROM e WHERE d <= 0.0973e0 GROUP BY id),
+    l AS (SELECT *, sqrt((xx - yy) * (xx - yy) + 4 * xy * xy) AS s FROM m)
+    SELECT id, {s9('CASE WHEN n >= 5 AND xx + yy + s > 2e-20 THEN 2 * s / (xx + yy + s) ELSE 0 END')} AS linearity FROM l""",
+    "v_part",
+)
+def _(spark, d):
+    """How far the surroundings of each position of the part cloud follow one line."""
+    places = cells.distinct_positions(views.part_cloud(spark, d)).withColumnRenamed("first_id", "id")
+    return normals.tangents(places, 0.0973).select("id", r9("linearity").alias("linearity"))
 
 
 @register("cloud_normals")
@@ -38,14 +65,18 @@ def _(spark, d):
     return scores.select("id", r9("score").alias("score"))
 
 
-@register("regions", "SELECT region::INT AS region, 144::BIGINT AS n FROM range(2) AS t(region)")
+@register(
+    "regions",
+    f"""RECURSIVE WITH {_part_geometry(24)}, k AS (SELECT DISTINCT e.id AS s, other_id AS t FROM e JOIN g a ON a.id = e.id JOIN g b ON b.id = other_id WHERE a.valid AND b.valid AND d <= 3.5e0 * least(a.spacing, b.spacing)),
+    u AS (SELECT s, t FROM k UNION SELECT t, s FROM k UNION SELECT id, id FROM g WHERE valid), r(s, t) AS (SELECT s, t FROM u UNION SELECT r.s, u.t FROM r JOIN u ON r.t = u.s),
+    c AS (SELECT s AS id, min(t) AS part FROM r GROUP BY s), z AS (SELECT part, count(*) AS n FROM c GROUP BY part HAVING count(*) >= 20), o AS (SELECT part, row_number() OVER (ORDER BY n DESC, part) - 1 AS region FROM z)
+    SELECT g.id, coalesce(region, -1)::INT AS region FROM g LEFT JOIN c USING (id) LEFT JOIN o USING (part)""",
+    "v_part",
+)
 def _(spark, d):
-    """Two parallel sheets are two regions."""
-    low = views.sheet(spark, 12)
-    high = views.sheet(spark, 12, offset=0.5).withColumn("id", F.col("id") + 1000)
-    places, edges = normals.neighbourhoods(low.unionByName(high), 24)
-    regions = normals.segment_surfaces(places, normals.local_geometry(places, edges), edges)
-    return regions.groupBy("region").agg(F.count("*").alias("n"))
+    """Surface regions of the planar part cloud."""
+    places, edges = normals.neighbourhoods(views.part_cloud(spark, d), 24)
+    return normals.segment_surfaces(places, normals.local_geometry(places, edges), edges)
 
 
 def _label_boxes(spark, d):
@@ -74,25 +105,26 @@ def _(spark, d):
     return mesh.surface_samples(tri, 0.02).agg(r9(F.sum("area")).alias("area"))
 
 
-@register("support_bounds", "SELECT true AS below, true AS above, true AS narrow")
+@register("support_bounds")
 def _(spark, d):
-    """The supported share of a triangle around a corner is pi / 32."""
-    tri = spark.createDataFrame([([0.0, 0.0, 0.0], [2.0, 0.0, 0.0], [0.0, 2.0, 0.0], 2.0)], "a array<double>, b array<double>, c array<double>, area double")
-    at = spark.createDataFrame([(0, 0.0, 0.0, 0.0)], "id long, x double, y double, z double")
-    found = mesh.support_bounds(tri, at, 0.5, gap=0.02, depth=7)
-    true = 3.141592653589793 / 32
-    return spark.createDataFrame([(found["lower"] <= true, found["upper"] >= true, found["upper"] - found["lower"] < 0.1)], "below boolean, above boolean, narrow boolean")
+    """Bounds on the share of the labels' union that has vectors near; tests hold them against dense samples."""
+    tri = mesh.triangles(mesh.exposed_polygons(_label_boxes(spark, d)))
+    found = mesh.support_bounds(tri, views.embedding_cloud(spark, d).select("id", "x", "y", "z"), 0.1, gap=0.05)
+    return spark.createDataFrame([(found["lower"], found["upper"], found["area"])], "lower double, upper double, area double").select(*[r9(c).alias(c) for c in ("lower", "upper", "area")])
 
 
-@register("edge_lines", "SELECT 12::BIGINT AS lines, true AS straight")
+@register(
+    "edge_lines",
+    f"""WITH p AS (SELECT (p_size % 8) * 4e0 AS x, p_retailprice - 900e0 AS y FROM part GROUP BY ALL), s AS (SELECT *, coalesce(y - lag(y) OVER o > 2.04e0, false)::INT AS step FROM p WINDOW o AS (PARTITION BY x ORDER BY y)),
+    r AS (SELECT *, sum(step) OVER (PARTITION BY x ORDER BY y) AS run FROM s) SELECT {s9('x')} AS x, {s9('min(y)')} AS low, {s9('max(y)')} AS high, count(*) AS n FROM r GROUP BY x, run HAVING count(*) >= 10""",
+)
 def _(spark, d):
-    """The twelve edges of a cube come out as lines."""
-    cube = views.shell(spark, 21)
-    on = [F.when(F.abs(F.col(a)) > 0.5 - 1e-9, 1).otherwise(0) for a in "xyz"]
-    edge = cube.where(on[0] + on[1] + on[2] >= 2).withColumn("score", F.lit(90.0))
-    lines = normals.edge_lines(edge, 1 / 20)
-    length = F.sqrt(sum((F.pow(F.col("a")[i] - F.col("b")[i], F.lit(2)) for i in range(1, 3)), F.pow(F.col("a")[0] - F.col("b")[0], F.lit(2))))
-    return lines.agg(F.count("*").alias("lines"), F.min(F.abs(length - 1) < 0.35).alias("straight"))
+    """Parts of each residue of their size along their price: straight edges, cut where prices leave a gap."""
+    from orthant.functions.config import LineSettings
+
+    rows = views.table(spark, d, "part").groupBy(((F.col("p_size") % 8) * 4.0).alias("x"), (F.col("p_retailprice") - 900.0).alias("y")).agg(F.min("p_partkey").alias("id"))
+    lines, _ = normals.edge_lines(rows.select("id", "x", "y", F.lit(0.0).alias("z"), F.lit(90.0).alias("score")), 0.51, LineSettings(maximum_lines=1024))
+    return lines.select(r9(F.col("a")[0]).alias("x"), r9(F.least(F.col("a")[1], F.col("b")[1])).alias("low"), r9(F.greatest(F.col("a")[1], F.col("b")[1])).alias("high"), "n")
 
 
 @register("region_frames", "SELECT CASE WHEN x < 0.5e0 THEN 0 ELSE 1 END AS region, true AS proper, true AS upright FROM v_part GROUP BY region", "v_part")
@@ -154,8 +186,6 @@ def _(spark, d):
     return out.select("user_id", F.unix_micros("first").alias("first"), F.unix_micros("last").alias("last"), "n")
 
 
-from orthant.functions import scalar as S  # noqa: E402
-from orthant.operators import cells, objective, voxel  # noqa: E402
 from orthant.plans import registry as R  # noqa: E402
 
 _FIELD = f"f AS (SELECT id, x, y, z, abs(x) AS w, {R._SIGNED} AS old FROM v_emb, (SELECT * FROM b WHERE box_id = 0) AS o)"
@@ -248,14 +278,54 @@ def _(spark, d):
     return cloud.groupBy(F.floor(F.col("y") / 0.5).alias("bin")).agg(F.count("*").alias("n"), r9(F.sum("x")).alias("mass"))
 
 
-@register("analytic_clouds", "SELECT * FROM (VALUES ('cube', 602::BIGINT), ('close_layers', 242::BIGINT)) AS t(name, n)")
+def _faces_sql() -> str:
+    """Grid points of the six sides of the labels' bounds, at most 0.05 apart."""
+    parts = []
+    for axis in "xyz":
+        for end in "01":
+            at = {c: f"{c}0 + ({c}1 - {c}0) * (i{c} / n{c}::DOUBLE)" if c != axis else f"{c}{end}" for c in "xyz"}
+            u, v = [c for c in "xyz" if c != axis]
+            parts.append(f"SELECT {', '.join(f'{e} AS {c}' for c, e in at.items())} FROM (SELECT *, unnest(generate_series(0, n{v})) AS i{v} FROM (SELECT *, unnest(generate_series(0, n{u})) AS i{u} FROM n) AS t) AS t")
+    steps = ", ".join(f"greatest(1, ceil(({c}1 - {c}0) / 0.05e0)::INT) AS n{c}" for c in "xyz")
+    return f"WITH n AS (SELECT *, {steps} FROM v_bounds) SELECT {', '.join(f'{s9(c)} AS {c}' for c in 'xyz')} FROM ({' UNION '.join(parts)}) AS u"
+
+
+@register("analytic_clouds", _faces_sql(), "v_bounds")
+def _(spark, d):
+    """Sampled rectangles: the sides of the labels' bounds."""
+    ends = {f"{c}{e}" for c in "xyz" for e in "01"}
+    sides = F.array(*[F.struct(*[F.col(f"{c}{end}" if c[0] == axis else c + e).alias(c + e) for c in "xyz" for e in "01"]) for axis in "xyz" for end in "01"])
+    rects = views.label_boxes(spark, d).select(F.explode(sides).alias("s")).select(*[f"s.{c}" for c in sorted(ends)])
+    return views.sample_rectangles(rects, 0.05).select(*[r9(c).alias(c) for c in "xyz"])
+
+
+_TURN = [[0.6, -0.8 * 5 / 13, 0.8 * 12 / 13], [0.8, 0.6 * 5 / 13, -0.6 * 12 / 13], [0.0, 12 / 13, 5 / 13]]
+
+
+def _turned_sql() -> str:
+    at = [f"({c} + 0.5e0)" for c in "ijk"]
+    dot = lambda w: " + ".join(f"{a} * {float(v)!r}::DOUBLE" for a, v in zip(at, w))
+    half = [sum(abs(v) for v in row) / 2 for row in _TURN]
+    inner = ", ".join(f"floor({dot([_TURN[a][j] for a in range(3)])})::BIGINT AS {c}" for j, c in enumerate("ijk"))
+    ends = ", ".join(f"floor({dot(row)} - {h!r}::DOUBLE + 1e-9)::BIGINT AS l{c}, ceil({dot(row)} + {h!r}::DOUBLE - 1e-9)::BIGINT AS h{c}" for row, h, c in zip(_TURN, half, "ijk"))
+    return f"""WITH o AS (SELECT DISTINCT floor(x / 0.1e0)::BIGINT AS i, floor(y / 0.1e0)::BIGINT AS j, floor(z / 0.1e0)::BIGINT AS k FROM v_emb), safe AS (SELECT DISTINCT i + a AS i, j + b AS j, k + c AS k FROM o, range(-1, 2) AS p(a), range(-1, 2) AS q(b), range(-1, 2) AS r(c)),
+    t AS (SELECT DISTINCT i + a AS i, j + b AS j, k + c AS k FROM (SELECT {inner} FROM safe) AS s, range(-1, 2) AS p(a), range(-1, 2) AS q(b), range(-1, 2) AS r(c)), e AS (SELECT i, j, k, {ends} FROM t)
+    SELECT i, j, k FROM e WHERE NOT EXISTS (SELECT 1 FROM range(0, 3) AS p(a), range(0, 3) AS q(b), range(0, 3) AS r(c) WHERE li + a < hi AND lj + b < hj AND lk + c < hk AND (li + a, lj + b, lk + c) NOT IN (SELECT (i, j, k) FROM safe))"""
+
+
+@register("turned_cells", _turned_sql(), "v_emb")
 def _(spark, d):
-    """Distinct points of sampled analytic surfaces."""
-    out = None
-    for name in ("cube", "close_layers"):
-        row = views.case_cloud(spark, name, 0.1).agg(F.lit(name).alias("name"), F.count("*").alias("n"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Cells of a turned lattice that the cells around the vectors hold whole."""
+    return voxel.turned_cells(voxel.dilate(voxel.occupancy(views.embedding_cloud(spark, d), 0.1), 1), _TURN)
+
+
+_COUNTED = "o AS (SELECT DISTINCT floor(x / 0.1e0)::BIGINT AS i, floor(y / 0.1e0)::BIGINT AS j, floor(z / 0.1e0)::BIGINT AS k FROM v_emb WHERE label < 5), s AS (SELECT DISTINCT floor(x / 0.1e0)::BIGINT AS i, floor(y / 0.1e0)::BIGINT AS j, floor(z / 0.1e0)::BIGINT AS k FROM v_emb WHERE label > 2)"
+
+
+@register("voxel_counts", f"WITH {_COUNTED} SELECT (SELECT count(*) FROM o) AS reference, (SELECT count(*) FROM s) AS conservative, (SELECT count(*) FROM o JOIN s USING (i, j, k)) AS shared", "v_emb")
+def _(spark, d):
+    cloud = views.embedding_cloud(spark, d)
+    return voxel.voxel_counts(reference=voxel.occupancy(cloud.where("label < 5"), 0.1), conservative=voxel.occupancy(cloud.where("label > 2"), 0.1))
 
 
 def _growth_sql() -> str:
