@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from orthant.functions.config import FitSettings, check_grid, reconstruction_layers
 from orthant.functions.scalar import Box, evaluation_tolerance
-from orthant.operators import cells, growth, mesh, normals, refine, voxel
+from orthant.operators import cells, growth, hull, mesh, normals, refine, voxel
 from orthant.operators.objective import burial_feasible, normal_votes, with_field
 from orthant.operators.spatial import nearest_neighbors, nearest_spacing
 from orthant.storage import materialize, release
@@ -179,15 +179,16 @@ def prepare(cloud: DataFrame, settings: FitSettings, regions: DataFrame | None =
 
 
 def find_frames(points: DataFrame, regions: DataFrame | None = None, most: int = 12) -> list[np.ndarray]:
-    """World axes, then principal axes of the cloud, its halves and its regions; equal frames once."""
+    """World axes, principal axes of the cloud, square pairs of hull directions, principal axes of regions and of octants; equal frames once."""
     middle = points.agg(*[F.avg(a).alias(a) for a in "xyz"]).first()
     split = points.withColumn("part", F.lit(-1)).unionByName(points.withColumn("part", sum((F.when(F.col(a) > middle[a], 1 << i).otherwise(0) for i, a in enumerate("yz")), F.when(F.col("x") > middle["x"], 4).otherwise(0)).cast("int")))
     shapes = normals.eigen(normals.moments(split, ["part"]), ["part"]).orderBy("part").collect()  # nine rows
     found = [np.eye(3)]
-    rows = [np.array(r["axes"]).T for r in shapes if r["n"] >= 8]
+    whole, octants = ([np.array(r["axes"]).T for r in shapes if r["n"] >= 8 and (r["part"] < 0) == first] for first in (True, False))
+    rows = whole + hull.frames_of(hull.hull_directions(points))[:4]
     if regions is not None:
         rows += [np.array(r["axes"]).T for r in normals.region_frames(points, regions).orderBy("region").collect()]  # at most 32 rows
-    for frame in rows:
+    for frame in rows + octants:
         u, _, v = np.linalg.svd(frame)
         frame = u @ v
         if np.linalg.det(frame) < 0:

@@ -109,7 +109,7 @@ def _(spark, d):
 def _(spark, d):
     """Bounds on the share of the labels' union that has vectors near; tests hold them against dense samples."""
     tri = mesh.triangles(mesh.exposed_polygons(_label_boxes(spark, d)))
-    found = mesh.support_bounds(tri, views.embedding_cloud(spark, d).select("id", "x", "y", "z"), 0.1, gap=0.05)
+    found = mesh.support_bounds(tri, views.embedding_cloud(spark, d).select("id", "x", "y", "z"), 0.1, gap=0.3)
     return spark.createDataFrame([(found["lower"], found["upper"], found["area"])], "lower double, upper double, area double").select(*[r9(c).alias(c) for c in ("lower", "upper", "area")])
 
 
@@ -137,6 +137,16 @@ def _(spark, d):
     return frames.select("region", (F.abs(det - 1) < 1e-9).alias("proper"), F.exists("axes", lambda v: F.abs(v[2]) > 1 - 1e-9).alias("upright"))
 
 
+@register("hull_directions")
+def _(spark, d):
+    """Main normals of the vectors' hull and their shares of its area; tests hold hulls against all triples."""
+    from orthant.operators.hull import hull_directions
+
+    found = hull_directions(views.embedding_cloud(spark, d))
+    rows = [(n, *map(float, way), share) for n, (way, share) in enumerate(found)]  # a few dozen at most
+    return spark.createDataFrame(rows, "rank int, x double, y double, z double, share double").select("rank", *[r9(c).alias(c) for c in ("x", "y", "z", "share")])
+
+
 @register("greedy_cover")
 def _(spark, d):
     """Boxes of a fit of two layers: one panel each."""

@@ -609,17 +609,17 @@ _CUBE = lambda n: f"range({-n}, {n + 1}) AS p(a), range({-n}, {n + 1}) AS q(b),
 
 @register(
     "reconstruct_interior",
-    f"""RECURSIVE WITH {_VOX}, u AS (SELECT DISTINCT i + a AS i, j + b AS j, k + c AS k FROM v, {_CUBE(1)}), m AS (SELECT min(i) - 1 li, max(i) + 1 hi, min(j) - 1 lj, max(j) + 1 hj, min(k) - 1 lk, max(k) + 1 hk FROM u),
+    f"""RECURSIVE WITH v AS (SELECT DISTINCT floor(x / 0.05e0)::BIGINT AS i, floor(y / 0.05e0)::BIGINT AS j, floor(z / 0.05e0)::BIGINT AS k FROM v_emb), u AS (SELECT DISTINCT i + a AS i, j + b AS j, k + c AS k FROM v, {_CUBE(2)}), m AS (SELECT min(i) - 1 li, max(i) + 1 hi, min(j) - 1 lj, max(j) + 1 hj, min(k) - 1 lk, max(k) + 1 hk FROM u),
     gi AS (SELECT unnest(generate_series(li, hi)) AS i FROM m), gj AS (SELECT unnest(generate_series(lj, hj)) AS j FROM m), gk AS (SELECT unnest(generate_series(lk, hk)) AS k FROM m), g AS (SELECT i, j, k FROM (SELECT i, j, k FROM gi, gj, gk) AS w ANTI JOIN u USING (i, j, k)),
     o(i, j, k) AS (SELECT li, lj, lk FROM m UNION SELECT g.i, g.j, g.k FROM o JOIN g ON abs(o.i - g.i) <= 1 AND abs(o.j - g.j) <= 1 AND abs(o.k - g.k) <= 1), f AS (SELECT i, j, k FROM u UNION SELECT i, j, k FROM (SELECT * FROM g ANTI JOIN o USING (i, j, k)) AS y),
-    s AS (SELECT i + a AS i, j + b AS j, k + c AS k FROM f, {_CUBE(2)}), t AS (SELECT i, j, k, row_number() OVER (ORDER BY i, j, k) AS q FROM s GROUP BY i, j, k HAVING count(*) = 125),
+    s AS (SELECT i + a AS i, j + b AS j, k + c AS k FROM f, {_CUBE(3)}), t AS (SELECT i, j, k, row_number() OVER (ORDER BY i, j, k) AS q FROM s GROUP BY i, j, k HAVING count(*) = 343),
     e AS (SELECT a.q AS s, b.q AS t FROM t a JOIN t b ON abs(a.i - b.i) + abs(a.j - b.j) + abs(a.k - b.k) <= 1), w(s, t) AS (SELECT s, t FROM e UNION SELECT w.s, e.t FROM w JOIN e ON w.t = e.s), l AS (SELECT s AS q, min(t) AS root FROM w GROUP BY s),
     z AS (SELECT root FROM l GROUP BY root HAVING count(*) >= 16) SELECT i, j, k FROM t JOIN l USING (q) JOIN z USING (root)""",
     "v_emb",
 )
 def _(spark, d):
     """Solid interior of the vectors' voxels."""
-    return voxel.reconstruct(_voxels(spark, d), 1)
+    return voxel.reconstruct(voxel.occupancy(_emb(spark, d), 0.05), 2)
 
 
 @register("ellipsoid_raster", "WITH s AS (SELECT x, y, z, floor(x / 0.05e0)::BIGINT AS ci, floor(y / 0.05e0)::BIGINT AS cj, floor(z / 0.05e0)::BIGINT AS ck FROM v_emb), a AS (SELECT x, y, z, ci + p AS i, cj + q AS j, ck + r AS k FROM s, range(-4, 5) AS u(p), range(-4, 5) AS v(q), range(-4, 5) AS w(r)) SELECT DISTINCT i, j, k FROM a WHERE pow((((i + 0.5e0) * 0.05e0 - x) * -0.28e0 + ((j + 0.5e0) * 0.05e0 - y) * 0.96e0) / 0.03e0, 2) + pow((((i + 0.5e0) * 0.05e0 - x) * -0.96e0 + ((j + 0.5e0) * 0.05e0 - y) * -0.28e0) / 0.02e0, 2) + pow(((k + 0.5e0) * 0.05e0 - z) / 0.04e0, 2) <= 9", "v_emb")

@@ -218,3 +218,76 @@ def test_neighbours_where_points_coincide(spark):
         assert [got[i, k + 1][0] for k in range(3)] == [j for _, j in near]
     with pytest.raises(RuntimeError, match="rounds"):
         nearest_neighbors(points, points, 3, exclude_self=True, width=1e-9, rounds=2)
+
+
+def test_hull_facets_equal_all_triples():
+    from itertools import combinations
+
+    from orthant.operators import hull
+
+    rng = np.random.default_rng(6)
+    for n in (4, 9, 40):
+        p = rng.normal(size=(n, 3))
+        want = []
+        for t in combinations(range(n), 3):
+            cross = np.cross(p[t[1]] - p[t[0]], p[t[2]] - p[t[0]])
+            side = (p - p[t[0]]) @ cross / np.linalg.norm(cross)
+            if (side <= 1e-12).all() or (side >= -1e-12).all():
+                want.append((np.linalg.norm(cross) / 2, *(cross / np.linalg.norm(cross) * (1 if side.min() < -1e-12 else -1))))
+        normal, area = hull.facets(p)
+        got = np.array(sorted(zip(area, *normal.T)))
+        assert np.allclose(got, np.array(sorted(want)))
+    assert not len(hull.facets(np.array([[0, 0, 0], [1, 0, 0], [0, 1, 0], [1, 1, 0]], float))[1])
+
+
+def test_hull_directions_of_a_turned_square_and_cube(spark):
+    from orthant.operators import hull
+
+    turn = np.array([[0.6, -0.8, 0], [0.8, 0.6, 0], [0, 0, 1]]) @ np.array([[1, 0, 0], [0, 12 / 13, -5 / 13], [0, 5 / 13, 12 / 13]])
+    grid = np.array([(a, b, 0) for a in range(12) for b in range(12)], float)
+    cube = np.array([(a, b, c) for a in range(7) for b in range(7) for c in range(7) if {0, 6} & {a, b, c}], float)
+    for shape, count in ((grid, 3), (cube, 3)):
+        found = hull.hull_directions(cloud(spark, shape @ turn.T))
+        assert len(found) == count
+        frame = hull.frames_of(found)[0]
+        assert np.allclose(np.abs(frame.T @ turn).max(axis=0), 1) and np.linalg.det(frame) > 0
+    line = cloud(spark, [(i, 2 * i, 0) for i in range(9)])
+    assert hull.hull_directions(line) == [] and hull.hull_directions(line.limit(0)) == []
+    # Thousands of inner points and copies change nothing.
+    rng = np.random.default_rng(1)
+    more = np.concatenate((cube, cube, rng.uniform(1, 5, (3000, 3)))) @ turn.T
+    assert np.allclose([w for _, w in hull.hull_directions(cloud(spark, more))], 1 / 3)
+
+
+def test_turned_cells_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    solid = np.ones((9, 8, 7), bool)
+    solid[tuple(rng.integers(0, 7, (3, 4)))] = False
+    safe = {tuple(map(int, c)) for c in np.argwhere(solid) - 3}
+    turn = np.array([[0.6, -0.8, 0], [0.8, 0.6, 0], [0, 0, 1]])
+    got = {tuple(r) for r in voxel.turned_cells(spark.createDataFrame(sorted(safe), "i long, j long, k long"), turn).collect()}
+    half, want = np.abs(turn).sum(axis=1) / 2, set()
+    for cell in np.array(np.meshgrid(*[range(-14, 15)] * 3)).reshape(3, -1).T:
+        centre = turn @ (cell + 0.5)
+        low, high = np.floor(centre - half + 1e-9).astype(int), np.ceil(centre + half - 1e-9).astype(int)
+        if all((i, j, k) in safe for i in range(low[0], high[0]) for j in range(low[1], high[1]) for k in range(low[2], high[2])):
+            want.add(tuple(map(int, cell)))
+    assert got == want and want
+    eye = {tuple(r) for r in voxel.turned_cells(spark.createDataFrame(sorted(safe), "i long, j long, k long"), np.eye(3)).collect()}
+    assert eye == safe
+
+
+def test_support_bounds_hold_dense_samples(spark):
+    tri = spark.createDataFrame([([0.0, 0.0, 0.0], [2.0, 0.0, 0.0], [0.0, 2.0, 0.0], 2.0)], "a array<double>, b array<double>, c array<double>, area double")
+    found = mesh.support_bounds(tri, cloud(spark, [(0, 0, 0), (1.2, 0.3, 0.1)]), 0.5, gap=0.1)
+    u, v = (np.stack(np.meshgrid(*[(np.arange(400) + 0.5) / 400] * 2)).reshape(2, -1))
+    keep = u + v < 1
+    at = np.column_stack((2 * u[keep], 2 * v[keep], np.zeros(keep.sum())))
+    share = (np.minimum(np.linalg.norm(at, axis=1), np.linalg.norm(at - [1.2, 0.3, 0.1], axis=1)) <= 0.5).mean()
+    assert found["lower"] - 1e-3 <= share <= found["upper"] + 1e-3 and found["upper"] - found["lower"] <= 0.1
+
+
+def test_large_triangles_are_sampled_in_blocks(spark):
+    tri = spark.createDataFrame([(1, 0, [0.0, 0.0, 0.0], [2.0, 0.0, 0.0], [0.0, 2.0, 0.0], 2.0)], "tri_id long, box_id int, a array<double>, b array<double>, c array<double>, area double")
+    plain, blocks = (mesh.surface_samples(tri, 0.1, block=b).select("k", "x", "y", "area").orderBy("k").collect() for b in (4096, 7))
+    assert plain == blocks and [r["k"] for r in plain] == list(range(200)) and sum(r["area"] for r in plain) == pytest.approx(2)
