@@ -98,7 +98,7 @@ def segment_surfaces(places: DataFrame, geometry: DataFrame, edges: DataFrame, s
     core = core.select("id", "normal", "spacing").join(places.select("id", "x", "y", "z"), "id")
     if barriers is not None:
         far = segment_distance(core, barriers).withColumnRenamed("d", "barrier")
-        core = core.join(far, "id").where(F.col("barrier") > 2 * F.col("spacing")).drop("barrier")
+        core = core.join(far, "id", "left").where(F.coalesce(F.col("barrier") > 2 * F.col("spacing"), F.lit(True))).drop("barrier")
     core = materialize(core, "core")
     other = core.select(*[F.col(c).alias("o_" + c) for c in core.columns])
     pairs = edges.select("id", F.col("other_id").alias("o_id"), "d").join(core, "id").join(other, "o_id")

@@ -149,11 +149,11 @@ def _(spark, d):
 
 @register("greedy_cover")
 def _(spark, d):
-    """Boxes of a fit of two layers: one panel each."""
+    """Boxes of a fit of the part cloud, its odd keys raised to a second layer."""
     from orthant.functions.config import FitSettings
     from orthant.plans.fit import fit_cuboids
 
-    cloud = views.sheet(spark, 12).unionByName(views.sheet(spark, 12, offset=0.5).withColumn("id", F.col("id") + 1000))
+    cloud = views.part_cloud(spark, d).withColumn("z", (F.col("id") % 2) * 2.0)
     fit = fit_cuboids(cloud, FitSettings(resolution=16, max_cuboids=4))
     return mesh.boxes_table(spark, fit.boxes).select("box_id", *[r9(F.col("dimensions")[i]).alias(f"d{i}") for i in range(3)])
 
@@ -516,3 +516,72 @@ def _(spark, d):
     open_texels = every.join(seeds, ["box_id", "side", "px", "py"], "left_anti")
     found = texture.complete_edges(open_texels, seeds, boxes, rects, 0.07)
     return found.select("box_id", "side", "px", "py", r9("distance").alias("distance"))
+
+
+def _donor_sql() -> str:
+    """Every part against every texel of one face, in units of its footprint."""
+    at = "(0.5e0 - {w} / 2)"
+    return f"""WITH p AS (SELECT (p_size / 50e0 - {at.format(w='1.23e0')}) * (24 / 1.23e0) AS tu, ((p_partkey % 97) / 97e0 - {at.format(w='1.11e0')}) * (22 / 1.11e0) AS tv, (p_partkey % 5) * 0.004e0 - 0.01e0 AS off, 0.03e0 + 0.01e0 * (p_partkey % 3) AS s,
+    CASE p_partkey % 4 WHEN 0 THEN 0.8e0 WHEN 1 THEN 0.6e0 WHEN 2 THEN 0e0 ELSE 1e0 END AS al, (p_partkey % 7) / 6e0 AS conf, sqrt(0.0009e0 * (p_partkey % 2) / 0.36e0) AS len, p_size / 50e0 AS r FROM part),
+    q AS (SELECT *, greatest(s * (24 / 1.23e0), 0.75e0) AS ru, greatest(s * (22 / 1.11e0), 0.75e0) AS rv FROM p WHERE abs(off) <= 2.5e0 * 0.003e0 AND al >= 0.55e0 AND conf > 0),
+    k AS (SELECT *, len * 0.6e0 * (24 / 1.23e0) / ru AS ku, len * 0.8e0 * (22 / 1.11e0) / rv AS kv FROM q), f AS (SELECT *, ru * sqrt(1 + ku * ku) AS fu, rv * sqrt(1 + kv * kv) AS fv FROM k),
+    t AS (SELECT *, (px + 0.5e0 - tu) / ru AS a, (py + 0.5e0 - tv) / rv AS b FROM f, range(24) AS x(px), range(22) AS y(py) WHERE px >= ceil(tu - 4e0 * fu / 2 - 0.5e0) AND px <= floor(tu + 4e0 * fu / 2 - 0.5e0) AND py >= ceil(tv - 4e0 * fv / 2 - 0.5e0) AND py <= floor(tv + 4e0 * fv / 2 - 0.5e0)
+    AND tu > -fu AND tu < 24 + fu AND tv > -fv AND tv < 22 + fv)
+    SELECT px::INT AS px, py::INT AS py, count(*) AS n, {R.s9('sum(al * al * al * al * conf * exp(-(a * a + b * b - (a * ku + b * kv) * (a * ku + b * kv) / (1 + ku * ku + kv * kv)) / 2e0))')} AS w, {R.s9('min(-off)')} AS front FROM t GROUP BY px, py"""
+
+
+@register("donor_texels", _donor_sql())
+def _(spark, d):
+    """What the parts, as points over one face, give to its texels: stretched footprints weighed by normals and confidence."""
+    from orthant.operators import texture
+
+    key = F.col("p_partkey")
+    normal = F.when(key % 4 == 0, F.array(F.lit(0.6), F.lit(0.0), F.lit(0.8))).when(key % 4 == 1, F.array(F.lit(0.8), F.lit(0.0), F.lit(-0.6))).when(key % 4 == 2, F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0)))
+    points = views.table(spark, d, "part").select(
+        key.alias("id"), (F.col("p_size") / 50.0).alias("x"), ((key % 97) / 97.0).alias("y"), ((key % 5) * 0.004).alias("z"), (F.col("p_size") / 50.0).alias("r"), F.lit(0.4).alias("g"), F.lit(0.2).alias("b"), F.lit(1.0).alias("opacity"),
+        (F.lit(0.03) + (key % 3) * 0.01).alias("spacing"), normal.alias("normal"), ((key % 7) / 6.0).alias("confidence"), F.lit(0.6).alias("t0"), F.lit(0.8).alias("t1"), F.lit(0.0).alias("t2"), ((key % 2) * 0.0009).alias("amount"),
+    )
+    boxes = mesh.boxes_table(spark, [{"center": (0.5, 0.5, 0.0), "dimensions": (1.23, 1.11, 0.02), "rotation": _EYE}])
+    rects = spark.createDataFrame([(0, 5, 0, 24, 22, True)], "box_id int, side int, face int, tw int, th int, outward boolean")
+    found = texture.donor_texels(points, boxes, rects, 0.003)
+    return found.groupBy("px", "py").agg(F.count("*").alias("n"), r9(F.sum("w")).alias("w"), r9(F.min("depth")).alias("front"))
+
+
+_TEXELS = "SELECT (l_linenumber % 5)::INT AS face, (l_partkey % 30)::INT AS px, (l_orderkey % 20)::INT AS py, min(l_quantity) AS q FROM lineitem GROUP BY ALL"
+
+
+@register("face_report", f"WITH t AS ({_TEXELS}) SELECT face, count(*) AS texels, {R.s9('avg((q <= 10)::INT)')} AS projected, {R.s9('avg((q > 10 AND q <= 25)::INT)')} AS completed, {R.s9('avg((q > 25)::INT)')} AS uncolored FROM t GROUP BY face")
+def _(spark, d):
+    """Lineitem rows as texels of five faces, coloured by small quantities: how far each face can be trusted."""
+    from orthant.operators import texture
+
+    rows = views.table(spark, d, "lineitem").groupBy((F.col("l_linenumber") % 5).cast("int").alias("face"), (F.col("l_partkey") % 30).cast("int").alias("px"), (F.col("l_orderkey") % 20).cast("int").alias("py")).agg(F.min("l_quantity").alias("q"))
+    texels = rows.where("q <= 25").select("face", "px", "py", F.when(F.col("q") <= 10, "observed").otherwise("completed").alias("state"), F.col("q").cast("double").alias("depth"))
+    found = texture.face_report(rows.select("face", "px", "py"), texels)
+    return found.select("face", "texels", *[r9(c).alias(c) for c in ("projected", "completed", "uncolored")])
+
+
+@register("face_polygons", f"WITH {_exposed_sql('o.box_id < b.box_id')} SELECT box_id, side, {s9('area')} AS area FROM e WHERE area > 1e-9", "v_bounds")
+def _(spark, d):
+    """What is drawn of each side of the labels' bounds, in the plane of the side and against the clock."""
+    from orthant.operators import texture
+
+    boxes = _label_boxes(spark, d)
+    found = texture.face_polygons(mesh.exposed_polygons(boxes, earlier_only=True), S.box_faces(mesh.flat_boxes(boxes)))
+    corner = lambda i: F.get("uv", i)
+    n = F.size("uv")
+    twice = F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), lambda i: corner(i)["u"] * corner((i + 1) % n)["v"] - corner((i + 1) % n)["u"] * corner(i)["v"]), F.lit(0.0), lambda s, t: s + t)
+    return found.groupBy("box_id", "side").agg(r9(F.sum(twice / 2.0)).alias("area"))
+
+
+@register("texture_report")
+def _(spark, d):
+    """The bake of the labels' bounds from all vectors: how much of each face is drawn, observed, completed and open."""
+    from orthant.plans.bake import bake_model
+
+    boxes = [{"center": r["center"], "dimensions": r["dimensions"], "rotation": r["rotation"]} for r in _label_boxes(spark, d).orderBy("box_id").collect()]  # one a label
+    shade = lambda c: (F.col(c) / 2.0 + 0.5).alias(dict(zip("xyz", "rgb"))[c])
+    cloud = views.embedding_cloud(spark, d).select("id", "x", "y", "z", *[shade(c) for c in "xyz"], F.lit(1.0).alias("opacity"))
+    model = bake_model(cloud, boxes, 0.02, atlas_size=256)
+    rows = [(f["box"], f["side"], f["texels"], f["area"], f["projected"], f["completed"], f["uncolored"]) for f in model.report["faces"]]  # six a label
+    return spark.createDataFrame(rows, "box_id int, side int, texels long, area double, projected double, completed double, uncolored double")

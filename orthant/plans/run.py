@@ -13,17 +13,17 @@ import sys
 import time
 from datetime import datetime, timezone
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orthant import __version__
 from orthant.functions.config import FitSettings
-from orthant.operators import mesh, texture
-from orthant.operators.spatial import nearest_spacing
+from orthant.operators import mesh, normals
+from orthant.plans.bake import bake_model
 from orthant.plans.fit import CoverageNotReachedError, Fit, fit_cuboids, gates
 from orthant.sources import export
 from orthant.sources.ply import clean_cloud, read_ply
+from orthant.storage import materialize
 
 #: Settings that a resumed run may change.
 RUNTIME = ("max_cuboids", "target_coverage", "target_surface_support", "target_component_coverage")
@@ -41,6 +41,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--source-up", default="-y")
     p.add_argument("--units-per-meter", type=float, default=1.0)
     p.add_argument("--no-texture", action="store_true")
+    p.add_argument("--diagnostics", action="store_true", help="also write normals, edge scores, regions and edge lines as Parquet")
     for f in dataclasses.fields(FitSettings):
         kind = float if f.name == "tolerance" else type(f.default)
         p.add_argument("--" + f.name.replace("_", "-"), type=kind, default=f.default)
@@ -96,35 +97,57 @@ def _signature(digest: str, settings: FitSettings, args: argparse.Namespace) ->
 
 
 def write_results(folder: str, cloud: DataFrame, boxes: list[dict], tolerance: float, args: argparse.Namespace) -> dict:
-    """Meshes, and unless switched off the texture, GLB and viewer."""
-    spark = cloud.sparkSession
+    """Boxes as Parquet, meshes, and unless switched off the atlas with its twin and report, textured OBJ, GLB and viewer."""
     export.write_obj(folder, boxes)
     export.write_mesh_ply(f"{folder}/cuboids.ply", boxes)
+    mesh.boxes_table(cloud.sparkSession, boxes).coalesce(1).write.parquet(f"{folder}/boxes.parquet")
     if args.no_texture or not boxes:
         return {"textured": False}
-    table = mesh.boxes_table(spark, boxes)
-    polygons: dict[tuple[int, int], list[np.ndarray]] = {}
-    for r in mesh.exposed_polygons(table, earlier_only=True).orderBy("box_id", "side", "part").collect():  # fragments of committed boxes
-        polygons.setdefault((r["box_id"], r["side"]), []).append(np.array(r["polygon"]))
-    from orthant.functions.scalar import box_faces
-
-    faces = [r for r in box_faces(mesh.flat_boxes(table)).orderBy("box_id", "side").collect() if (r["box_id"], r["side"]) in polygons]
-    rects = texture.pack_atlas([(r["width"], r["height"]) for r in faces], args.atlas_size)
-    rows = [(f["box_id"], f["side"], i, w, h) for i, (f, (_, _, w, h)) in enumerate(zip(faces, rects))]
-    rect_table = spark.createDataFrame(rows, "box_id int, side int, face int, tw int, th int")
-    donors = nearest_spacing(cloud).select("id", "x", "y", "z", "r", "g", "b", "opacity", "spacing")
-    image, support = texture.atlas_image(texture.bake(donors, table, rect_table, tolerance), rects, args.atlas_size)
-    picture = export.png(image)
+    model = bake_model(cloud, boxes, tolerance, atlas_size=args.atlas_size)
+    picture = export.png(model.image())
     export.write_atomic(f"{folder}/atlas.png", picture)
+    export.write_atomic(f"{folder}/confidence.png", export.png(model.confidence()))
+    export.write_json(f"{folder}/texture_report.json", model.report)
     drawn: dict[int, list] = {}
-    for f, (x, y, w, h) in zip(faces, rects):
-        for p in polygons[(f["box_id"], f["side"])]:
-            d = p - np.array(f["origin"])
-            u, v = d @ np.array(f["u"]) / f["width"], d @ np.array(f["v"]) / f["height"]
-            drawn.setdefault(f["box_id"], []).append((p, np.stack(((x + u * w) / args.atlas_size, (y + v * h) / args.atlas_size), axis=1)))
+    for f in model.faces:
+        drawn.setdefault(f.box, []).extend((f.in_space(p), f.in_atlas(p, args.atlas_size)) for p in f.parts)
+    export.write_textured_obj(folder, boxes, drawn, "atlas.png")
     export.write_atomic(f"{folder}/cuboids.glb", export.glb(boxes, drawn, picture, args.source_up, args.units_per_meter))
     export.write_atomic(f"{folder}/viewer.html", export.viewer(boxes, {k: [p for p, _ in v] for k, v in drawn.items()}).encode())
-    return {"textured": True, "texture_support": support, "faces": len(faces)}
+    return {"textured": True, "texture_support": model.report["supported_area_fraction"], "completed": model.report["completed_area_fraction"], "uncolored": model.report["uncolored_area_fraction"], "faces": len(model.faces)}
+
+
+def population(cloud: DataFrame) -> dict:
+    """Number of retained points and the sum of their hashes, whatever their order."""
+    row = cloud.agg(F.count("*").alias("n"), F.sum(F.xxhash64("id", "x", "y", "z").cast("decimal(20,0)")).alias("hashes")).first()
+    return {"points": row["n"], "hashes": str(row["hashes"] or 0)}
+
+
+def write_diagnostics(folder: str, cloud: DataFrame) -> None:
+    """Parquet tables of what the segmentation saw: ``positions`` (normal, edge score, region) and ``edge_lines``."""
+    places, edges = normals.neighbourhoods(cloud)
+    shape = materialize(normals.local_geometry(places, edges), "shape")
+    scores = materialize(normals.edge_scores(shape, edges), "scores")
+    scored = places.select("id", "x", "y", "z").join(shape.select("id", "normal", "spacing", "valid"), "id").join(scores, "id", "left")
+    spacing = shape.agg(F.median("spacing")).first()[0] or 0.0
+    edge_places = scored.where(F.col("score") >= 60.0).select("id", "x", "y", "z", "score")
+    lines, _ = normals.edge_lines(edge_places, 1.5 * spacing)
+    lines = materialize(lines, "lines")
+    regions = normals.segment_surfaces(places, shape, edges, barriers=lines)
+    scored.join(regions.select("id", "region"), "id").write.parquet(f"{folder}/diagnostics/positions")
+    lines.write.parquet(f"{folder}/diagnostics/edge_lines")
+
+
+class Log:
+    """What a run prints, kept in its folder as well."""
+
+    def __init__(self, folder: str):
+        self.path = f"{folder}/run.log"
+
+    def __call__(self, text: str) -> None:
+        print(text, flush=True)
+        with open(self.path, "a") as f:
+            f.write(text + "\n")
 
 
 def run(args: argparse.Namespace, spark: SparkSession | None = None) -> int:
@@ -138,14 +161,22 @@ def run(args: argparse.Namespace, spark: SparkSession | None = None) -> int:
     signature = _signature(digest, settings, args)
     began = time.time()
     cloud = clean_cloud(read_ply(spark, args.ply), args.min_opacity, args.outlier_distance_factor)
-    report: dict = {"engine": __version__, "started_utc": datetime.now(timezone.utc).isoformat(), "settings": dataclasses.asdict(settings), "input_sha256": digest}
+    report: dict = {"engine": __version__, "started_utc": datetime.now(timezone.utc).isoformat(), "settings": dataclasses.asdict(settings), "input_sha256": digest, "population": population(cloud)}
     code = 0
-    if args.rebake:
-        boxes = read_checkpoint(args.rebake, None)
-        with open(f"{args.rebake}/report.json") as f:
+
+    def same_points(folder: str) -> dict:
+        """An earlier run's report, if its cuboids were fitted to the points that are retained now."""
+        with open(f"{folder}/report.json") as f:
             old = json.load(f)
         if old["input_sha256"] != digest:
             raise ValueError("the cloud is not the one that the cuboids were fitted to")
+        if old.get("population", report["population"]) != report["population"]:
+            raise ValueError("the retained points are not those that the cuboids were fitted to")
+        return old
+
+    if args.rebake:
+        boxes = read_checkpoint(args.rebake, None)
+        old = same_points(args.rebake)
         os.makedirs(args.output)
         report |= {k: old[k] for k in ("settings", "stopping_reason", "gates", "curve", "tolerance")} | {"rebaked": True}
         code = 0 if old["gates"]["target_reached"] else 3
@@ -153,13 +184,15 @@ def run(args: argparse.Namespace, spark: SparkSession | None = None) -> int:
         Checkpoint(args.output, signature).save(boxes)
     else:
         committed = read_checkpoint(args.resume, signature) if args.resume else []
+        if args.resume and os.path.exists(f"{args.resume}/report.json"):
+            same_points(args.resume)
         if len(committed) > settings.max_cuboids:
             raise ValueError("the kept cuboids exceed --max-cuboids")
         os.makedirs(args.output)
         slots = Checkpoint(args.output, signature)
         slots.save(committed)
         try:
-            fit: Fit = fit_cuboids(cloud, settings, committed=committed, on_commit=slots.save, progress=lambda text: print(text, flush=True))
+            fit: Fit = fit_cuboids(cloud, settings, committed=committed, on_commit=slots.save, progress=Log(args.output))
         except CoverageNotReachedError as error:
             export.write_json(f"{args.output}/report.json", report | {"stopping_reason": str(error), "gates": {"target_reached": False}, "curve": [], "tolerance": 0.0})
             return 3
@@ -172,6 +205,8 @@ def run(args: argparse.Namespace, spark: SparkSession | None = None) -> int:
         code = 0 if found["target_reached"] else 3
     report["cuboids"] = [export.pack_box(b) for b in boxes]
     report["texture"] = write_results(args.output, cloud, boxes, tolerance, args)
+    if args.diagnostics:
+        write_diagnostics(args.output, cloud)
     if export.file_digest(args.ply) != digest:
         raise ValueError("the input changed during the run")
     report["seconds"] = time.time() - began

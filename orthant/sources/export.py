@@ -65,6 +65,20 @@ def write_obj(folder: str, boxes: Sequence[dict], name: str = "cuboids") -> None
     write_atomic(f"{folder}/{name}.mtl", ("\n".join(material) + "\n").encode())
 
 
+def write_textured_obj(folder: str, boxes: Sequence[dict], polygons: dict[int, list[tuple[np.ndarray, np.ndarray]]], image: str, name: str = "textured") -> None:
+    """What is drawn of each box as polygons of their own, with their places in ``image``; v runs upwards in this format."""
+    lines, n = [f"mtllib {name}.mtl"], 0
+    for i in range(len(boxes)):
+        lines += [f"o cuboid_{i}", "usemtl atlas"]
+        for p, t in polygons.get(i, []):
+            lines += ["v " + " ".join(f"{v:.17g}" for v in q) for q in p]
+            lines += [f"vt {u:.17g} {1 - v:.17g}" for u, v in t]
+            lines.append("f " + " ".join(f"{n + k}/{n + k}" for k in range(1, len(p) + 1)))
+            n += len(p)
+    write_atomic(f"{folder}/{name}.obj", ("\n".join(lines) + "\n").encode())
+    write_atomic(f"{folder}/{name}.mtl", f"newmtl atlas\nKd 1 1 1\nmap_Kd {image}\n".encode())
+
+
 def write_mesh_ply(path: str, boxes: Sequence[dict]) -> None:
     head = f"ply\nformat binary_little_endian 1.0\nelement vertex {8 * len(boxes)}\nproperty double x\nproperty double y\nproperty double z\nproperty uchar red\nproperty uchar green\nproperty uchar blue\nelement face {6 * len(boxes)}\nproperty list uchar int vertex_indices\nend_header\n"
     body = bytearray(head.encode())
