@@ -101,18 +101,25 @@ def spatial_representatives(points: DataFrame, width: float, origin: Sequence[fl
 
 
 def representatives_within(points: DataFrame, maximum: int, id_column: str = "id", rounds: int = 40) -> DataFrame:
-    """Representatives of the finest cells that give at most ``maximum`` of them, by bisection on the width."""
+    """Representatives of the finest cells that give at most ``maximum`` of them, by bisection on the width.
+
+    Where there are no more positions than that, each gets one, however many
+    rows repeat it; positions closer than 1 / 2**40 of the extent may share one.
+    """
     bounds = points.agg(*[F.min(a).alias(f"l{a}") for a in "xyz"], *[F.max(a).alias(f"h{a}") for a in "xyz"], F.count("*").alias("n")).first()
     origin = [bounds[f"l{a}"] for a in "xyz"]
     if not bounds["n"]:
         return points.select(id_column)
     extent = max(bounds[f"h{a}"] - bounds[f"l{a}"] for a in "xyz") or 1.0
+    places = points.select(*[(F.col(a) + 0.0).alias(a) for a in "xyz"]).distinct().count()
     low, high = 0.0, extent * 2
     for _ in range(rounds):
         middle = high / 8 if low == 0 else (low + high) / 2
         cells = with_cells(points, middle, origin).select(*CELL).distinct().count()
         low, high = (middle, high) if cells > maximum else (low, middle)
-        if cells <= maximum and (cells >= 0.95 * maximum or cells == bounds["n"]):
+        if cells <= maximum and (cells >= 0.95 * maximum or cells == places):
+            break
+        if high <= extent * 2.0**-40:  # finer cells have no whole numbers
             break
     return spatial_representatives(points, high, origin, id_column).select(id_column)
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orthant.operators import mesh, texture
+from orthant.operators import cells, mesh, texture
 from orthant.plans import run
 from orthant.plans.bake import bake_model
 from orthant.sources import export, views
@@ -98,6 +98,14 @@ def test_population_ignores_order_and_sees_changes(spark):
     assert run.population(cloud.where("id < 0")) == {"points": 0, "hashes": "0"}
 
 
+def test_representatives_of_repeated_and_close_positions(spark):
+    rows = [(i, float(i % 5), 0.0, 1e-280 * (i % 2)) for i in range(60)]
+    found = cells.representatives_within(spark.createDataFrame(rows, "id long, x double, y double, z double"), 100)
+    assert found.count() == 5
+    same = spark.createDataFrame([(i, 1.0, 2.0, 3.0) for i in range(9)], "id long, x double, y double, z double")
+    assert [r["id"] for r in cells.representatives_within(same, 4).collect()] == [0]
+
+
 def test_diagnostics_are_tables(spark, tmp_path):
     run.write_diagnostics(str(tmp_path), views.sheet(spark, 12))
     rows = spark.read.parquet(str(tmp_path / "diagnostics" / "positions"))
