@@ -149,12 +149,13 @@ def _(spark, d):
 
 @register("greedy_cover")
 def _(spark, d):
-    """Boxes of a fit of the part cloud, its odd keys raised to a second layer."""
+    """Boxes of a fit of all lineitems for coverage alone: a lattice of quantities and discounts, returned items in a layer of their own."""
     from orthant.functions.config import FitSettings
     from orthant.plans.fit import fit_cuboids
 
-    cloud = views.part_cloud(spark, d).withColumn("z", (F.col("id") % 2) * 2.0)
-    fit = fit_cuboids(cloud, FitSettings(resolution=16, max_cuboids=4))
+    layer = F.when(F.col("l_returnflag") == "R", 0.5).otherwise(0.0)
+    cloud = views.table(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), (F.col("l_quantity") / 50.0).alias("x"), (F.col("l_discount") * 2.0).alias("y"), layer.alias("z"))
+    fit = fit_cuboids(cloud, FitSettings(resolution=16, max_cuboids=2, target_surface_support=0.0))
     return mesh.boxes_table(spark, fit.boxes).select("box_id", *[r9(F.col("dimensions")[i]).alias(f"d{i}") for i in range(3)])
 
 
