@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orthant.functions.scalar import FACE_CORNERS
-from orthant.operators.spatial import nearest_neighbors
+from orthant.operators.cells import distinct_positions
+from orthant.operators.spatial import TASK_PAIRS, nearest_within
 from orthant.storage import materialize
 
 
@@ -153,18 +154,24 @@ def support_bounds(mesh: DataFrame, points: DataFrame, tolerance: float, *, targ
     if total == 0:
         return {"lower": 0.0, "upper": 1.0, "levels": 0, "area": 0.0}
     level = materialize(mesh.where("area > 0").select("a", "b", "c", "area"), "level")
+    points = materialize(distinct_positions(points).select(F.col("first_id").alias("id"), "x", "y", "z"), "positions")
+    ends = points.agg(F.count("*").alias("n"), *[(F.max(a) - F.min(a)).alias(a) for a in "xyz"]).first()
     yes = no = 0.0
     for step in range(depth + 1):
         centre = [(F.col("a")[i] + F.col("b")[i] + F.col("c")[i]) / 3.0 for i in range(3)]
         own = materialize(level.withColumn("id", F.xxhash64("a", "b", "c")).select("*", *[c.alias(x) for c, x in zip(centre, "xyz")]), "level")
-        near = nearest_neighbors(own.select("id", "x", "y", "z").distinct(), points, 1).select("id", "d", F.col("other_id"))
-        at = points.select(F.col("id").alias("other_id"), *[F.col(x).alias("p" + x) for x in "xyz"])
-        far = lambda v, w: F.sqrt(sum(((F.col(v)[i] - (F.col(w)[i] if isinstance(w, str) else w[i])) * (F.col(v)[i] - (F.col(w)[i] if isinstance(w, str) else w[i])) for i in range(1, 3)), (F.col(v)[0] - (F.col(w)[0] if isinstance(w, str) else w[0])) * (F.col(v)[0] - (F.col(w)[0] if isinstance(w, str) else w[0]))))
-        place, middle = [F.col("p" + x) for x in "xyz"], [F.col(x) for x in "xyz"]
+        middle = [F.col(x) for x in "xyz"]
+        far = lambda v, w: F.sqrt(sum(((F.col(v)[i] - w[i]) * (F.col(v)[i] - w[i]) for i in range(1, 3)), (F.col(v)[0] - w[0]) * (F.col(v)[0] - w[0])))
         radius = F.greatest(*[far(v, middle) for v in "abc"])
+        asks = own.agg(F.count("*").alias("n"), F.max(radius).alias("radius")).first()
+        # What is farther from a centroid than this leaves its triangle without support, wherever it is.
+        within = (asks["radius"] + tolerance + slack) * (1 + 1e-9)
+        share = np.prod([min(1.0, 3 * within / ends[a]) if ends[a] else 1.0 for a in "xyz"])
+        near = nearest_within(own.select("id", "x", "y", "z").distinct(), points, within, 1 + int(asks["n"] * ends["n"] * share // (4 * TASK_PAIRS)))
+        place = [F.col("o" + x) for x in "xyz"]
         reach = F.greatest(*[far(v, place) for v in "abc"])
-        state = F.when(F.least(F.col("d") + radius, reach) + slack <= tolerance, 1).when(F.col("d") - radius - slack > tolerance, 0)
-        judged = materialize(own.join(near, "id").join(at, "other_id").select("a", "b", "c", "area", state.alias("state")), "judged")
+        state = F.when(F.least(F.col("d") + radius, reach) + slack <= tolerance, 1).when(F.col("d").isNull() | (F.col("d") - radius - slack > tolerance), 0)
+        judged = materialize(own.join(near, "id", "left").select("a", "b", "c", "area", state.alias("state")), "judged")
         sums = {r["state"]: r["s"] for r in judged.groupBy("state").agg(F.sum("area").alias("s")).collect()}  # three rows
         yes, no = yes + sums.get(1, 0.0), no + sums.get(0, 0.0)
         lower, upper = min(1.0, yes / total), max(0.0, 1.0 - no / total)

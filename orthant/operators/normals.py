@@ -50,7 +50,7 @@ def eigen(rows: DataFrame, keys: list[str]) -> DataFrame:
 def neighbourhoods(points: DataFrame, k: int = 30) -> tuple[DataFrame, DataFrame]:
     """Distinct positions, and their edges to neighbours (``id, rank, other_id, d``)."""
     places = materialize(distinct_positions(points).withColumnRenamed("first_id", "id"), "positions")
-    return places, materialize(nearest_neighbors(places, places, k, exclude_self=True), "edges")
+    return places, materialize(nearest_neighbors(places, places, k, exclude_self=True, places=True), "edges")
 
 
 def local_geometry(places: DataFrame, edges: DataFrame, *, radius_factor: float = 6.0, minimum: int = 8) -> DataFrame:

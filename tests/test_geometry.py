@@ -291,3 +291,64 @@ def test_large_triangles_are_sampled_in_blocks(spark):
     tri = spark.createDataFrame([(1, 0, [0.0, 0.0, 0.0], [2.0, 0.0, 0.0], [0.0, 2.0, 0.0], 2.0)], "tri_id long, box_id int, a array<double>, b array<double>, c array<double>, area double")
     plain, blocks = (mesh.surface_samples(tri, 0.1, block=b).select("k", "x", "y", "area").orderBy("k").collect() for b in (4096, 7))
     assert plain == blocks and [r["k"] for r in plain] == list(range(200)) and sum(r["area"] for r in plain) == pytest.approx(2)
+
+
+def test_nearest_within_against_all_pairs(spark):
+    from orthant.operators.spatial import nearest_within
+
+    rng = np.random.default_rng(31)
+    p, q = rng.uniform(-1, 1, (300, 3)), rng.uniform(-2, 2, (120, 3))
+    far = np.linalg.norm(q[:, None] - p[None], axis=2)
+    got = {r["id"]: (r["other_id"], r["d"]) for r in nearest_within(cloud(spark, q), cloud(spark, p), 0.4, 3).collect()}
+    assert set(got) == set(np.flatnonzero(far.min(axis=1) <= 0.4).tolist()) and 0 < len(got) < 120
+    assert all(other == far[i].argmin() and abs(d - far[i].min()) < 1e-12 for i, (other, d) in got.items())
+
+
+def test_support_bounds_take_no_round_for_far_triangles(spark, monkeypatch):
+    def no_search(*_, **__):
+        raise AssertionError("a triangle far from all points needs no widening search")
+
+    monkeypatch.setattr(mesh, "nearest_neighbors", no_search, raising=False)
+    tri = spark.createDataFrame([([0.0, 0.0, 0.0], [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], 0.5), ([900.0, 0.0, 0.0], [901.0, 0.0, 0.0], [900.0, 1.0, 0.0], 0.5)], "a array<double>, b array<double>, c array<double>, area double")
+    found = mesh.support_bounds(tri, cloud(spark, [(0.3, 0.3, 0.0)]), 2.0)
+    assert found["lower"] == found["upper"] == 0.5 and found["levels"] == 1
+
+
+def test_neighbours_of_many_copies_meet_few_of_them(spark):
+    from orthant.operators import spatial
+
+    rng = np.random.default_rng(32)
+    places = rng.uniform(0, 1, (12, 3))
+    p = np.repeat(places, 40, axis=0)
+    kept = spatial._first_of_each(cloud(spark, p), 4)
+    assert kept.count() == 12 * 4
+    for own in (False, True):
+        got = {(r["id"], r["rank"]): r["other_id"] for r in spatial.nearest_neighbors(cloud(spark, p), cloud(spark, p), 3, exclude_self=own).collect()}
+        d = np.linalg.norm(p[:, None] - p[None], axis=2)
+        if own:
+            np.fill_diagonal(d, np.inf)
+        order = np.argsort(d, axis=1, kind="stable")[:, :3]
+        assert got == {(i, r + 1): int(order[i, r]) for i in range(len(p)) for r in range(3)}
+
+
+def test_a_neighbour_search_is_dealt_over_tasks(spark, monkeypatch):
+    from orthant.operators import spatial
+
+    plans = []
+    written = spatial.materialize
+    monkeypatch.setattr(spatial, "TASK_PAIRS", 1000)
+    monkeypatch.setattr(spatial, "materialize", lambda df, name="step": (plans.append((name, df._jdf.queryExecution().sparkPlan().toString())), written(df, name))[1])
+    p = np.random.default_rng(33).uniform(0, 1, (200, 3))
+    assert spatial.nearest_neighbors(cloud(spark, p), cloud(spark, p), 5, exclude_self=True, places=True).count() == 1000
+    first = next(plan for name, plan in plans if name == "nearest")
+    assert "Broadcast" not in first and "20), REPARTITION_BY_NUM" in first
+
+
+def test_transferred_normals_send_no_table_through_the_driver(spark):
+    from orthant.operators import objective
+
+    p = np.repeat(np.random.default_rng(34).uniform(0, 1, (30, 3)), 5, axis=0)
+    donors = cloud(spark, p).withColumn("normal", F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0))).withColumn("spacing", F.lit(0.5))
+    found = objective.transfer_normals(cloud(spark, p), donors)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().sparkPlan().toString()
+    assert found.count() == 150
