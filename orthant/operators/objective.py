@@ -176,8 +176,9 @@ def transfer_normals(points: DataFrame, donors: DataFrame, *, k: int = 8, reach:
 
     near = nearest_neighbors(points, donors, k)
     given = donors.select(F.col("id").alias("other_id"), *[F.col(a).alias("d" + a) for a in "xyz"], "normal", "spacing")
-    rows = near.join(given, "other_id").join(points.select("id", "x", "y", "z"), "id")
-    first = rows.where("rank = 1").select("id", F.col("normal").alias("first"))
+    # Copies make small files of many rows, so no side of these joins may go through the driver by the size of its files.
+    rows = near.hint("merge").join(given, "other_id").hint("merge").join(points.select("id", "x", "y", "z"), "id")
+    first = rows.where("rank = 1").select("id", F.col("normal").alias("first")).hint("merge")
     n = [F.col("normal")[i] for i in range(3)]
     off = F.abs(sum(((F.col(a) - F.col("d" + a)) * n[i] for i, a in enumerate("yz", 1)), (F.col("x") - F.col("dx")) * n[0]))
     rows = rows.where((F.col("d") <= reach * F.col("spacing")) & (off <= residual * F.col("spacing"))).join(first, "id")
