@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from orthant.functions.scalar import Box, exterior_cost
 from orthant.operators import mesh
 from orthant.operators.spatial import BROADCAST_BOXES, nearest_neighbors, nearest_triangle
+from orthant.storage import materialize
 
 
 def _named(boxes: DataFrame, prefix: str) -> DataFrame:
@@ -130,8 +131,11 @@ def reverse_error(samples: DataFrame, points: DataFrame, tolerance: float, refer
 
 def distance_metrics(points: DataFrame, distance: Column, weight: str = "weight") -> DataFrame:
     """Mean, RMS and quantiles of a distance, by rows and by weight, in one row."""
-    w = F.col(weight)
-    part = F.percentile(distance, F.array(*[F.lit(q) for q in (0.5, 0.9, 0.95, 0.99, 1.0)]))
+    from orthant.operators.windows import exact_quantiles
+
+    points = materialize(points.select(distance.alias("far"), weight), "distances")
+    w, distance = F.col(weight), F.col("far")
+    part = F.array(*[F.lit(q).cast("double") for q in exact_quantiles(points, "far", (0.5, 0.9, 0.95, 0.99, 1.0))])
     rows = points.agg(
         F.count("*").alias("n"), F.avg(distance).alias("mean"), F.sqrt(F.avg(distance * distance)).alias("rms"),
         (F.sum(w * distance) / F.sum(w)).alias("weighted_mean"), F.sqrt(F.sum(w * distance * distance) / F.sum(w)).alias("weighted_rms"), part.alias("q"),

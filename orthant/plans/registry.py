@@ -234,7 +234,8 @@ def _(spark, d):
 
 @register("median_spacing", f"WITH p AS ({_PAIRS} v_emb a JOIN v_emb b ON a.id <> b.id), m AS (SELECT id, min(d) AS d FROM p GROUP BY id) SELECT {s9('median(d)')} AS spacing FROM m", "v_emb")
 def _(spark, d):
-    return spatial.nearest_spacing(_emb(spark, d)).agg(r9(F.median("spacing")).alias("spacing"))
+    found = windows.exact_quantiles(spatial.nearest_spacing(_emb(spark, d)), "spacing", (0.5,))
+    return spark.createDataFrame([tuple(found)], "spacing double").select(r9("spacing").alias("spacing"))
 
 
 @register(
@@ -340,8 +341,9 @@ def _(spark, d):
 
 @register("quantiles", "SELECT " + ", ".join(f"{s9(f'quantile_cont(y, {q})')} AS q{int(q * 100)}" for q in (0.5, 0.9, 0.95, 0.99, 1.0)) + " FROM v_line", "v_line")
 def _(spark, d):
-    part = F.percentile("y", F.array(*[F.lit(q) for q in (0.5, 0.9, 0.95, 0.99, 1.0)])).alias("q")
-    return _line(spark, d).agg(part).select(*[r9(F.col("q")[i]).alias(n) for i, n in enumerate(("q50", "q90", "q95", "q99", "q100"))])
+    names = ("q50", "q90", "q95", "q99", "q100")
+    found = windows.exact_quantiles(_line(spark, d), "y", (0.5, 0.9, 0.95, 0.99, 1.0))
+    return spark.createDataFrame([tuple(found)], ", ".join(f"{n} double" for n in names)).select(*[r9(n).alias(n) for n in names])
 
 
 @register("rms_weighted", f"SELECT label, {s9('sqrt(avg(x * x))')} AS rms, {s9('sum(abs(y) * x) / sum(abs(y))')} AS wmean, {s9('sqrt(sum(abs(y) * x * x) / sum(abs(y)))')} AS wrms FROM v_emb GROUP BY label", "v_emb")

@@ -352,3 +352,17 @@ def test_transferred_normals_send_no_table_through_the_driver(spark):
     found = objective.transfer_normals(cloud(spark, p), donors)
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().sparkPlan().toString()
     assert found.count() == 150
+
+
+def test_exact_quantiles_order_only_what_lies_around_the_ranks(spark, monkeypatch):
+    def whole(*_, **__):
+        raise AssertionError("percentile gathers all values in one task")
+
+    monkeypatch.setattr(F, "percentile", whole)
+    rng = np.random.default_rng(35)
+    shares = (0.0, 0.37, 0.5, 0.95, 1.0)
+    for values in (rng.normal(size=4001), np.round(rng.normal(size=900)), np.array([3.0]), np.array([1.0, 1e300, -1e300])):
+        rows = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+        for accuracy in (10_000, 50):
+            assert np.allclose(windows.exact_quantiles(rows, "v", shares, accuracy), np.quantile(values, shares), rtol=1e-12, atol=1e-12)
+    assert windows.exact_quantiles(rows.where("v > 1e301"), "v", (0.5,)) == [None]
