@@ -32,6 +32,8 @@ from orthant.storage import materialize
 
 _UNSET = U64(0xFFFFFFFFFFFFFFFF)
 _DIGESTS = (0x51ED270B, 0x2545F491)
+#: Bytes of text that a worker hashes at a time; what it holds for them is some twenty times as much.
+_RUN = 1_500_000
 
 
 def superminhash(elements: np.ndarray, ptr: np.ndarray, size: int) -> np.ndarray:
@@ -48,7 +50,7 @@ def superminhash(elements: np.ndarray, ptr: np.ndarray, size: int) -> np.ndarray
     counts = np.diff(ptr)
     first = 0
     while first < n:
-        last = max(first + 1, int(np.searchsorted(ptr, ptr[first] + 65536, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(ptr, ptr[first] + 32768, "right")) - 1)
         own = out[first:last]
         hashes = elements[ptr[first] : ptr[last]]
         row = np.repeat(np.arange(last - first), counts[first:last])
@@ -98,7 +100,7 @@ def _fold(values: np.ndarray, ptr: np.ndarray) -> np.ndarray:
 
 def _signed(batches: Iterator[pa.RecordBatch], width: int, rows: int, bands: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", _RUN):
             sets, ptr = _sets(part.column("text"), width)
             signature = superminhash(sets, ptr, rows * bands).reshape(-1, bands, rows)
             with np.errstate(over="ignore"):
@@ -175,7 +177,7 @@ def _full_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, seen = None, set()  # rows of an id follow one another
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", _RUN):
                 sets, ptr = _sets(part.column("text"), width)
                 digest = _fold(mix(sets + U64(_DIGESTS[0])), ptr)
                 keep = []
