@@ -36,17 +36,19 @@ def cell_counts(points: DataFrame, width: float, origin: Sequence[float] | None
     return with_cells(points, width, origin).groupBy(*CELL).agg(F.count("*").alias("n"))
 
 
-def spatial_weights(points: DataFrame, width: float) -> DataFrame:
+def spatial_weights(points: DataFrame, width: float, rows: str | None = None) -> DataFrame:
     """Add ``weight``: one over the rows of the point's cell, scaled to a mean of 1.
 
     The mean of 1/n over all rows is the number of cells over the number of
-    rows, so two counts replace a second pass over the points.
+    rows, so two counts replace a second pass over the points. Where ``rows``
+    names a column, a point stands for so many rows and has the weight of all.
     """
     celled = with_cells(points, width)
-    counts = celled.groupBy(*CELL).agg(F.count("*").alias("cell_n"))
+    counts = celled.groupBy(*CELL).agg((F.sum(rows) if rows else F.count("*")).alias("cell_n"))
     total = F.broadcast(counts.agg(F.sum("cell_n").alias("rows_n"), F.count("*").alias("cells_n")))  # one row
     out = celled.join(counts, list(CELL)).join(total)
-    return out.withColumn("weight", (F.col("rows_n") / F.col("cells_n")) / F.col("cell_n")).drop("cell_n", "rows_n", "cells_n")
+    weight = (F.col("rows_n") / F.col("cells_n")) / F.col("cell_n")
+    return out.withColumn("weight", weight * F.col(rows) if rows else weight).drop("cell_n", "rows_n", "cells_n")
 
 
 def half_offsets(reach: int = 1, dimensions: int = 3, most: int | None = None) -> list[tuple[int, ...]]:

@@ -22,10 +22,15 @@ _PAIRS = [(i, j) for i in range(3) for j in range(i, 3)]
 _SEGMENTS = "seg_id int, a array<double>, b array<double>, n long, rmse double, gap double, score double"
 
 
-def moments(rows: DataFrame, keys: list[str], values: tuple[str, str, str] = ("x", "y", "z")) -> DataFrame:
-    """``n`` and the covariance ``c00 .. c22`` of each group: nine sums that combine map-side."""
-    cov = [(F.avg(F.col(values[i]) * F.col(values[j])) - F.avg(values[i]) * F.avg(values[j])).alias(f"c{i}{j}") for i, j in _PAIRS]
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), *cov)
+def moments(rows: DataFrame, keys: list[str], values: tuple[str, str, str] = ("x", "y", "z"), counts: str | None = None) -> DataFrame:
+    """``n`` and the covariance ``c00 .. c22`` of each group: nine sums that combine map-side.
+
+    Where ``counts`` names a column, each row stands for so many.
+    """
+    mean = (lambda c: F.sum(c * F.col(counts)) / F.sum(counts)) if counts else F.avg
+    v = [F.col(c) for c in values]
+    cov = [(mean(v[i] * v[j]) - mean(v[i]) * mean(v[j])).alias(f"c{i}{j}") for i, j in _PAIRS]
+    return rows.groupBy(*keys).agg((F.sum(counts) if counts else F.count("*")).alias("n"), *cov)
 
 
 def eigen(rows: DataFrame, keys: list[str]) -> DataFrame:

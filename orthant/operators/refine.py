@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orthant.functions.scalar import AXES
@@ -16,7 +16,8 @@ from orthant.storage import materialize, release
 TRIMS = (0.0, 0.005, 0.02, 0.05)
 FACE_TRIMS = (0.0, 0.01, 0.05)
 TURN_DEGREES = 2.0
-_ACCURACY = 10_000
+#: Bins an interval of values is counted in at a time, how often at most, and the share of the first interval at which values are one.
+BINS, PASSES, FINE = 4096, 4, 1e-9
 
 
 def _turns(rotation: np.ndarray) -> list[np.ndarray]:
@@ -32,24 +33,47 @@ def _turns(rotation: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _quantiles(support: DataFrame, frames: Sequence[tuple[int, np.ndarray]], shares: Sequence[float]) -> list[np.ndarray]:
-    """For each (group, frame) the ``shares`` of the group's points along the frame's axes: shares x 3, or None without points.
+def _quantiles(support: DataFrame, frames: Sequence[tuple[int, np.ndarray]], shares: Sequence[float], within: Sequence[dict]) -> list[np.ndarray]:
+    """For each (group, frame) the ``shares`` of the group's rows along the frame's axes: shares x 3, or None without points.
 
-    The ends are exact, what lies between is right within 1 / 10,000 of the
-    ranks and needs a sketch of bounded size however many points there are.
+    A point counts for its ``rows``; a group's points lie about in the box
+    ``within`` of its number. The rows are counted in bins along each axis,
+    then again within those bins alone that hold a share and several values,
+    so what is ordered at once is bounded however many points there are.
     """
     spark = support.sparkSession
-    rows = [(k, g, *map(float, f.reshape(-1))) for k, (g, f) in enumerate(frames)]
-    table = spark.createDataFrame(rows, "frame int, of int, " + ", ".join(f"f{i}{j} double" for i in range(3) for j in range(3)))
-    along = [F.col("x") * F.col(f"f0{j}") + F.col("y") * F.col(f"f1{j}") + F.col("z") * F.col(f"f2{j}") for j in range(3)]
-    turned = support.join(F.broadcast(table), F.col("group") == F.col("of")).select("frame", *[c.alias(f"u{j}") for j, c in enumerate(along)])
-    inner = [float(s) for s in shares if 0 < s < 1]
-    found = turned.groupBy("frame").agg(
-        *[e for j in range(3) for e in (F.min(f"u{j}").alias(f"l{j}"), F.max(f"u{j}").alias(f"h{j}"), F.percentile_approx(f"u{j}", inner or [0.5], _ACCURACY).alias(f"q{j}"))]
-    )
     out: list = [None] * len(frames)
-    for r in found.collect():  # one row for each proposal and frame
-        out[r["frame"]] = np.array([[r[f"l{j}"] if s <= 0 else r[f"h{j}"] if s >= 1 else r[f"q{j}"][inner.index(s)] for j in range(3)] for s in shares])
+    todo, first = [], {}  # frame, axis, interval and the shares (at first) or ranks asked of it
+    for k, (g, f) in enumerate(frames):
+        middle, half = within[g]["center"] @ f, np.abs(f.T @ within[g]["rotation"]) @ within[g]["dimensions"] / 2
+        for j in range(3):
+            first[k, j] = float(2 * half[j]) or 1.0
+            todo.append((k, j, float(middle[j] - half[j]), float(middle[j] + half[j]), list(enumerate(shares))))
+    for turn in range(PASSES):
+        rows = [(n, frames[k][0], *map(float, frames[k][1][:, j]), low, BINS / (high - low) if high > low else 0.0, high) for n, (k, j, low, high, _) in enumerate(todo)]
+        table = spark.createDataFrame(rows, "n int, of int, f0 double, f1 double, f2 double, low double, scale double, high double")
+        asked = spark.createDataFrame([(n, i, float(v)) for n, t in enumerate(todo) for i, v in t[4]], "n int, share int, asked double")
+        u = F.col("x") * F.col("f0") + F.col("y") * F.col("f1") + F.col("z") * F.col("f2")
+        rows = support.join(F.broadcast(table), F.col("group") == F.col("of")).withColumn("u", u)
+        if turn:
+            rows = rows.where((F.col("u") >= F.col("low")) & (F.col("u") <= F.col("high")))
+        place = F.least(F.greatest(F.floor((F.col("u") - F.col("low")) * F.col("scale")), F.lit(0)), F.lit(BINS - 1))
+        bins = rows.groupBy("n", place.alias("bin")).agg(F.sum("rows").alias("m"), F.min("u").alias("least"), F.max("u").alias("most"))
+        each = Window.partitionBy("n")  # a row for each bin that is not empty
+        bins = bins.withColumns({"upto": F.sum("m").over(each.orderBy("bin")), "total": F.sum("m").over(each)})
+        rank = F.col("asked") if turn else F.least(F.greatest(F.ceil(F.col("asked") * F.col("total")), F.lit(1)), F.col("total"))
+        hit = bins.join(F.broadcast(asked), "n").withColumn("rank", rank).where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("m") < F.col("rank")))
+        left: dict = {}
+        for r in hit.select("n", "share", "least", "most", (F.col("rank") - F.col("upto") + F.col("m")).alias("rank")).collect():  # one row for each share of an interval
+            k, j, i = todo[r["n"]][0], todo[r["n"]][1], r["share"]
+            if out[k] is None:
+                out[k] = np.zeros((len(shares), 3))
+            out[k][i, j] = r["most"] if shares[i] >= 1 else r["least"]
+            if 0 < shares[i] < 1 and r["most"] - r["least"] > FINE * first[k, j]:
+                left.setdefault((k, j, r["least"], r["most"]), []).append((i, r["rank"]))
+        todo = [(*key, ranks) for key, ranks in left.items()]
+        if not todo:
+            break
     return out
 
 
@@ -85,8 +109,9 @@ def refine_boxes(
 ) -> list[tuple[dict, float]]:
     """Each box (``center``, ``dimensions``, ``rotation``, ``kind``) after hill climbing, with its score.
 
-    ``points``: ``x``, ``y``, ``z``, ``weight``, ``field``; those within the
-    tolerance of a proposal's volume are its support. In turn a proposal may be
+    ``points``: ``x``, ``y``, ``z``, ``weight``, ``field``, and ``rows`` where a
+    point stands for several; those within the tolerance of a proposal's volume
+    are its support. In turn a proposal may be
     fitted to its support less a trim of up to 5 %, have any one face moved
     to the support's end or to 1 or 5 % of it (twice), and be turned by two
     degrees about an axis and fitted again. Of a step's trials that ``certify``
@@ -102,9 +127,11 @@ def refine_boxes(
     spark = points.sparkSession
     table = flat_boxes(boxes_table(spark, boxes))
     named = F.broadcast(table.select(F.col("box_id").alias("group"), *[F.col(c).alias("b_" + c) for c in table.columns if c != "box_id"]))  # the proposals of a round
-    support = materialize(points.select("x", "y", "z").join(named, Box("b_").distance() <= tolerance * (1 + 1e-12)).select("group", "x", "y", "z"), "support")
+    rows = F.col("rows") if "rows" in points.columns else F.lit(1).alias("rows")
+    support = materialize(points.select("x", "y", "z", rows).join(named, Box("b_").distance() <= tolerance * (1 + 1e-12)).select("group", "x", "y", "z", "rows"), "support")
     values = scored(points, list(enumerate(boxes)), exterior, tolerance, **options)
     best = list(zip(boxes, values))
+    around = [b | {"dimensions": b["dimensions"] + 2 * tolerance} for b in boxes]
 
     def fitted(g: int, frame: np.ndarray, low: np.ndarray, high: np.ndarray) -> dict:
         return boxes[g] | {"center": frame @ ((low + high) / 2), "dimensions": np.maximum(high - low, least), "rotation": frame.copy()}
@@ -118,14 +145,14 @@ def refine_boxes(
                 best[g] = (box, value)
 
     def fits(frames: list[tuple[int, np.ndarray]]) -> list[tuple[int, dict]]:
-        found = _quantiles(support, frames, [*TRIMS, *(1 - t for t in TRIMS)])
+        found = _quantiles(support, frames, [*TRIMS, *(1 - t for t in TRIMS)], around)
         n = len(TRIMS)
         return [(g, fitted(g, f, q[k], q[n + k])) for (g, f), q in zip(frames, found) if q is not None for k in range(n)]
 
     take(fits([(g, b["rotation"]) for g, b in enumerate(boxes)]))
     for _ in range(2):
         frames = [(g, b["rotation"]) for g, (b, _) in enumerate(best)]
-        found, trials = _quantiles(support, frames, [*FACE_TRIMS, *(1 - t for t in FACE_TRIMS)]), []
+        found, trials = _quantiles(support, frames, [*FACE_TRIMS, *(1 - t for t in FACE_TRIMS)], around), []
         for (g, f), q in zip(frames, found):
             if q is None:
                 continue

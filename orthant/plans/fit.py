@@ -133,7 +133,7 @@ def _reaches(up: np.ndarray, down: np.ndarray) -> list[int]:
 class Prepared:
     """A cloud in unit coordinates with what a fit needs of it."""
 
-    points: DataFrame  # id, x, y, z, weight, component
+    points: DataFrame  # each position once: id (its least), x, y, z, rows, weight (of all its rows), component
     count: int
     low: np.ndarray
     scale: float
@@ -145,16 +145,21 @@ class Prepared:
 
 
 def prepare(cloud: DataFrame, settings: FitSettings, regions: DataFrame | None = None) -> Prepared:
-    """Normalize a cleaned cloud (``id, x, y, z``), weigh it, rebuild its solid and find frames."""
-    cloud = materialize(cloud.select("id", "x", "y", "z"), "cloud")
-    b = cloud.agg(F.count("*").alias("n"), *[F.min(a).alias("l" + a) for a in "xyz"], *[F.max(a).alias("h" + a) for a in "xyz"]).first()
-    if b["n"] < 20:
+    """Normalize a cleaned cloud (``id, x, y, z``), weigh it, rebuild its solid and find frames.
+
+    Of the cloud's rows one for each position goes on, with their number; all
+    counts, weights, moments and quantiles of the fit are those of the rows.
+    """
+    shapes = None if regions is None else normals.region_frames(cloud, regions)
+    cloud = materialize(cells.distinct_positions(cloud).withColumnsRenamed({"first_id": "id", "n": "rows"}), "cloud")
+    b = cloud.agg(F.sum("rows").alias("n"), *[F.min(a).alias("l" + a) for a in "xyz"], *[F.max(a).alias("h" + a) for a in "xyz"]).first()
+    if (b["n"] or 0) < 20:
         raise ValueError("at least 20 points are needed")
     low = np.array([b["l" + a] for a in "xyz"])
     extent = float(max(b["h" + a] - b["l" + a] for a in "xyz")) or 1.0
-    unit = cloud.select("id", *[((F.col(a) - float(o)) / extent).alias(a) for a, o in zip("xyz", low)])
+    unit = cloud.select("id", *[((F.col(a) - float(o)) / extent).alias(a) for a, o in zip("xyz", low)], "rows")
     unit = materialize(unit, "unit")
-    spacing = float(nearest_spacing(unit).agg(F.median("spacing")).first()[0] or 0.0)
+    spacing = float(nearest_spacing(unit).agg(F.percentile("spacing", 0.5, F.col("rows"))).first()[0] or 0.0)
     tolerance = evaluation_tolerance(spacing, 1.0, settings.detail_factor, settings.tolerance / extent if settings.tolerance else None)
 
     width = 1.0 / settings.resolution
@@ -172,22 +177,22 @@ def prepare(cloud: DataFrame, settings: FitSettings, regions: DataFrame | None =
     grid[at[:, 0], at[:, 1], at[:, 2]] = True
     solid = Solid(grid, np.full(3, -pad * width), width)
 
-    weighted = cells.spatial_weights(unit, 2 * tolerance)
+    weighted = cells.spatial_weights(unit, 2 * tolerance, "rows")
     parts = cells.cell_components(cells.with_cells(unit, 2 * tolerance))
-    points = weighted.join(parts, list(cells.CELL)).select("id", "x", "y", "z", "weight", F.col("component").cast("string").alias("component"))
-    return Prepared(materialize(points, "points"), b["n"], low, extent, spacing, tolerance, solid, find_frames(unit, regions), safe)
+    points = weighted.join(parts, list(cells.CELL)).select("id", "x", "y", "z", "rows", "weight", F.col("component").cast("string").alias("component"))
+    return Prepared(materialize(points, "points"), b["n"], low, extent, spacing, tolerance, solid, find_frames(unit, shapes), safe)
 
 
 def find_frames(points: DataFrame, regions: DataFrame | None = None, most: int = 12) -> list[np.ndarray]:
-    """World axes, principal axes of the cloud, square pairs of hull directions, principal axes of regions and of octants; equal frames once."""
-    middle = points.agg(*[F.avg(a).alias(a) for a in "xyz"]).first()
+    """World axes, principal axes of the cloud (positions with ``rows``), square pairs of hull directions, principal axes of ``regions`` (``region_frames``) and of octants; equal frames once."""
+    middle = points.agg(*[(F.sum(F.col(a) * F.col("rows")) / F.sum("rows")).alias(a) for a in "xyz"]).first()
     split = points.withColumn("part", F.lit(-1)).unionByName(points.withColumn("part", sum((F.when(F.col(a) > middle[a], 1 << i).otherwise(0) for i, a in enumerate("yz")), F.when(F.col("x") > middle["x"], 4).otherwise(0)).cast("int")))
-    shapes = normals.eigen(normals.moments(split, ["part"]), ["part"]).orderBy("part").collect()  # nine rows
+    shapes = normals.eigen(normals.moments(split, ["part"], counts="rows"), ["part"]).orderBy("part").collect()  # nine rows
     found = [np.eye(3)]
     whole, octants = ([np.array(r["axes"]).T for r in shapes if r["n"] >= 8 and (r["part"] < 0) == first] for first in (True, False))
     rows = whole + hull.frames_of(hull.hull_directions(points))[:4]
     if regions is not None:
-        rows += [np.array(r["axes"]).T for r in normals.region_frames(points, regions).orderBy("region").collect()]  # at most 32 rows
+        rows += [np.array(r["axes"]).T for r in regions.orderBy("region").collect()]  # at most 32 rows
     for frame in rows + octants:
         u, _, v = np.linalg.svd(frame)
         frame = u @ v
@@ -249,9 +254,9 @@ def panel_boxes(points: DataFrame, p: Prepared, layers: int = 8, parts: int = 8,
     Layers of two tolerances, in two phases; a patch's box has its points' bounds.
     """
     step = 2 * p.tolerance
-    table = frame_table(points.select("id", "x", "y", "z", "weight"), p.frames)
+    table = frame_table(points.select("id", "x", "y", "z", "rows", "weight"), p.frames)
     ways = F.array(*[F.struct(F.lit(a).alias("axis"), F.lit(s).alias("phase")) for a in range(3) for s in (0.0, 0.5)])
-    rows = table.withColumn("w", F.explode(ways)).select("*", "w.*")
+    rows = table.withColumn("w", F.explode(ways)).select("*", "w.*").drop("w")
     along = F.when(F.col("axis") == 0, F.col("u0")).when(F.col("axis") == 1, F.col("u1")).otherwise(F.col("u2"))
     first = F.when(F.col("axis") == 0, F.col("u1")).otherwise(F.col("u0"))
     second = F.when(F.col("axis") == 2, F.col("u1")).otherwise(F.col("u2"))
@@ -264,7 +269,7 @@ def panel_boxes(points: DataFrame, p: Prepared, layers: int = 8, parts: int = 8,
     best = top_per_group(mass, ["f", "axis", "phase"], [F.desc("mass"), F.col("bin")], layers).select(*key)
     rows = rows.join(F.broadcast(best), key)  # a few layers per frame and axis
     patches = cells.cell_components(rows, ("ca", "cb"), key)
-    patch = rows.join(patches, [*key, "ca", "cb"]).groupBy(*key, "component").agg(F.sum("weight").alias("mass"), F.count("*").alias("n"), *_ends())
+    patch = rows.join(patches, [*key, "ca", "cb"]).groupBy(*key, "component").agg(F.sum("weight").alias("mass"), F.sum("rows").alias("n"), *_ends())
     patch = patch.where(F.col("n") >= minimum)
     rows = top_per_group(patch, ["f", "axis", "phase"], [F.desc("mass"), F.col("component")], parts).orderBy(F.desc("mass"), "f", "axis", "phase", "bin").collect()
     return _bounds_to_boxes(rows, p.frames, "panel")
@@ -298,7 +303,7 @@ def _measure(p: Prepared, open_points: DataFrame, boxes: Sequence[dict]) -> list
     local = box.local()
     inside = box.contains()
     sums = near.groupBy("box_id").agg(
-        F.sum("weight").alias("gain"), F.count("*").alias("rows"),
+        F.sum("weight").alias("gain"), F.sum("rows").alias("rows"),
         *[F.min(F.when(inside, q)).alias(f"l{j}") for j, q in enumerate(local)], *[F.max(F.when(inside, q)).alias(f"h{j}") for j, q in enumerate(local)],
     )
     found = {r["box_id"]: r.asDict() for r in sums.collect()}  # one row per candidate
@@ -352,7 +357,7 @@ def select_boxes(p: Prepared, settings: FitSettings, *, committed: Sequence[dict
     need, reach, surface = math.ceil(settings.target_coverage * p.count), p.tolerance * (1 + 1e-12), settings.target_surface_support > 0
     total = p.points.agg(F.sum("weight")).first()[0]
     most_buried = (1 - settings.target_coverage) * total if surface else float("inf")
-    covered = state.where(F.col("field") <= reach).count() if boxes else 0
+    covered = _rows_within(state, reach) if boxes else 0
     if not boxes:  # one box may do; then nothing else is searched
         for widen in (False, True):
             if widen:
@@ -394,7 +399,7 @@ def select_boxes(p: Prepared, settings: FitSettings, *, committed: Sequence[dict
         after = materialize(with_field(state, best), "state")
         release(state)
         state, before = after, covered
-        covered = state.where(F.col("field") <= reach).count()
+        covered = _rows_within(state, reach)
         curve.append({"cuboids": len(boxes), "covered_fraction": covered / p.count, "added_points": covered - before})
         if on_commit is not None:
             on_commit(boxes)
@@ -406,6 +411,10 @@ def select_boxes(p: Prepared, settings: FitSettings, *, committed: Sequence[dict
     return boxes, curve, reason
 
 
+def _rows_within(state: DataFrame, reach: float) -> int:
+    return state.where(F.col("field") <= reach).agg(F.sum("rows")).first()[0] or 0
+
+
 def _scored(p: Prepared, state: DataFrame, boxes: Sequence[dict], settings: FitSettings, total: float, most_buried: float) -> list[float]:
     if not boxes:
         return []
@@ -543,12 +552,12 @@ def residual_boxes(open_points: DataFrame, p: Prepared, parts: int = 8, minimum:
     Groups are components of occupied cells, their axes come from moments;
     both are aggregates, and a few rows for each of ``parts`` groups return.
     """
-    celled = cells.with_cells(open_points.select("id", "x", "y", "z", "weight"), 2 * max(2 * p.tolerance, p.spacing), tuple(float(v) for v in p.solid.origin))
+    celled = cells.with_cells(open_points.select("id", "x", "y", "z", "rows", "weight"), 2 * max(2 * p.tolerance, p.spacing), tuple(float(v) for v in p.solid.origin))
     grouped = celled.join(cells.cell_components(celled), list(cells.CELL)).withColumn("part", F.col("component").cast("string"))
-    mass = grouped.groupBy("part").agg(F.sum("weight").alias("mass"), F.count("*").alias("n")).where(F.col("n") >= minimum)
+    mass = grouped.groupBy("part").agg(F.sum("weight").alias("mass"), F.sum("rows").alias("n")).where(F.col("n") >= minimum)
     heavy = mass.orderBy(F.desc("mass"), "part").limit(parts).select("part")
-    grouped = materialize(grouped.join(F.broadcast(heavy), "part").select("part", "x", "y", "z", "weight"), "residual")
-    own = {r["part"]: np.array(r["axes"]).T for r in normals.eigen(normals.moments(grouped, ["part"]), ["part"]).collect()}
+    grouped = materialize(grouped.join(F.broadcast(heavy), "part").select("part", "x", "y", "z", "rows", "weight"), "residual")
+    own = {r["part"]: np.array(r["axes"]).T for r in normals.eigen(normals.moments(grouped, ["part"], counts="rows"), ["part"]).collect()}
     out = []
     for part, axes in sorted(own.items()):
         u, _, v = np.linalg.svd(axes)
@@ -602,7 +611,7 @@ def gates(fit: Fit, settings: FitSettings) -> dict:
     named = F.broadcast(table.select(*[F.col(c).alias("b_" + c) for c in table.columns]))
     hit = p.points.join(named, Box("b_").distance() <= p.tolerance * (1 + 1e-12), "left_semi").select("id").withColumn("hit", F.lit(True))
     rows = materialize(p.points.join(hit, "id", "left").withColumn("hit", F.coalesce("hit", F.lit(False))), "hits")
-    total = rows.agg(F.avg(F.col("hit").cast("int")).alias("raw"), (F.sum(F.when(F.col("hit"), F.col("weight")).otherwise(0.0)) / F.sum("weight")).alias("spatial")).first()
+    total = rows.agg((F.sum(F.when(F.col("hit"), F.col("rows")).otherwise(0)) / F.sum("rows")).alias("raw"), (F.sum(F.when(F.col("hit"), F.col("weight")).otherwise(0.0)) / F.sum("weight")).alias("spatial")).first()
     least = cells.component_coverage(rows, F.col("hit")).agg(F.min("coverage")).first()[0]
     out = {"raw_coverage": total["raw"], "spatial_coverage": total["spatial"], "minimum_component_coverage": least}
     ok = total["raw"] >= settings.target_coverage and total["spatial"] >= settings.target_coverage - 1e-12 and least >= settings.target_component_coverage

@@ -43,6 +43,44 @@ def test_a_turned_cube_is_one_box(spark):
     assert np.allclose(sorted(found.boxes[0]["dimensions"]), 1, atol=0.05)
 
 
+def test_copies_of_a_position_are_one_row_that_counts_for_all(spark):
+    rng = np.random.default_rng(5)
+    places = np.unique(np.round(rng.uniform(0, 1, (60, 3)) * [4, 3, 1], 2), axis=0)
+    copies = rng.integers(1, 40, len(places))
+    every = np.repeat(places, copies, axis=0)
+    p = fit.prepare(spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(every)], "id long, x double, y double, z double"), FitSettings(resolution=8))
+    found = p.points.orderBy("id").collect()
+    assert p.count == len(every) and [r["rows"] for r in found] == copies.tolist()
+    near = np.linalg.norm(places[:, None] - places, axis=2) + 1e9 * np.eye(len(places))
+    assert np.isclose(p.spacing, np.median(np.repeat(near.min(axis=1), copies)) / p.scale)
+    # Weights: of a cell all rows share the same, whatever their number.
+    at = np.floor((places - places.min(axis=0)) / p.scale / (2 * p.tolerance) + 1e-9)
+    cell = np.unique(at, axis=0, return_inverse=True)[1].ravel()
+    held = np.bincount(cell, copies)
+    assert np.allclose([r["weight"] for r in found], copies / held[cell] * len(every) / len(held))
+    axes = np.linalg.eigh(np.cov(every.T))[1]
+    assert any((np.abs(f.T @ axes).max(axis=0) > 1 - 1e-9).all() for f in p.frames)
+
+
+def test_quantiles_of_a_refinement_are_those_of_all_rows(spark):
+    from orthant.operators.refine import _quantiles
+
+    rng = np.random.default_rng(6)
+    turn, shares = np.linalg.qr(rng.standard_normal((3, 3)))[0], [0.0, 0.005, 0.02, 0.5, 0.95, 1.0]
+    groups = [np.exp(3 * rng.standard_normal((700, 3))), np.round(rng.uniform(-1, 1, (200, 3)), 1), np.zeros((3, 3))]  # far outliers, ties, one place
+    copies = [rng.integers(1, 60, len(g)) for g in groups]
+    rows = [(g, *map(float, v), int(n)) for g, (at, number) in enumerate(zip(groups, copies)) for v, n in zip(at, number)]
+    support = spark.createDataFrame(rows, "group int, x double, y double, z double, rows long")
+    within = [fit.make_box((at.min(axis=0) + at.max(axis=0)) / 2, np.ptp(at, axis=0), np.eye(3), "x") for at in (*groups, groups[0])]
+    frames = [(g, f) for g in range(4) for f in (np.eye(3), turn)]
+    found = _quantiles(support, frames, shares, within)
+    assert found[6] is None and found[7] is None
+    for (g, f), own in zip(frames[:6], found):
+        u = np.sort(np.repeat(groups[g] @ f, copies[g], axis=0), axis=0)
+        want = [u[min(max(int(np.ceil(s * len(u))), 1), len(u)) - 1] for s in shares]
+        assert np.allclose(own, want, rtol=0, atol=2e-9 * (np.ptp(u, axis=0).max() + 1))
+
+
 def test_grown_boxes_are_the_largest_around_a_seed():
     from itertools import product
 
