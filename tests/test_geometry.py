@@ -366,3 +366,26 @@ def test_exact_quantiles_order_only_what_lies_around_the_ranks(spark, monkeypatc
         for accuracy in (10_000, 50):
             assert np.allclose(windows.exact_quantiles(rows, "v", shares, accuracy), np.quantile(values, shares), rtol=1e-12, atol=1e-12)
     assert windows.exact_quantiles(rows.where("v > 1e301"), "v", (0.5,)) == [None]
+
+
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_a_radius_join_deals_a_crowded_cell_over_tasks(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(spatial, "BLOCK_ROWS", 50, raising=False)
+    monkeypatch.setattr(spatial, "CROWDED_CELLS", broadcast, raising=False)
+    rng = np.random.default_rng(8)
+    q = np.vstack([rng.uniform(0.01, 0.09, (400, 3)), np.full((90, 3), -0.25), rng.uniform(-0.5, 0.5, (200, 3)), [(1e8, -2e8, 3e8), (1e17, 0, 0)]])
+    p = np.vstack([q[::2], rng.uniform(0.0, 0.1, (300, 3)), [(float("nan"), 0.0, 0.0)], [(1e8 + 0.05, -2e8, 3e8)]])
+    found = spatial.radius_join(cloud(spark, q), cloud(spark, p), 0.1).withColumn("task", F.spark_partition_id()).collect()
+    d = q[:, None] - p[None]
+    d = np.sqrt(d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1] + d[..., 2] * d[..., 2])
+    assert {(r["id"], r["other_id"]): r["d"] for r in found} == {(i, j): d[i, j] for i, j in np.argwhere(d <= 0.1).tolist()}
+    assert len(found) == (d <= 0.1).sum()
+    # A task meets several blocks at most, however full the cell.
+    assert np.unique([r["task"] for r in found], return_counts=True)[1].max() < 8 * 50 * 50
+
+
+def test_a_radius_join_without_rows_or_reach(spark):
+    two = cloud(spark, [(0.0, 0.0, 0.0), (0.0, 0.0, 0.1), (0.0, -0.0, 0.1)])
+    assert spatial.radius_join(two, two.limit(0), 0.1).count() == 0
+    assert spatial.radius_join(two.limit(0), two, 0.1).count() == 0
+    assert {tuple(r)[:2] for r in spatial.radius_join(two, two, 0.0).collect()} == {(0, 0), (1, 1), (1, 2), (2, 1), (2, 2)}
