@@ -181,18 +181,40 @@ def nearest_neighbors(
     return done.select("id", "rank", F.col("other_id"), "d")
 
 
-def nearest_within(queries: DataFrame, points: DataFrame, reach: float, tasks: int) -> DataFrame:
+def nearest_within(queries: DataFrame, points: DataFrame, reach: float, tasks: int, *, spread_points: bool = False) -> DataFrame:
     """The nearest point of each query that has one at most ``reach`` away: ``id``, ``d``, ``other_id``, ``ox``, ``oy``, ``oz``.
 
     Ties go to the smaller id. One join by cells, dealt over ``tasks``, and one
-    minimum, however far the other queries are from all points.
+    minimum, however far the other queries are from all points. Queries go to
+    the cells around theirs, or points do where the caller says they are fewer.
     """
-    right = _with_grid(points.select(F.col("id").alias("other_id"), "x", "y", "z"), reach).withColumnsRenamed({"x": "ox", "y": "oy", "z": "oz"}).repartition(tasks, *_NEAR)
-    around = _around(queries.select("id", "x", "y", "z"), reach).repartition(tasks, *_NEAR)
-    found = around.join(right.hint("merge"), list(_NEAR)).withColumn("d", distance("xyz", ("ox", "oy", "oz"))).where(F.col("d") <= reach)
+    lay = (_with_grid, _around) if spread_points else (_around, _with_grid)
+    left = lay[0](queries.select("id", "x", "y", "z"), reach).repartition(tasks, *_NEAR)
+    right = lay[1](points.select(F.col("id").alias("other_id"), "x", "y", "z"), reach).withColumnsRenamed({"x": "ox", "y": "oy", "z": "oz"}).repartition(tasks, *_NEAR)
+    found = left.join(right.hint("merge"), list(_NEAR)).withColumn("d", distance("xyz", ("ox", "oy", "oz"))).where(F.col("d") <= reach)
     return found.groupBy("id").agg(F.min(F.struct("d", "other_id", "ox", "oy", "oz")).alias("at")).select("id", "at.*")
 
 
+#: Points of a cell that a search for any of them keeps together, about.
+SLICE_POINTS = 50_000
+
+
+def any_within(queries: DataFrame, points: DataFrame, width: float, count: int, tasks: int) -> DataFrame:
+    """``id`` of the queries with any of the ``count`` points at most their own ``reach``, of ``width`` or less, away.
+
+    A query stops at the first point that it meets in a cell. Points are dealt
+    by cell and slice, as a few wide cells may hold them all.
+    """
+    slices = 1 + count // SLICE_POINTS
+    keys = [*_NEAR, "slice"]
+    left = _around(queries.select("id", "x", "y", "z", "reach"), width).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).repartition(tasks, *keys)
+    right = _with_grid(points, width).select(*[F.col(g).alias("o" + g) for g in _NEAR], F.pmod(F.xxhash64("id", "x", "y", "z"), F.lit(slices)).cast("int").alias("oslice"), *[F.col(a).alias("o" + a) for a in "xyz"])
+    met = distance("xyz", ("ox", "oy", "oz")) <= F.col("reach")
+    for key in keys:
+        met = met & (F.col(key) == F.col("o" + key))
+    return left.join(right.repartition(tasks, *["o" + key for key in keys]).hint("merge"), met, "left_semi").select("id").distinct()
+
+
 def nearest_spacing(points: DataFrame) -> DataFrame:
     """Distance of every row to the nearest other position; equal positions share it. Null for a single position."""
     from orthant.operators.cells import distinct_positions

@@ -109,7 +109,7 @@ def _(spark, d):
 def _(spark, d):
     """Bounds on the share of the labels' union that has vectors near; tests hold them against dense samples."""
     tri = mesh.triangles(mesh.exposed_polygons(_label_boxes(spark, d)))
-    found = mesh.support_bounds(tri, views.embedding_cloud(spark, d).select("id", "x", "y", "z"), 0.1, gap=0.3)
+    found = mesh.support_bounds(tri, views.embedding_cloud(spark, d).select("id", "x", "y", "z"), 0.1)
     return spark.createDataFrame([(found["lower"], found["upper"], found["area"])], "lower double, upper double, area double").select(*[r9(c).alias(c) for c in ("lower", "upper", "area")])
 
 

@@ -314,6 +314,44 @@ def test_support_bounds_take_no_round_for_far_triangles(spark, monkeypatch):
     assert found["lower"] == found["upper"] == 0.5 and found["levels"] == 1
 
 
+@pytest.mark.parametrize("slice_points", [50_000, 40])
+def test_any_within_against_all_pairs(spark, monkeypatch, slice_points):
+    monkeypatch.setattr(spatial, "SLICE_POINTS", slice_points)
+    rng = np.random.default_rng(36)
+    p, q, reach = rng.uniform(-1, 1, (300, 3)), rng.uniform(-3, 3, (120, 3)), rng.uniform(0.2, 0.9, 120)
+    asks = cloud(spark, q).join(spark.createDataFrame([(i, float(r)) for i, r in enumerate(reach)], "id long, reach double"), "id")
+    got = [r["id"] for r in spatial.any_within(asks, cloud(spark, p), 0.9, 300, 3).collect()]
+    want = np.flatnonzero(np.linalg.norm(q[:, None] - p[None], axis=2).min(axis=1) <= reach).tolist()
+    assert sorted(got) == want and 0 < len(got) < 120
+
+
+def test_nearest_within_is_the_same_with_points_spread(spark):
+    rng = np.random.default_rng(37)
+    q, p = cloud(spark, rng.uniform(-2, 2, (200, 3))), cloud(spark, rng.uniform(-1, 1, (90, 3)))
+    plain, spread = (sorted(map(tuple, spatial.nearest_within(q, p, 0.4, 3, spread_points=s).collect())) for s in (False, True))
+    assert plain == spread and len(plain) > 5
+
+
+def test_support_bounds_search_no_nearest_point_of_wide_triangles(spark, monkeypatch):
+    asked = []
+    nearest = mesh.nearest_within
+    monkeypatch.setattr(mesh, "nearest_within", lambda q, p, reach, *a, **b: (asked.append(reach), nearest(q, p, reach, *a, **b))[1])
+    tri = spark.createDataFrame([([0.0, 0.0, 0.0], [8.0, 0.0, 0.0], [0.0, 8.0, 0.0], 32.0), ([0.0, 0.0, 9.0], [0.3, 0.0, 9.0], [0.0, 0.3, 9.0], 0.045)], "a array<double>, b array<double>, c array<double>, area double")
+    found = mesh.support_bounds(tri, cloud(spark, [(1.0, 1.0, 0.0), (4.0, 2.0, 0.2), (0.1, 0.1, 9.0)]), 0.5)
+    within = (np.pi * 0.25 + np.pi * 0.21 + 0.045) / 32.045  # two circles inside the large one, all of the small one
+    assert found["lower"] <= within <= found["upper"] and found["upper"] - found["lower"] <= 0.002
+    assert asked and max(asked) < 0.5 * 7 / 3 + 0.01
+
+
+def test_the_query_of_support_bounds_leaves_at_most_the_settings_gap(spark, tmp_path):
+    from orthant.plans.registry import queries
+
+    rows = [(1, [0.0, 0.0, 0.0], 0), (2, [0.4, 0.3, 0.2], 0), (3, [0.3, 0.1, 0.1], 1), (4, [0.6, 0.5, 0.4], 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = queries()["support_bounds"](spark, str(tmp_path)).first()
+    assert 0 < found["lower"] <= found["upper"] <= found["lower"] + 0.002
+
+
 def test_neighbours_of_many_copies_meet_few_of_them(spark):
     from orthant.operators import spatial
 
