@@ -427,3 +427,34 @@ def test_a_radius_join_without_rows_or_reach(spark):
     assert spatial.radius_join(two, two.limit(0), 0.1).count() == 0
     assert spatial.radius_join(two.limit(0), two, 0.1).count() == 0
     assert {tuple(r)[:2] for r in spatial.radius_join(two, two, 0.0).collect()} == {(0, 0), (1, 1), (1, 2), (2, 1), (2, 2)}
+
+
+def odd_cloud(spark):
+    """Copies of whole rows, of ids, of positions and of neither; both zeros, no id, no place."""
+    rng = np.random.default_rng(38)
+    p = np.vstack([rng.uniform(0.01, 0.09, (150, 3)), rng.uniform(-0.3, 0.3, (150, 3)), np.full((20, 3), -0.25), [(1e8, -2e8, 3e8), (1e8 + 0.05, -2e8, 3e8), (1e17, 0, 0), (0.0, 0.0, 0.0), (-0.0, 0.0, -0.0)]])
+    rows = [(i // 2 if i < 60 else i, *map(float, v)) for i, v in enumerate(p)] + [(400 + i % 2, *map(float, p[i // 2])) for i in range(12)]
+    rows += [rows[0]] * 2 + [rows[200]] + [(None, 0.05, 0.05, 0.05)] * 2 + [(None, 0.06, 0.05, 0.05), (500, None, 0.0, 0.0), (501, float("nan"), 0.0, 0.0)]
+    return rows, spark.createDataFrame(rows, "id long, x double, y double, z double")
+
+
+@pytest.mark.parametrize("block, broadcast", [(4096, 100_000), (160, 100_000), (160, 0)])
+def test_a_cloud_joined_with_itself_gives_each_pair_both_ways(spark, monkeypatch, block, broadcast):
+    monkeypatch.setattr(spatial, "BLOCK_ROWS", block)
+    monkeypatch.setattr(spatial, "CROWDED_CELLS", broadcast)
+    rows, points = odd_cloud(spark)
+    found = [tuple(r) for r in spatial.radius_join(points, points, 0.1).collect()]
+    p = np.array([[np.nan if v is None else v for v in r[1:]] for r in rows])
+    d = p[:, None] - p[None]
+    d = np.sqrt(d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1] + d[..., 2] * d[..., 2])
+    want = [(rows[i][0], rows[j][0], float(d[i, j])) for i, j in np.argwhere(d <= 0.1).tolist()]
+    order = lambda rows: sorted(rows, key=lambda r: tuple(-1 if v is None else v for v in r))
+    assert order(found) == order(want)
+
+
+def test_pairs_of_a_cloud_with_itself_pack_well(spark, tmp_path):
+    points = cloud(spark, np.random.default_rng(39).uniform(0.0, 0.2, (1500, 3)))
+    pairs = spatial.radius_join(points, points, 0.1)
+    pairs.write.parquet(f"{tmp_path}/pairs")
+    size = sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet"))
+    assert size < 8 * pairs.count()  # less than the plain distances alone
